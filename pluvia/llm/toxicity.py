@@ -115,17 +115,34 @@ def fit(docs: DataFrame, labelled: DataFrame, classes: int, lm: np.ndarray, samp
     weight = np.zeros((classes, BUCKETS), dtype=np.float32)
     for k in range(classes):
         a, b, na, nb = n[k], n.sum(axis=0) - n[k], docs_n[k], docs_n.sum() - docs_n[k]
-        weight[k] = np.where(a + b >= 3, np.log((a + 0.5) / (na + 1)) - np.log((b + 0.5) / (nb + 1)), 0)
-    return {"w": weight, "prior": np.log((docs_n + 1) / (docs_n.sum() - docs_n + 1)), "lm": lm}
+        weight[k] = np.maximum(0, np.log((a + 0.5) / (na + 1)) - np.log((b + 0.5) / (nb + 1)) - 2 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)))  # lower bound of the log odds
+    model = {"w": weight, "fit": np.tile([1.0, 0.0], (classes, 1)), "lm": lm}
+    b = docs.sparkSession.sparkContext.broadcast(model)
+    def measure(it):
+        for pdf in it:
+            yield pd.DataFrame({"y": pdf["y"], "s": [log_odds(t, b.value) for t in pdf["text"]]})
+    seen = rows.mapInPandas(measure, "y int, s array<double>").toPandas()  # `sample` rows at most
+    x, y = np.array(seen["s"].tolist(), dtype=np.float64).reshape(-1, classes), seen["y"].to_numpy()
+    model["fit"] = np.array([_platt(x[:, k], (y == k).astype(float)) for k in range(classes)])
+    return model
+
+
+def _platt(s: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slope and offset of a ridge logistic fit; a single class gives slope 1."""
+    a = np.array([1.0, np.log((y.sum() + 1) / (len(y) - y.sum() + 1))])
+    x = np.column_stack([s, np.ones(len(s))])
+    for _ in range(25 if 0 < y.sum() < len(y) else 0):
+        p = 1 / (1 + np.exp(-(x @ a).clip(-30, 30)))
+        a += np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 0.1 * np.eye(2), x.T @ (y - p) - 0.1 * (a - [1, 0]))
+        a[0] = max(a[0], 0.0)
+    return a
 
 
 def log_odds(text: str | None, model: dict, strongest: int = 3) -> np.ndarray:
     f = features(text, model["lm"]).astype(np.int64)
     w = model["w"][:, f]
-    if not len(f):
-        return model["prior"]
-    top = np.sort(w, axis=1)[:, -strongest:]
-    return model["prior"] + np.where(top > 1.5, top, 0).sum(axis=1)
+    top = np.sort(w, axis=1)[:, -strongest:].sum(axis=1) if len(f) else np.zeros(len(w))
+    return model["fit"][:, 0] * top + model["fit"][:, 1]
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
