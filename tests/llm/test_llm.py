@@ -1,0 +1,82 @@
+import hashlib
+import re
+
+import public_tokenizers
+import pytest
+import xxhash
+
+from pluvia.llm import decontaminate, license, lm, pii, quality, simhash, substrings, tokens
+
+A = "the quick brown fox jumps over the lazy dog and then runs far away from all of the others in the wood today"
+TEXTS = [A, A, A.replace("wood", "field"), None, "", "x" * 300, "mail a.b@c.de or +1 (446) 555-8962 and 4539578763621486 at 10.0.0.255 or 10.0.0.256",
+         "All rights reserved. Licensed under CC BY-NC 4.0. all rights reserved", "é" * 40 + " " + A + "\n" + A]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(i, t, "en", "s", 0, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, lang string, source string, n_chars long, fp string").cache()
+
+
+def test_simhash(docs):
+    def fp(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sh = [" ".join(w[i:i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+        hs = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) if hs else 0
+    fps = [fp(t) for t in TEXTS]
+    comp = list(range(len(fps)))
+    for _ in fps:
+        comp = [min(comp[j] for j in range(len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 2) for i in range(len(fps))]
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    assert got == {i: (f"{fps[i]:016x}", comp[i]) for i in range(len(fps))}
+
+
+def test_substrings(docs):
+    bs = [(t or "").encode() for t in TEXTS]
+    seen, want = set(), {}
+    for i, b in enumerate(bs):
+        gone = [False] * len(b)
+        for p in range(len(b) - 99):
+            if b[p:p + 100] in seen:
+                gone[p:p + 100] = [True] * 100
+            seen.add(b[p:p + 100])
+        kept = bytes(c for c, g in zip(b, gone) if not g)
+        want[i] = (len(b), sum(gone), sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone)), hashlib.sha256(kept).hexdigest())
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.dedup(docs).collect()}
+    assert got == want
+
+
+def test_tokens(docs):
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    got = {r.doc_id: r.n_tokens for r in tokens.token_counts(docs, path).collect()}
+    assert got == {i: len(t.encode(x or "", add_special_tokens=False).ids) for i, x in enumerate(TEXTS)}
+
+
+def test_pii(docs):
+    r = {x.doc_id: x for x in pii.report(docs).collect()}[6]
+    assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (1, 1, 1, 1)
+    out = {x.doc_id: x.text for x in pii.redact(docs).collect()}
+    assert "a.b@c.de" not in out[6] and out[0] == A and out[3] is None
+
+
+def test_license(docs):
+    r = {x.doc_id: x for x in license.report(docs).collect()}
+    assert (r[7].n_words, r[7].n_base, r[7].first_word, r[7].last_word, r[7].base_labels) == (13, 3, 0, 10, "cc-by,reserved")
+    assert r[0].n_base == 0 and r[0].first_word is None and r[3].n_words == 0
+
+
+def test_quality_statistics():
+    n, chars, symbols, dup, rep = quality.stats("a b c d e a b c d e\nx\nx #")[:5]
+    assert (n, chars, symbols, dup, rep) == (13, 13, 1, 0, 10)
+
+
+def test_decontamination(spark, docs):
+    bench = spark.createDataFrame([(7, "pre " + A.replace("lazy", "sleepy"))], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.pairs(docs, bench).collect()} == {0, 1, 2, 8}
+
+
+def test_lm(docs):
+    rows = lm.scores(docs).collect()
+    assert len(rows) == len(TEXTS) and all(r.score < 0 and r.base_score < 0 for r in rows)
