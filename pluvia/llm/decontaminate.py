@@ -1,7 +1,7 @@
 """Benchmark passages in documents by spaced seeds.
 
 Null and empty texts match nothing; repeated rows each give their rows; the benchmark's arrays are broadcast up to
-INDEX_BYTES and the run stops with an error beyond it."""
+INDEX_BYTES; a larger benchmark is joined by seed instead, with the same result."""
 import numpy as np
 import pandas as pd
 import xxhash
@@ -29,11 +29,54 @@ def seeds(h: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return g
 
 
-def overlaps(docs: DataFrame, bench: DataFrame) -> DataFrame:
+def verify(h: np.ndarray, w: np.ndarray, off: int):
+    """Best run of the overlap when item words w start at word `off` of h: (first, last, equal words) or None."""
+    a, z = max(off, 0), min(off + len(w), len(h))
+    eq = np.where(h[a:z] == w[a - off:z - off], 1 - IDENTITY, -IDENTITY)
+    c = np.concatenate(([0.0], np.cumsum(eq)))
+    end = int((c - np.minimum.accumulate(c)).argmax())
+    start = int(c[:end + 1].argmin())
+    hit = int((eq[start:end] > 0).sum())
+    return (a + start, a + end - 1, hit) if hit >= min(MIN_WORDS, len(w)) else None
+
+
+OVERLAP = "doc_id long, item_id long, first_word long, last_word long, n_matched long"
+
+
+def overlaps(docs: DataFrame, bench: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """doc_id, item_id, first_word, last_word, n_matched for each verified overlap."""
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size * 8 > INDEX_BYTES:
-        raise ValueError("benchmark is over INDEX_BYTES; pass it in parts")
+    return _broadcast(docs, bench) if size * 8 <= index_bytes else _joined(docs, bench)
+
+
+def _joined(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """Seeds of both sides joined by key (a hot key's document side is split by AQE), each distinct offset verified once."""
+    def spread(it):
+        for pdf in it:
+            out = []
+            for k, t in zip(pdf["id"], pdf["text"]):
+                h = word_hashes(t)
+                for s, m in enumerate(MASKS):
+                    g = seeds(h, m, s).view(np.int64)
+                    out.append(pd.DataFrame({"id": k, "key": g, "at": np.arange(len(g))}))
+            if out:
+                yield pd.concat(out)
+
+    def check(it):
+        for pdf in it:
+            rows = []
+            for d, i, t, u, offs in zip(pdf["doc_id"], pdf["item_id"], pdf["text"], pdf["item"], pdf["offs"]):
+                h, w = word_hashes(t), word_hashes(u)
+                rows += [(d, i, *v) for v in (verify(h, w, int(o)) for o in offs) if v]
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "first_word", "last_word", "n_matched"])
+    a = docs.selectExpr("doc_id AS id", "text").mapInPandas(spread, "id long, key long, at long").selectExpr("id AS doc_id", "key", "at AS p")
+    b = bench.selectExpr("item_id AS id", "text").mapInPandas(spread, "id long, key long, at long").selectExpr("id AS item_id", "key", "at AS q")
+    hits = a.join(b, "key").selectExpr("doc_id", "item_id", "p - q AS off").distinct().groupBy("doc_id", "item_id").agg(F.collect_list("off").alias("offs"))
+    full = hits.join(docs.select("doc_id", "text"), "doc_id").join(bench.selectExpr("item_id", "text AS item"), "item_id")
+    return full.mapInPandas(check, OVERLAP)
+
+
+def _broadcast(docs: DataFrame, bench: DataFrame) -> DataFrame:
     items = [(r.item_id, word_hashes(r.text)) for r in bench.select("item_id", "text").collect()]
     sc = docs.sparkSession.sparkContext
     keys = [np.concatenate([np.zeros(0, np.uint64)] + [seeds(h, m, s) for _, h in items]) for s, m in enumerate(MASKS)]
@@ -58,18 +101,11 @@ def overlaps(docs: DataFrame, bench: DataFrame) -> DataFrame:
                     for p, a, z in zip(at.tolist(), lo.tolist(), hi.tolist()):
                         cand.update((int(owner[s][q, 0]), p - int(owner[s][q, 1])) for q in range(a, z))
                 for i, off in sorted(cand):
-                    w = items[i][1]
-                    a, z = max(off, 0), min(off + len(w), len(h))
-                    eq = np.where(h[a:z] == w[a - off:z - off], 1 - IDENTITY, -IDENTITY)
-                    c = np.concatenate(([0.0], np.cumsum(eq)))
-                    low = np.minimum.accumulate(c)
-                    end = int((c - low).argmax())
-                    start = int(c[:end + 1].argmin())
-                    hit = int((eq[start:end] > 0).sum())
-                    if hit >= min(MIN_WORDS, len(w)):
-                        rows.append((d, items[i][0], a + start, a + end - 1, hit))
+                    v = verify(h, items[i][1], off)
+                    if v:
+                        rows.append((d, items[i][0], *v))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "first_word", "last_word", "n_matched"])
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, item_id long, first_word long, last_word long, n_matched long")
+    return docs.select("doc_id", "text").mapInPandas(run, OVERLAP)
 
 
 def pairs(docs: DataFrame, bench: DataFrame) -> DataFrame:

@@ -1,5 +1,8 @@
 """Scores of texts: smoothed word counts and online logistic context mixing.
 
+A token's probability is share * its leave-one-out frequency + (1 - share) * the mixed spelling model; the share is
+fitted by expectation maximisation over all training counts. Spelling tables count distinct training tokens.
+
 Null and empty texts have the end token only; repeated rows keep their own result (row_id); an empty table gives an empty
 result. The mixing model codes each token byte by byte with an end sign, so a text's log10 probability is the sum over
 its tokens; distinct tokens are coded once."""
@@ -14,10 +17,12 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-SLOTS = 1 << 18      # hashed contexts of each predictor
+BITS = 19
+SLOTS = 1 << BITS    # hashed contexts of each predictor
 ORDERS = (0, 1, 2, 3, 99)   # bytes of context before the coded byte; the last is the whole beginning
 TUNE = 20_000        # training tokens the mixing weights are refined on, at most
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+GATES = 64
 END = b"\n"
 
 
@@ -64,42 +69,56 @@ def bits(tokens: list[bytes]):
     node, out, bit = np.ones(len(b), dtype=np.uint64), [], []
     for k in range(7, -1, -1):
         y = (b >> np.uint64(k)) & np.uint64(1)
-        out.append(np.stack([(((c ^ (node * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - 18)).astype(np.int64) for c in ctx]))
+        out.append(np.stack([(((c ^ (node * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)).astype(np.int64) for c in ctx]))
         bit.append(y.astype(np.float64))
         node = node * np.uint64(2) + y
     return np.tile(who, 8), np.concatenate(bit), np.concatenate(out, axis=1)
 
 
-def _predict(slots, table):
+def _predict(slots, table, bit=None):
+    """Log odds and gate of each bit; with `bit`, the token's own count is left out of the tables."""
     n0, n1 = (np.stack([table[i, k][slots[k]] for k in range(len(ORDERS))]) for i in (0, 1))
-    st = np.log((n1 + 0.02) / (n0 + 0.02))
-    gate = (np.log2(1 + n0[-1] + n1[-1]) / 4).astype(np.int64).clip(0, 7)  # weights are chosen by how often the beginning was seen
-    return st, gate
-
-
-def tune(tokens, counts, table, rate=0.02, block=512):
-    w = np.full((8, len(ORDERS)), 0.3)
-    who, bit, slots = bits(tokens)
-    st, gate = _predict(slots, table)
-    st = st.clip(-12, 12)
-    order = np.random.default_rng(0).permutation(len(bit))
-    for k in range(0, len(order), block):
-        i = order[k:k + block]
-        p = 1 / (1 + np.exp(-np.einsum("ki,ik->i", st[:, i], w[gate[i]]).clip(-30, 30)))
-        err = bit[i] - p
-        for g in np.unique(gate[i]):
-            s = gate[i] == g
-            w[g] += rate * (st[:, i][:, s] * err[s]).mean(axis=1)
+    if bit is not None:
+        n0, n1 = np.maximum(n0 - (bit == 0), 0), np.maximum(n1 - (bit == 1), 0)
+    st = np.log((n1 + 0.05) / (n0 + 0.05)).clip(-12, 12)
+    deep = lambda k: (np.log2(1 + n0[k] + n1[k]) / 2).astype(np.int64).clip(0, 3)
+    return st, deep(-1) * 16 + deep(-2) * 4 + deep(-3)  # weights are chosen by how often the long contexts were seen
+
+
+def tune(tokens, table, rate=0.03, block=256):
+    """One online pass: each block of tokens is predicted without its own counts, then moves its gates' weights."""
+    w = np.full((GATES, len(ORDERS)), 0.25)
+    for at in range(0, len(tokens), 4096):
+        _, bit, slots = bits(tokens[at:at + 4096])
+        st, gate = _predict(slots, table, bit)
+        order = np.random.default_rng(at).permutation(len(bit))
+        for k in range(0, len(order), block):
+            i = order[k:k + block]
+            z = np.einsum("ki,ik->i", st[:, i], w[gate[i]]).clip(-30, 30)
+            step = st[:, i] * (bit[i] - 1 / (1 + np.exp(-z)))
+            seen = np.bincount(gate[i], minlength=GATES)
+            move = np.stack([np.bincount(gate[i], x, GATES) for x in step], axis=1)
+            w += rate * move / np.maximum(seen, 1)[:, None]
     return w
 
 
-def code(tokens, table, w):
+def code(tokens, table, w, seen):
+    """log10 probability of each token's spelling; `seen` marks tokens that the tables count, which are left out."""
     who, bit, slots = bits(tokens)
-    st, gate = _predict(slots, table)
-    z = np.einsum("ki,ik->i", st.clip(-12, 12), w[gate]).clip(-30, 30)
+    st, gate = _predict(slots, table, np.where(seen[who], bit, -1))
+    z = np.einsum("ki,ik->i", st, w[gate]).clip(-30, 30)
     return np.bincount(who, -np.logaddexp(0, np.where(bit > 0, -z, z)) / np.log(10), minlength=len(tokens))
 
 
+def share(lp: DataFrame, n: int, rounds: int = 8) -> float:
+    """Weight of the frequency part by expectation maximisation over all training tokens (token, c, lp)."""
+    lam = 0.5
+    for _ in range(rounds if n > 1 else 0):
+        f, g = lam * (F.col("c") - 1) / F.lit(float(n - 1)), (1 - lam) * F.pow(F.lit(10.0), "lp")
+        lam = min(max(lp.where("c > 0").agg(F.sum(F.col("c") * F.try_divide(f, f + g)) / F.lit(float(n))).first()[0] or 0.0, 1e-6), 1 - 1e-6)
+    return lam if n > 1 else 0.0
+
+
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     raw = docs.select("doc_id", "text")
@@ -113,10 +132,9 @@ def scores(docs: DataFrame) -> DataFrame:
             for k in range(0, len(pdf), 20_000):
                 part = pdf.iloc[k:k + 20_000]
                 who, bit, slots = bits([bytes(t) for t in part["token"]])
-                c = part["c"].to_numpy(dtype=np.float64)[who]
                 for j in range(len(ORDERS)):
-                    total[1, j] += np.bincount(slots[j], c * bit, SLOTS)
-                    total[0, j] += np.bincount(slots[j], c * (1 - bit), SLOTS)
+                    total[1, j] += np.bincount(slots[j], bit, SLOTS)
+                    total[0, j] += np.bincount(slots[j], 1 - bit, SLOTS)
         i = np.flatnonzero(total.any(axis=0).ravel())
         yield pd.DataFrame({"k": i, "a": total[0].ravel()[i], "b": total[1].ravel()[i]})
     got = counts.where("c > 0").mapInPandas(gather, "k long, a double, b double").groupBy("k").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toPandas()  # SLOTS x predictors rows at most
@@ -124,7 +142,7 @@ def scores(docs: DataFrame) -> DataFrame:
     table[0, got["k"].to_numpy()], table[1, got["k"].to_numpy()] = got["a"].to_numpy(), got["b"].to_numpy()
     table = table.reshape(2, len(ORDERS), SLOTS)
     own = counts.where("c > 0").orderBy(F.xxhash64("token")).limit(TUNE).collect()
-    w = tune([bytes(r.token) for r in own], None, table) if own else np.full((8, len(ORDERS)), 0.3)
+    w = tune([bytes(r.token) for r in own], table)
     b = docs.sparkSession.sparkContext.broadcast((table, w))
 
     def run(it):
@@ -132,8 +150,10 @@ def scores(docs: DataFrame) -> DataFrame:
         for pdf in it:
             for k in range(0, len(pdf), 20_000):
                 part = pdf.iloc[k:k + 20_000]
-                yield part.assign(lp=code([bytes(t) for t in part["token"]], table, w))
-    lp = counts.mapInPandas(run, "token binary, c long, lp double")
+                yield part.assign(lp=code([bytes(t) for t in part["token"]], table, w, part["c"].to_numpy() > 0))
+    lp = cut(counts.mapInPandas(run, "token binary, c long, lp double"))
+    lam = share(lp, N)
+    lp = lp.withColumn("lp", F.log10(F.lit(lam) * F.greatest(F.col("c") - 1, F.lit(0)) / F.lit(float(max(N - 1, 1))) + F.lit(1 - lam) * F.pow(F.lit(10.0), F.greatest("lp", F.lit(-280.0)))))
     base = F.log10((F.col("c") + 0.1) / F.lit(float(N + 0.1 * (V + 1))))
     out = tok.join(lp, "token").groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_known"),
                                                      F.sum(F.col("n") * base).alias("base_score"), F.sum(F.col("n") * F.col("lp")).alias("score"))

@@ -1,25 +1,37 @@
 """Personal data in texts, by DataFrame functions only.
 
 Null texts are empty. Base spans per kind are leftmost and non-overlapping; the possessive forms below match what the
-plain patterns match without their backtracking. Added spans: secrets proposed by looser generators and kept by
-boosted trees over format and context features (`fit_boost`)."""
+plain patterns match without their backtracking. Added spans are secrets: two loose generators propose overlapping
+candidates, boosted trees over format and context features score them, and a threshold calibrated for precision
+selects; of overlapping selected spans the leftmost longest stays. Without candidates nothing is added. Repeated rows
+keep their own result; an empty table gives an empty result; extra columns stay as they are in `redact`."""
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import quality
+
 # fixed values: generators in the order of the report
 KINDS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[ -]?+[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "secret": r"\bAKIA[0-9A-Z]{16}\b|(?i)\b(?:token|password|secret|api_key)\s?=\s?\"?[A-Za-z0-9]{8,64}+\"?",
 }
+GENERATORS = {  # fixed values: a named assignment, and any run of key signs
+    "assigned": r"(?<![A-Za-z0-9_])[A-Za-z_]{2,24}+ ?[=:] ?[\x22\x27]?[A-Za-z0-9+/_-]{8,128}+[\x22\x27]?",
+    "run": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,128}+(?![A-Za-z0-9+/_-])",
+}
+NAMES = "token|passw(?:or)?d|secret|api_?key|access_?key|auth"  # fixed value: names that mark a training candidate as positive
+PREFIXES = "AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abp]-[0-9A-Za-z-]{10,}"  # fixed value: formats of issued keys
+PRECISION = 0.9
+ALL = [*KINDS, "secret"]
 
 
-def spans(text: Column, kind: str) -> Column:
+def spans(text: Column, kind: str, pattern: str | None = None) -> Column:
     """array<struct<kind, start, end, value>>, code points, before validation."""
-    pat = F.lit(KINDS[kind])
-    parts, found = F.split(text, KINDS[kind], -1), F.regexp_extract_all(text, pat, F.lit(0))
+    pattern = pattern or KINDS[kind]
+    parts, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     zipped = F.zip_with(F.transform(parts, F.length), found, lambda a, v: F.struct(a.alias("gap"), v.alias("v")))
     init = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<kind:string,start:int,end:int,value:string>>)").alias("out"))
     def step(acc, x):
@@ -51,8 +63,7 @@ def valid(kind: str, v: Column) -> Column:
     return F.lit(True)
 
 
-GATES = {"email": lambda t: t.contains("@"), "phone": lambda t: t.contains("+"), "secret": lambda t: t.contains("AKIA") | t.contains("="),
-         "ip": lambda t: t.rlike("[0-9]"), "card": lambda t: t.rlike("[0-9]")}
+GATES = {"email": lambda t: t.contains("@"), "phone": lambda t: t.contains("+"), "ip": lambda t: t.rlike("[0-9]"), "card": lambda t: t.rlike("[0-9]")}
 _EMPTY = "cast(array() as array<struct<kind:string,start:int,end:int,value:string>>)"
 
 
@@ -60,14 +71,86 @@ def _checked(kind: str):
     return lambda s: valid(kind, s["value"])
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """Adds a column per kind with its validated spans."""
+def candidates(text: Column) -> Column:
+    """Overlapping candidates of both generators."""
+    gates = {"assigned": text.rlike("[=:]"), "run": text.rlike("[A-Za-z0-9+/_-]{16}")}
+    return F.concat(*[F.when(gates[g], spans(text, "secret", pat)).otherwise(F.expr(_EMPTY)) for g, pat in GENERATORS.items()])
+
+
+FEATURES = ["length", "digits", "uppers", "classes", "quoted", "assigned", "hex", "named", "prefix"]
+
+
+def features(value: Column) -> list[Column]:
+    """Small whole numbers, so that a corpus has few distinct feature rows."""
+    key = F.regexp_extract(value, r"^([A-Za-z_]{2,24}) ?[=:]", 1)
+    body = F.regexp_replace(F.regexp_replace(value, r"^[A-Za-z_]{2,24} ?[=:] ?", ""), r"[\x22\x27]", "")
+    n = F.length(body)
+    part = lambda p: F.floor(F.try_divide(F.length(F.regexp_replace(body, f"[^{p}]", "")) * 8, n))
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    classes = flag(body.rlike("[a-z]")) + flag(body.rlike("[A-Z]")) + flag(body.rlike("[0-9]")) + flag(body.rlike("[+/_-]"))
+    cols = [F.least(F.floor(n / 4), F.lit(16)), part("0-9"), part("A-Z"), classes, flag(value.rlike(r"[\x22\x27]$")), flag(key != ""),
+            flag(body.rlike("^[0-9a-fA-F]+$")), flag(key.rlike(f"(?i)^(?:{NAMES})$")), flag(body.rlike(f"^(?:{PREFIXES})$"))]
+    return [F.coalesce(c.cast("int"), F.lit(0)).alias(k) for c, k in zip(cols, FEATURES)]
+
+
+def fit_boost(docs: DataFrame, rounds: int = 20) -> dict:
+    """Trees over all candidates of docs, counted by feature row (bounded by the features' few values). A candidate is
+    positive when a secret's name or an issued format marks it and its body has digits and letters; the threshold is
+    the lowest score whose selected candidates are positive at PRECISION."""
+    c = docs.select(F.explode(candidates(F.coalesce(F.col("text"), F.lit("")))).alias("s")).select(*features(F.col("s.value")))
+    rows = c.groupBy(*FEATURES).agg(F.count("*").alias("n")).collect()
+    x = np.array([[float(r[k]) for k in FEATURES] for r in rows]).reshape(-1, len(FEATURES))
+    n = np.array([float(r["n"]) for r in rows])
+    at = FEATURES.index
+    y = (((x[:, at("named")] > 0) & (x[:, at("classes")] > 1) & (x[:, at("digits")] > 0)) | (x[:, at("prefix")] > 0)).astype(float)
+    model = quality.fit_trees(x, y, rounds=rounds, depth=4, rate=0.3, weight=n, mono=[0] * 7 + [1, 1], least=2)
+    p = quality.predict(model, x)
+    order = np.lexsort((-n, -p))
+    good = np.cumsum((n * y)[order]) / np.maximum(np.cumsum(n[order]), 1)
+    last = np.append(np.diff(p[order]) != 0, True) if len(p) else np.zeros(0, bool)
+    fine = np.flatnonzero((good >= PRECISION) & last)
+    model["threshold"] = float(p[order][fine[-1]]) - 1e-9 if len(fine) else 2.0
+    return model
+
+
+def boosted(model: dict, value: Column) -> Column:
+    """Probability of a candidate as an expression of nested conditions."""
+    cols = features(value)
+    def node(i: int, f) -> Column:
+        j = int(model["feat"][i])
+        if j < 0:
+            return F.lit(float(model["val"][i]))
+        k = int(model["left"][i])
+        return F.when(f[FEATURES[j]] > float(model["thr"][i]), node(k + 1, f)).otherwise(node(k, f))
+    def total(f) -> Column:
+        z = F.lit(model["base"])
+        for r in model["roots"]:
+            z = z + node(r, f)
+        return 1 / (1 + F.exp(-z))
+    return F.element_at(F.transform(F.array(F.struct(*cols)), total), 1)
+
+
+def select(model: dict, found: Column) -> Column:
+    """Candidates at or over the threshold; leftmost longest of those that overlap."""
+    if not model["roots"] or model["threshold"] > 1:
+        return F.expr(_EMPTY)
+    kept = F.filter(found, lambda s: boosted(model, s["value"]) >= model["threshold"])
+    order = F.array_sort(kept, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
+    init = F.struct(F.lit(0).alias("at"), F.expr(_EMPTY).alias("out"))
+    def step(acc, s):
+        return F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(s)).alias("out")))
+    return F.aggregate(order, init, step, lambda acc: acc["out"])
+
+
+def find(docs: DataFrame, model: dict | None = None) -> DataFrame:
+    """Adds a column per kind with its validated spans; the trees are fitted on docs where no model is given."""
+    model = model or fit_boost(docs)
     t = F.coalesce(F.col("text"), F.lit(""))
     out = docs
     for k in KINDS:
         raw = F.when(GATES[k](t), spans(t, k)).otherwise(F.expr(_EMPTY))
         out = out.withColumn(f"_pii_{k}", F.filter(raw, _checked(k)))
-    return out
+    return out.withColumn("_pii_secret", select(model, candidates(t)))
 
 
 def _joined(kinds: list[str]) -> Column:
@@ -85,7 +168,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """Replaces the found spans by their kind in brackets and sets n_chars; other columns stay."""
     df = find(docs)
     text = F.coalesce(F.col("text"), F.lit(""))
-    every = F.array_sort(F.concat(*[f"_pii_{k}" for k in KINDS]), lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(b["end"] - a["end"]))
+    every = F.array_sort(F.concat(*[f"_pii_{k}" for k in ALL]), lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(b["end"] - a["end"]))
     init = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
     def step(acc, s):
         fresh = s["start"] >= acc["at"]
@@ -93,4 +176,4 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"))
     new = F.aggregate(every, init, step, lambda acc: F.concat(F.concat_ws("", acc["out"]), text.substr(acc["at"] + 1, F.length(text))))
     df = df.withColumn("text", F.when(F.size(every) > 0, new).otherwise(F.col("text")))
-    return df.withColumn("n_chars", F.length("text").cast("long")).drop(*[f"_pii_{k}" for k in KINDS])
+    return df.withColumn("n_chars", F.length("text").cast("long")).drop(*[f"_pii_{k}" for k in ALL])

@@ -47,16 +47,17 @@ def _frame(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
     return pd.DataFrame(a[:, :5].astype(np.int64), columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]), np.column_stack([a[:, 0], a[:, 5:]])
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.2, bins: int = 32) -> dict:
+def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.2, bins: int = 32, weight: np.ndarray | None = None, mono: list[int] | None = None, least: float = 20) -> dict:
     """Second-order boosting on histograms; a split against a feature's direction is refused and child bounds are kept."""
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])] if len(x) else []
     feat, thr, left, val, roots = [], [], [], [], []
-    base = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+    weight = np.ones(len(y)) if weight is None else weight
+    base = float(np.log(((weight * y).sum() + 1) / ((weight * (1 - y)).sum() + 1)))
     f = np.full(len(y), base)
-    mono = [MONOTONE.get(n, 0) for n in FEATURES]
+    mono = [MONOTONE.get(n, 0) for n in FEATURES] if mono is None else mono
     for _ in range(rounds if len(y) else 0):
         p = 1 / (1 + np.exp(-f))
-        g, h = p - y, p * (1 - p)
+        g, h = weight * (p - y), weight * p * (1 - p)
         roots.append(len(feat))
         feat.append(-1), thr.append(0.0), left.append(-1), val.append(0.0)
         work = [(roots[-1], np.arange(len(y)), 0, -np.inf, np.inf)]
@@ -65,7 +66,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, ra
             leaf = lambda s: float(np.clip(-g[s].sum() / (h[s].sum() + 1.0), lo, hi))
             val[node] = rate * leaf(idx)
             best = (1e-6, None)
-            if d < depth and len(idx) >= 20:
+            if d < depth and weight[idx].sum() >= least:
                 G, H = g[idx].sum(), h[idx].sum()
                 for j, cs in enumerate(cuts):
                     b = np.searchsorted(cs, x[idx, j], side="left")

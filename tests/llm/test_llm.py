@@ -80,3 +80,23 @@ def test_decontamination(spark, docs):
 def test_lm(docs):
     rows = lm.scores(docs).collect()
     assert len(rows) == len(TEXTS) and all(r.score < 0 and r.base_score < 0 for r in rows)
+
+
+def test_pii_trees(spark):
+    texts = [f'see the token = "{hashlib.md5(str(i).encode()).hexdigest()}" here' for i in range(30)] + ["internationalization-of-software is a long word, note: something else entirely"] * 30
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.report(d).collect()}
+    assert all(got[i] == "secret:8:50" for i in range(30)) and not any(got[i] for i in range(30, 60))
+    assert pii.report(d.where("false")).count() == 0
+
+
+def test_decontamination_join(spark, docs):
+    bench = spark.createDataFrame([(7, "pre " + A.replace("lazy", "sleepy")), (8, None)], "item_id long, text string")
+    assert sorted(map(tuple, decontaminate.overlaps(docs, bench).collect())) == sorted(map(tuple, decontaminate.overlaps(docs, bench, 0).collect()))
+
+
+def test_lm_shares(spark):
+    d = spark.createDataFrame([(i, "alpha beta gamma " * 5) for i in range(20)] + [(99, "zzqqxx")], "doc_id long, text string")
+    r = {x.doc_id: x for x in lm.scores(d).collect()}
+    assert r[99].score / r[99].n_tokens < r[0].score / r[0].n_tokens
+    assert lm.scores(d.where("false")).count() == 0
