@@ -131,10 +131,10 @@ def boosted(model: dict, value: Column) -> Column:
 
 
 def select(model: dict, found: Column) -> Column:
-    """Candidates at or over the threshold; leftmost longest of those that overlap."""
-    if not model["roots"] or model["threshold"] > 1:
-        return F.expr(_EMPTY)
-    kept = F.filter(found, lambda s: boosted(model, s["value"]) >= model["threshold"])
+    """Candidates at or over the threshold and those of an issued format; leftmost longest of those that overlap."""
+    issued = lambda s: s["value"].rlike(f"(?:^|[^A-Za-z0-9])(?:{PREFIXES})[\\x22\\x27]?$")
+    fitted = bool(model["roots"]) and model["threshold"] <= 1
+    kept = F.filter(found, lambda s: issued(s) | (boosted(model, s["value"]) >= model["threshold"]) if fitted else issued(s))
     order = F.array_sort(kept, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
     init = F.struct(F.lit(0).alias("at"), F.expr(_EMPTY).alias("out"))
     def step(acc, s):
