@@ -1,5 +1,6 @@
 """Shared helpers of the training-data operators."""
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut lineage with a Parquet table in the shared folder: columns of one kind take far less room than checkpointed rows."""
+    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="table-")
+    out = f"{base}/table-{uuid.uuid4().hex}"
+    df.write.parquet(out)
+    return df.sparkSession.read.schema(df.schema).parquet(out)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (node, root): contraction by smallest neighbour; each round maps every node that has a
     smaller neighbour to it, so edges shrink by a factor and rounds are logarithmic. No edges: empty result."""

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import written
 
 WINDOW, GRAM = 100, 32
 _M = [np.uint64(m) for m in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -100,14 +100,17 @@ def _cut(it):
 
 def removals(docs: DataFrame) -> DataFrame:
     """doc_id, lo, hi: bytes to remove."""
-    r = cut(docs.select("doc_id", "text").mapInPandas(_runs, "doc_id long, h long, s long, lo long, hi long, own long"))
-    cls = r.groupBy("h", "s").agg(F.min(F.struct("doc_id", "lo")).alias("f"), F.count("*").alias("n"), F.max("own").alias("own"))
-    cls = cut(cls)
-    mixed = cls.groupBy("h").agg(F.count("*").alias("k"), F.max("own").alias("own")).where("k > 1 OR own > 0").select("h")
-    settled = r.join(cls.where("n > 1").drop("own"), ["h", "s"]).where("struct(doc_id, lo) <> f").selectExpr("doc_id", "lo", f"hi + {WINDOW - 1} AS hi")
-    reps = r.join(cls.select("h", "s", F.col("f.doc_id").alias("doc_id"), F.col("f.lo").alias("lo")), ["h", "s", "doc_id", "lo"]).join(mixed, "h", "left_semi")
+    r = written(docs.select("doc_id", "text").mapInPandas(_runs, "doc_id long, h long, s long, lo long, hi long, own long").selectExpr("doc_id", "h", "s", "int(lo) AS lo", "int(hi) AS hi", "own > 0 AS own"))
+    shared = r.groupBy("h").agg(F.min(F.struct("doc_id", "lo")).alias("f"), F.count("*").alias("n"), F.expr("min(s) <> max(s) OR max(own)").alias("mixed")).where("n > 1 OR mixed").drop("n")
+    j = written(r.drop("own").join(shared, "h"))
+    alike = j.where("NOT mixed AND struct(doc_id, lo) <> f").selectExpr("doc_id", "lo", f"hi + {WINDOW - 1} AS hi")
+    m = j.where("mixed").drop("f", "mixed")
+    cls = m.groupBy("h", "s").agg(F.min(F.struct("doc_id", "lo")).alias("f"))
+    m = written(m.join(cls, ["h", "s"]))
+    settled = alike.union(m.where("struct(doc_id, lo) <> f").selectExpr("doc_id", "lo", f"hi + {WINDOW - 1} AS hi"))
+    reps = m.where("struct(doc_id, lo) = f")
     per = reps.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("rs"))
-    win = cut(docs.select("doc_id", "text").join(per, "doc_id").mapInPandas(_windows, "doc_id long, w long, w2 long, at long"))
+    win = written(docs.select("doc_id", "text").join(per, "doc_id").mapInPandas(_windows, "doc_id long, w long, w2 long, at long"))
     first = win.groupBy("w", "w2").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
     single = win.join(first, ["w", "w2"]).where("struct(doc_id, at) <> f").selectExpr("doc_id", "at AS lo", f"at + {WINDOW} AS hi")
     return settled.union(single)
