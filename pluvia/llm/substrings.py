@@ -72,13 +72,17 @@ def _runs(it):
         yield pd.DataFrame({"doc_id": np.repeat(pdf["doc_id"].to_numpy(), n), **{k: np.concatenate([g[i] for g in got]) for i, k in enumerate(("h", "s", "lo", "hi", "own"))}})
 
 
-def _windows(it):
+def _windows(it, rows=200_000):
     for pdf in it:
-        out = []
+        out, held = [], 0
         for d, t, rs in zip(pdf["doc_id"], pdf["text"], pdf["rs"]):
             x = grams(np.frombuffer((t or "").encode("utf-8"), dtype=np.uint8))
             at = np.concatenate([np.arange(r["lo"], r["hi"]) for r in rs])
             out.append(pd.DataFrame({"doc_id": d, "w": _mix(x, at, at + WINDOW, 1).view(np.int64), "w2": _mix(x, at, at + WINDOW, 77).view(np.int64), "at": at}))
+            held += len(at)
+            if held >= rows:
+                yield pd.concat(out)
+                out, held = [], 0
         if out:
             yield pd.concat(out)
 
