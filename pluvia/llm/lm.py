@@ -3,11 +3,9 @@
 A token's probability is share * its leave-one-out frequency + (1 - share) * the mixed spelling model; the share is
 fitted by expectation maximisation over all training counts. Spelling tables count distinct training tokens.
 
-Null and empty texts have the end token only; repeated rows keep their own result (row_id); an empty table gives an empty
-result. The mixing model codes each token byte by byte with an end sign, so a text's log10 probability is the sum over
+Null and empty texts have the end token only; repeated rows keep their own result; a null doc_id is held out; an
+empty table gives an empty result. The mixing model codes each token byte by byte with an end sign, so a text's log10 probability is the sum over
 its tokens; distinct tokens are coded once."""
-import zlib
-
 import numpy as np
 import pandas as pd
 import xxhash
@@ -15,7 +13,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, written
 
 BITS = 19
 SLOTS = 1 << BITS    # hashed contexts of each predictor
@@ -24,29 +22,32 @@ TUNE = 20_000        # training tokens the mixing weights are refined on, at mos
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 GATES = 64
 END = b"\n"
+FREQUENT = 131_072   # rows of the broadcast table, at most
+HELD = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 10 = 0, true)"   # a null doc_id is held out
 
 
 def _words(t):
     return [*(t or "").encode("utf-8").translate(_LOWER).split(), END]
 
 
-def _tokens(it):
+def _counts(it, rows=200_000):
+    """token, c: training occurrences, summed before the shuffle; tokens of held-out texts count 0."""
+    c, other = Counter(), set()
     for pdf in it:
-        for d, t in zip(pdf["doc_id"], pdf["text"]):
-            c = Counter(_words(t))
-            yield pd.DataFrame({"doc_id": d, "token": list(c), "n": list(c.values()), "train": zlib.crc32(str(d).encode()) % 10 != 0})
+        for t, train in zip(pdf["text"], pdf["train"]):
+            if train:
+                c.update(_words(t))
+            else:
+                other.update(_words(t))
+            if len(c) + len(other) >= rows:
+                yield _frame(c, other)
+                c, other = Counter(), set()
+    yield _frame(c, other)
 
 
-def _merged(it, rows=200_000):
-    held, n = [], 0
-    for pdf in it:
-        held.append(pdf)
-        n += len(pdf)
-        if n >= rows:
-            yield pd.concat(held)
-            held, n = [], 0
-    if held:
-        yield pd.concat(held)
+def _frame(c, other):
+    other = other - c.keys()
+    return pd.DataFrame({"token": [*c, *other], "c": np.array([*c.values(), *[0] * len(other)], dtype=np.int64)})
 
 
 def bits(tokens: list[bytes]):
@@ -121,9 +122,8 @@ def share(lp: DataFrame, n: int, rounds: int = 8) -> float:
 
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    raw = docs.select("doc_id", "text")
-    tok = raw.mapInPandas(lambda it: _merged(_tokens(it)), "doc_id long, token binary, n long, train boolean")
-    counts = cut(tok.groupBy("token").agg(F.sum(F.when(F.col("train"), F.col("n")).otherwise(0)).alias("c")))
+    raw = docs.select("text", F.expr(f"NOT {HELD}").alias("train"))
+    counts = cut(raw.mapInPandas(_counts, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")))
     N, V = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
 
     def gather(it):
@@ -153,8 +153,31 @@ def scores(docs: DataFrame) -> DataFrame:
                 yield part.assign(lp=code([bytes(t) for t in part["token"]], table, w, part["c"].to_numpy() > 0))
     lp = cut(counts.mapInPandas(run, "token binary, c long, lp double"))
     lam = share(lp, N)
-    lp = lp.withColumn("lp", F.log10(F.lit(lam) * F.greatest(F.col("c") - 1, F.lit(0)) / F.lit(float(max(N - 1, 1))) + F.lit(1 - lam) * F.pow(F.lit(10.0), F.greatest("lp", F.lit(-280.0)))))
+    loo = F.log10(F.lit(lam) * F.greatest(F.col("c") - 1, F.lit(0)) / F.lit(float(max(N - 1, 1))) + F.lit(1 - lam) * F.pow(F.lit(10.0), F.greatest("lp", F.lit(-280.0))))
     base = F.log10((F.col("c") + 0.1) / F.lit(float(N + 0.1 * (V + 1))))
-    out = tok.join(lp, "token").groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_known"),
-                                                     F.sum(F.col("n") * base).alias("base_score"), F.sum(F.col("n") * F.col("lp")).alias("score"))
-    return out.select("doc_id", F.expr("crc32(cast(cast(doc_id as string) as binary)) % 10 = 0").alias("held_out"), "n_tokens", "n_known", F.lit(N).cast("long").alias("train_tokens"), "base_score", "score")
+    return _sums(docs, lp.select("token", (F.col("c") > 0).cast("long").alias("known"), base.alias("base"), loo.alias("lp"), "c"), N)
+
+
+def _sums(docs: DataFrame, tokens: DataFrame, n: int) -> DataFrame:
+    """Sums of each row: frequent tokens from a broadcast table in the scan, the others joined by token."""
+    top = tokens.where("length(token) <= 64").orderBy(F.desc("c"), "token").limit(FREQUENT).collect()  # FREQUENT rows of 64 bytes at most
+    b = docs.sparkSession.sparkContext.broadcast({bytes(r.token): (r.known, r.base, r.lp) for r in top})
+
+    def run(it):
+        table = b.value
+        for pdf in it:
+            rows = []
+            for t in pdf["text"]:
+                c = Counter(_words(t))
+                got = [(v, *table[k]) for k, v in c.items() if k in table]
+                rare = [k for k in c if k not in table]
+                rows.append((sum(c.values()), sum(v for v, k, _, _ in got if k), sum(v * x for v, _, x, _ in got), sum(v * y for v, _, _, y in got), rare, [c[k] for k in rare]))
+            yield pd.concat([pdf[["rid", "id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score", "score", "rare", "times"])], axis=1)
+    parts = written(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("string").alias("id"), "text")
+                    .mapInPandas(run, "rid long, id string, n_tokens long, n_known long, base_score double, score double, rare array<binary>, times array<long>"))
+    left = parts.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("token"), F.col("x.times").alias("n"))
+    more = left.join(tokens, "token").groupBy("rid").agg(F.sum(F.col("n") * F.col("known")).alias("k"), F.sum(F.col("n") * F.col("base")).alias("b"), F.sum(F.col("n") * F.col("lp")).alias("s"))
+    add = lambda a, x, zero: (F.col(a) + F.coalesce(F.col(x), F.lit(zero))).alias(a)
+    return (parts.drop("rare", "times").join(more, "rid", "left")
+            .select(F.col("id").cast("long").alias("doc_id"), F.expr(HELD.replace("doc_id", "id")).alias("held_out"), "n_tokens", add("n_known", "k", 0),
+                    F.lit(n).cast("long").alias("train_tokens"), add("base_score", "b", 0.0), add("score", "s", 0.0)))

@@ -1,11 +1,12 @@
 """Toxicity of texts after noisy-channel restoration; also the word-feature classifier that mixing uses.
 
-Null and empty texts have no features and get the prior; repeated rows keep their own result; labels, lang, source and
-doc_id are never inputs of a score."""
+Null and empty texts have no features and get the prior; a null doc_id is held out; repeated rows keep their own result;
+labels, lang, source and doc_id are never inputs of a score."""
+import re
+
 import numpy as np
 import pandas as pd
 import xxhash
-import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +16,9 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 or chr(c) in "@$!|+*._-" else 32 for c in range(256))
 _SEP = b"*._-"
-_CACHE: dict = {}
+_SPACED = re.compile(rb"(?<= )[^0-9 ](?: [^0-9 ]){3,}(?= )")
+CACHE = 200_000   # words a worker remembers before it starts again
+_STATE: dict = {}
 
 
 def viterbi(token: str, lm: np.ndarray) -> str:
@@ -37,22 +40,39 @@ def viterbi(token: str, lm: np.ndarray) -> str:
 
 def restore(text: str | None, lm: np.ndarray) -> list[bytes]:
     """Words of the text; suspicious ones (signs inside letters, runs, spaced letters) are decoded."""
-    words = (text or "").encode("utf-8").translate(_TABLE).split()
-    out, spaced = [], []
-    for w in [*words, b""]:
-        if len(w) == 1 and not w.isdigit():
-            spaced.append(w)
-            continue
-        if len(spaced) >= 4:
-            out.append(_decode(b"".join(spaced), lm))
-        else:
-            out += spaced
-        spaced = []
-        core = w.strip(b"*._-!|+")
-        if not core:
-            continue
-        out.append(core if core.isalpha() and not _runs(core) or core.isdigit() or not core.isascii() else _decode(core, lm))
-    return out
+    known = _words(lm)
+    return [r for w in _split(text, lm) if (r := _look(w, known, lm)[0])]
+
+
+def _split(text: str | None, lm: np.ndarray) -> list[bytes]:
+    """Words; four or more single signs in a row become one decoded word."""
+    line = b" " + b" ".join((text or "").encode("utf-8").translate(_TABLE).split()) + b" "
+    if _SPACED.search(line):
+        line = _SPACED.sub(lambda m: _decode(m[0].replace(b" ", b""), lm), line)
+    return line.split()
+
+
+def _words(lm: np.ndarray) -> dict:
+    """The worker's memory of words for this character model."""
+    if _STATE.get("lm") is not lm:
+        if not np.array_equal(_STATE.get("lm"), lm):
+            _STATE["words"] = {}
+        _STATE["lm"] = lm
+    if len(_STATE["words"]) > CACHE:
+        _STATE["words"].clear()
+    return _STATE["words"]
+
+
+def _look(w: bytes, known: dict, lm: np.ndarray) -> tuple[bytes, tuple]:
+    """The restored word and its hashed features: the word and its beginnings of four to six bytes."""
+    got = known.get(w)
+    if got is None:
+        core = w if len(w) == 1 and not w.isdigit() else w.strip(b"*._-!|+")
+        plain = core.isalpha() and not _runs(core) or core.isdigit() or not core.isascii() or len(core) < 2
+        r = core if plain else _decode(core, lm)
+        keys = [r, *(b"^" + r[:k] for k in (4, 5, 6) if len(r) > k)] if r else []
+        got = known[w] = (r, tuple(xxhash.xxh64_intdigest(k) % BUCKETS for k in keys))
+    return got
 
 
 def _runs(w: bytes) -> bool:
@@ -60,13 +80,7 @@ def _runs(w: bytes) -> bool:
 
 
 def _decode(w: bytes, lm: np.ndarray) -> bytes:
-    if len(w) > 32 or not w.isascii():
-        return w
-    if w not in _CACHE:
-        if len(_CACHE) > 200_000:
-            _CACHE.clear()
-        _CACHE[w] = viterbi(w.decode(), lm).encode() or w
-    return _CACHE[w]
+    return viterbi(w.decode(), lm).encode() or w if len(w) <= 32 and w.isascii() else w
 
 
 def char_model(docs: DataFrame) -> np.ndarray:
@@ -89,12 +103,11 @@ def char_model(docs: DataFrame) -> np.ndarray:
 
 
 def features(text: str | None, lm: np.ndarray) -> np.ndarray:
-    """Distinct hashed words and word beginnings of four to six bytes."""
-    ws = set(restore(text, lm))
-    keys = set(ws)
-    for w in ws:
-        keys.update(b"^" + w[:k] for k in (4, 5, 6) if len(w) > k)
-    return np.fromiter(map(xxhash.xxh64_intdigest, keys), dtype=np.uint64, count=len(keys)) % np.uint64(BUCKETS)
+    """Distinct hashed features of the restored words; each distinct word is looked up once."""
+    known, out = _words(lm), set()
+    for w in set(_split(text, lm)):
+        out.update(_look(w, known, lm)[1])
+    return np.fromiter(out, dtype=np.int64, count=len(out))
 
 
 def fit(docs: DataFrame, labelled: DataFrame, classes: int, lm: np.ndarray, sample: int = SAMPLE) -> dict:
@@ -105,7 +118,7 @@ def fit(docs: DataFrame, labelled: DataFrame, classes: int, lm: np.ndarray, samp
     def count(it):
         for pdf in it:
             fs = [features(t, lm) for t in pdf["text"]]
-            yield pd.DataFrame({"f": np.concatenate(fs).astype(np.int64), "y": np.repeat(pdf["y"].to_numpy(), [len(f) for f in fs])})
+            yield pd.DataFrame({"f": np.concatenate(fs), "y": np.repeat(pdf["y"].to_numpy(), [len(f) for f in fs])})
     got = rows.mapInPandas(count, "f long, y int").groupBy("f", "y").agg(F.count("*").alias("n")).toPandas()  # BUCKETS x classes rows at most
     n = np.zeros((classes, BUCKETS))
     n[got["y"].to_numpy(), got["f"].to_numpy()] = got["n"].to_numpy()
@@ -139,7 +152,7 @@ def _platt(s: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def log_odds(text: str | None, model: dict, strongest: int = 3) -> np.ndarray:
-    f = features(text, model["lm"]).astype(np.int64)
+    f = features(text, model["lm"])
     w = model["w"][:, f]
     top = np.sort(w, axis=1)[:, -strongest:].sum(axis=1) if len(f) else np.zeros(len(w))
     return model["fit"][:, 0] * top + model["fit"][:, 1]
@@ -152,9 +165,9 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         for pdf in it:
             z = np.array([log_odds(t, b.value)[1] for t in pdf["text"]], dtype=np.float64)
             p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-            held = np.array([zlib.crc32(str(d).encode()) % 5 == 0 for d in pdf["doc_id"]], dtype=bool)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": held, "score": p, "predicted": (p >= 0.5).astype(np.int32)})
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+            yield pd.DataFrame({"id": pdf["id"], "score": p, "predicted": (p >= 0.5).astype(np.int32)})
+    got = docs.selectExpr("string(doc_id) AS id", "text").mapInPandas(run, "id string, score double, predicted int")  # text keeps null ids apart from the numbers
+    return got.select(F.col("id").cast("long").alias("doc_id"), F.expr("coalesce(crc32(cast(id as binary)) % 5 = 0, true)").alias("held_out"), "score", "predicted")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
