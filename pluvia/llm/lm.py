@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from collections import Counter
+from itertools import repeat
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,8 +90,8 @@ def _predict(slots, table, bit=None):
 def tune(tokens, table, rate=0.03, block=256):
     """One online pass: each block of tokens is predicted without its own counts, then moves its gates' weights."""
     w = np.full((GATES, len(ORDERS)), 0.25)
-    for at in range(0, len(tokens), 4096):
-        _, bit, slots = bits(tokens[at:at + 4096])
+    for at in range(0, len(tokens), 512):
+        _, bit, slots = bits(tokens[at:at + 512])
         st, gate = _predict(slots, table, bit)
         order = np.random.default_rng(at).permutation(len(bit))
         for k in range(0, len(order), block):
@@ -136,11 +137,12 @@ def scores(docs: DataFrame) -> DataFrame:
                     total[1, j] += np.bincount(slots[j], bit, SLOTS)
                     total[0, j] += np.bincount(slots[j], 1 - bit, SLOTS)
         i = np.flatnonzero(total.any(axis=0).ravel())
-        yield pd.DataFrame({"k": i, "a": total[0].ravel()[i], "b": total[1].ravel()[i]})
-    got = counts.where("c > 0").mapInPandas(gather, "k long, a double, b double").groupBy("k").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toPandas()  # SLOTS x predictors rows at most
+        yield pd.DataFrame({"k": i.astype(np.int32), "a": total[0].ravel()[i], "b": total[1].ravel()[i]})
+    got = counts.where("c > 0").mapInPandas(gather, "k int, a double, b double").groupBy("k").agg(F.sum("a").cast("float").alias("a"), F.sum("b").cast("float").alias("b")).toPandas()  # SLOTS x predictors rows at most
     table = np.zeros((2, len(ORDERS) * SLOTS), dtype=np.float32)
     table[0, got["k"].to_numpy()], table[1, got["k"].to_numpy()] = got["a"].to_numpy(), got["b"].to_numpy()
     table = table.reshape(2, len(ORDERS), SLOTS)
+    del got
     own = counts.where("c > 0").orderBy(F.xxhash64("token")).limit(TUNE).collect()
     w = tune([bytes(r.token) for r in own], table)
     b = docs.sparkSession.sparkContext.broadcast((table, w))
@@ -160,18 +162,21 @@ def scores(docs: DataFrame) -> DataFrame:
 
 def _sums(docs: DataFrame, tokens: DataFrame, n: int) -> DataFrame:
     """Sums of each row: frequent tokens from a broadcast table in the scan, the others joined by token."""
-    top = tokens.where("length(token) <= 64").orderBy(F.desc("c"), "token").limit(FREQUENT).collect()  # FREQUENT rows of 64 bytes at most
-    b = docs.sparkSession.sparkContext.broadcast({bytes(r.token): (r.known, r.base, r.lp) for r in top})
+    top = tokens.where("length(token) <= 64").orderBy(F.desc("c"), "token").limit(FREQUENT).toPandas()  # FREQUENT rows of 64 bytes at most
+    b = docs.sparkSession.sparkContext.broadcast(({bytes(t): i for i, t in enumerate(top["token"])}, top[["known", "base", "lp"]].to_numpy(dtype=np.float64)))
+    del top
 
     def run(it):
-        table = b.value
+        place, value = b.value
         for pdf in it:
             rows = []
             for t in pdf["text"]:
                 c = Counter(_words(t))
-                got = [(v, *table[k]) for k, v in c.items() if k in table]
-                rare = [k for k in c if k not in table]
-                rows.append((sum(c.values()), sum(v for v, k, _, _ in got if k), sum(v * x for v, _, x, _ in got), sum(v * y for v, _, _, y in got), rare, [c[k] for k in rare]))
+                keys, n = list(c), np.fromiter(c.values(), dtype=np.int64, count=len(c))
+                at = np.fromiter(map(place.get, keys, repeat(-1)), dtype=np.int64, count=len(keys))
+                known, base, lp = n[at >= 0] @ value[at[at >= 0]]
+                rare = np.flatnonzero(at < 0).tolist()
+                rows.append((int(n.sum()), int(known), base, lp, [keys[i] for i in rare], n[rare].tolist()))
             yield pd.concat([pdf[["rid", "id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score", "score", "rare", "times"])], axis=1)
     parts = written(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("string").alias("id"), "text")
                     .mapInPandas(run, "rid long, id string, n_tokens long, n_known long, base_score double, score double, rare array<binary>, times array<long>"))
