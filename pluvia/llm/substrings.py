@@ -65,11 +65,72 @@ def runs(text: str | None):
     return m[lo].view(np.int64), _mix(x, lo, hi + WINDOW - 1, 0).view(np.int64), lo, hi, np.isin(m[lo], twice).astype(np.int64)
 
 
+RUN = "k long, s long, doc_id long, lo int, hi int, own int"
+SPAN = "doc_id long, lo int, hi int, rep boolean"
+
+
+def _firsts(*keys: np.ndarray) -> np.ndarray:
+    """Marks rows whose keys differ from the row before."""
+    new = np.ones(len(keys[0]), dtype=bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return new
+
+
 def _runs(it):
+    """Sampled suffixes. Within a batch all but the first of equal runs are settled here: own is 2 and k only spreads them."""
     for pdf in it:
         got = [runs(t) for t in pdf["text"]]
-        n = [len(g[0]) for g in got]
-        yield pd.DataFrame({"doc_id": np.repeat(pdf["doc_id"].to_numpy(), n), **{k: np.concatenate([g[i] for g in got]) for i, k in enumerate(("h", "s", "lo", "hi", "own"))}})
+        d = np.repeat(pdf["doc_id"].to_numpy(), [len(g[0]) for g in got])
+        h, s, lo, hi, own = (np.concatenate([g[i] for g in got]) if got else np.zeros(0, np.int64) for i in range(5))
+        o = np.lexsort((lo, d, s, h))
+        h, s, lo, hi, own, d = (x[o] for x in (h, s, lo, hi, own, d))
+        new = _firsts(h, s)
+        if len(h):
+            own = np.maximum.reduceat(own, np.flatnonzero(new))[np.cumsum(new) - 1]
+        yield pd.DataFrame({"k": np.where(new, h, d), "s": np.where(new, s, 0), "doc_id": d, "lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "own": np.where(new, own, 2).astype(np.int32)})
+
+
+def _scan(it):
+    """One pass over suffixes sorted by k, s, doc_id, lo: later equal runs are spans, and the first runs of each class are
+    representatives where a gram has several classes. Only a gram's first run waits between batches."""
+    last, wait = None, None   # (k, s) of the row before; the first run of its gram while that has one class
+    for pdf in it:
+        done = pdf[pdf["own"] == 2]
+        out = [done.assign(rep=False, hi=done["hi"] + WINDOW - 1)] if len(done) else []
+        pdf = pdf[pdf["own"] != 2].reset_index(drop=True)
+        if len(pdf):
+            k, s, own = (pdf[c].to_numpy() for c in ("k", "s", "own"))
+            gram, cls = _firsts(k), _firsts(k, s)
+            on = last is not None and last[0] == k[0]
+            cls[0] = not on or last[1] != s[0]
+            group = np.cumsum(gram) - 1
+            extra = cls & ~gram
+            extra[0] = on and cls[0]
+            mixed = np.bincount(group, extra | (own > 0)) > 0
+            if on and mixed[0] and wait is not None:
+                out.append(wait)
+                wait = None
+            rep = cls & (mixed[group] | extra)
+            same = pdf[~cls]
+            out += [same.assign(rep=False, hi=same["hi"] + WINDOW - 1), pdf[rep].assign(rep=True)]
+            if not (on and gram.sum() == 1):
+                wait = None if mixed[-1] else pdf.iloc[[np.flatnonzero(gram)[-1]]].assign(rep=True)
+            last = (k[-1], s[-1])
+        if out:
+            yield pd.concat(out)[["doc_id", "lo", "hi", "rep"]]
+
+
+def _later(it):
+    """Windows sorted by w, w2, doc_id, at: all but the first of equal ones, as spans."""
+    last = None
+    for pdf in it:
+        w, w2 = pdf["w"].to_numpy(), pdf["w2"].to_numpy()
+        new = _firsts(w, w2)
+        if len(new):
+            new[0] = last != (w[0], w2[0])
+            last = (w[-1], w2[-1])
+        got = pdf[~new]
+        yield pd.DataFrame({"doc_id": got["doc_id"], "lo": got["at"], "hi": got["at"] + WINDOW})
 
 
 def _windows(it, rows=200_000):
@@ -78,7 +139,7 @@ def _windows(it, rows=200_000):
         for d, t, rs in zip(pdf["doc_id"], pdf["text"], pdf["rs"]):
             x = grams(np.frombuffer((t or "").encode("utf-8"), dtype=np.uint8))
             at = np.concatenate([np.arange(r["lo"], r["hi"]) for r in rs])
-            out.append(pd.DataFrame({"doc_id": d, "w": _mix(x, at, at + WINDOW, 1).view(np.int64), "w2": _mix(x, at, at + WINDOW, 77).view(np.int64), "at": at}))
+            out.append(pd.DataFrame({"doc_id": d, "w": _mix(x, at, at + WINDOW, 1).view(np.int64), "w2": _mix(x, at, at + WINDOW, 77).view(np.int64), "at": at.astype(np.int32)}))
             held += len(at)
             if held >= rows:
                 yield pd.concat(out)
@@ -103,21 +164,13 @@ def _cut(it):
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """doc_id, lo, hi: bytes to remove."""
-    r = written(docs.select("doc_id", "text").mapInPandas(_runs, "doc_id long, h long, s long, lo long, hi long, own long").selectExpr("doc_id", "h", "s", "int(lo) AS lo", "int(hi) AS hi", "own > 0 AS own"))
-    shared = r.groupBy("h").agg(F.min(F.struct("doc_id", "lo")).alias("f"), F.count("*").alias("n"), F.expr("min(s) <> max(s) OR max(own)").alias("mixed")).where("n > 1 OR mixed").drop("n")
-    j = written(r.drop("own").join(shared, "h"))
-    alike = j.where("NOT mixed AND struct(doc_id, lo) <> f").selectExpr("doc_id", "lo", f"hi + {WINDOW - 1} AS hi")
-    m = j.where("mixed").drop("f", "mixed")
-    cls = m.groupBy("h", "s").agg(F.min(F.struct("doc_id", "lo")).alias("f"))
-    m = written(m.join(cls, ["h", "s"]))
-    settled = alike.union(m.where("struct(doc_id, lo) <> f").selectExpr("doc_id", "lo", f"hi + {WINDOW - 1} AS hi"))
-    reps = m.where("struct(doc_id, lo) = f")
-    per = reps.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("rs"))
-    win = written(docs.select("doc_id", "text").join(per, "doc_id").mapInPandas(_windows, "doc_id long, w long, w2 long, at long"))
-    first = win.groupBy("w", "w2").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
-    single = win.join(first, ["w", "w2"]).where("struct(doc_id, at) <> f").selectExpr("doc_id", "at AS lo", f"at + {WINDOW} AS hi")
-    return settled.union(single)
+    """doc_id, lo, hi: bytes to remove. The suffix table is hashed by gram, sorted and scanned once; windows likewise."""
+    table = docs.select("doc_id", "text").mapInPandas(_runs, RUN).repartition("k").sortWithinPartitions("k", "s", "doc_id", "lo")
+    found = written(table.mapInPandas(_scan, SPAN))
+    per = found.where("rep").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("rs"))
+    win = docs.select("doc_id", "text").join(per, "doc_id").mapInPandas(_windows, "doc_id long, w long, w2 long, at int")
+    later = win.repartition("w").sortWithinPartitions("w", "w2", "doc_id", "at").mapInPandas(_later, "doc_id long, lo int, hi int")
+    return found.where("NOT rep").select("doc_id", "lo", "hi").union(later)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
