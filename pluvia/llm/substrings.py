@@ -1,8 +1,8 @@
 """Removal of 100-byte strings that also start earlier, over sampled suffixes.
 
-Runs of 100-byte windows with one smallest 32-byte gram are the sampled suffixes: equal windows have equal grams. Equal
-runs are settled by two 64-bit fingerprints; only runs that share a gram but differ are compared window by window. Null
-texts are empty; an empty table gives an empty result; doc_id is the key."""
+Runs of 100-byte windows with one smallest 32-byte gram and one side of it are the sampled suffixes: equal windows have
+equal keys. Equal runs are settled by two 64-bit fingerprints; only runs that share a key but differ are compared window
+by window. Null texts are empty; an empty table gives an empty result; doc_id is the key."""
 import hashlib
 
 import numpy as np
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 WINDOW, GRAM = 100, 32
+SIDE = (WINDOW - GRAM) // 2   # a window holds at least so many bytes on one side of its gram
 _M = [np.uint64(m) for m in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _G = np.uint64(0x9E3779B97F4A7C15)
 
@@ -38,34 +39,33 @@ def _mix(x: np.ndarray, at: np.ndarray, end: np.ndarray, salt: int) -> np.ndarra
 
 
 def runs(text: str | None):
-    """gram, run fingerprint, first window, end window (exclusive)."""
+    """Key, run fingerprint, first window, end window (exclusive) of each run: windows whose first smallest gram stands at
+    one place and that hold the SIDE bytes before it (else they hold those after it). The key hashes the gram with that side,
+    so equal windows have equal keys and places in it, and no run holds a window twice."""
     b = np.frombuffer((text or "").encode("utf-8"), dtype=np.uint8)
     nw = len(b) - WINDOW + 1
     if nw < 1:
         z = np.zeros(0, dtype=np.int64)
-        return z, z, z, z, z
+        return z, z, z, z
     x = grams(b)
-    m, n = x, 1
-    while n < 64:
-        m = np.minimum(m[:-n], m[n:])
+    m, at, n = x, np.arange(len(x)), 1
+    for _ in range(6):
+        less = m[n:] < m[:-n]
+        m, at = np.where(less, m[n:], m[:-n]), np.where(less, at[n:], at[:-n])
         n *= 2
-    m = np.minimum(m[:nw], m[WINDOW - GRAM + 1 - 64:][:nw])
-    top, n = np.concatenate((np.zeros(68, np.uint64), m, np.zeros(68, np.uint64))), 1
-    while n < 64:
-        top = np.maximum(top[:-n], top[n:])
-        n *= 2
-    anchors = np.flatnonzero(x == np.maximum(top[:len(x)], top[5:][:len(x)]))
-    twice = np.unique(x[anchors[1:]][x[anchors[1:]] == x[anchors[:-1]]])  # grams that one run may hold twice
-    lo = np.concatenate(([0], np.flatnonzero(m[1:] != m[:-1]) + 1))
+    k = WINDOW - GRAM + 1 - 64
+    at = np.where(m[k:][:nw] < m[:nw], at[k:][:nw], at[:nw])
+    left = at - np.arange(nw) >= SIDE
+    lo = np.concatenate(([0], np.flatnonzero((at[1:] != at[:-1]) | (left[1:] != left[:-1])) + 1))
     hi = np.concatenate((lo[1:], [nw]))
-    cutat = [np.arange(a, z, 64) for a, z in zip(lo, hi)] if (hi - lo).max() > 64 else None
-    if cutat is not None:  # long runs (a repeated byte) are cut to 64 windows
-        hi = np.concatenate([np.minimum(c + 64, z) for c, z in zip(cutat, hi)])
-        lo = np.concatenate(cutat)
-    return m[lo].view(np.int64), _mix(x, lo, hi + WINDOW - 1, 0).view(np.int64), lo, hi, np.isin(m[lo], twice).astype(np.int64)
+    at, left = at[lo], left[lo]
+    key = x[at] * np.uint64(3) + left
+    for far in (SIDE - GRAM, SIDE):
+        key = (key ^ (key >> np.uint64(31))) * _M[1] + x[np.where(left, at - far, at + far)]
+    return key.view(np.int64), _mix(x, lo, hi + WINDOW - 1, 0).view(np.int64), lo, hi
 
 
-RUN = "k long, s long, doc_id long, lo int, hi int, own int"
+RUN = "k long, s long, doc_id long, lo int, hi int"
 SPAN = "doc_id long, lo int, hi int, rep boolean"
 
 
@@ -77,44 +77,48 @@ def _firsts(*keys: np.ndarray) -> np.ndarray:
 
 
 def _runs(it):
-    """Sampled suffixes. Within a batch all but the first of equal runs are settled here: own is 2 and k only spreads them."""
+    """Sampled suffixes. Within a batch all but the first of equal runs are settled here as spans: hi is negative and k only spreads them."""
     for pdf in it:
         got = [runs(t) for t in pdf["text"]]
         d = np.repeat(pdf["doc_id"].to_numpy(), [len(g[0]) for g in got])
-        h, s, lo, hi, own = (np.concatenate([g[i] for g in got]) if got else np.zeros(0, np.int64) for i in range(5))
-        o = np.lexsort((lo, d, s, h))
-        h, s, lo, hi, own, d = (x[o] for x in (h, s, lo, hi, own, d))
-        new = _firsts(h, s)
-        if len(h):
-            own = np.maximum.reduceat(own, np.flatnonzero(new))[np.cumsum(new) - 1]
-        yield pd.DataFrame({"k": np.where(new, h, d), "s": np.where(new, s, 0), "doc_id": d, "lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "own": np.where(new, own, 2).astype(np.int32)})
+        k, s, lo, hi = (np.concatenate([g[i] for g in got]) if got else np.zeros(0, np.int64) for i in range(4))
+        o = np.lexsort((lo, d, s, k))
+        new = np.zeros(len(k), dtype=bool)
+        new[o] = _firsts(k[o], s[o])
+        o = np.flatnonzero(~new)
+        o = o[np.lexsort((lo[o], d[o]))]
+        start = np.ones(len(o), dtype=bool)
+        start[1:] = (d[o][1:] != d[o][:-1]) | (lo[o][1:] > hi[o][:-1])
+        one, end = o[start], o[np.append(start[1:], True)[:len(o)]]
+        cols = {"k": (k[new], d[one]), "s": (s[new], 0 * one), "doc_id": (d[new], d[one]), "lo": (lo[new], lo[one]), "hi": (hi[new], -hi[end] - WINDOW + 1)}
+        yield pd.DataFrame({c: np.concatenate(v).astype(np.int32 if c in ("lo", "hi") else np.int64) for c, v in cols.items()})
 
 
 def _scan(it):
     """One pass over suffixes sorted by k, s, doc_id, lo: later equal runs are spans, and the first runs of each class are
-    representatives where a gram has several classes. Only a gram's first run waits between batches."""
-    last, wait = None, None   # (k, s) of the row before; the first run of its gram while that has one class
+    representatives where a key has several classes. Only a key's first run waits between batches."""
+    last, wait = None, None   # (k, s) of the row before; the first run of its key while that has one class
     for pdf in it:
-        done = pdf[pdf["own"] == 2]
-        out = [done.assign(rep=False, hi=done["hi"] + WINDOW - 1)] if len(done) else []
-        pdf = pdf[pdf["own"] != 2].reset_index(drop=True)
+        done = pdf[pdf["hi"] < 0]
+        out = [done.assign(rep=False, hi=-done["hi"])] if len(done) else []
+        pdf = pdf[pdf["hi"] >= 0].reset_index(drop=True)
         if len(pdf):
-            k, s, own = (pdf[c].to_numpy() for c in ("k", "s", "own"))
-            gram, cls = _firsts(k), _firsts(k, s)
+            k, s = pdf["k"].to_numpy(), pdf["s"].to_numpy()
+            first, cls = _firsts(k), _firsts(k, s)
             on = last is not None and last[0] == k[0]
             cls[0] = not on or last[1] != s[0]
-            group = np.cumsum(gram) - 1
-            extra = cls & ~gram
+            group = np.cumsum(first) - 1
+            extra = cls & ~first
             extra[0] = on and cls[0]
-            mixed = np.bincount(group, extra | (own > 0)) > 0
+            mixed = np.bincount(group, extra) > 0
             if on and mixed[0] and wait is not None:
                 out.append(wait)
                 wait = None
-            rep = cls & (mixed[group] | extra)
+            rep = cls & mixed[group]
             same = pdf[~cls]
             out += [same.assign(rep=False, hi=same["hi"] + WINDOW - 1), pdf[rep].assign(rep=True)]
-            if not (on and gram.sum() == 1):
-                wait = None if mixed[-1] else pdf.iloc[[np.flatnonzero(gram)[-1]]].assign(rep=True)
+            if not (on and first.sum() == 1):
+                wait = None if mixed[-1] else pdf.iloc[[np.flatnonzero(first)[-1]]].assign(rep=True)
             last = (k[-1], s[-1])
         if out:
             yield pd.concat(out)[["doc_id", "lo", "hi", "rep"]]
