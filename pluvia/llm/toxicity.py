@@ -151,11 +151,27 @@ def _platt(s: np.ndarray, y: np.ndarray) -> np.ndarray:
     return a
 
 
+def _weighted(model: dict) -> tuple[dict, np.ndarray]:
+    """The worker's memory of words with the features that have a weight in this model, and which have one."""
+    if _STATE.get("w") is not model["w"]:
+        _STATE.update(w=model["w"], used=(model["w"] != 0).any(axis=0), live={})
+    if len(_STATE["live"]) > CACHE:
+        _STATE["live"].clear()
+    return _STATE["live"], _STATE["used"]
+
+
 def log_odds(text: str | None, model: dict, strongest: int = 3) -> np.ndarray:
-    f = features(text, model["lm"])
-    w = model["w"][:, f]
-    top = np.sort(w, axis=1)[:, -strongest:].sum(axis=1) if len(f) else np.zeros(len(w))
-    return model["fit"][:, 0] * top + model["fit"][:, 1]
+    """Features without weight add nothing, so they are left out."""
+    lm, (live, used), out = model["lm"], _weighted(model), set()
+    known = _words(lm)
+    for w in set(_split(text, lm)):
+        got = live.get(w)
+        if got is None:
+            got = live[w] = tuple(k for k in _look(w, known, lm)[1] if used[k])
+        if got:
+            out.update(got)
+    w = model["w"][:, list(out)] if out else np.zeros((len(model["w"]), 1), np.float32)
+    return model["fit"][:, 0] * np.sort(w, axis=1)[:, -strongest:].sum(axis=1) + model["fit"][:, 1]
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
