@@ -2,6 +2,8 @@
 
 Domains come from the labelled table: 0 sound, 1 low quality, 2 toxic. Empty texts have no tokens and rate 1; an empty
 table gives an empty result."""
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +13,8 @@ from . import toxicity
 from .common import cut
 
 TARGETS = (0.93, 0.05, 0.02)
+TOL, STEPS = 1e-6, 60            # largest residual of a domain's share of all tokens; Newton steps of each tie-breaker
+EASE = (1e-3, 1e-6, 1e-9)        # weights of the tie-breaker
 
 
 def posteriors(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -25,18 +29,56 @@ def posteriors(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", "text").mapInPandas(run, "doc_id long, source string, tokens long, p array<double>")
 
 
-def rates(docs: DataFrame, labels: DataFrame, targets=TARGETS, steps: int = 25, pull: float = 0.05) -> DataFrame:
-    """Projected gradient on |A r - t|^2 / total^2 + pull |r - 1|^2 (token-weighted): one aggregate of K sums a step; a document's rate depends
-    on the sums so far alone, so each step computes it anew from the history and nothing is collected but the sums."""
-    post = cut(posteriors(docs, labels))
-    K = len(targets)
+def solve(post: DataFrame, targets=TARGETS) -> tuple[np.ndarray, float, bool]:
+    """(x, residual, infeasible) for post (tokens, p): the rates max(0, 1 - p.x) are those of least token-weighted change from
+    1 whose domain totals over all tokens are the targets. Newton steps on the concave dual, of which each takes one aggregate of
+    K sums and the K x K curvature; a tie-breaker falls in turn until the largest residual is at most TOL. Where targets
+    can't be met, m is nearest to them: no rates of total 1 reach a lower (m - t).A r than its least value over the texts, so
+    targets below that are proved infeasible."""
+    t, K = np.array(targets, dtype=float), len(targets)
     total = post.agg(F.sum("tokens")).first()[0] or 0
-    grads: list[np.ndarray] = []
-    def rate():
-        r = F.lit(1.0)
-        return F.aggregate(F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in grads]), r, lambda a, g: F.greatest(F.lit(0.0), a - F.aggregate(F.zip_with(g, "p", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v) - F.lit(pull) * (a - 1))) if grads else r
-    for _ in range(steps if total else 0):
-        got = post.withColumn("r", rate()).agg(*[F.sum(F.col("r") * F.col("tokens") * F.col("p")[k]).alias(f"m{k}") for k in range(K)]).first()
-        m = np.array(got, dtype=float) / total
-        grads.append(0.8 * (m - np.array(targets)))
-    return post.withColumn("rate", rate())
+    x, far, proved = np.zeros(K), 0.0, False
+    if not total:
+        return x, far, proved
+    w = F.col("tokens") / F.lit(float(total))
+    dot = lambda v: reduce(lambda a, b: a + b, [F.col("p")[k] * F.lit(float(v[k])) for k in range(K)])
+    def at(v):
+        df = post.select("p", w.alias("w"), F.greatest(F.lit(0.0), 1 - dot(v)).alias("r"))
+        live = F.when(F.col("r") > 0, F.col("w")).otherwise(0.0)
+        got = df.agg(*[F.sum(F.col("w") * F.col("r") * F.col("p")[k]) for k in range(K)], F.sum(F.col("w") * F.col("r") * F.col("r")),
+                     *[F.sum(live * F.col("p")[i] * F.col("p")[j]) for i in range(K) for j in range(K)]).first()
+        return np.array(got[:K]), got[K], np.array(got[K + 1:]).reshape(K, K)
+    now = at(x)
+    for ease in EASE:
+        value = lambda v, s: -s[1] / 2 - t @ v - ease * v @ v / 2
+        for _ in range(STEPS):
+            g = now[0] - t - ease * x
+            if np.abs(g).max() <= TOL / 10:
+                break
+            d, step = np.linalg.solve(now[2] + ease * np.eye(K), g), 1.0
+            new = at(x + d)
+            while value(x + step * d, new) < value(x, now) + 1e-4 * step * (g @ d) - 1e-12 and step > 1e-4:
+                step /= 2
+                new = at(x + step * d)
+            x, now = x + step * d, new
+        far = float(np.abs(now[0] - t).max())
+        if far <= TOL:
+            break
+        y = now[0] - t
+        proved = bool(t @ y < post.where("tokens > 0").agg(F.min(dot(y))).first()[0] - 1e-12)
+        if proved and np.abs(ease * x - y).max() <= TOL and ease <= EASE[-2]:
+            break
+    return x, far, proved
+
+
+def rates(docs: DataFrame, labels: DataFrame, targets=TARGETS) -> DataFrame:
+    """doc_id, source, tokens, p, rate, and in every row the largest difference of a domain's share from its target and
+    whether the targets are proved out of reach."""
+    post = cut(posteriors(docs, labels))
+    return rated(post, *solve(post, targets))
+
+
+def rated(post: DataFrame, x: np.ndarray, residual: float, infeasible: bool) -> DataFrame:
+    moved = reduce(lambda a, b: a + b, [F.col("p")[k] * F.lit(float(v)) for k, v in enumerate(x)])
+    rate = F.when(F.col("tokens") > 0, F.greatest(F.lit(0.0), 1 - moved)).otherwise(1.0)
+    return post.withColumn("rate", rate).withColumn("residual", F.lit(residual)).withColumn("infeasible", F.lit(infeasible))
