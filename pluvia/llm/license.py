@@ -2,6 +2,8 @@
 
 Null texts are empty; each row has its own result; extra columns are not read. Rules are (family x form), ordered; a
 detection inside another of at least its priority is suppressed."""
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +28,8 @@ FORMS = [("notice", 4, r"(?:licensed|released|distributed|available) under (?:th
          ("tag", 4, r"spdx license identifier {}" + VER), ("clause", 3, r"this work is licensed under (?:the )?{}(?: licen[sc]e)?" + VER),
          ("named", 2, r"{} licen[sc]e(?: version)?" + VER), ("version", 1, r"{} (?:version |v)[0-9]+(?: [0-9]+)?")]
 RULES = [(label, key, prio, form.format(name)) for form_name, prio, form in FORMS for label, key, name in FAMILIES]
-GATE = ["licen", "reserved", "cc by", "general public", "copyright", "cc-by", "spdx", "cc"]
+#: what every alternative of a family's name holds, in the space-joined words; others start with the family's keyword
+KEYS = {"gpl": ["gpl"], "ofl": [" open font", " ofl"]}
 _DETS = "cast(array() as array<struct<s:int,e:int,p:int,label:string>>)"
 
 
@@ -43,19 +46,30 @@ def _spans(norm: Column, label: str, prio: int, words: str) -> Column:
     return F.aggregate(zipped, init, step, lambda acc: acc["out"])
 
 
-def detect(docs: DataFrame) -> DataFrame:
-    """doc_id, base columns, the kept detections and the score."""
+def _keys(label: str, key: str) -> list[str]:
+    return KEYS.get(label, [f" {key}"])
+
+
+def _gate(low: Column) -> Column:
+    """Lower-cased texts that may hold a detection: the words of a base phrase, or those of a family's key and what every
+    alternative of some form holds."""
+    some = lambda cs: reduce(lambda a, b: a | b, cs)
+    held = lambda key: reduce(lambda a, b: a & b, [low.contains(w) for w in key.split()])
+    form = some([low.contains(w) for w in ("licen", "spdx", "under", "version")]) | low.rlike("v[0-9]")
+    return some([held(p) for p in BASE.values()]) | (form & some([held(k) for label, key, _ in FAMILIES for k in _keys(label, key)]))
+
+
+def detect(docs: DataFrame, gated: bool = True) -> DataFrame:
+    """doc_id, base columns, the kept detections and the score; without gates every rule is tried on every text."""
     t = F.coalesce(F.col("text"), F.lit(""))
-    low = F.lower(t)
-    gate = F.lit(False)
-    for g in GATE:
-        gate = gate | low.contains(g)
+    gate = _gate(F.lower(t)) if gated else F.lit(True)
+    opens = lambda keys: reduce(lambda a, b: a | b, [F.col("_n").contains(k) for k in keys]) if gated else F.lit(True)
     norm = F.concat(F.lit(" "), F.translate(F.regexp_replace(t, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(" "))
     df = docs.select("doc_id", F.size(F.regexp_extract_all(t, F.lit(WORD), F.lit(0))).cast("long").alias("n_words"), F.when(gate, F.regexp_replace(norm, " +", " ")).alias("_n"))
     n = F.col("_n")
-    base = [F.when(n.contains(f" {p} "), _spans(n, k, 5, p)).otherwise(F.expr(_DETS)) for k, p in BASE.items()]
+    base = [F.when(opens([f" {p} "]), _spans(n, k, 5, p)).otherwise(F.expr(_DETS)) for k, p in BASE.items()]
     df = df.withColumn("_base", F.concat(*base))
-    rules = [F.when(n.contains(f" {key}"), F.concat(*[_spans(n, label, prio, pat) for la, ke, prio, pat in RULES if (la, ke) == (label, key)])).otherwise(F.expr(_DETS)) for label, key, _ in FAMILIES]
+    rules = [F.when(opens(_keys(label, key)), F.concat(*[_spans(n, label, prio, pat) for la, ke, prio, pat in RULES if (la, ke) == (label, key)])).otherwise(F.expr(_DETS)) for label, key, _ in FAMILIES]
     df = df.withColumn("_rules", F.concat(*rules))
     order = F.array_sort("_rules", lambda a, b: F.when(a["s"] < b["s"], -1).when(a["s"] > b["s"], 1).when(a["e"] != b["e"], b["e"] - a["e"]).otherwise(b["p"] - a["p"]))
     init = F.struct(F.array(*[F.lit(-1)] * 5).alias("m"), F.expr(_DETS).alias("out"))

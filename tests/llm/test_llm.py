@@ -101,3 +101,13 @@ def test_lm_shares(spark):
     r = {x.doc_id: x for x in lm.scores(d).collect()}
     assert r[99].score / r[99].n_tokens < r[0].score / r[0].n_tokens
     assert lm.scores(d.where("false")).count() == 0
+
+
+def test_license_gates(spark):
+    texts = ["licensed under the LGPL license", "AGPL version 3", "SIL Open Font License", "Released under the GPL v3", "available under the terms of the MIT", "Mozilla Public version 2",
+             "SPDX-License-Identifier: Apache-2.0", "GNU General-Public licence v2", "cc0 v1", "OFL v1", "limits under way", "Open Database License", "CC\nBY-SA 4.0", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(map(str, license.detect(d).collect()))
+    assert got == sorted(map(str, license.detect(d, gated=False).collect()))
+    labels = {r.doc_id: r.labels for r in license.report(d).collect()}
+    assert [labels[i] for i in range(6)] == ["gpl", "gpl", "ofl", "gpl", "mit", "mpl"]
