@@ -1,7 +1,7 @@
 """Personal data in texts, by DataFrame functions only.
 
 Null texts are empty. Base spans per kind are leftmost and non-overlapping; the possessive forms below match what the
-plain patterns match without their backtracking. Added spans are secrets: two loose generators propose overlapping
+plain patterns match without their backtracking. Added spans are secrets: two loose generators and one of issued formats propose overlapping
 candidates, boosted trees over format and context features score them, and a threshold calibrated for precision
 selects; of overlapping selected spans the leftmost longest stays. Without candidates nothing is added. Repeated rows
 keep their own result; an empty table gives an empty result; extra columns stay as they are in `redact`."""
@@ -18,12 +18,13 @@ KINDS = {
     "card": r"[0-9](?:[ -]?+[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-GENERATORS = {  # fixed values: a named assignment, and any run of key signs
-    "assigned": r"(?<![A-Za-z0-9_])[A-Za-z_]{2,24}+ ?[=:] ?[\x22\x27]?[A-Za-z0-9+/_-]{8,128}+[\x22\x27]?",
-    "run": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,128}+(?![A-Za-z0-9+/_-])",
+PREFIXES = "AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abp]-[0-9A-Za-z-]{10,}"  # fixed value: formats of issued keys
+GENERATORS = {  # fixed values: a named assignment, any run of key signs, and an issued key within letters' and digits' bounds
+    "assigned": r"(?<![A-Za-z0-9_])[A-Za-z_]{2,24}+ ?[=:] ?[\x22\x27]?[A-Za-z0-9+/_-]{8,}+[\x22\x27]?",
+    "run": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+",
+    "issued": rf"(?<![A-Za-z0-9])(?:{PREFIXES})(?![A-Za-z0-9])",
 }
 NAMES = "token|passw(?:or)?d|secret|api_?key|access_?key|auth"  # fixed value: names that mark a training candidate as positive
-PREFIXES = "AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abp]-[0-9A-Za-z-]{10,}"  # fixed value: formats of issued keys
 PRECISION = 0.9
 ALL = [*KINDS, "secret"]
 
@@ -71,10 +72,10 @@ def _checked(kind: str):
     return lambda s: valid(kind, s["value"])
 
 
-def candidates(text: Column) -> Column:
-    """Overlapping candidates of both generators."""
-    gates = {"assigned": text.rlike("[=:]"), "run": text.rlike("[A-Za-z0-9+/_-]{16}")}
-    return F.concat(*[F.when(gates[g], spans(text, "secret", pat)).otherwise(F.expr(_EMPTY)) for g, pat in GENERATORS.items()])
+def candidates(text: Column, generators: tuple = tuple(GENERATORS)) -> Column:
+    """Overlapping candidates of the generators."""
+    gates = {"assigned": text.rlike("[=:]"), "run": text.rlike("[A-Za-z0-9+/_-]{16}"), "issued": text.rlike("AKIA|gh[pousr]_|xox[abp]-")}
+    return F.concat(*[F.when(gates[g], spans(text, "secret", GENERATORS[g])).otherwise(F.expr(_EMPTY)) for g in generators])
 
 
 FEATURES = ["length", "digits", "uppers", "classes", "quoted", "assigned", "hex", "named", "prefix"]
@@ -94,10 +95,10 @@ def features(value: Column) -> list[Column]:
 
 
 def fit_boost(docs: DataFrame, rounds: int = 20) -> dict:
-    """Trees over all candidates of docs, counted by feature row (bounded by the features' few values). A candidate is
+    """Trees over all loose candidates of docs (issued keys lie in these and are selected anyway), counted by feature row (bounded by the features' few values). A candidate is
     positive when a secret's name or an issued format marks it and its body has digits and letters; the threshold is
     the lowest score whose selected candidates are positive at PRECISION."""
-    c = docs.select(F.explode(candidates(F.coalesce(F.col("text"), F.lit("")))).alias("s")).select(*features(F.col("s.value")))
+    c = docs.select(F.explode(candidates(F.coalesce(F.col("text"), F.lit("")), ("assigned", "run"))).alias("s")).select(*features(F.col("s.value")))
     rows = c.groupBy(*FEATURES).agg(F.count("*").alias("n")).collect()
     x = np.array([[float(r[k]) for k in FEATURES] for r in rows]).reshape(-1, len(FEATURES))
     n = np.array([float(r["n"]) for r in rows])
