@@ -16,7 +16,7 @@ from .simhash import _LOWER
 
 N, LEAST = 5, 0.8
 BANDS, ROWS = 20, 5   # a pair at LEAST shares a band with probability 1 - (1 - 0.8 ** 5) ** 20 = 0.9996
-STARS, DENSE = 4, 20  # star rounds at most, and open pairs a text over which another one is run before all are compared
+STARS, DENSE = 4, 1   # star rounds at most, and open pairs a text over which another one is run before all are compared
 _MUL = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -84,7 +84,7 @@ def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     shared = b.groupBy("band", "h").agg(F.count("*").alias("c")).where("c > 1").drop("c")
     b, texts_n = cut(b.join(shared, ["band", "h"])), sets.count()
     label = cut(b.select(F.col("rid").alias("node")).distinct().withColumn("root", F.col("node")))
-    edges = tried = None
+    tried = None
     near = f"least(na, nb) >= {LEAST} * greatest(na, nb)"
     for step in range(STARS + 1):
         m = b.join(label, b.rid == label.node).select("band", "h", "rid", "n", "root")
@@ -106,10 +106,9 @@ def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         found = verify(pairs, texts)
         tried = pairs if tried is None else tried.union(pairs)
-        edges = found if edges is None else edges.union(found)
+        got = components(label.where("node <> root").selectExpr("node AS a", "root AS b").union(found))
         if last:
-            return components(edges)
-        got = components(edges)
+            return got
         label = cut(label.select("node").join(got, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
     return label
 
