@@ -1,15 +1,36 @@
 """Shared helpers of the training-data operators."""
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet")
 
 
+def map_texts(df: DataFrame, compute: Callable, added: str, column: str = "text", keep: bool = False) -> DataFrame:
+    """The columns of df, `column` only with keep, and those that compute(list of values) gives for each row, in the
+    order of `added`, which replace columns of the same name. Other columns pass as Arrow arrays, so that a large id
+    beside a null stays whole."""
+    new = StructType.fromDDL(added)
+    kept = [f for f in df.schema if (keep or f.name != column) and f.name not in new.names]
+    kinds = [to_arrow_type(f.dataType) for f in new]
+    names = [f.name for f in kept] + new.names
+
+    def run(it):
+        for b in it:
+            got = compute(b.column(column).to_pylist())
+            own = [pa.array(v, type=t) for v, t in zip(got, kinds)]
+            yield pa.RecordBatch.from_arrays([b.column(f.name) for f in kept] + own, names)
+    return df.mapInArrow(run, StructType(kept + list(new)))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the session's shared folder; a folder is set only where none is."""
     sc = df.sparkSession.sparkContext

@@ -1,6 +1,10 @@
 """Token counts by a broadcast table of frequent pieces and worker caches; nothing is shuffled but the bounded table.
 
-Null and empty texts count 0; repeated rows keep their own result; extra columns are not read."""
+A piece that the caches miss and that is letters with closing punctuation goes to the vocabulary's merges directly, any
+other one through the whole tokenizer. Null and empty texts count 0; special strings in a text count as the library
+counts them; repeated rows keep their own result; an empty table gives an empty result; texts may be of any length;
+extra columns are not read."""
+import re
 from collections import Counter
 
 import numpy as np
@@ -8,9 +12,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_texts
+
 FREQUENT = 65_536   # rows of the broadcast table, at most
 HEAVY = 4_096       # candidates each input partition proposes
 CACHE = 400_000     # pieces a worker remembers before it starts again
+LONG = 256          # bytes of a piece over which it is encoded again rather than remembered
+#: letters that lower case and composition leave single, then punctuation that starts neither a contraction nor a special string
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?)]*)")
 _STATE: dict = {}
 
 
@@ -19,11 +28,47 @@ def pieces(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8").split()
 
 
-def _encoder(path: str):
-    if path not in _STATE:
-        from tokenizers import Tokenizer
-        _STATE[path] = (Tokenizer.from_file(path), {})
-    return _STATE[path]
+def _byte_signs() -> dict[int, int]:
+    """The sign that stands for each byte in a byte-level vocabulary: printable ones stand for themselves, the others
+    follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: b if b in own else 256 + sum(c not in own for c in range(b)) for b in range(256)}
+
+
+class Sizes(dict):
+    """Tokens of a piece; a missing one is encoded and remembered."""
+
+    def __init__(self, path: str, known: dict | None = None):
+        from tokenizers import Tokenizer, models
+        super().__init__(known or {})
+        self.tok, self.known = Tokenizer.from_file(path), known or {}
+        self.signs = _byte_signs() if isinstance(self.tok.model, models.BPE) and _plain_letters(self.tok) else None
+
+    def __missing__(self, piece: bytes) -> int:
+        text = piece.decode("utf-8")
+        m = _PLAIN.fullmatch(text) if self.signs else None
+        if m is None:
+            n = len(self.tok.encode(text, add_special_tokens=False).ids)
+        else:
+            letters = m[1].lower().encode("utf-8").decode("latin-1").translate(self.signs)
+            n = len(self.tok.model.tokenize(letters)) + (self[m[2].encode()] if m[2] else 0)
+        if len(piece) <= LONG:
+            self[piece] = n
+        return n
+
+    def total(self, ps: list[bytes]) -> int:
+        n = sum(map(self.__getitem__, ps))
+        if len(self) > CACHE + len(self.known):
+            self.clear()
+            self.update(self.known)
+        return n
+
+
+def _plain_letters(tok) -> bool:
+    """Whether this vocabulary lower-cases letters, takes a run of them as one pre-token and parts it from punctuation."""
+    probe = "QuÉüz"
+    parts = [p for p, _ in tok.pre_tokenizer.pre_tokenize_str(tok.normalizer.normalize_str(probe + "?!)"))] if tok.normalizer and tok.pre_tokenizer else []
+    return parts == [probe.lower().encode().decode("latin-1").translate(_byte_signs()), "?!)"]
 
 
 def frequent(docs: DataFrame) -> DataFrame:
@@ -43,26 +88,12 @@ def frequent(docs: DataFrame) -> DataFrame:
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     rows = [bytes(r.piece) for r in frequent(docs).select("piece").collect()]  # FREQUENT rows of 64 bytes at most
-    tok, _ = _encoder(path)
-    sizes = [len(e.ids) for e in tok.encode_batch([p.decode() for p in rows], add_special_tokens=False)] if rows else []
-    table = docs.sparkSession.sparkContext.broadcast(dict(zip(rows, sizes)))
+    sizes = Sizes(path)
+    table = docs.sparkSession.sparkContext.broadcast({p: sizes[p] for p in rows})
 
-    def count(it):
-        tok, cache = _encoder(path)
-        known = table.value
-        for pdf in it:
-            out, sizes = [], []
-            for t in pdf["text"]:
-                ps = pieces(t)
-                miss = [p for p in set(ps) if p not in known and p not in cache]
-                for k in range(0, len(miss), 2048):
-                    part = miss[k:k + 2048]
-                    for p, e in zip(part, tok.encode_batch([p.decode() for p in part], add_special_tokens=False)):
-                        cache[p] = len(e.ids)
-                out.append(sum([known[p] if p in known else cache[p] for p in ps]))
-                sizes.append(len((t or "").encode("utf-8")))
-                if len(cache) > CACHE:
-                    cache.clear()
-            n = np.array(out, dtype=np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": np.array(sizes, dtype=np.int64), "n_tokens": n, "over_limit": n > limit})
-    return docs.select("doc_id", "text").mapInPandas(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    def count(texts):
+        if _STATE.get("of") is not table.value:
+            _STATE.update(of=table.value, sizes=Sizes(path, table.value))
+        n = np.array([_STATE["sizes"].total(pieces(t)) for t in texts], dtype=np.int64)
+        return [len((t or "").encode("utf-8")) for t in texts], n, n > limit
+    return map_texts(docs.select("doc_id", "text"), count, "n_bytes long, n_tokens long, over_limit boolean")
