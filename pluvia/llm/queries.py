@@ -22,7 +22,7 @@ Q = {
     "op4_decontaminate": lambda s, d: decontaminate.pairs(documents(s, d), benchmark(s, d)),
     "op5_substrings": lambda s, d: substrings.dedup(documents(s, d)),
     "op6_quality": lambda s, d: quality.score(documents(s, d), quality.fit(documents(s, d), labels(s, d))),
-    "op7_mixing": lambda s, d: mixing.rates(documents(s, d), labels(s, d)),
+    "op7_mixing": lambda s, d: mixing.rates(documents(s, d).select("doc_id", "source", "text"), labels(s, d)),
     "op8_lm_score": lambda s, d: lm.scores(documents(s, d)),
     "op9_pii": lambda s, d: pii.report(documents(s, d)),
     "op10_token_counts": lambda s, d: tokens.token_counts(documents(s, d), public_tokenizers.path("word_bpe_49k.json")),

@@ -136,11 +136,11 @@ def fit(docs: DataFrame, labelled: DataFrame, classes: int, lm: np.ndarray, samp
             yield pd.DataFrame({"y": pdf["y"], "s": [log_odds(t, b.value) for t in pdf["text"]]})
     seen = rows.mapInPandas(measure, "y int, s array<double>").toPandas()  # `sample` rows at most
     x, y = np.array(seen["s"].tolist(), dtype=np.float64).reshape(-1, classes), seen["y"].to_numpy()
-    model["fit"] = np.array([_platt(x[:, k], (y == k).astype(float)) for k in range(classes)])
+    model["fit"] = np.array([platt(x[:, k], (y == k).astype(float)) for k in range(classes)])
     return model
 
 
-def _platt(s: np.ndarray, y: np.ndarray) -> np.ndarray:
+def platt(s: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Slope and offset of a ridge logistic fit; a single class gives slope 1."""
     a = np.array([1.0, np.log((y.sum() + 1) / (len(y) - y.sum() + 1))])
     x = np.column_stack([s, np.ones(len(s))])
