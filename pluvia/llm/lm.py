@@ -1,188 +1,376 @@
-"""Scores of texts: smoothed word counts and online logistic context mixing.
+"""Scores of texts: smoothed word counts, and online logistic context mixing of bit predictors.
 
-A token's probability is share * its leave-one-out frequency + (1 - share) * the mixed spelling model; the share is
-fitted by expectation maximisation over all training counts. Spelling tables count distinct training tokens.
+The mixing model codes a text's tokens one after another. A token is coded by its own symbol, if it is very frequent, or
+by the class of its last two bytes. The bits of a symbol's Huffman code are predicted from the symbol before and from the
+last very frequent token. A token of a class then has its share of it: its discounted training count, and for what the
+discounts leave the mixed spelling model, which codes the bytes before the last two, backwards, in the same way.
+
+Counts come from all training tokens. The mixing weights are refined over all of them, each block predicted by what its
+partition has seen before it, and averaged over the partitions; within a text they go on adapting from block to block.
+Spelling is learned from distinct tokens, as it stands for those that are not known yet. Tables grow with the corpus up
+to TABLE_BITS and SPELL_BITS; tokens of all kinds are counted without a bound.
+
+Null and empty texts have the end token only; repeated rows keep their own result; a null doc_id is held out; without
+training tokens all scores are those of an empty model; an empty table gives an empty result; other columns are not read.
+Tokens and texts of any length are coded in blocks."""
+from collections import Counter
 
-Null and empty texts have the end token only; repeated rows keep their own result; a null doc_id is held out; an
-empty table gives an empty result. The mixing model codes each token byte by byte with an end sign, so a text's log10 probability is the sum over
-its tokens; distinct tokens are coded once."""
 import numpy as np
 import pandas as pd
-import xxhash
-from collections import Counter
-from itertools import repeat
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, written
+from .coder import Code, Learner, Model, add_up, finished, mixed
+from .common import written
 
-BITS = 19
-SLOTS = 1 << BITS    # hashed contexts of each predictor
-ORDERS = (0, 1, 2, 3, 99)   # bytes of context before the coded byte; the last is the whole beginning
-TUNE = 20_000        # training tokens the mixing weights are refined on, at most
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-GATES = 64
-END = b"\n"
-FREQUENT = 131_072   # rows of the broadcast table, at most
+FREQUENT, LONGEST = 65_536, 256   # tokens in the broadcast table, at most, and their bytes
+OWN, CLASSES = 2_048, 512         # tokens with a symbol of their own, classes of last bytes
+TABLE_BITS, SPELL_BITS = 21, 20   # slots of a predictor's table, as powers of two, at most
+COMMON = 64                       # most frequent tokens, which show what kind of text it is
+BLOCK = 32                        # tokens of a text after which its weights move
 HELD = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 10 = 0, true)"   # a null doc_id is held out
+END = b"\n"
+_LOW = np.arange(256, dtype=np.uint8)
+_LOW[65:91] += 32
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_M = 0x9E3779B97F4A7C15
+_POWERS: dict = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _M and of its inverse, to the next power of two."""
+    size = 1 << max(n, 1 << 16).bit_length()
+    if size not in _POWERS:
+        up = lambda m: np.concatenate(([np.uint64(1)], np.cumprod(np.full(size - 1, m, dtype=np.uint64))))
+        _POWERS.clear()
+        _POWERS[size] = up(_M), up(pow(_M, -1, 1 << 64))
+    return _POWERS[size]
+
+
+def _final(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(32))
+    return (h ^ (h >> np.uint64(15))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def read(texts: list) -> tuple:
+    """Lower-cased bytes of all texts; start, end, text and hash of each word."""
+    bs = [(t or "").encode("utf-8") for t in texts]
+    b = _LOW[np.frombuffer(b" ".join(bs), dtype=np.uint8)]
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], ~_SPACE[b], [False]))))
+    start, end = edge[0::2], edge[1::2]
+    up, down = _powers(len(b))
+    s = np.concatenate(([np.uint64(0)], np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[:len(b)])))
+    ends = np.cumsum(np.fromiter(map(len, bs), dtype=np.int64, count=len(bs)) + 1)
+    return b, start, end, np.searchsorted(ends, start, side="right"), _final((s[end] - s[start]) * down[start])
+
 
+def hashed(tokens: list[bytes]) -> np.ndarray:
+    """The hashes that read gives these words."""
+    size = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
+    b = np.frombuffer(b"".join(tokens), dtype=np.uint8).astype(np.uint64) + np.uint64(1)
+    start = np.cumsum(size) - size
+    h = np.zeros(len(tokens), dtype=np.uint64)
+    at = np.arange(len(b)) - np.repeat(start, size)
+    np.add.at(h, np.repeat(np.arange(len(tokens)), size), b * _powers(int(size.max(initial=1)))[0][at])
+    return _final(h)
 
-def _words(t):
-    return [*(t or "").encode("utf-8").translate(_LOWER).split(), END]
 
+def suffixes(last: np.ndarray, second: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A number for the last two bytes, or the only one."""
+    return np.where(size > 1, last.astype(np.int64) * 256 + second, 65536 + last.astype(np.int64))
 
-def _counts(it, rows=200_000):
+
+def _suffix(tokens: list[bytes]) -> np.ndarray:
+    get = lambda k: np.fromiter((t[-k] if len(t) >= k else 0 for t in tokens), dtype=np.int64, count=len(tokens))
+    return suffixes(get(1), get(2), np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)))
+
+
+def _counts(it, rows=300_000):
     """token, c: training occurrences, summed before the shuffle; tokens of held-out texts count 0."""
-    c, other = Counter(), set()
+    held: list = []
+
+    def flush():
+        h, c, t = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        _, first, at = np.unique(h, return_index=True, return_inverse=True)
+        return pd.DataFrame({"token": t[first], "c": np.bincount(at, c).astype(np.int64)})
     for pdf in it:
-        for t, train in zip(pdf["text"], pdf["train"]):
-            if train:
-                c.update(_words(t))
-            else:
-                other.update(_words(t))
-            if len(c) + len(other) >= rows:
-                yield _frame(c, other)
-                c, other = Counter(), set()
-    yield _frame(c, other)
-
-
-def _frame(c, other):
-    other = other - c.keys()
-    return pd.DataFrame({"token": [*c, *other], "c": np.array([*c.values(), *[0] * len(other)], dtype=np.int64)})
-
-
-def bits(tokens: list[bytes]):
-    """For each coded bit: token index, bit, slot in each predictor."""
-    arr = [t + b" " for t in tokens]
-    size = np.array([len(t) for t in arr])
-    b = np.frombuffer(b"".join(arr), dtype=np.uint8).astype(np.uint64)
-    start = np.repeat(np.cumsum(size) - size, size)
-    at = np.arange(len(b))
-    who = np.repeat(np.arange(len(arr)), size)
-    ctx = []
-    for o in ORDERS[:-1]:
-        h = np.full(len(b), o + 1, dtype=np.uint64)
-        for k in range(1, o + 1):
-            prev = np.where(at - k >= start, b[np.maximum(at - k, 0)], 0)
-            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + prev + np.uint64(1)
-        ctx.append(h)
-    pre = np.fromiter((xxhash.xxh64_intdigest(t[:k]) for t in arr for k in range(len(t))), dtype=np.uint64, count=len(b))
-    ctx.append(pre)
-    node, out, bit = np.ones(len(b), dtype=np.uint64), [], []
-    for k in range(7, -1, -1):
-        y = (b >> np.uint64(k)) & np.uint64(1)
-        out.append(np.stack([(((c ^ (node * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)).astype(np.int64) for c in ctx]))
-        bit.append(y.astype(np.float64))
-        node = node * np.uint64(2) + y
-    return np.tile(who, 8), np.concatenate(bit), np.concatenate(out, axis=1)
-
-
-def _predict(slots, table, bit=None):
-    """Log odds and gate of each bit; with `bit`, the token's own count is left out of the tables."""
-    n0, n1 = (np.stack([table[i, k][slots[k]] for k in range(len(ORDERS))]) for i in (0, 1))
-    if bit is not None:
-        n0, n1 = np.maximum(n0 - (bit == 0), 0), np.maximum(n1 - (bit == 1), 0)
-    st = np.log((n1 + 0.05) / (n0 + 0.05)).clip(-12, 12)
-    deep = lambda k: (np.log2(1 + n0[k] + n1[k]) / 2).astype(np.int64).clip(0, 3)
-    return st, deep(-1) * 16 + deep(-2) * 4 + deep(-3)  # weights are chosen by how often the long contexts were seen
-
-
-def tune(tokens, table, rate=0.03, block=256):
-    """One online pass: each block of tokens is predicted without its own counts, then moves its gates' weights."""
-    w = np.full((GATES, len(ORDERS)), 0.25)
-    for at in range(0, len(tokens), 512):
-        _, bit, slots = bits(tokens[at:at + 512])
-        st, gate = _predict(slots, table, bit)
-        order = np.random.default_rng(at).permutation(len(bit))
-        for k in range(0, len(order), block):
-            i = order[k:k + block]
-            z = np.einsum("ki,ik->i", st[:, i], w[gate[i]]).clip(-30, 30)
-            step = st[:, i] * (bit[i] - 1 / (1 + np.exp(-z)))
-            seen = np.bincount(gate[i], minlength=GATES)
-            move = np.stack([np.bincount(gate[i], x, GATES) for x in step], axis=1)
-            w += rate * move / np.maximum(seen, 1)[:, None]
-    return w
-
-
-def code(tokens, table, w, seen):
-    """log10 probability of each token's spelling; `seen` marks tokens that the tables count, which are left out."""
-    who, bit, slots = bits(tokens)
-    st, gate = _predict(slots, table, np.where(seen[who], bit, -1))
-    z = np.einsum("ki,ik->i", st, w[gate]).clip(-30, 30)
-    return np.bincount(who, -np.logaddexp(0, np.where(bit > 0, -z, z)) / np.log(10), minlength=len(tokens))
-
-
-def share(lp: DataFrame, n: int, rounds: int = 8) -> float:
-    """Weight of the frequency part by expectation maximisation over all training tokens (token, c, lp)."""
-    lam = 0.5
-    for _ in range(rounds if n > 1 else 0):
-        f, g = lam * (F.col("c") - 1) / F.lit(float(n - 1)), (1 - lam) * F.pow(F.lit(10.0), "lp")
-        lam = min(max(lp.where("c > 0").agg(F.sum(F.col("c") * F.try_divide(f, f + g)) / F.lit(float(n))).first()[0] or 0.0, 1e-6), 1 - 1e-6)
-    return lam if n > 1 else 0.0
-
-
-def scores(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+        train = pdf["train"].to_numpy(dtype=bool)
+        texts, own = pdf["text"].tolist(), Counter({END: int(train.sum()), b"": 0})
+        at = _chunks(texts)
+        for a, b in zip(at[:-1], at[1:]):
+            raw, start, end, text, h = read(texts[a:b])
+            line, known = raw.tobytes(), train[a:b][text]
+            for i in np.flatnonzero(end - start > LONGEST).tolist():
+                own[line[start[i]:end[i]]] += int(known[i])
+            k = np.flatnonzero(end - start <= LONGEST)
+            _, first, at_ = np.unique(h[k], return_index=True, return_inverse=True)
+            first = k[first]
+            words = np.empty(len(first), dtype=object)
+            words[:] = [line[s:e] for s, e in zip(start[first].tolist(), end[first].tolist())]
+            held.append((h[first], np.bincount(at_, known[k], minlength=len(first)), words))
+            if sum(len(x[0]) for x in held) >= rows:
+                yield flush()
+        del own[b""]
+        if own:
+            yield pd.DataFrame({"token": list(own), "c": np.array([*own.values()], dtype=np.int64)})
+    if held:
+        yield flush()
+
+
+class Vocabulary:
+    """Symbols of tokens: own ones, then classes of last two bytes, the last of which is for all others."""
+
+    def __init__(self, tokens: list[bytes], c: np.ndarray, n: int, v: int, groups: list, discount: float):
+        """tokens, c: the most frequent ones in order; groups: (last bytes, occurrences, tokens) of all training tokens."""
+        own = min(OWN, len(tokens))
+        mass, kinds = np.zeros(65536 + 256), np.zeros(65536 + 256)
+        of = _suffix([bytes(g[0]) for g in groups])
+        mass[of], kinds[of] = [g[1] for g in groups], [g[2] for g in groups]
+        mine = _suffix(tokens)
+        np.subtract.at(mass, mine[:own], c[:own])
+        np.subtract.at(kinds, mine[:own], 1)
+        top = np.argsort(-mass, kind="stable")[:CLASSES - 1]
+        top = top[mass[top] > 0]
+        self.of_suffix = np.full(len(mass), own + len(top), dtype=np.int32)
+        self.of_suffix[top] = own + np.arange(len(top))
+        self.own, self.other, self.discount = own, own + len(top), discount
+        size = self.other + 1
+        self.mass = np.bincount(self.of_suffix, mass, minlength=size)
+        self.kinds = np.bincount(self.of_suffix, kinds, minlength=size)
+        count = np.maximum(self.mass, 1)
+        count[:own] = c[:own]
+        self.code = Code(np.append(count, [1] * (size < 2)))
+        self.symbol = np.where(np.arange(len(tokens)) < own, np.arange(len(tokens)), self.of_suffix[mine]).astype(np.int32)
+        with np.errstate(divide="ignore"):
+            self.share = np.where(np.arange(len(tokens)) < own, 0.0, np.log10(np.maximum(c - discount, 1e-9) / np.maximum(self.mass[self.symbol], 1)))
+        self.base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
+        self.end = tokens.index(END) if END in tokens else len(tokens)
+        bits = 18
+        h = hashed(tokens)
+        self.key, self.at, self.probes = np.zeros(1 << bits, dtype=np.uint64), np.full(1 << bits, -1, dtype=np.int32), 1
+        for i, x in enumerate(h.tolist()):
+            k, tries = x >> (64 - bits), 1
+            while self.at[k] >= 0:
+                k, tries = (k + 1) % (1 << bits), tries + 1
+            self.key[k], self.at[k], self.probes = x, i, max(self.probes, tries)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash among the frequent tokens, or -1."""
+        size = len(self.at)
+        slot = (h >> np.uint64(65 - size.bit_length())).astype(np.int64)
+        got = np.where(self.key[slot] == h, self.at[slot], -1)
+        open_ = np.flatnonzero((got < 0) & (self.at[slot] >= 0))
+        for k in range(1, self.probes):
+            if not len(open_):
+                break
+            s = (slot[open_] + k) % size
+            hit = self.key[s] == h[open_]
+            got[open_[hit]] = self.at[s[hit]]
+            open_ = open_[~hit & (self.at[s] >= 0)]
+        return got
+
+    def read(self, texts: list) -> tuple:
+        """Places, symbols and text of each token, ends included; the other tokens and their texts."""
+        raw, start, end, text, h = read(texts)
+        at = self.find(h)
+        at[end - start > LONGEST] = -1
+        x = np.where(at >= 0, self.symbol[np.maximum(at, 0)] if len(self.symbol) else 0, self.of_suffix[suffixes(raw[end - 1], raw[np.maximum(end - 2, 0)], end - start)])
+        miss = np.flatnonzero(at < 0)
+        line = raw.tobytes()
+        rare = [line[s:e] for s, e in zip(start[miss].tolist(), end[miss].tolist())]
+        where = np.arange(len(x)) + text   # each text before has an end token
+        size = np.bincount(text, minlength=len(texts)) + 1
+        of = np.repeat(np.arange(len(texts)), size)
+        places, symbols = np.full(len(of), self.end if self.end < len(self.symbol) else -1), np.full(len(of), self.symbol[self.end] if self.end < len(self.symbol) else self.other)
+        places[where], symbols[where] = at, x
+        return places, symbols.astype(np.int64), of, rare, text[miss]
+
+    def contexts(self, x: np.ndarray, text: np.ndarray) -> list:
+        i = np.arange(len(x))
+        start = np.searchsorted(text, text)
+        one = np.where(i > start, x[i - 1], self.other + 1)
+        last = np.concatenate(([-1], np.maximum.accumulate(np.where(x < min(COMMON, self.own), i, -1))[:-1]))
+        sign = np.where(last >= start, x[np.maximum(last, 0)], COMMON)
+        return [mixed(one, 1), mixed(sign, 2)]
+
+
+BYTES = 256       # the symbol of a token's beginning, which is coded last
+ORDERS = (2, 4)   # bytes of context of the spelling predictors
+
+
+def _spelled(tokens: list[bytes], skip: np.ndarray, block: int = 1 << 13):
+    """Blocks of symbols, contexts and token of each symbol: the bytes from behind, without the `skip` last ones; contexts
+    are the bytes behind, as far as the token's end."""
+    for lo in range(0, len(tokens), 4096):
+        part = tokens[lo:lo + 4096]
+        size = np.fromiter(map(len, part), dtype=np.int64, count=len(part)) + 1
+        x = np.frombuffer(b"\0" + b"\0".join(part), dtype=np.uint8)[::-1].astype(np.int16)   # the last token first
+        size, own = size[::-1], skip[lo:lo + 4096][::-1]
+        ends = np.cumsum(size)
+        x[ends - 1] = BYTES
+        for a in range(0, len(x), block):
+            at = np.arange(a, min(a + block, len(x)))
+            who = np.searchsorted(ends, at, side="right")
+            start = ends[who] - size[who]
+            coded = at - start >= own[who]
+            at, who, start = at[coded], who[coded], start[coded]
+            if not len(at):
+                continue
+            h, ctx = np.zeros(len(at), dtype=np.int64), []
+            for k in range(1, max(ORDERS) + 1):
+                h = h * 257 + np.where(at - k >= start, x[np.maximum(at - k, 0)] + np.int64(1), 0)
+                if k in ORDERS:
+                    ctx.append(mixed(h, k))
+            yield x[at].astype(np.int64), ctx, lo + len(part) - 1 - who
+
+
+def _table_bits(n: int, most: int) -> int:
+    return int(min(most, max(13, np.ceil(np.log2(max(n, 1))) - 3)))
+
+
+def _gathered(rows: DataFrame, partitions: int) -> list:
+    """Sums of the slices, from at most 64 rows of a slice in each group, step by step; the driver gets packed slices."""
+    rows = rows.withColumn("part", F.spark_partition_id())
+    while partitions > 64:
+        partitions = -(-partitions // 64)
+        rows = rows.withColumn("part", F.floor(F.col("part") / 64).cast("int"))
+        rows = rows.repartition("slice", "part").mapInPandas(lambda it: _by_part(it), "slice int, data binary, part int")
+    return [(r["slice"], bytes(r["data"])) for r in rows.select("slice", "data").repartition("slice").mapInPandas(finished, "slice int, data binary").collect()]
+
+
+def _by_part(it):
+    total: dict = {}
+    for pdf in it:
+        for p, rows in pdf.groupby("part"):
+            total.setdefault(p, []).append(next(add_up([rows])))
+            if len(total[p]) > 8:
+                total[p] = [next(add_up(total[p]))]
+    for p, got in total.items():
+        yield next(add_up(got)).assign(part=p)
+
+
+def score(v: Vocabulary, model: Model, texts: list) -> pd.DataFrame:
+    """Sums over the frequent tokens of each text, the symbols of the other tokens, and these tokens."""
+    n = len(texts)
+    places, x, text, rare, of = v.read(texts)
+    ctx = v.contexts(x, text)
+    pos = np.arange(len(x)) - np.searchsorted(text, text)
+    step = np.where(pos < 64 * BLOCK, pos // BLOCK, 64 + (pos - 64 * BLOCK) // (16 * BLOCK))   # later blocks are longer
+    order = np.argsort(step, kind="stable")
+    edges = np.concatenate(([0], np.cumsum(np.bincount(step))))
+    g = model.w.shape[1]
+    w, total = np.tile(model.w, n), np.zeros(n)
+    for a, b in zip(edges[:-1], edges[1:]):
+        for lo in range(a, b, 1 << 12):
+            i = order[lo:min(b, lo + (1 << 12))]
+            own = text[i]
+            first, last = own[0], own[-1] + 1
+            lp = model.log10(x[i], [c[i] for c in ctx], w[:, first * g:last * g], (own - first) * g)
+            total[first:last] += np.bincount(own - first, lp, minlength=last - first)
+    known = places >= 0
+    sums = lambda a: np.bincount(text[known], a[places[known]], minlength=n)
+    cut = np.searchsorted(of, np.arange(n + 1))
+    return pd.DataFrame({"n_tokens": np.bincount(text, minlength=n), "n_known": np.bincount(text[known], minlength=n), "base_score": sums(v.base), "score": total + sums(v.share),
+                         "rare": [rare[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]})
+
+
+def _chunks(texts: list, chars: int = 400_000):
+    """Places where to cut the list, so that no part has many more characters."""
+    size = np.cumsum([len(t or "") + 1 for t in texts])
+    at = np.flatnonzero(np.diff(size // chars, prepend=0)) + 1
+    return [0, *at[at < len(texts)].tolist(), len(texts)]
+
+
+def scores(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     raw = docs.select("text", F.expr(f"NOT {HELD}").alias("train"))
-    counts = cut(raw.mapInPandas(_counts, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")))
-    N, V = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    parts = max(raw.rdd.getNumPartitions(), 1)
+    counts = written(raw.mapInPandas(_counts, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")))
+    seen = counts.where("c > 0")
+    N, V, once, twice = seen.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    top = seen.where(f"length(token) <= {LONGEST}").orderBy(F.desc("c"), "token").limit(frequent).toPandas()  # so many rows of LONGEST bytes at most
+    tokens, c = [bytes(t) for t in top["token"]], top["c"].to_numpy(dtype=np.int64)
+    del top
+    groups = seen.groupBy(F.expr("substring(token, greatest(length(token) - 1, 1), 2)").alias("s")).agg(F.sum("c"), F.count("*")).collect()  # one row for each two bytes
+    v = Vocabulary(tokens, c, N, V, groups, once / (once + 2 * twice) if once else 0.5)
+    least, last = (int(c[-1]), tokens[-1]) if len(c) else (1, b"")
+    rest = counts.where((F.length("token") > LONGEST) | (F.col("c") < least) | (F.col("c") == least) & (F.col("token") > F.lit(bytearray(last))))
+
+    sc, bits = docs.sparkSession.sparkContext, _table_bits(N, TABLE_BITS)
+    vocabulary = sc.broadcast(v)
 
-    def gather(it):
-        total = np.zeros((2, len(ORDERS), SLOTS))
+    def learn(it):
+        v = vocabulary.value
+        learner = Learner(v.code, 2, bits)
         for pdf in it:
-            for k in range(0, len(pdf), 20_000):
-                part = pdf.iloc[k:k + 20_000]
-                who, bit, slots = bits([bytes(t) for t in part["token"]])
-                for j in range(len(ORDERS)):
-                    total[1, j] += np.bincount(slots[j], bit, SLOTS)
-                    total[0, j] += np.bincount(slots[j], 1 - bit, SLOTS)
-        i = np.flatnonzero(total.any(axis=0).ravel())
-        yield pd.DataFrame({"k": i.astype(np.int32), "a": total[0].ravel()[i], "b": total[1].ravel()[i]})
-    got = counts.where("c > 0").mapInPandas(gather, "k int, a double, b double").groupBy("k").agg(F.sum("a").cast("float").alias("a"), F.sum("b").cast("float").alias("b")).toPandas()  # SLOTS x predictors rows at most
-    table = np.zeros((2, len(ORDERS) * SLOTS), dtype=np.float32)
-    table[0, got["k"].to_numpy()], table[1, got["k"].to_numpy()] = got["a"].to_numpy(), got["b"].to_numpy()
-    table = table.reshape(2, len(ORDERS), SLOTS)
-    del got
-    own = counts.where("c > 0").orderBy(F.xxhash64("token")).limit(TUNE).collect()
-    w = tune([bytes(r.token) for r in own], table)
-    b = docs.sparkSession.sparkContext.broadcast((table, w))
+            texts = pdf["text"].tolist()
+            at = _chunks(texts)
+            for a, b in zip(at[:-1], at[1:]):
+                _, x, text, _, _ = v.read(texts[a:b])
+                ctx = v.contexts(x, text)
+                for k in range(0, len(x), 1024):
+                    learner.learn(x[k:k + 1024], [h[k:k + 1024] for h in ctx])
+        yield learner.rows()
+    model = sc.broadcast(Model(v.code, 2, bits, _gathered(raw.where("train").select("text").mapInPandas(learn, "slice int, data binary"), parts)))
+    lp = _rare(seen, rest, vocabulary, N, V, sc)
 
     def run(it):
-        table, w = b.value
         for pdf in it:
-            for k in range(0, len(pdf), 20_000):
-                part = pdf.iloc[k:k + 20_000]
-                yield part.assign(lp=code([bytes(t) for t in part["token"]], table, w, part["c"].to_numpy() > 0))
-    lp = cut(counts.mapInPandas(run, "token binary, c long, lp double"))
-    lam = share(lp, N)
-    loo = F.log10(F.lit(lam) * F.greatest(F.col("c") - 1, F.lit(0)) / F.lit(float(max(N - 1, 1))) + F.lit(1 - lam) * F.pow(F.lit(10.0), F.greatest("lp", F.lit(-280.0))))
-    base = F.log10((F.col("c") + 0.1) / F.lit(float(N + 0.1 * (V + 1))))
-    return _sums(docs, lp.select("token", (F.col("c") > 0).cast("long").alias("known"), base.alias("base"), loo.alias("lp"), "c"), N)
-
-
-def _sums(docs: DataFrame, tokens: DataFrame, n: int) -> DataFrame:
-    """Sums of each row: frequent tokens from a broadcast table in the scan, the others joined by token."""
-    top = tokens.where("length(token) <= 64").orderBy(F.desc("c"), "token").limit(FREQUENT).toPandas()  # FREQUENT rows of 64 bytes at most
-    b = docs.sparkSession.sparkContext.broadcast(({bytes(t): i for i, t in enumerate(top["token"])}, top[["known", "base", "lp"]].to_numpy(dtype=np.float64)))
-    del top
+            texts = pdf["text"].tolist()
+            at = _chunks(texts)
+            for a, b in zip(at[:-1], at[1:]):
+                if b > a:
+                    yield pd.concat([pdf[["rid", "id", "n_bytes"]].iloc[a:b].reset_index(drop=True), score(vocabulary.value, model.value, texts[a:b])], axis=1)
+    got = written(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("string").alias("id"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "text")
+                  .mapInPandas(run, "rid long, id string, n_bytes long, n_tokens long, n_known long, base_score double, score double, rare array<binary>"))
+    more = got.select("rid", F.explode("rare").alias("token")).join(lp, "token").groupBy("rid").agg(F.sum("known").alias("k"), F.sum("base").alias("b"), F.sum("lp").alias("s"))
+    add = lambda a, x, zero: (F.col(a) + F.coalesce(F.col(x), F.lit(zero))).alias(a)
+    total = got.drop("rare").join(more, "rid", "left").select(
+        F.col("id").cast("long").alias("doc_id"), F.expr(HELD.replace("doc_id", "id")).alias("held_out"), "n_tokens", add("n_known", "k", 0),
+        F.lit(N).cast("long").alias("train_tokens"), add("base_score", "b", 0.0), add("score", "s", 0.0), "n_bytes")
+    return total.withColumn("bits_per_byte", -F.col("score") * float(np.log2(10)) / (F.col("n_bytes") + 1)).drop("n_bytes")
+
+
+def _rare(seen: DataFrame, rest: DataFrame, vocabulary, n: int, size: int, sc) -> DataFrame:
+    """token, known, base, lp (log10 of its share of its class) of every token of rest; spelling is learned from all
+    training tokens that have no symbol of their own."""
+    v = vocabulary.value
+    bits = _table_bits(int(v.kinds[v.own:].sum()) * 8, SPELL_BITS)
+    skipped = lambda v, tokens: np.where(v.of_suffix[_suffix(tokens)] == v.other, 0, np.fromiter((min(len(t), 2) for t in tokens), dtype=np.int64, count=len(tokens)))
+    own = seen.select("token")
+
+    def lengths(it):
+        n = np.ones(BYTES + 1)
+        for pdf in it:
+            n[:BYTES] += np.bincount(np.frombuffer(b"".join(pdf["token"]), dtype=np.uint8), minlength=BYTES)
+            n[BYTES] += len(pdf)
+        yield pd.DataFrame({"k": np.arange(BYTES + 1), "n": n})
+    got = own.mapInPandas(lengths, "k int, n double").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    count = np.ones(BYTES + 1)
+    count[got["k"].to_numpy()] = got["n"].to_numpy()
+    code = Code(count)
+
+    def learn(it):
+        v, learner = vocabulary.value, Learner(code, len(ORDERS), bits)
+        for pdf in it:
+            tokens = [bytes(t) for t in pdf["token"]]
+            for x, ctx, _ in _spelled(tokens, skipped(v, tokens)):
+                learner.learn(x, ctx)
+        yield learner.rows()
+    model = sc.broadcast(Model(code, len(ORDERS), bits, _gathered(own.mapInPandas(learn, "slice int, data binary"), max(own.rdd.getNumPartitions(), 1))))
 
     def run(it):
-        place, value = b.value
+        v, m = vocabulary.value, model.value
         for pdf in it:
-            rows = []
-            for t in pdf["text"]:
-                c = Counter(_words(t))
-                keys, n = list(c), np.fromiter(c.values(), dtype=np.int64, count=len(c))
-                at = np.fromiter(map(place.get, keys, repeat(-1)), dtype=np.int64, count=len(keys))
-                known, base, lp = n[at >= 0] @ value[at[at >= 0]]
-                rare = np.flatnonzero(at < 0).tolist()
-                rows.append((int(n.sum()), int(known), base, lp, [keys[i] for i in rare], n[rare].tolist()))
-            yield pd.concat([pdf[["rid", "id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score", "score", "rare", "times"])], axis=1)
-    parts = written(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("string").alias("id"), "text")
-                    .mapInPandas(run, "rid long, id string, n_tokens long, n_known long, base_score double, score double, rare array<binary>, times array<long>"))
-    left = parts.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("token"), F.col("x.times").alias("n"))
-    more = left.join(tokens, "token").groupBy("rid").agg(F.sum(F.col("n") * F.col("known")).alias("k"), F.sum(F.col("n") * F.col("base")).alias("b"), F.sum(F.col("n") * F.col("lp")).alias("s"))
-    add = lambda a, x, zero: (F.col(a) + F.coalesce(F.col(x), F.lit(zero))).alias(a)
-    return (parts.drop("rare", "times").join(more, "rid", "left")
-            .select(F.col("id").cast("long").alias("doc_id"), F.expr(HELD.replace("doc_id", "id")).alias("held_out"), "n_tokens", add("n_known", "k", 0),
-                    F.lit(n).cast("long").alias("train_tokens"), add("base_score", "b", 0.0), add("score", "s", 0.0)))
+            tokens, c = [bytes(t) for t in pdf["token"]], pdf["c"].to_numpy(dtype=np.float64)
+            spelled = np.zeros(len(pdf))
+            for x, ctx, who in _spelled(tokens, skipped(v, tokens)):
+                np.add.at(spelled, who, m.log10(x, ctx, m.w.copy(), np.zeros(len(x), dtype=np.int64)))
+            k = v.of_suffix[_suffix(tokens)]
+            mass = np.maximum(v.mass[k], 1)
+            left = np.where(v.mass[k] > 0, np.maximum(v.discount * v.kinds[k], 1e-9) / mass, 1.0)
+            direct = np.log10(np.maximum(c - v.discount, 1e-300) / mass)
+            lp = np.logaddexp(direct * np.log(10), spelled * np.log(10) + np.log(left)) / np.log(10)
+            yield pd.DataFrame({"token": pdf["token"], "known": (c > 0).astype(np.int64), "base": np.log10((c + 0.1) / (n + 0.1 * (size + 1))), "lp": lp})
+    return rest.mapInPandas(run, "token binary, known long, base double, lp double")
