@@ -64,10 +64,10 @@ class Code:
         return who, self.node[at], self.bit[at]
 
 
-def places(ctx: list, who: np.ndarray, node: np.ndarray, bits: int) -> list:
-    """Slot of each bit in each predictor's table."""
+def places(ctx: list, who: np.ndarray, node: np.ndarray, bits: int, nodes: int) -> list:
+    """Slot of each bit in each predictor's table. Contexts are hashes; small numbers in 32 bits have slots of their own."""
     m = node.astype(np.uint64) * _B
-    return [(((c[who] ^ m) * _A) >> np.uint64(64 - bits)).astype(np.int64) for c in ctx]
+    return [(((c[who] ^ m) * _A) >> np.uint64(64 - bits)).astype(np.int64) if c.dtype == np.uint64 else c[who] * np.int64(nodes) + node for c in ctx]
 
 
 def experience(n: np.ndarray) -> np.ndarray:
@@ -115,7 +115,7 @@ class Learner:
 
     def learn(self, x: np.ndarray, ctx: list) -> None:
         who, node, bit = self.code.bits(x)
-        where = places(ctx, who, node, self.bits)
+        where = places(ctx, who, node, self.bits, len(self.code.odds))
         st, levels, one = [self.code.odds[node]], [], bit.astype(np.uint64) * np.uint64((1 << 32) - 1) + np.uint64(1)
         for c, s in zip(self.counts, where):
             got = c[s].view(np.uint32)
@@ -181,7 +181,7 @@ class Model:
         """log10 probability of each symbol; w: columns of weights, of which each symbol uses those from group on."""
         who, node, bit = self.code.bits(x)
         st, levels = [self.code.odds[node]], []
-        for t, s in zip(self.table, places(ctx, who, node, self.bits)):
+        for t, s in zip(self.table, places(ctx, who, node, self.bits, len(self.code.odds))):
             v = t[s]
             st.append((v >> 2).astype(np.float32) * np.float32(1 / 256))
             levels.append((v & 3).astype(np.int8))

@@ -2,8 +2,9 @@
 
 The mixing model codes a text's tokens one after another. A token is coded by its own symbol, if it is very frequent, or
 by the class of its last two bytes. The bits of a symbol's Huffman code are predicted from the symbol before and from the
-last very frequent token. A token of a class then has its share of it: its discounted training count, and for what the
-discounts leave the mixed spelling model, which codes the bytes before the last two, backwards, in the same way.
+last very frequent token. A known token of a class then has its share of it, its discounted training count; what the
+discounts leave goes to new tokens by the mixed spelling model, which codes the bytes before the last two, backwards, in
+the same way.
 
 Counts come from all training tokens. The mixing weights are refined over all of them, each block predicted by what its
 partition has seen before it, and averaged over the partitions; within a text they go on adapting from block to block.
@@ -24,14 +25,15 @@ from .coder import Code, Learner, Model, add_up, finished, mixed
 from .common import written
 
 FREQUENT, LONGEST = 65_536, 256   # tokens in the broadcast table, at most, and their bytes
-OWN, CLASSES = 2_048, 512         # tokens with a symbol of their own, classes of last bytes
-TABLE_BITS, SPELL_BITS = 21, 20   # slots of a predictor's table, as powers of two, at most
+OWN, CLASSES = 512, 128            # tokens with a symbol of their own, classes of last bytes
+TABLE_BITS, SPELL_BITS = 19, 19   # slots of a predictor's table, as powers of two, at most
 COMMON = 64                       # most frequent tokens, which show what kind of text it is
 BLOCK = 32                        # tokens of a text after which its weights move
 HELD = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 10 = 0, true)"   # a null doc_id is held out
 END = b"\n"
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
+_LOWER = _LOW.tobytes()
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _M = 0x9E3779B97F4A7C15
 _POWERS: dict = {}
@@ -85,37 +87,28 @@ def _suffix(tokens: list[bytes]) -> np.ndarray:
     return suffixes(get(1), get(2), np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)))
 
 
-def _counts(it, rows=300_000):
+def words(t: str | None) -> list[bytes]:
+    return [*(t or "").encode("utf-8").translate(_LOWER).split(), END]
+
+
+def _counts(it, rows=200_000):
     """token, c: training occurrences, summed before the shuffle; tokens of held-out texts count 0."""
-    held: list = []
+    c, other = Counter(), set()
 
     def flush():
-        h, c, t = (np.concatenate(x) for x in zip(*held))
-        held.clear()
-        _, first, at = np.unique(h, return_index=True, return_inverse=True)
-        return pd.DataFrame({"token": t[first], "c": np.bincount(at, c).astype(np.int64)})
+        more = other - c.keys()
+        return pd.DataFrame({"token": [*c, *more], "c": np.array([*c.values(), *[0] * len(more)], dtype=np.int64)})
     for pdf in it:
-        train = pdf["train"].to_numpy(dtype=bool)
-        texts, own = pdf["text"].tolist(), Counter({END: int(train.sum()), b"": 0})
-        at = _chunks(texts)
-        for a, b in zip(at[:-1], at[1:]):
-            raw, start, end, text, h = read(texts[a:b])
-            line, known = raw.tobytes(), train[a:b][text]
-            for i in np.flatnonzero(end - start > LONGEST).tolist():
-                own[line[start[i]:end[i]]] += int(known[i])
-            k = np.flatnonzero(end - start <= LONGEST)
-            _, first, at_ = np.unique(h[k], return_index=True, return_inverse=True)
-            first = k[first]
-            words = np.empty(len(first), dtype=object)
-            words[:] = [line[s:e] for s, e in zip(start[first].tolist(), end[first].tolist())]
-            held.append((h[first], np.bincount(at_, known[k], minlength=len(first)), words))
-            if sum(len(x[0]) for x in held) >= rows:
+        for t, train in zip(pdf["text"], pdf["train"]):
+            if train:
+                c.update(words(t))
+            else:
+                other.update(words(t))
+            if len(c) + len(other) >= rows:
                 yield flush()
-        del own[b""]
-        if own:
-            yield pd.DataFrame({"token": list(own), "c": np.array([*own.values()], dtype=np.int64)})
-    if held:
-        yield flush()
+                c.clear()
+                other.clear()
+    yield flush()
 
 
 class Vocabulary:
@@ -192,7 +185,7 @@ class Vocabulary:
         one = np.where(i > start, x[i - 1], self.other + 1)
         last = np.concatenate(([-1], np.maximum.accumulate(np.where(x < min(COMMON, self.own), i, -1))[:-1]))
         sign = np.where(last >= start, x[np.maximum(last, 0)], COMMON)
-        return [mixed(one, 1), mixed(sign, 2)]
+        return [mixed(one, 1), sign.astype(np.int32)]
 
 
 BYTES = 256       # the symbol of a token's beginning, which is coded last
@@ -297,7 +290,7 @@ def scores(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     least, last = (int(c[-1]), tokens[-1]) if len(c) else (1, b"")
     rest = counts.where((F.length("token") > LONGEST) | (F.col("c") < least) | (F.col("c") == least) & (F.col("token") > F.lit(bytearray(last))))
 
-    sc, bits = docs.sparkSession.sparkContext, _table_bits(N, TABLE_BITS)
+    sc, bits = docs.sparkSession.sparkContext, max(_table_bits(N, TABLE_BITS), int((COMMON + 1) * len(v.code.odds)).bit_length())
     vocabulary = sc.broadcast(v)
 
     def learn(it):
@@ -364,13 +357,14 @@ def _rare(seen: DataFrame, rest: DataFrame, vocabulary, n: int, size: int, sc) -
         v, m = vocabulary.value, model.value
         for pdf in it:
             tokens, c = [bytes(t) for t in pdf["token"]], pdf["c"].to_numpy(dtype=np.float64)
-            spelled = np.zeros(len(pdf))
-            for x, ctx, who in _spelled(tokens, skipped(v, tokens)):
+            new = np.flatnonzero(c == 0)
+            fresh, spelled = [tokens[i] for i in new.tolist()], np.zeros(len(new))
+            for x, ctx, who in _spelled(fresh, skipped(v, fresh)):
                 np.add.at(spelled, who, m.log10(x, ctx, m.w.copy(), np.zeros(len(x), dtype=np.int64)))
             k = v.of_suffix[_suffix(tokens)]
             mass = np.maximum(v.mass[k], 1)
+            lp = np.log10(np.maximum(c - v.discount, 1e-9) / mass)
             left = np.where(v.mass[k] > 0, np.maximum(v.discount * v.kinds[k], 1e-9) / mass, 1.0)
-            direct = np.log10(np.maximum(c - v.discount, 1e-300) / mass)
-            lp = np.logaddexp(direct * np.log(10), spelled * np.log(10) + np.log(left)) / np.log(10)
+            lp[new] = spelled + np.log10(left[new])
             yield pd.DataFrame({"token": pdf["token"], "known": (c > 0).astype(np.int64), "base": np.log10((c + 0.1) / (n + 0.1 * (size + 1))), "lp": lp})
     return rest.mapInPandas(run, "token binary, known long, base double, lp double")
