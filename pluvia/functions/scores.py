@@ -3,7 +3,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 THRESHOLDS = {"light": 0.1, "moderate": 10.0, "heavy": 25.0}
-METRICS = ["RMSE", "MAE", "CC", "KGE"] + [f"{m}_{t}" for t in THRESHOLDS for m in ("POD", "FAR", "TS", "BIAS")]
+METRICS = ["RMSE", "MAE", "CC", "KGE"] + [f"{m}_{t}_rain" for t in THRESHOLDS for m in ("POD", "FAR", "TS", "BIAS")]
+FLAT = 1e-9   # a deviation up to this is none, as engines differ in the last bits of equal values
 
 
 def event(c: Column, t: float) -> Column:
@@ -53,8 +54,8 @@ def sample_stats(pred: Column, label: Column) -> list[Column]:
     """Sufficient statistics of every score; one hash aggregate."""
     p = finite(pred)
     out = [F.avg((pred - label) * (pred - label)).alias("mse"), F.avg(F.abs(pred - label)).alias("mae"),
-           F.covar_pop(p, label).alias("cov"), F.coalesce(F.stddev_samp(p), F.lit(0.0)).alias("sp"),
-           F.coalesce(F.stddev_samp(label), F.lit(0.0)).alias("sy"), F.avg(pred).alias("mp"), F.avg(label).alias("my"),
+           F.covar_pop(p, label).alias("cov"), F.nanvl(F.coalesce(F.stddev_samp(p), F.lit(0.0)), F.lit(0.0)).alias("sp"),
+           F.nanvl(F.coalesce(F.stddev_samp(label), F.lit(0.0)), F.lit(0.0)).alias("sy"), F.stddev_samp(label).alias("sy_raw"), F.avg(pred).alias("mp"), F.avg(label).alias("my"),
            F.coalesce(F.stddev_samp(pred), F.lit(float("nan"))).alias("sp_raw"), F.count("*").alias("n")]
     for tag, t in THRESHOLDS.items():
         out += contingency(pred, label, t, tag)
@@ -63,7 +64,8 @@ def sample_stats(pred: Column, label: Column) -> list[Column]:
 
 def cc() -> Column:
     c = F.col
-    return F.when((c("sp") > 0) & (c("sy") > 0), clamp(c("cov") / F.when((c("sp") > 0) & (c("sy") > 0), c("sp") * c("sy")))).otherwise(0.0)
+    varied = (c("sp") > FLAT) & (c("sy") > FLAT)
+    return F.when(varied, clamp(c("cov") / F.when(varied, c("sp") * c("sy")))).otherwise(0.0)
 
 
 def _kge_ratio(num: Column, den: Column) -> Column:
@@ -73,7 +75,7 @@ def _kge_ratio(num: Column, den: Column) -> Column:
 
 def kge() -> Column:
     c = F.col
-    a, b = _kge_ratio(c("sp_raw"), c("sy")), _kge_ratio(c("mp"), c("my"))
+    a, b = _kge_ratio(c("sp_raw"), c("sy_raw")), _kge_ratio(c("mp"), c("my"))
     return F.when(c("n") == 1, 1.0).otherwise(clamp(1 - F.sqrt((cc() - 1) * (cc() - 1) + (a - 1) * (a - 1) + (b - 1) * (b - 1))))
 
 
@@ -81,5 +83,16 @@ def score_columns() -> list[Column]:
     out = [F.sqrt("mse").alias("RMSE"), F.col("mae").alias("MAE"), cc().alias("CC"), kge().alias("KGE")]
     for t in THRESHOLDS:
         h, m, f = (F.col(f"{k}_{t}") for k in "hmf")
-        out += [pod(h, m).alias(f"POD_{t}"), far(h, f).alias(f"FAR_{t}"), ts(h, m, f).alias(f"TS_{t}"), bias(h, m, f).alias(f"BIAS_{t}")]
+        out += [pod(h, m).alias(f"POD_{t}_rain"), far(h, f).alias(f"FAR_{t}_rain"), ts(h, m, f).alias(f"TS_{t}_rain"), bias(h, m, f).alias(f"BIAS_{t}_rain")]
     return out
+
+
+def loss_class(c: Column) -> Column:
+    """Rain class by the loss's bands, open below; NaN has none."""
+    return F.when(F.isnan(c), "none").when(c > 15, "heavy").when(c > 5, "moderate").when(c > 0.1, "light").otherwise("none")
+
+
+def score_class(c: Column) -> Column:
+    """Rain class by the scores' thresholds, closed below; NaN has none."""
+    light, moderate, heavy = THRESHOLDS.values()
+    return F.when(event(c, heavy), "heavy").when(event(c, moderate), "moderate").when(event(c, light), "light").otherwise("none")

@@ -2,11 +2,15 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pluvia.sources.scratch import written
+
 # fixed values
 SENTINELS = (9999.0, -9999.0, 999999.0, -999999.0)
 PRECIP = ("PRE", "corrected_precip")
 LIMITS = {"TAIR": (0.0, None), "UWIN": (-100.0, 100.0), "VWIN": (-100.0, 100.0), "PRE": (0.0, 100.0), "corrected_precip": (0.0, 100.0)}
 
+BROADCAST_ROWS = 200_000   # rows of fill values (one for each file and variable) that are sent to every task
+
 
 def is_sentinel(c, s):
     return (~F.isnan(c)) & (F.abs(c - F.lit(s)) < 1e-3)
@@ -30,7 +34,9 @@ def sentinel_fill(cells: DataFrame) -> DataFrame:
     expr = v
     for k in reversed(range(4)):
         expr = F.when(is_sentinel(v, SENTINELS[k]), F.col(f"f{k}")).otherwise(expr)
-    return cells.join(fills(cells), ["file", "variable"]).withColumn("value", expr).drop("f0", "f1", "f2", "f3")
+    table = written(fills(cells))
+    side = F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    return cells.join(side, ["file", "variable"]).withColumn("value", expr).drop("f0", "f1", "f2", "f3")
 
 
 def out_of_range(v, var):
@@ -63,3 +69,9 @@ def zscore(cleaned: DataFrame, stats: DataFrame) -> DataFrame:
     """stats has one row per variable (five at most), so its side is broadcast."""
     j = cleaned.join(F.broadcast(stats.select("variable", "mean", "std")), "variable", "left")
     return j.withColumn("value", (F.col("value") - F.coalesce("mean", F.lit(0.0))) / F.coalesce("std", F.lit(1.0))).drop("mean", "std")
+
+
+def preprocess(cells: DataFrame, file_limit: int = 50) -> DataFrame:
+    """Cleaned and normalised cells; they are cleaned once, for the statistics and for the result."""
+    c = written(clean(cells))
+    return zscore(c, global_stats(c, file_limit))

@@ -14,14 +14,37 @@ def batch_scores(pairs: DataFrame) -> DataFrame:
     return sample_scores(pairs).groupBy("batch_id").agg(*[F.avg(m).alias(m) for m in S.METRICS])
 
 
+def short(c):
+    """Three decimals; nine come first, so that a mean's last bits don't decide a tie."""
+    return F.round(F.round(c, 9), 3) + F.lit(0.0)   # no negative zero
+
+
 def verification_report(pairs: DataFrame) -> DataFrame:
     """Mean over batches, NaN and empty input give 0, three decimals: 16 rows (metric, value)."""
-    one = batch_scores(pairs).agg(*[F.round(F.nanvl(F.coalesce(F.avg(m), F.lit(0.0)), F.lit(0.0)), 3).alias(m) for m in S.METRICS])
+    one = batch_scores(pairs).agg(*[short(F.nanvl(F.coalesce(F.avg(m), F.lit(0.0)), F.lit(0.0))).alias(m) for m in S.METRICS])
     return one.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in S.METRICS])).alias("r")).select("r.*")
 
 
-def weighted_loss(pairs: DataFrame, *keys: str) -> DataFrame:
+def weighted_loss(pairs: DataFrame, *keys: str, size: bool = False) -> DataFrame:
+    """Mean loss of the cells for each key; with `size` also n, the number of samples."""
     p, y = F.col("pred"), F.col("label")
+
     def w(a, b, c):
         return 1 + F.when((y > 0.1) & (y <= 5), a).when((y > 5) & (y <= 15), b).when(y > 15, c).otherwise(0)
-    return pairs.groupBy(*keys).agg(F.avg(F.abs(p - y) * w(5, 3, 2) + (p - y) * (p - y) * w(3, 2, 1)).alias("loss"))
+    n = [F.count_distinct("sample_id").alias("n")] if size else []
+    return pairs.groupBy(*keys).agg(F.avg(F.abs(p - y) * w(5, 3, 2) + (p - y) * (p - y) * w(3, 2, 1)).alias("loss"), *n)
+
+
+def counts(pairs: DataFrame) -> DataFrame:
+    """Hits, misses, false alarms and correct negatives of each sample at each threshold."""
+    return pairs.groupBy("sample_id").agg(*[c for tag, t in S.THRESHOLDS.items() for c in S.contingency(F.col("pred"), F.col("label"), t, tag)])
+
+
+def error_samples(pairs: DataFrame) -> DataFrame:
+    """Samples whose predictions hold NaN or infinities, or have a NaN deviation: flags, and the least and largest finite
+    prediction (null if there is none)."""
+    p = F.col("pred")
+    finite = F.when(~F.isnan(p) & (F.abs(p) != float("inf")), p)
+    agg = pairs.groupBy("sample_id").agg(F.bool_or(F.isnan(p)).alias("has_nan"), F.bool_or(~F.isnan(p) & (F.abs(p) == float("inf"))).alias("has_inf"),
+                                         F.coalesce(F.isnan(F.stddev_samp(p)), F.lit(True)).alias("std_nan"), F.min(finite).alias("lo"), F.max(finite).alias("hi"))
+    return agg.where("has_nan OR has_inf OR std_nan AND lo IS NULL")

@@ -28,7 +28,7 @@ q("score_rmse", PAIRS_CTE + " SELECT sample_id, round(sqrt(avg((pred-label)*(pre
     lambda s, d: V.sample_scores(pairs(s, d)).select("sample_id", r6(F.col("RMSE"), "rmse")))
 q("score_mae", PAIRS_CTE + " SELECT sample_id, round(avg(abs(pred-label)),6) AS mae FROM pairs GROUP BY 1")(
     lambda s, d: V.sample_scores(pairs(s, d)).select("sample_id", r6(F.col("MAE"), "mae")))
-CC_SQL = "CASE WHEN stddev_samp(pred)>0 AND stddev_samp(label)>0 THEN greatest(-1.0,least(1.0,covar_pop(pred,label)/(stddev_samp(pred)*stddev_samp(label)))) ELSE 0.0 END"
+CC_SQL = "CASE WHEN stddev_samp(pred)>1e-9 AND stddev_samp(label)>1e-9 THEN greatest(-1.0,least(1.0,covar_pop(pred,label)/(stddev_samp(pred)*stddev_samp(label)))) ELSE 0.0 END"
 q("score_cc", PAIRS_CTE + f" SELECT sample_id, round({CC_SQL},6) AS cc FROM pairs GROUP BY 1")(
     lambda s, d: V.sample_scores(pairs(s, d)).select("sample_id", r6(F.col("CC"), "cc")))
 CONF = ", ".join(f"count(*) FILTER (pred>={t} AND label>={t}) AS h_{k}, count(*) FILTER (NOT pred>={t} AND label>={t}) AS m_{k}, count(*) FILTER (pred>={t} AND NOT label>={t}) AS f_{k}, count(*) FILTER (NOT pred>={t} AND NOT label>={t}) AS c_{k}" for k, t in S.THRESHOLDS.items())
@@ -40,38 +40,15 @@ def _conf(s, d):
 
 
 q("confusion_matrix", PAIRS_CTE + f" SELECT sample_id, {CONF} FROM pairs GROUP BY 1")(_conf)
-FORM = {"pod": ("CASE WHEN h+m>0 THEN h/(h+m) ELSE 1.0 END", lambda h, m, f: S.pod(h, m)), "far": ("CASE WHEN h+f>0 THEN f/(h+f) ELSE 1.0 END", lambda h, m, f: S.far(h, f)),
-        "ts": ("CASE WHEN h+m+f>0 THEN h/(h+m+f) ELSE 1.0 END", S.ts), "est": ("CASE WHEN h+m+f>0 THEN h/(h+m+f) ELSE 1.0 END", S.ts),
-        "mar": ("CASE WHEN h+m>0 THEN m/(h+m) ELSE 1.0 END", lambda h, m, f: S.mar(h, m)),
-        "bias": ("CASE WHEN h+m>0 THEN (h+f)/(h+m) WHEN h+f>0 THEN CAST('Infinity' AS DOUBLE) ELSE 1.0 END", S.bias)}
-for _k, (_sql, _f) in FORM.items():
-    q(f"score_{_k}", PAIRS_CTE + f", c AS (SELECT sample_id, {CONF} FROM pairs GROUP BY 1), d AS (SELECT sample_id, h_light AS h, m_light AS m, f_light AS f FROM c) SELECT sample_id, round({_sql},6) AS {_k} FROM d")(
-        lambda s, d, _k=_k, _f=_f: _conf(s, d).select("sample_id", r6(_f(*(F.col(f"{x}_light") for x in "hmf")), _k)))
-q("batch_scores")(lambda s, d: V.batch_scores(pairs(s, d)))
-q("verification_report")(lambda s, d: V.verification_report(pairs(s, d)))
 W_SQL = "avg(abs(pred-label)*(1+CASE WHEN label>0.1 AND label<=5 THEN 5 WHEN label>5 AND label<=15 THEN 3 WHEN label>15 THEN 2 ELSE 0 END)+(pred-label)*(pred-label)*(1+CASE WHEN label>0.1 AND label<=5 THEN 3 WHEN label>5 AND label<=15 THEN 2 WHEN label>15 THEN 1 ELSE 0 END))"
 q("weighted_loss", PAIRS_CTE + f" SELECT batch_id, round({W_SQL},6) AS loss FROM pairs GROUP BY 1")(lambda s, d: V.weighted_loss(pairs(s, d), "batch_id").select("batch_id", r6(F.col("loss"), "loss")))
 q("epoch_loss_train", PAIRS_CTE + f", b AS (SELECT batch_id, {W_SQL} AS loss FROM pairs GROUP BY 1) SELECT round(avg(loss),6) AS loss FROM b")(lambda s, d: V.weighted_loss(pairs(s, d), "batch_id").agg(r6(F.avg("loss"), "loss")))
-q("file_nanmean", CELLS_CTE + " SELECT file, variable, round(avg(CASE WHEN NOT isnan(value) AND NOT isinf(value) THEN value END),6) AS mean FROM cells GROUP BY 1,2")(
-    lambda s, d: cells_long(s, d).groupBy("file", "variable").agg(r6(F.avg(F.when(~F.isnan("value") & (F.abs("value") != float("inf")), F.col("value"))), "mean")))
 q("file_time_counts", CELLS_CTE + " SELECT file, count(DISTINCT time_idx) AS n_times FROM cells GROUP BY 1")(lambda s, d: cells_long(s, d).groupBy("file").agg(F.count_distinct("time_idx").alias("n_times")))
 q("sentinel_flags", CELLS_CTE + " SELECT event_id, (NOT isnan(value) AND (abs(value-9999)<1e-3 OR abs(value+9999)<1e-3 OR abs(value-999999)<1e-3 OR abs(value+999999)<1e-3)) AS sentinel FROM cells")(
     lambda s, d: cells_long(s, d).select("event_id", (C.is_sentinel(F.col("value"), 9999.0) | C.is_sentinel(F.col("value"), -9999.0) | C.is_sentinel(F.col("value"), 999999.0) | C.is_sentinel(F.col("value"), -999999.0)).alias("sentinel")))
 q("range_violations", CELLS_CTE + " SELECT file, variable, count(*) FILTER (NOT isnan(value) AND CASE variable WHEN 'TAIR' THEN value<0 WHEN 'UWIN' THEN abs(value)>100 WHEN 'VWIN' THEN abs(value)>100 ELSE value<0 OR value>100 END) AS n_out FROM cells GROUP BY 1,2")(
     lambda s, d: cells_long(s, d).groupBy("file", "variable").agg(F.count_if(C.out_of_range(F.col("value"), F.col("variable"))).alias("n_out")))
-q("sentinel_fill")(lambda s, d: C.sentinel_fill(cells_long(s, d)))
-q("global_stats")(lambda s, d: C.global_stats(C.clean(cells_long(s, d))))
 
 
-@q("preprocess_full")
-def _full(s, d):
-    c = C.clean(cells_long(s, d))
-    return C.zscore(c, C.global_stats(c))
-
-
-q("rain_class", PAIRS_CTE + " SELECT CASE WHEN label>15 THEN 'heavy' WHEN label>5 THEN 'moderate' WHEN label>0.1 THEN 'light' ELSE 'none' END AS rain, count(*) AS n FROM pairs GROUP BY 1")(
-    lambda s, d: pairs(s, d).groupBy(F.when(F.col("label") > 15, "heavy").when(F.col("label") > 5, "moderate").when(F.col("label") > 0.1, "light").otherwise("none").alias("rain")).agg(F.count("*").alias("n")))
-q("file_prefix_counts", "SELECT source AS file, count(*) AS n, CAST(sum(count(*)) OVER (ORDER BY source) AS BIGINT) AS upto FROM documents GROUP BY 1")(
-    lambda s, d: table(s, d, "documents").groupBy(F.col("source").alias("file")).agg(F.count("*").alias("n")).selectExpr("file", "n", "sum(n) over (order by file) as upto"))
-q("global_time_index", CELLS_CTE + " SELECT file, time_idx, row_number() OVER (ORDER BY file, time_idx)-1 AS pos FROM (SELECT DISTINCT file, time_idx FROM cells)")(
-    lambda s, d: cells_long(s, d).select("file", "time_idx").distinct().selectExpr("file", "time_idx", "cast(row_number() over (order by file, time_idx)-1 as long) as pos"))
+q("rain_class", PAIRS_CTE + " SELECT CASE WHEN label>15 THEN 'heavy' WHEN label>5 THEN 'moderate' WHEN label>0.1 THEN 'light' ELSE 'none' END AS loss_class, CASE WHEN label>=25 THEN 'heavy' WHEN label>=10 THEN 'moderate' WHEN label>=0.1 THEN 'light' ELSE 'none' END AS score_class, count(*) AS n FROM pairs GROUP BY 1,2")(
+    lambda s, d: pairs(s, d).groupBy(S.loss_class(F.col("label")).alias("loss_class"), S.score_class(F.col("label")).alias("score_class")).agg(F.count("*").alias("n")))

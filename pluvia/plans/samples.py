@@ -1,12 +1,10 @@
 """Frame and sequence samples, batching, sinks' tables, losses and confusion counts, each with its SQL."""
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from pluvia.operators import clean as C
 from pluvia.operators import verify as V
 from pluvia.plans.queries import CELLS_CTE, PAIRS_CTE, W_SQL, q, r6
 from pluvia.sources.views import cells_long, pairs, table
-from pluvia.streaming.scores import SUMS, stream_scores
 
 VARS = ["TAIR", "UWIN", "VWIN", "PRE", "corrected_precip"]
 STEPS, STRIDE = 4, 3
@@ -24,19 +22,16 @@ def cells(s, d):
 WIDE = CELLS_CTE + ", wide AS (SELECT file, time_idx, y, x, " + ", ".join(f"round(coalesce(avg(CASE WHEN variable='{v}' AND {FINITE} THEN value END),0.0),6) AS {v}" for v in VARS) + " FROM cells GROUP BY 1,2,3,4)"
 
 
-def wide(s, d):
+def wide_cells(long):
     """One row per cell and time; an absent variable is zero."""
-    return cells(s, d).groupBy("file", "time_idx", "y", "x").agg(*[F.round(F.coalesce(F.avg(F.when((F.col("variable") == v) & finite(), F.col("value"))), F.lit(0.0)), 6).alias(v) for v in VARS])
+    return long.groupBy("file", "time_idx", "y", "x").agg(*[F.round(F.coalesce(F.avg(F.when((F.col("variable") == v) & finite(), F.col("value"))), F.lit(0.0)), 6).alias(v) for v in VARS])
+
+
+def wide(s, d):
+    return wide_cells(cells(s, d))
 
 
 q("feature_projection", WIDE + f" SELECT file, time_idx, y, x, {', '.join(VARS)} FROM wide")(wide)
-q("missing_variable_zero", CELLS_CTE + ", v AS (SELECT unnest(['TAIR','UWIN','VWIN','PRE','corrected_precip']) AS variable), i AS (SELECT DISTINCT file, time_idx FROM cells), n AS (SELECT file, time_idx, variable, count(*) AS n FROM cells GROUP BY 1,2,3) SELECT i.file, i.time_idx, v.variable, coalesce(n.n,0) AS n FROM i CROSS JOIN v LEFT JOIN n ON n.file=i.file AND n.time_idx=i.time_idx AND n.variable=v.variable")(
-    lambda s, d: cells(s, d).groupBy("file", "time_idx").agg(*[F.count_if(F.col("variable") == v).alias(v) for v in VARS])
-    .select("file", "time_idx", F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).alias("n")) for v in VARS])).alias("r")).select("file", "time_idx", "r.*"))
-q("range_zero", CELLS_CTE + f" SELECT event_id, CASE WHEN CASE variable WHEN 'TAIR' THEN value<0 WHEN 'UWIN' THEN abs(value)>100 WHEN 'VWIN' THEN abs(value)>100 ELSE value<0 OR value>100 END THEN 0.0 ELSE value END AS value FROM cells WHERE {FINITE}")(
-    lambda s, d: cells(s, d).where(finite()).select("event_id", F.when(C.out_of_range(F.col("value"), F.col("variable")), 0.0).otherwise(F.col("value")).alias("value")))
-q("log1p_precip", CELLS_CTE + f" SELECT event_id, round(ln(1+value),6) AS value FROM cells WHERE variable IN ('PRE','corrected_precip') AND {FINITE} AND value>=0")(
-    lambda s, d: cells(s, d).where(F.col("variable").isin(*C.PRECIP) & finite() & (F.col("value") >= 0)).select("event_id", r6(F.log1p("value"), "value")))
 q("nonfinite_zero", CELLS_CTE + f" SELECT event_id, CASE WHEN {FINITE} THEN value ELSE 0.0 END AS value FROM cells")(
     lambda s, d: cells(s, d).select("event_id", F.when(finite(), F.col("value")).otherwise(0.0).alias("value")))
 q("format_nan_zero", CELLS_CTE + " SELECT event_id, CASE WHEN isnan(value) THEN 0.0 WHEN isinf(value) THEN sign(value)*CAST(3.4028235e38 AS DOUBLE) ELSE value END AS value FROM cells")(
@@ -45,64 +40,18 @@ q("near_zero_flags", CELLS_CTE + " SELECT event_id, NOT isnan(value) AND abs(val
     lambda s, d: cells(s, d).select("event_id", (~F.isnan("value") & (F.abs("value") <= 1e-8)).alias("near_zero")))
 q("infer_projection", PAIRS_CTE + " SELECT sample_id, l_orderkey, pred FROM pairs")(lambda s, d: pairs(s, d).select("sample_id", "l_orderkey", "pred"))
 
-FRAMES = CELLS_CTE + ", f AS (SELECT file, time_idx, avg(CASE WHEN variable='corrected_precip' AND " + FINITE + " THEN value END) AS label FROM cells GROUP BY 1,2), idx AS (SELECT *, row_number() OVER (ORDER BY file, time_idx)-1 AS pos FROM f), n AS (SELECT count(*) AS n FROM idx), starts AS (SELECT pos AS start FROM idx, n WHERE pos % 3 = 0 AND pos <= n-4)"
-
-
-def frames(s, d):
-    """Frames with their position; the window runs over the index of frames, not over cells."""
-    f = cells(s, d).groupBy("file", "time_idx").agg(F.avg(F.when((F.col("variable") == "corrected_precip") & finite(), F.col("value"))).alias("label"))
-    return f.withColumn("pos", (F.row_number().over(W.orderBy("file", "time_idx")) - 1).cast("long"))
-
-
-def sequences(s, d):
-    """start, step, frame: every STRIDE-th start that has STEPS frames; an equi join on the position."""
-    f = frames(s, d)
-    n = f.agg(F.max("pos").alias("n"))
-    starts = f.join(n).where(f"pos % {STRIDE} = 0 AND pos <= n - {STEPS - 1}").select(F.col("pos").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))).alias("step"))
-    return starts.withColumn("pos", F.col("start") + F.col("step")).join(f, "pos")
-
-
-q("frame_samples", FRAMES + " SELECT pos AS sample_id, file, time_idx FROM idx")(lambda s, d: frames(s, d).select(F.col("pos").alias("sample_id"), "file", "time_idx"))
-q("sequence_samples", FRAMES + " SELECT start, CAST(pos-start AS INT) AS step, file, time_idx FROM starts JOIN idx ON pos>=start AND pos<start+4")(lambda s, d: sequences(s, d).select("start", "step", "file", "time_idx"))
-q("sequence_label", FRAMES + " SELECT start, round(label,6) AS label FROM starts JOIN idx ON pos=start+3")(lambda s, d: sequences(s, d).where(F.col("step") == STEPS - 1).select("start", r6(F.col("label"), "label")))
-
-
-@q("sequence_tensor", FRAMES + " SELECT start, " + ", ".join(f"round(max(CASE WHEN pos=start+{k} THEN label END),6) AS s{k}" for k in range(4)) + " FROM starts JOIN idx ON pos>=start AND pos<start+4 GROUP BY 1")
-def _tensor(s, d):
-    g = sequences(s, d).groupBy("start").agg(F.sort_array(F.collect_list(F.struct("step", "label"))).alias("t"))  # STEPS entries a group
-    return g.select("start", *[r6(F.col("t")[k]["label"], f"s{k}") for k in range(STEPS)])
-
 
 q("epoch_loss_valid", PAIRS_CTE + f", b AS (SELECT batch_id, count(DISTINCT sample_id) AS n, {W_SQL} AS loss FROM pairs GROUP BY 1) SELECT round(sum(loss*n)/sum(n),6) AS loss FROM b")(
-    lambda s, d: V.weighted_loss(pairs(s, d), "batch_id").join(pairs(s, d).groupBy("batch_id").agg(F.count_distinct("sample_id").alias("n")), "batch_id").agg(r6(F.sum(F.col("loss") * F.col("n")) / F.sum("n"), "loss")))
-HIST = PAIRS_CTE + ", s AS (SELECT batch_id, sample_id, sqrt(avg((pred-label)*(pred-label))) AS rmse, avg(abs(pred-label)) AS mae FROM pairs GROUP BY 1,2), h AS (SELECT batch_id AS step, 'RMSE' AS tag, round(avg(rmse),6) AS value FROM s GROUP BY 1 UNION ALL SELECT batch_id, 'MAE', round(avg(mae),6) FROM s GROUP BY 1)"
-
-
-def history(s, d):
-    b = V.batch_scores(pairs(s, d)).select(F.col("batch_id").alias("step"), "RMSE", "MAE")
-    return b.unpivot("step", ["RMSE", "MAE"], "tag", "value").withColumn("value", F.round("value", 6))
+    lambda s, d: V.weighted_loss(pairs(s, d), "batch_id", size=True).agg(r6(F.sum(F.col("loss") * F.col("n")) / F.sum("n"), "loss")))
 
 
-q("metric_history_long", HIST + " SELECT * FROM h")(history)
-q("metric_decimation", HIST + " SELECT * FROM h WHERE (step+1) % 10 = 0")(lambda s, d: history(s, d).where("(step + 1) % 10 = 0"))
-q("batch_assign", PAIRS_CTE + ", n AS (SELECT DISTINCT sample_id, batch_id FROM pairs) SELECT sample_id, batch_id FROM n WHERE batch_id IN (SELECT batch_id FROM n GROUP BY 1 HAVING count(*)=8)")(
-    lambda s, d: pairs(s, d).select("sample_id", "batch_id").distinct().withColumn("n", F.count("*").over(W.partitionBy("batch_id"))).where("n = 8").drop("n"))
 q("stats_file_limit", CELLS_CTE + " SELECT variable, count(*) AS n FROM cells WHERE file IN (SELECT DISTINCT file FROM cells ORDER BY 1 LIMIT 50) GROUP BY 1")(
     lambda s, d: cells(s, d).join(cells(s, d).select("file").distinct().orderBy("file").limit(50), "file", "left_semi").groupBy("variable").agg(F.count("*").alias("n")))
 q("incremental_skip", CELLS_CTE + " SELECT file, count(*) AS n FROM cells WHERE file NOT IN (SELECT file FROM cells WHERE CAST(substr(file,12,2) AS INT) % 2 = 0) GROUP BY 1")(
     lambda s, d: cells(s, d).join(cells(s, d).where("cast(substr(file, 12, 2) as int) % 2 = 0").select("file").distinct(), "file", "left_anti").groupBy("file").agg(F.count("*").alias("n")))
-q("stats_wide", CELLS_CTE + " SELECT " + ", ".join(f"round(avg(CASE WHEN variable='{v}' AND {FINITE} THEN value END),6) AS {v}_mean, round(stddev_pop(CASE WHEN variable='{v}' AND {FINITE} THEN value END),4) AS {v}_std" for v in VARS) + " FROM cells")(
-    lambda s, d: cells(s, d).agg(*[f for v in VARS for c in [F.when((F.col("variable") == v) & finite(), F.col("value"))] for f in (r6(F.avg(c), f"{v}_mean"), F.round(F.stddev_pop(c), 4).alias(f"{v}_std"))]))
-q("row_to_file_range_join", "WITH c AS (SELECT source AS file, count(*) AS n FROM documents GROUP BY 1), iv AS (SELECT file, CAST(sum(n) OVER (ORDER BY file) AS BIGINT) AS hi, CAST(sum(n) OVER (ORDER BY file) AS BIGINT)-n AS lo FROM c) SELECT doc_id, file FROM documents JOIN iv ON doc_id>=lo AND doc_id<hi")(
-    lambda s, d: table(s, d, "documents").select("doc_id").join(
-        table(s, d, "documents").groupBy(F.col("source").alias("file")).agg(F.count("*").alias("n")).selectExpr("file", "sum(n) over (order by file) as hi", "sum(n) over (order by file) - n as lo"),
-        F.expr("doc_id >= lo AND doc_id < hi")).select("doc_id", "file"))
 q("pair_predictions", "WITH a AS (SELECT l_orderkey k, l_linenumber j, CAST(l_quantity AS DOUBLE) AS pred FROM lineitem), b AS (SELECT l_orderkey k, l_linenumber j, CAST(l_tax AS DOUBLE) AS label FROM lineitem) SELECT a.k AS order_id, round(sum(pred*label),6) AS s, count(*) AS n FROM a JOIN b ON a.k=b.k AND a.j=b.j GROUP BY 1")(
     lambda s, d: table(s, d, "lineitem").selectExpr("l_orderkey AS k", "l_linenumber AS j", "cast(l_quantity as double) AS pred").join(
         table(s, d, "lineitem").selectExpr("l_orderkey AS k", "l_linenumber AS j", "cast(l_tax as double) AS label"), ["k", "j"]).groupBy(F.col("k").alias("order_id")).agg(r6(F.sum(F.col("pred") * F.col("label")), "s"), F.count("*").alias("n")))
-q("error_samples", "WITH p AS (SELECT CAST(l_shipdate AS DATE) AS sample_id, l_orderkey % 997 = 0 AS bad, CAST(l_quantity AS DOUBLE) AS pred FROM lineitem) SELECT sample_id, TRUE AS has_nan, count(*) FILTER (bad) AS n_nan, min(CASE WHEN NOT bad THEN pred END) AS lo, max(CASE WHEN NOT bad THEN pred END) AS hi FROM p GROUP BY 1 HAVING bool_or(bad)")(
-    lambda s, d: table(s, d, "lineitem").select(F.col("l_shipdate").cast("date").alias("sample_id"), F.when(F.col("l_orderkey") % 997 == 0, float("nan")).otherwise(F.col("l_quantity").cast("double")).alias("pred"))
-    .groupBy("sample_id").agg(F.bool_or(F.isnan("pred")).alias("has_nan"), F.count_if(F.isnan("pred")).alias("n_nan"), F.min(F.when(~F.isnan("pred"), F.col("pred"))).alias("lo"), F.max(F.when(~F.isnan("pred"), F.col("pred"))).alias("hi")).where("has_nan"))
 
 MULTI = "WITH m AS (SELECT l.quality AS y0, l.toxic AS y1, (n_chars % 97 + 1)/100.0 AS p0, (n_chars % 89 + 1)/100.0 AS p1 FROM labels l JOIN documents d ON l.doc_id=d.doc_id), t AS (SELECT 0 AS task, y0 AS y, CAST(p0 AS DOUBLE) AS p FROM m UNION ALL SELECT 1, y1, CAST(p1 AS DOUBLE) FROM m)"
 
@@ -120,8 +69,6 @@ def bce():
 
 q("loss_bce_multilabel", MULTI + " SELECT round(sum(-CASE WHEN y=1 THEN ln(p) ELSE ln(1-p) END)/(SELECT count(*) FROM m),6) AS loss FROM t")(
     lambda s, d: tasks(s, d).agg(r6(F.sum(bce()) / (F.count("*") / 2), "loss")))
-q("loss_multitask_ce", MULTI + ", w AS (SELECT task, sum((CASE WHEN y=1 THEN 2.0 ELSE 1.0 END)*-(CASE WHEN y=1 THEN ln(p) ELSE ln(1-p) END))/sum(CASE WHEN y=1 THEN 2.0 ELSE 1.0 END) AS l FROM t GROUP BY 1) SELECT round(sum(l),6) AS loss FROM w")(
-    lambda s, d: tasks(s, d).withColumn("w", F.when(F.col("y") == 1, 2.0).otherwise(1.0)).groupBy("task").agg((F.sum(F.col("w") * bce()) / F.sum("w")).alias("l")).agg(r6(F.sum("l"), "loss")))
 q("multilabel_confusion", MULTI + " SELECT task, count(*) FILTER (y=1 AND p>=0.5) AS tp, count(*) FILTER (y=0 AND p>=0.5) AS fp, count(*) FILTER (y=1 AND p<0.5) AS fn, count(*) FILTER (y=0 AND p<0.5) AS tn FROM t GROUP BY 1")(
     lambda s, d: confusion(s, d))
 
@@ -132,13 +79,8 @@ def confusion(s, d):
 
 
 PRF = ", c AS (SELECT task, count(*) FILTER (y=1 AND p>=0.5) AS tp, count(*) FILTER (y=0 AND p>=0.5) AS fp, count(*) FILTER (y=1 AND p<0.5) AS fn FROM t GROUP BY 1)"
-q("prf_micro_macro", MULTI + PRF + " SELECT round(sum(tp)/sum(tp+fp),6) AS micro_p, round(sum(tp)/sum(tp+fn),6) AS micro_r, round(avg(tp/(tp+fp)),6) AS macro_p, round(avg(tp/(tp+fn)),6) AS macro_r, round(avg(2*tp/(2*tp+fp+fn)),6) AS macro_f1 FROM c")(
+q("prf_micro_macro", MULTI + PRF + " SELECT round(sum(tp)/sum(tp+fp),6) AS micro_p, round(sum(tp)/sum(tp+fn),6) AS micro_r, round(avg(tp/(tp+fp)),6) AS macro_p, round(avg(tp/(tp+fn)),6) AS macro_r, round(avg(2*tp/(2*tp+fp+fn)),6) AS macro_f1, round(2*sum(tp)/sum(2*tp+fp+fn),6) AS micro_f1 FROM c")(
     lambda s, d: confusion(s, d).agg(r6(F.try_divide(F.sum("tp"), F.expr("sum(tp + fp)")), "micro_p"), r6(F.try_divide(F.sum("tp"), F.expr("sum(tp + fn)")), "micro_r"), r6(F.avg(F.expr("try_divide(tp, tp + fp)")), "macro_p"),
-                                     r6(F.avg(F.expr("try_divide(tp, tp + fn)")), "macro_r"), r6(F.avg(F.expr("try_divide(2 * tp, 2 * tp + fp + fn)")), "macro_f1")))
+                                     r6(F.avg(F.expr("try_divide(tp, tp + fn)")), "macro_r"), r6(F.avg(F.expr("try_divide(2 * tp, 2 * tp + fp + fn)")), "macro_f1"), r6(F.try_divide(2 * F.sum("tp"), F.expr("sum(2 * tp + fp + fn)")), "micro_f1")))
 q("list_parse", "SELECT doc_id, array_to_string(string_split(replace(lang || ', ' || source, ' ', ''), ','), '|') AS items FROM documents")(
     lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(F.split(F.replace(F.concat_ws(", ", "lang", "source"), F.lit(" "), F.lit("")), ","), "|").alias("items")))
-q("report_line", HIST + " SELECT step, tag, replace((CASE WHEN length(CAST(step AS VARCHAR))<7 THEN rpad(CAST(step AS VARCHAR),7,' ') ELSE CAST(step AS VARCHAR) END) || rpad(tag,7,' '), ' ', '_') AS line FROM h")(
-    lambda s, d: history(s, d).select("step", "tag", F.replace(F.concat(F.when(F.length(F.col("step").cast("string")) < 7, F.rpad(F.col("step").cast("string"), 7, " ")).otherwise(F.col("step").cast("string")), F.rpad("tag", 7, " ")), F.lit(" "), F.lit("_")).alias("line")))
-q("shuffle_samples")(lambda s, d: frames(s, d).orderBy(F.xxhash64("pos", F.lit(7))).select("pos", "file", "time_idx"))
-q("report_json")(lambda s, d: history(s, d).groupBy("step").pivot("tag", ["MAE", "RMSE"]).agg(F.first("value")).select("step", F.to_json(F.struct("MAE", "RMSE")).alias("line")))
-q("stream_scores", SUMS)(stream_scores)

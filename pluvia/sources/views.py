@@ -2,6 +2,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pluvia.sources.scratch import numbered
+
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -23,8 +25,7 @@ def cells_long(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
-    """batch_id numbers eight samples each; the window runs over the distinct samples only."""
-    from pyspark.sql import Window as W
+    """batch_id numbers eight samples each, by the order of the distinct samples."""
     li = spark.sql(PAIRS_SQL.replace("FROM lineitem", "FROM {t}"), t=table(spark, d, "lineitem"))
-    idx = li.select("sample_id").distinct().select("sample_id", F.floor((F.row_number().over(W.orderBy("sample_id")) - 1) / 8).cast("long").alias("batch_id"))
+    idx = numbered(li.select("sample_id").distinct(), "sample_id").select("sample_id", F.floor(F.col("pos") / 8).cast("long").alias("batch_id"))
     return li.join(idx, "sample_id")

@@ -1,19 +1,16 @@
-"""Running verification sums as pairs arrive."""
-import tempfile
-import uuid
-
+"""Running verification scores as pairs arrive."""
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SUMS = "SELECT CAST(l_shipdate AS DATE) AS sample_id, count(*) AS n, round(sum(CAST(l_quantity AS DOUBLE)),6) AS total FROM lineitem GROUP BY 1"
+from pluvia.functions import scores as S
 
 
-def stream_scores(spark, d: str):
-    """Files that arrive in the folder are added to the sums per sample; all that is there is taken, then the stream ends."""
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='stream-')}/scores-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(f"{d}/lineitem.parquet").schema
-    src = spark.readStream.schema(schema).parquet(f"{d}/lineitem.parquet*")
-    sums = src.groupBy(F.col("l_shipdate").cast("date").alias("sample_id")).agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_quantity").cast("double")), 6).alias("total"))
-    job = (sums.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
-           .foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{base}/table")).start())
+def stream_scores(spark: SparkSession, source: str, columns: list, schema, out: str, checkpoint: str) -> DataFrame:
+    """Files under source become pairs (sample_id, pred, label) by `columns`; each sample's sums are the stream's state, and
+    what changes with each batch replaces that batch's scores in the table. All that is there is taken, then the stream ends."""
+    pairs = spark.readStream.schema(schema).parquet(source).select(*columns)
+    sums = pairs.groupBy("sample_id").agg(*S.sample_stats(F.col("pred"), F.col("label"))).select("sample_id", *S.score_columns())
+    job = (sums.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+           .foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(out)).start())
     job.awaitTermination()
-    return spark.read.parquet(f"{base}/table")
+    return spark.read.parquet(out)

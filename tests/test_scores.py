@@ -11,12 +11,12 @@ def pairs(spark, rows):
 
 def test_no_event_and_constant_prediction(spark):
     r = verify.sample_scores(pairs(spark, [(0, "a", 0.0, 0.0), (0, "a", 0.0, 0.05)])).first()
-    assert (r.POD_light, r.FAR_light, r.TS_light, r.BIAS_light, r.CC) == (1.0, 1.0, 1.0, 1.0, 0.0)
+    assert (r.POD_light_rain, r.FAR_light_rain, r.TS_light_rain, r.BIAS_light_rain, r.CC) == (1.0, 1.0, 1.0, 1.0, 0.0)
 
 
 def test_predicted_without_observed_is_infinite_bias(spark):
     r = verify.sample_scores(pairs(spark, [(0, "a", 0.1, 0.0), (0, "a", 0.0, 0.0)])).first()
-    assert math.isinf(r.BIAS_light) and r.TS_light == 0.0
+    assert math.isinf(r.BIAS_light_rain) and r.TS_light_rain == 0.0
 
 
 def test_empty_report_has_zeros(spark):
