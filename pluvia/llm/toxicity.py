@@ -1,8 +1,17 @@
-"""Toxicity of texts after noisy-channel restoration; also the word-feature classifier that mixing uses.
+"""Toxicity of texts after noisy-channel restoration.
+
+A suspicious word (signs among its letters, repeated letters, letters set apart) is a lattice of what its signs may stand
+for; Viterbi decoding under a character model gives the restored word. The character model has the trigrams of all texts
+and, as half of its weight, those of the words that the labelled rows show to be toxic. A text's score comes from the
+hashed words of its restored form.
 
 Null and empty texts have no features and get the prior; a null doc_id is held out; repeated rows keep their own result;
-labels, lang, source and doc_id are never inputs of a score."""
+labels without a document and ties in the order of rows don't matter; words and texts may be of any length; without
+labels every score is 1/2; an empty table gives an empty result. labels, lang, source and doc_id are never inputs of a
+score; extra columns are not read."""
 import re
+import unicodedata
+from heapq import nlargest
 
 import numpy as np
 import pandas as pd
@@ -11,132 +20,215 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE, BUCKETS = 40_000, 1 << 18   # labelled rows fitted on, at most; hashed features
+LEXICON, SEEN = 2_000, 3            # words added to the character model, at most, and the labelled texts that hold each
+STRONGEST = 3                       # features that count in one text
+CACHE, LONG = 200_000, 64           # words a worker remembers before it starts again, and their bytes
+BEAM = 12                           # states of the lattice that are followed
+GLUED = 12                          # signs of a decoded word over which word ends are looked for in it
 #: fixed values: what a written sign may stand for
-LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "8": "b", "9": "g"}
+LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "8": "b", "9": "g", "*": "aeiou"}
+#: fixed values: letters of other scripts that look like Latin ones
+ALIKE = str.maketrans("аеосрхуікмтнвАЕОСРХУІКМТНВαοειν", "aeocpxyikmthbAEOCPXYIKMTHBaoeiv")
+#: fixed values: log10 costs of reading a sign as another letter, a star as a vowel, dropping a separator, a star, a repetition, a double letter, and of a word end
+COSTS = {"leet": 0.5, "star": 0.7, "drop": 0.3, "lost": 2.0, "run": 0.1, "double": 2.5, "end": 0.0}
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_END = 26
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 or chr(c) in "@$!|+*._-" else 32 for c in range(256))
-_SEP = b"*._-"
-_SPACED = re.compile(rb"(?<= )[^0-9 ](?: [^0-9 ]){3,}(?= )")
-CACHE = 200_000   # words a worker remembers before it starts again
-_STATE: dict = {}
-
-
-def viterbi(token: str, lm: np.ndarray) -> str:
-    """Best restored word: each sign is kept as a letter, read through LEET, dropped as a separator or as a repetition."""
-    beam = {26: (0.0, "")}
+_SPACED = re.compile(rb"(?<= )[^ ](?: [^ ]){2,}(?= )")
+_RUN, _DOUBLE = re.compile(rb"(.)\1\1+"), re.compile(rb"([a-z])\1")
+
+
+def trigrams(words: list[bytes]) -> np.ndarray:
+    """27 x 27 x 27 counts of letters after the two before; 26 is the word's end and what stands before it."""
+    n = np.zeros((27, 27, 27))
+    for w in words:
+        a = b = _END
+        for c in [*(x - 97 for x in w), _END]:
+            n[a, b, c] += 1
+            a, b = b, c
+    return n
+
+
+def log_model(n: np.ndarray, lexicon: np.ndarray | None = None) -> np.ndarray:
+    """log10 probabilities, smoothed by those of the letter before alone; a lexicon's trigrams have half of the weight."""
+    def smooth(n):
+        two = n.sum(axis=0) + 0.5
+        two /= two.sum(axis=1, keepdims=True)
+        return (n + 3 * two[None]) / (n.sum(axis=2, keepdims=True) + 3)
+    p = smooth(n)
+    return np.log10(p if lexicon is None else 0.5 * p + 0.5 * smooth(lexicon))
+
+
+def viterbi(token: str, lm: np.ndarray, ends: bool = False) -> str:
+    """Best restored form: each sign is kept as a letter, read through LEET, or dropped as a separator or a repetition;
+    with `ends` words may end between signs."""
+    beam = {(_END, _END): (0.0, None)}   # the last two letters: log10 probability, letters so far as linked pairs
+    before, run = "", 0
     for c in token:
-        nxt: dict = {}
+        run = run + 1 if c == before else 1
         outs = c if c in LETTERS else LEET.get(c, "")
-        for last, (p, w) in beam.items():
-            cands = [(p + lm[last, ord(o) - 97] - (0 if o == c else 1.0), ord(o) - 97, w + o) for o in outs]
-            if not outs or (w and outs and w[-1] in outs):
-                cands.append((p - (3.0 if c in LETTERS else 0.5), last, w))
+        cost = 0.0 if c in LETTERS else COSTS["star"] if c == "*" else COSTS["leet"]
+        nxt: dict = {}
+        for (a, b), (p, w) in beam.items():
+            cands = [(p + lm[a, b, ord(o) - 97] - cost, (b, ord(o) - 97), (w, o)) for o in outs]
+            if ends and b != _END:
+                q = p + lm[a, b, _END] - COSTS["end"]
+                cands += [(q + lm[_END, _END, ord(o) - 97] - cost, (_END, ord(o) - 97), (w, " " + o)) for o in outs]
+            if w and (not outs or c == "*"):
+                cands.append((p - COSTS["lost" if c == "*" else "drop"], (a, b), w))
+            elif w and w[1][-1] in outs and before and (w[1][-1] in before or w[1][-1] in LEET.get(before, "")):
+                cands.append((p - (COSTS["run"] if run > 2 or token.count(c * 3) else COSTS["double"]), (a, b), w))
             for q, k, v in cands:
                 if k not in nxt or nxt[k][0] < q:
                     nxt[k] = (q, v)
-        beam = nxt or beam
-    return max(((p + lm[k, 26], w) for k, (p, w) in beam.items()))[1] if beam else token
-
-
-def restore(text: str | None, lm: np.ndarray) -> list[bytes]:
-    """Words of the text; suspicious ones (signs inside letters, runs, spaced letters) are decoded."""
-    known = _words(lm)
-    return [r for w in _split(text, lm) if (r := _look(w, known, lm)[0])]
-
-
-def _split(text: str | None, lm: np.ndarray) -> list[bytes]:
-    """Words; four or more single signs in a row become one decoded word."""
-    line = b" " + b" ".join((text or "").encode("utf-8").translate(_TABLE).split()) + b" "
-    if _SPACED.search(line):
-        line = _SPACED.sub(lambda m: _decode(m[0].replace(b" ", b""), lm), line)
-    return line.split()
-
-
-def _words(lm: np.ndarray) -> dict:
-    """The worker's memory of words for this character model."""
-    if _STATE.get("lm") is not lm:
-        if not np.array_equal(_STATE.get("lm"), lm):
-            _STATE["words"] = {}
-        _STATE["lm"] = lm
-    if len(_STATE["words"]) > CACHE:
-        _STATE["words"].clear()
-    return _STATE["words"]
-
-
-def _look(w: bytes, known: dict, lm: np.ndarray) -> tuple[bytes, tuple]:
-    """The restored word and its hashed features: the word and its beginnings of four to six bytes."""
-    got = known.get(w)
-    if got is None:
-        core = w if len(w) == 1 and not w.isdigit() else w.strip(b"*._-!|+")
-        plain = core.isalpha() and not _runs(core) or core.isdigit() or not core.isascii() or len(core) < 2
-        r = core if plain else _decode(core, lm)
-        keys = [r, *(b"^" + r[:k] for k in (4, 5, 6) if len(r) > k)] if r else []
-        got = known[w] = (r, tuple(xxhash.xxh64_intdigest(k) % BUCKETS for k in keys))
-    return got
-
-
-def _runs(w: bytes) -> bool:
-    return any(a == b == c for a, b, c in zip(w, w[1:], w[2:]))
-
-
-def _decode(w: bytes, lm: np.ndarray) -> bytes:
-    return viterbi(w.decode(), lm).encode() or w if len(w) <= 32 and w.isascii() else w
-
-
-def char_model(docs: DataFrame) -> np.ndarray:
-    """log10 bigram table over a-z and the word end (27 x 27), counted over all texts."""
+        beam = (nxt if len(nxt) <= BEAM else dict(nlargest(BEAM, nxt.items(), key=lambda x: x[1][0]))) or beam
+        before = c
+    best = max(((p + lm[a, b, _END], w) for (a, b), (p, w) in beam.items()), key=lambda x: x[0])[1]
+    out = []
+    while best:
+        best, o = best
+        out.append(o)
+    return "".join(out[::-1]) or token
+
+
+class Restorer:
+    """Restores words and hashes them; what a worker has seen is remembered."""
+
+    def __init__(self, lm: np.ndarray, lexicon=frozenset()):
+        self.lm, self.lexicon, self.seen = lm, frozenset(lexicon), {}
+        long = sorted((w for w in self.lexicon if len(w) > 4), key=lambda w: (-len(w), w))
+        self.within = re.compile(b"|".join(long)) if long else None
+
+    def __getstate__(self):
+        return {"lm": self.lm, "lexicon": self.lexicon, "seen": {}, "within": self.within}
+
+    def decode(self, w: bytes, ends: bool = False) -> bytes:
+        return viterbi(_RUN.sub(rb"\1\1\1", w).decode("ascii"), self.lm, ends).encode()
+
+    def restore(self, w: bytes) -> bytes:
+        """What one word stands for; several words where it is long and decoded."""
+        core = w if len(w) == 1 and not w.isdigit() else w.strip(b"._-!|+*") or w
+        if not core.isascii():
+            plain = unicodedata.normalize("NFKD", core.decode("utf-8").translate(ALIKE)).encode("ascii", "ignore").lower()
+            if plain in self.lexicon:
+                return plain
+            return core if any(x in LETTERS for x in core.decode("utf-8")) and core.decode("utf-8").isalpha() or not plain.translate(_TABLE).isascii() else self._ascii(plain.translate(_TABLE).replace(b" ", b"")) or core
+        got = self._ascii(core)
+        if w[:1] in b"!|+*" and len(core) > 2 and core != w and got not in self.lexicon:   # a sign in front may stand for a letter
+            led = self._ascii(w.strip(b"._-").rstrip(b"!|+*"))
+            return led if led in self.lexicon else got
+        return got
+
+    def _ascii(self, core: bytes) -> bytes:
+        if core.isalpha():
+            if not _DOUBLE.search(core):
+                return core
+            if not _RUN.search(core):   # double letters are common: only those that hide a known word
+                one = _DOUBLE.sub(rb"\1", core)
+                return one if one in self.lexicon and core not in self.lexicon else core
+        elif len(core) < 2 or not any(97 <= x <= 122 for x in core):
+            return core
+        return self.decode(core, len(core) > GLUED)
+
+    def look(self, w: bytes) -> tuple:
+        """The restored word's hashed features: the word and its beginnings of four to six bytes."""
+        got = self.seen.get(w)
+        if got is None:
+            got = tuple(k for r in self.restore(w).split() for k in _keys(r))
+            if len(self.seen) > CACHE:
+                self.seen.clear()
+            if len(w) <= LONG:
+                self.seen[w] = got
+        return got
+
+    def split(self, text: str | None) -> list[bytes]:
+        """Words; three or more single signs in a row, two letters among them, become decoded words."""
+        line = b" " + b" ".join((text or "").encode("utf-8").translate(_TABLE).split()) + b" "
+        if _SPACED.search(line):
+            line = _SPACED.sub(self._joined, line)
+        return line.split()
+
+    def _joined(self, m) -> bytes:
+        s = m[0].replace(b" ", b"")
+        if not s.isascii() or sum(97 <= x <= 122 for x in s) < 2:
+            return m[0]
+        got = self.decode(s, True)
+        return b" ".join([got, *(self.within.findall(got) if self.within else [])])   # known words that stay glued to others
+
+    def features(self, text: str | None) -> np.ndarray:
+        """Distinct hashed features; each distinct word is looked up once."""
+        out: set = set()
+        for w in set(self.split(text)):
+            out.update(self.look(w))
+        return np.fromiter(out, dtype=np.int64, count=len(out))
+
+    def words(self, text: str | None) -> list[bytes]:
+        return [r for w in self.split(text) for r in self.restore(w).split()]
+
+
+def _keys(r: bytes) -> tuple:
+    return tuple(xxhash.xxh64_intdigest(k) % BUCKETS for k in (r, *(b"^" + r[:k] for k in (4, 5, 6) if len(r) > k))) if r else ()
+
+
+def char_counts(docs: DataFrame) -> np.ndarray:
+    """Trigrams of a-z and what stands between, over all texts."""
     def count(it):
-        total = np.zeros((27, 27))
+        total = np.zeros(27**3)
         code = np.full(256, 26)
         code[97:123] = code[65:91] = np.arange(26)
         for pdf in it:
             for t in pdf["text"]:
-                c = code[np.frombuffer((" " + (t or "") + " ").encode("utf-8"), dtype=np.uint8)]
-                total += np.bincount(c[:-1] * 27 + c[1:], minlength=729).reshape(27, 27)
-        yield pd.DataFrame({"k": np.arange(729), "n": total.ravel()})
+                c = code[np.frombuffer(("  " + (t or "") + " ").encode("utf-8"), dtype=np.uint8)]
+                c = c[np.concatenate(([True], (c[1:] != 26) | (c[:-1] != 26)))]
+                before = np.concatenate(([26], c[:-2]))
+                a = np.where(c[:-1] == 26, 26, before)   # nothing before a word's first letter counts
+                total += np.bincount(a * 729 + c[:-1] * 27 + c[1:], minlength=27**3)
+        yield pd.DataFrame({"k": np.arange(27**3), "n": total})
     got = docs.select("text").mapInPandas(count, "k int, n double").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
-    n = np.zeros(729)
+    n = np.zeros(27**3)
     n[got["k"].to_numpy()] = got["n"].to_numpy()
-    n = n.reshape(27, 27)
-    n[26, 26] = 0
-    return np.log10((n + 0.5) / (n + 0.5).sum(axis=1, keepdims=True))
+    return n.reshape(27, 27, 27)
 
 
-def features(text: str | None, lm: np.ndarray) -> np.ndarray:
-    """Distinct hashed features of the restored words; each distinct word is looked up once."""
-    known, out = _words(lm), set()
-    for w in set(_split(text, lm)):
-        out.update(_look(w, known, lm)[1])
-    return np.fromiter(out, dtype=np.int64, count=len(out))
-
-
-def fit(docs: DataFrame, labelled: DataFrame, classes: int, lm: np.ndarray, sample: int = SAMPLE) -> dict:
-    """labelled (doc_id, y in 0..classes-1); at most `sample` rows, the smallest by hash. Naive log odds against the
-    rest, of which a text counts the strongest few, then calibrated for each class."""
-    ids = labelled.where("y is not null").select("doc_id", "y").orderBy(F.xxhash64("doc_id")).limit(sample)
+def fit(docs: DataFrame, labelled: DataFrame, chars: np.ndarray, sample: int = SAMPLE) -> dict:
+    """labelled (doc_id, y in 0, 1); at most `sample` rows, the smallest by hash. Lower bounds of the features' log odds, of
+    which a text counts the strongest, then calibrated."""
+    ids = labelled.where("y is not null AND doc_id is not null").select("doc_id", "y").orderBy(F.xxhash64("doc_id")).limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    first = docs.sparkSession.sparkContext.broadcast(Restorer(log_model(chars)))
+
     def count(it):
+        n = np.zeros((2, BUCKETS + 1), dtype=np.int64)
         for pdf in it:
-            fs = [features(t, lm) for t in pdf["text"]]
-            yield pd.DataFrame({"f": np.concatenate(fs), "y": np.repeat(pdf["y"].to_numpy(), [len(f) for f in fs])})
-    got = rows.mapInPandas(count, "f long, y int").groupBy("f", "y").agg(F.count("*").alias("n")).toPandas()  # BUCKETS x classes rows at most
-    n = np.zeros((classes, BUCKETS))
-    n[got["y"].to_numpy(), got["f"].to_numpy()] = got["n"].to_numpy()
-    docs_n = np.zeros(classes)
-    for r in ids.groupBy("y").count().collect():
-        docs_n[r["y"]] = r["count"]
-    weight = np.zeros((classes, BUCKETS), dtype=np.float32)
-    for k in range(classes):
-        a, b, na, nb = n[k], n.sum(axis=0) - n[k], docs_n[k], docs_n.sum() - docs_n[k]
-        weight[k] = np.maximum(0, np.log((a + 0.5) / (na + 1)) - np.log((b + 0.5) / (nb + 1)) - 2 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)))  # lower bound of the log odds
-    model = {"w": weight, "fit": np.tile([1.0, 0.0], (classes, 1)), "lm": lm}
-    b = docs.sparkSession.sparkContext.broadcast(model)
+            for t, y in zip(pdf["text"], pdf["y"]):
+                n[y, first.value.features(t)] += 1
+                n[y, BUCKETS] += 1
+        k = np.flatnonzero(n)
+        yield pd.DataFrame({"k": k, "n": n.ravel()[k]})
+    got = rows.mapInPandas(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()  # two rows for each of BUCKETS at most
+    n = np.zeros((2, BUCKETS + 1))
+    n.ravel()[got["k"].to_numpy()] = got["n"].to_numpy()
+    (a, b), (na, nb) = n[::-1, :BUCKETS], n[::-1, BUCKETS]
+    weight = np.maximum(0, np.log((a + 0.5) / (na + 1)) - np.log((b + 0.5) / (nb + 1)) - 2 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))).astype(np.float32)
+    held = docs.sparkSession.sparkContext.broadcast(weight)
+
+    def telling(it):
+        for pdf in it:
+            out = []
+            for t in pdf["text"]:
+                ws = {w for w in first.value.words(t) if 3 < len(w) <= 32 and w.isalpha() and w.isascii()}
+                out += [w for w in ws if held.value[_keys(w)[0]] > 0]
+            yield pd.DataFrame({"w": out})
+    top = rows.where("y = 1").mapInPandas(telling, "w binary").groupBy("w").count().where(F.col("count") >= SEEN).orderBy(F.desc("count"), "w").limit(LEXICON).collect()  # LEXICON short words at most
+    lexicon = [bytes(r["w"]) for r in top]
+    model = {"w": weight, "fit": np.array([1.0, 0.0]), "restorer": Restorer(log_model(chars, trigrams(lexicon) if lexicon else None), lexicon)}
+    whole = docs.sparkSession.sparkContext.broadcast(model)
+
     def measure(it):
         for pdf in it:
-            yield pd.DataFrame({"y": pdf["y"], "s": [log_odds(t, b.value) for t in pdf["text"]]})
-    seen = rows.mapInPandas(measure, "y int, s array<double>").toPandas()  # `sample` rows at most
-    x, y = np.array(seen["s"].tolist(), dtype=np.float64).reshape(-1, classes), seen["y"].to_numpy()
-    model["fit"] = np.array([platt(x[:, k], (y == k).astype(float)) for k in range(classes)])
+            yield pd.DataFrame({"y": pdf["y"], "s": [log_odds(t, whole.value) for t in pdf["text"]]})
+    seen = rows.mapInPandas(measure, "y int, s double").toPandas()  # `sample` rows at most
+    model["fit"] = platt(seen["s"].to_numpy(dtype=np.float64), (seen["y"] == 1).to_numpy(dtype=np.float64))
     return model
 
 
@@ -151,35 +243,18 @@ def platt(s: np.ndarray, y: np.ndarray) -> np.ndarray:
     return a
 
 
-def _weighted(model: dict) -> tuple[dict, np.ndarray]:
-    """The worker's memory of words with the features that have a weight in this model, and which have one."""
-    if _STATE.get("w") is not model["w"]:
-        _STATE.update(w=model["w"], used=(model["w"] != 0).any(axis=0), live={})
-    if len(_STATE["live"]) > CACHE:
-        _STATE["live"].clear()
-    return _STATE["live"], _STATE["used"]
-
-
-def log_odds(text: str | None, model: dict, strongest: int = 3) -> np.ndarray:
-    """Features without weight add nothing, so they are left out."""
-    lm, (live, used), out = model["lm"], _weighted(model), set()
-    known = _words(lm)
-    for w in set(_split(text, lm)):
-        got = live.get(w)
-        if got is None:
-            got = live[w] = tuple(k for k in _look(w, known, lm)[1] if used[k])
-        if got:
-            out.update(got)
-    w = model["w"][:, list(out)] if out else np.zeros((len(model["w"]), 1), np.float32)
-    return model["fit"][:, 0] * np.sort(w, axis=1)[:, -strongest:].sum(axis=1) + model["fit"][:, 1]
+def log_odds(text: str | None, model: dict) -> float:
+    w = model["w"][model["restorer"].features(text)]
+    return float(model["fit"][0] * (w if len(w) <= STRONGEST else np.partition(w, -STRONGEST)[-STRONGEST:]).sum() + model["fit"][1])
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """model with two classes -> doc_id, held_out, score, predicted."""
+    """doc_id, held_out, score, predicted."""
     b = docs.sparkSession.sparkContext.broadcast(model)
+
     def run(it):
         for pdf in it:
-            z = np.array([log_odds(t, b.value)[1] for t in pdf["text"]], dtype=np.float64)
+            z = np.array([log_odds(t, b.value) for t in pdf["text"]], dtype=np.float64)
             p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
             yield pd.DataFrame({"id": pdf["id"], "score": p, "predicted": (p >= 0.5).astype(np.int32)})
     got = docs.selectExpr("string(doc_id) AS id", "text").mapInPandas(run, "id string, score double, predicted int")  # text keeps null ids apart from the numbers
@@ -187,5 +262,6 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labels are learned only from rows that aren't held out."""
     train = labels.where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0").selectExpr("doc_id", "toxic AS y")
-    return score(docs, fit(docs, train, 2, char_model(docs)))
+    return score(docs, fit(docs, train, char_counts(docs)))
