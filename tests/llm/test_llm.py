@@ -123,3 +123,26 @@ def test_pii_long_and_touching(spark):
     assert out[30] == "my [secret] end" and "AKIA" not in out[31] and "ghp_" not in out[31]
     bare = pii.candidates(F.lit(f"key {long} end"))
     assert [(s.start, s.end) for s in spark.range(1).select(bare.alias("c")).first().c] == [(4, 204)]
+
+
+@pytest.mark.parametrize("text, labels", [
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "mit"),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted", "bsd"),
+    ("You may not use this file except in compliance with the License.", "apache"),
+    ("This program is free software: you can redistribute it and/or modify it", "gpl"),
+    ("Released under Apache 2", "apache"), ("Apache Software v2 is used", "apache"), ("distributed under the MIT terms", "mit"),
+    ("No part of this book may be reproduced without prior written permission", "proprietary"),
+    ("Licensed under a Creative Commons Attribution-ShareAlike 4.0 International", "cc,cc-sa"),
+    ("an apache helicopter and a mit student", ""),
+])
+def test_license_signatures(spark, text, labels):
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert license.report(d).first().labels == labels
+    assert str(license.detect(d).collect()) == str(license.detect(d, gated=False).collect())
+
+
+def test_license_containment(spark):
+    """A name inside a notice is suppressed, one beside it stays; an inner detection of higher priority stays."""
+    t = "Licensed under the MIT license. The MIT license. Without warranty of any kind, this work is placed in the public domain"
+    got = license.detect(spark.createDataFrame([(1, t)], "doc_id long, text string")).first().detections
+    assert [(x.label, x.p) for x in got] == [("mit", 4), ("mit", 2), ("no-warranty", 2), ("public-domain", 4)]
