@@ -1,4 +1,5 @@
 """The shared folder of the session, and tables and row numbers that rest on it."""
+import re
 import tempfile
 import uuid
 
@@ -6,14 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir. Where that is unset, as in tests on one machine, a temporary one."""
+def shared(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where that is unset and all runs on one machine, as in tests, a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="pluvia-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return base
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one. What is written there stays, as checkpoints do, until that folder is cleared."""
+    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
