@@ -1,7 +1,11 @@
 """License phrases and signature rules, by DataFrame functions only.
 
-Null texts are empty; each row has its own result; extra columns are not read. Rules are (family x form), ordered; a
-detection inside another of at least its priority is suppressed."""
+Rules are those of named families (each with five forms: notice, tag, clause, name, version) and hand-written signatures of
+license bodies and statements. A rule is tried only on texts that hold its own keyword, which every match holds. A
+detection inside another of at least its priority is suppressed; of equal spans the first in order stays.
+
+Null texts are empty; each row has its own result, repeated rows and null ids too; texts may be of any length; an empty
+table gives an empty result; extra columns are not read."""
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -27,23 +31,72 @@ VER = r"(?: (?:version |v ?)?[0-9]+(?: [0-9]+)?)?"
 FORMS = [("notice", 4, r"(?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?{}(?: public)?(?: licen[sc]e)?(?: version)?" + VER),
          ("tag", 4, r"spdx license identifier {}" + VER), ("clause", 3, r"this work is licensed under (?:the )?{}(?: licen[sc]e)?" + VER),
          ("named", 2, r"{} licen[sc]e(?: version)?" + VER), ("version", 1, r"{} (?:version |v)[0-9]+(?: [0-9]+)?")]
-RULES = [(label, key, prio, form.format(name)) for form_name, prio, form in FORMS for label, key, name in FAMILIES]
+#: fixed values: label, priority, keyword, pattern over the space-joined words
+SIGNATURES = [
+    ("mit", 4, "hereby granted free of charge", r"permission is hereby granted free of charge to any person obtaining a copy"),
+    ("boost", 4, "any person or organization", r"permission is hereby granted free of charge to any person or organization obtaining a copy"),
+    ("isc", 4, "with or without fee is hereby granted", r"permission to use copy modify (?:and or|and) distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd", 4, "redistribution and use in source", r"redistribution and use in source and binary forms(?: with or without modification)?(?: are permitted)?"),
+    ("bsd", 3, "nor the names of", r"neither the name of (?:[^ ]+ ){1,12}nor the names of (?:its|their|the) contributors"),
+    ("apache", 4, "except in compliance with the license", r"you may not use this (?:file|work|software) except in compliance with the license"),
+    ("apache", 4, "licensed to the apache software foundation", r"licensed to the apache software foundation(?: asf)? under one or more contributor license agreements"),
+    ("gpl", 4, "you can redistribute it and", r"(?:this|the) (?:program|library|file|software) is free software you can redistribute it and or modify it"),
+    ("gpl", 3, "either version", r"either version [0-9]+(?: [0-9]+)? of the license or at your option any later version"),
+    ("mpl", 4, "source code form is subject", r"this source code form is subject to the terms of the mozilla public license"),
+    ("epl", 4, "accompanying materials are made available", r"this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cddl", 4, "common development and distribution", r"(?:subject to the terms of the )?common development and distribution license"),
+    ("zlib", 4, "will the authors be held liable", r"in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("unlicense", 4, "free and unencumbered software", r"this is free and unencumbered software released into the public domain"),
+    ("wtfpl", 4, "do what the fuck you want", r"do what the fuck you want to(?: public license)?"),
+    ("cc0", 4, "extent possible under law", r"to the extent possible under law (?:[^ ]+ ){1,12}waived all copyright"),
+    ("cc0", 4, "creative commons zero", r"creative commons zero"),
+    ("artistic", 3, "artistic license", r"(?:the )?(?:perl )?artistic license"),
+    ("cc", 3, "under a creative commons", r"licensed under a creative commons(?: [^ ]+){0,6} (?:licen[sc]e|unported|international)"),
+    ("cc-sa", 4, "sharealike", r"(?:creative commons )?attribution (?:noncommercial )?sharealike"),
+    ("cc-nc", 4, "noncommercial", r"(?:creative commons )?attribution noncommercial"),
+    ("cc-nd", 4, "noderiv", r"(?:creative commons )?attribution (?:noncommercial )?noderiv(?:s|ative|atives)"),
+    ("ofl", 4, "reserved font name", r"with reserved font name"),
+    ("ogl", 4, "open government licen", r"open government licen[sc]e"),
+    ("odbl", 3, "open data commons", r"open data commons(?: open database| attribution| public domain dedication)"),
+    ("public-domain", 4, "in the public domain", r"(?:is|are|placed|been placed|remains?) in the public domain"),
+    ("public-domain", 4, "to the public domain", r"(?:dedicated|released|contributed) to the public domain"),
+    ("public-domain", 4, "into the public domain", r"(?:released|placed|put) into the public domain"),
+    ("no-warranty", 2, "without warranty of any kind", r"without warranty of any kind(?: express or implied)?"),
+    ("no-warranty", 2, "without any warranty", r"without any warranty without even the implied warranty"),
+    ("proprietary", 4, "proprietary and confidential", r"(?:is )?proprietary and confidential"),
+    ("proprietary", 4, "strictly prohibited", r"(?:unauthorized|unauthorised) (?:copying|use|reproduction|distribution)(?: [^ ]+){0,8} is strictly prohibited"),
+    ("proprietary", 4, "may be reproduced", r"no part of this (?:publication|document|book|work|site) may be reproduced"),
+    ("proprietary", 3, "written permission", r"without (?:the )?(?:prior |express )?(?:prior |express )?written permission"),
+    ("eula", 4, "user license agreement", r"end user license agreement"),
+    ("non-commercial", 3, "commercial use", r"(?:for )?non commercial use only|noncommercial use only"),
+    ("non-commercial", 3, "personal use only", r"for (?:your )?personal use only"),
+    ("copyright", 1, "copyright", r"copyright (?:c )?(?:1[89][0-9][0-9]|20[0-9][0-9])"),
+    ("copyright", 1, "copyrighted", r"copyrighted (?:material|work|content|by)"),
+    ("dual", 3, "dual licensed", r"dual licensed under"),
+]
 #: what every alternative of a family's name holds, in the space-joined words; others start with the family's keyword
 KEYS = {"gpl": ["gpl"], "ofl": [" open font", " ofl"]}
 _DETS = "cast(array() as array<struct<s:int,e:int,p:int,label:string>>)"
 
 
-def _spans(norm: Column, label: str, prio: int, words: str) -> Column:
-    """Spans of one rule over the space-joined words, in characters."""
+def _spans(label: str, prio: str, words: str) -> str:
+    """SQL of the spans of one rule over the space-joined words in _n, in characters; prio: SQL over a matched value x.v.
+    (One parsed text is planned far faster than as many calls as it has parts.)"""
     pat = f"(?<= )(?:{words})(?= )"
-    zipped = F.zip_with(F.transform(F.split(norm, pat, -1), F.length), F.regexp_extract_all(norm, F.lit(pat), F.lit(0)), lambda a, v: F.struct(a.alias("gap"), v.alias("v")))
-    init = F.struct(F.lit(0).alias("at"), F.expr(_DETS).alias("out"))
-    def step(acc, x):
-        s = acc["at"] + x["gap"]
-        e = s + F.length(x["v"])
-        one = F.struct(s.alias("s"), e.alias("e"), F.lit(prio).alias("p"), F.lit(label).alias("label"))
-        return F.when(x["v"].isNull(), acc).otherwise(F.struct(e.alias("at"), F.concat(acc["out"], F.array(one)).alias("out")))
-    return F.aggregate(zipped, init, step, lambda acc: acc["out"])
+    start = "acc.at + x.gap"
+    one = f"struct({start} AS s, {start} + length(x.v) AS e, {prio} AS p, '{label}' AS label)"
+    return (f"aggregate(zip_with(transform(split(_n, r'{pat}', -1), t -> length(t)), regexp_extract_all(_n, r'{pat}', 0), (a, v) -> struct(a AS gap, v AS v)), "
+            f"struct(0 AS at, {_DETS} AS out), (acc, x) -> CASE WHEN x.v IS NULL THEN acc ELSE struct({start} + length(x.v) AS at, concat(acc.out, array({one})) AS out) END, acc -> acc.out)")
+
+
+def _family(name: str) -> str:
+    """All forms of a family's name in one pattern, the strongest first."""
+    return "|".join(form.format(name) for _, _, form in FORMS)
+
+
+#: SQL of the priority of the form that a family's match has
+_FORM_PRIORITY = (r"CASE WHEN x.v RLIKE r'^(?:licensed|released|distributed|available) under |^spdx ' THEN 4 WHEN startswith(x.v, 'this work is ') THEN 3 "
+                  r"WHEN x.v RLIKE r' licen[sc]e' THEN 2 ELSE 1 END")
 
 
 def _keys(label: str, key: str) -> list[str]:
@@ -56,22 +109,24 @@ def _gate(low: Column) -> Column:
     some = lambda cs: reduce(lambda a, b: a | b, cs)
     held = lambda key: reduce(lambda a, b: a & b, [low.contains(w) for w in key.split()])
     form = some([low.contains(w) for w in ("licen", "spdx", "under", "version")]) | low.rlike("v[0-9]")
-    return some([held(p) for p in BASE.values()]) | (form & some([held(k) for label, key, _ in FAMILIES for k in _keys(label, key)]))
+    own = some([held(p) for p in BASE.values()]) | some([held(key) for _, _, key, _ in SIGNATURES])
+    return own | (form & some([held(k) for label, key, _ in FAMILIES for k in _keys(label, key)]))
 
 
 def detect(docs: DataFrame, gated: bool = True) -> DataFrame:
     """doc_id, base columns, the kept detections and the score; without gates every rule is tried on every text."""
     t = F.coalesce(F.col("text"), F.lit(""))
     gate = _gate(F.lower(t)) if gated else F.lit(True)
-    opens = lambda keys: reduce(lambda a, b: a | b, [F.col("_n").contains(k) for k in keys]) if gated else F.lit(True)
+    opens = lambda keys, spans: f"CASE WHEN {' OR '.join(f'contains(_n, {chr(39)}{k}{chr(39)})' for k in keys)} THEN {spans} ELSE {_DETS} END" if gated else spans
     norm = F.concat(F.lit(" "), F.translate(F.regexp_replace(t, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(" "))
     df = docs.select("doc_id", F.size(F.regexp_extract_all(t, F.lit(WORD), F.lit(0))).cast("long").alias("n_words"), F.when(gate, F.regexp_replace(norm, " +", " ")).alias("_n"))
     n = F.col("_n")
-    base = [F.when(opens([f" {p} "]), _spans(n, k, 5, p)).otherwise(F.expr(_DETS)) for k, p in BASE.items()]
-    df = df.withColumn("_base", F.concat(*base))
-    rules = [F.when(opens(_keys(label, key)), F.concat(*[_spans(n, label, prio, pat) for la, ke, prio, pat in RULES if (la, ke) == (label, key)])).otherwise(F.expr(_DETS)) for label, key, _ in FAMILIES]
-    df = df.withColumn("_rules", F.concat(*rules))
-    order = F.array_sort("_rules", lambda a, b: F.when(a["s"] < b["s"], -1).when(a["s"] > b["s"], 1).when(a["e"] != b["e"], b["e"] - a["e"]).otherwise(b["p"] - a["p"]))
+    base = [opens([f" {p} "], _spans(k, "5", p)) for k, p in BASE.items()]
+    df = df.withColumn("_base", F.coalesce(F.expr(f"concat({', '.join(base)})"), F.expr(_DETS)))
+    rules = [opens(_keys(label, key), _spans(label, _FORM_PRIORITY, _family(name))) for label, key, name in FAMILIES]
+    rules += [opens([key], _spans(label, str(prio), pat)) for label, prio, key, pat in SIGNATURES]
+    df = df.withColumn("_rules", F.coalesce(F.expr(f"concat({', '.join(rules)})"), F.expr(_DETS)))
+    order = F.array_sort("_rules", lambda a, b: F.when(a["s"] < b["s"], -1).when(a["s"] > b["s"], 1).when(a["e"] != b["e"], b["e"] - a["e"]).when(a["p"] != b["p"], b["p"] - a["p"]).when(a["label"] < b["label"], -1).when(a["label"] > b["label"], 1).otherwise(0))
     init = F.struct(F.array(*[F.lit(-1)] * 5).alias("m"), F.expr(_DETS).alias("out"))
     def keep(acc, d):
         inside = F.element_at(acc["m"], d["p"]) >= d["e"]
