@@ -1,16 +1,14 @@
 """SimHash near-duplicate groups by multi-index hashing.
 
-Null and empty texts have fingerprint 0 and link like any other; repeated rows keep their own result; an empty
-table gives an empty result; extra columns are not read."""
-from collections.abc import Iterator
-
+Null and empty texts have fingerprint 0 and link like any other; repeated rows keep their own result; a null doc_id is
+no candidate for a component's smallest one, and a component of null ids alone has none; texts may be of any length; an
+empty table gives an empty result; extra columns are not read."""
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, map_texts
 
 HALF = 0xFFFFFFFF
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -34,13 +32,9 @@ def fingerprint(text: str | None, n: int = 3, block: int = 65536) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def _batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in it:
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": np.array([fingerprint(t) for t in pdf["text"]], dtype=np.uint64).view(np.int64)})
-
-
 def fingerprints(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").mapInPandas(_batches, "doc_id long, fp long")
+    """doc_id, fp."""
+    return map_texts(docs.select("doc_id", "text"), lambda texts: [np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)], "fp long")
 
 
 def links(fps: DataFrame) -> DataFrame:
