@@ -1,12 +1,16 @@
 """Document statistics and a monotone boosted-tree verdict.
 
-Null and empty texts have zero statistics and fail the base rule; repeated rows keep their own result."""
+Null and empty texts have zero statistics and fail the base rule; repeated rows keep their own result; equal labelled rows
+count as often as they stand; without labels the base rule alone decides; texts may be of any length; an empty table gives
+an empty result. `filter_kept` keeps extra columns, but for one named _kept."""
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_texts
+
 SAMPLE = 20_000  # labelled rows the trees are fitted on, at most
 FEATURES = ["n_words", "mean_word", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio", "bang_ratio", "distinct_ratio"]
 MONOTONE = {"symbol_ratio": -1, "dup_line_ratio": -1, "repeat_ratio": -1}
@@ -42,9 +46,13 @@ def stats(text: str | None) -> tuple:
     return (n, chars, symbols, dup, rep, chars / m, symbols / m, dup / max(len(lines), 1), rep / m, up / max(len(b), 1), b.count(b"!") / m, len(set(h.tolist())) / m)
 
 
-def _frame(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
-    a = np.array([stats(t) for t in pdf["text"]], dtype=np.float64).reshape(-1, 12)
-    return pd.DataFrame(a[:, :5].astype(np.int64), columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]), np.column_stack([a[:, 0], a[:, 5:]])
+STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+
+
+def _measured(texts) -> tuple[np.ndarray, np.ndarray]:
+    """The five counts and the features of each text."""
+    a = np.array([stats(t) for t in texts], dtype=np.float64).reshape(-1, 12)
+    return a[:, :5].astype(np.int64), np.column_stack([a[:, 0], a[:, 5:]])
 
 
 def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.2, bins: int = 32, weight: np.ndarray | None = None, mono: list[int] | None = None, least: float = 20) -> dict:
@@ -111,30 +119,29 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     ids = labels.where("quality is not null and doc_id is not null").select("doc_id", "quality").orderBy(F.xxhash64("doc_id")).limit(sample)
     def run(it):
         for pdf in it:
-            _, x = _frame(pdf)
+            _, x = _measured(pdf["text"])
             yield pd.DataFrame({"y": pdf["quality"].astype(float), "x": list(x)})
     got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInPandas(run, "y double, x array<double>").toPandas()
     x = np.array(got["x"].tolist(), dtype=np.float64).reshape(-1, len(FEATURES))
     return fit_trees(x, got["y"].to_numpy(dtype=np.float64))
 
 
-def score(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
-    """All columns of docs are not kept: doc_id, the statistics, base_failed and kept."""
+def _verdict(docs: DataFrame, model: dict, threshold: float):
     b = docs.sparkSession.sparkContext.broadcast(model)
-    def run(it):
-        for pdf in it:
-            out, x = _frame(pdf)
-            bad = (out["n_words"] < 10) | (100 * out["n_repeat_words"] > 20 * out["n_words"])
-            yield pd.concat([pdf["doc_id"].reset_index(drop=True), out], axis=1).assign(base_failed=bad, kept=~bad & (not b.value["roots"] or predict(b.value, x) >= threshold))
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
+
+    def run(texts):
+        n, x = _measured(texts)
+        bad = (n[:, 0] < 10) | (100 * n[:, 4] > 20 * n[:, 0])
+        return *n.T, bad, ~bad & (predict(b.value, x) >= threshold if b.value["roots"] else True)
+    return run
 
 
-def filter_kept(docs: DataFrame, model: dict) -> DataFrame:
+def score(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
+    """doc_id, the statistics, base_failed and kept."""
+    return map_texts(docs.select("doc_id", "text"), _verdict(docs, model, threshold), STATS + ", base_failed boolean, kept boolean")
+
+
+def filter_kept(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that are kept, with their columns."""
-    b = docs.sparkSession.sparkContext.broadcast(model)
-    def run(it):
-        for pdf in it:
-            out, x = _frame(pdf)
-            bad = ((out["n_words"] < 10) | (100 * out["n_repeat_words"] > 20 * out["n_words"])).to_numpy()
-            yield pdf[~bad & ((predict(b.value, x) >= 0.5) if b.value["roots"] else True)]
-    return docs.mapInPandas(run, docs.schema)
+    run = _verdict(docs, model, threshold)
+    return map_texts(docs, lambda texts: run(texts)[-1:], "_kept boolean", keep=True).where("_kept").select(*docs.columns)
