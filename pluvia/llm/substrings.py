@@ -2,7 +2,11 @@
 
 Runs of 100-byte windows with one smallest 32-byte gram and one side of it are the sampled suffixes: equal windows have
 equal keys. Equal runs are settled by two 64-bit fingerprints; only runs that share a key but differ are compared window
-by window. Null texts are empty; an empty table gives an empty result; doc_id is the key."""
+by window.
+
+Null texts are empty; rows are taken in the order of doc_id, null ids last, those of one doc_id in the order of the table's
+parts; repeated rows so keep the bytes of the first one; texts may be of any length; an empty table gives an empty result;
+extra columns are not read."""
 import hashlib
 
 import numpy as np
@@ -10,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import map_texts, written
 
 WINDOW, GRAM = 100, 32
 SIDE = (WINDOW - GRAM) // 2   # a window holds at least so many bytes on one side of its gram
@@ -65,8 +69,8 @@ def runs(text: str | None):
     return key.view(np.int64), _mix(x, lo, hi + WINDOW - 1, 0).view(np.int64), lo, hi
 
 
-RUN = "k long, s long, doc_id long, lo int, hi int"
-SPAN = "doc_id long, lo int, hi int, rep boolean"
+RUN = "k long, s long, key long, lo int, hi int"
+SPAN = "key long, lo int, hi int, rep boolean"
 
 
 def _firsts(*keys: np.ndarray) -> np.ndarray:
@@ -80,7 +84,7 @@ def _runs(it):
     """Sampled suffixes. Within a batch all but the first of equal runs are settled here as spans: hi is negative and k only spreads them."""
     for pdf in it:
         got = [runs(t) for t in pdf["text"]]
-        d = np.repeat(pdf["doc_id"].to_numpy(), [len(g[0]) for g in got])
+        d = np.repeat(pdf["key"].to_numpy(), [len(g[0]) for g in got])
         k, s, lo, hi = (np.concatenate([g[i] for g in got]) if got else np.zeros(0, np.int64) for i in range(4))
         o = np.lexsort((lo, d, s, k))
         new = np.zeros(len(k), dtype=bool)
@@ -90,12 +94,12 @@ def _runs(it):
         start = np.ones(len(o), dtype=bool)
         start[1:] = (d[o][1:] != d[o][:-1]) | (lo[o][1:] > hi[o][:-1])
         one, end = o[start], o[np.append(start[1:], True)[:len(o)]]
-        cols = {"k": (k[new], d[one]), "s": (s[new], 0 * one), "doc_id": (d[new], d[one]), "lo": (lo[new], lo[one]), "hi": (hi[new], -hi[end] - WINDOW + 1)}
+        cols = {"k": (k[new], d[one]), "s": (s[new], 0 * one), "key": (d[new], d[one]), "lo": (lo[new], lo[one]), "hi": (hi[new], -hi[end] - WINDOW + 1)}
         yield pd.DataFrame({c: np.concatenate(v).astype(np.int32 if c in ("lo", "hi") else np.int64) for c, v in cols.items()})
 
 
 def _scan(it):
-    """One pass over suffixes sorted by k, s, doc_id, lo: later equal runs are spans, and the first runs of each class are
+    """One pass over suffixes sorted by k, s, key, lo: later equal runs are spans, and the first runs of each class are
     representatives where a key has several classes. Only a key's first run waits between batches."""
     last, wait = None, None   # (k, s) of the row before; the first run of its key while that has one class
     for pdf in it:
@@ -121,11 +125,11 @@ def _scan(it):
                 wait = None if mixed[-1] else pdf.iloc[[np.flatnonzero(first)[-1]]].assign(rep=True)
             last = (k[-1], s[-1])
         if out:
-            yield pd.concat(out)[["doc_id", "lo", "hi", "rep"]]
+            yield pd.concat(out)[["key", "lo", "hi", "rep"]]
 
 
 def _later(it):
-    """Windows sorted by w, w2, doc_id, at: all but the first of equal ones, as spans."""
+    """Windows sorted by w, w2, key, at: all but the first of equal ones, as spans."""
     last = None
     for pdf in it:
         w, w2 = pdf["w"].to_numpy(), pdf["w2"].to_numpy()
@@ -134,16 +138,16 @@ def _later(it):
             new[0] = last != (w[0], w2[0])
             last = (w[-1], w2[-1])
         got = pdf[~new]
-        yield pd.DataFrame({"doc_id": got["doc_id"], "lo": got["at"], "hi": got["at"] + WINDOW})
+        yield pd.DataFrame({"key": got["key"], "lo": got["at"], "hi": got["at"] + WINDOW})
 
 
 def _windows(it, rows=200_000):
     for pdf in it:
         out, held = [], 0
-        for d, t, rs in zip(pdf["doc_id"], pdf["text"], pdf["rs"]):
+        for d, t, rs in zip(pdf["key"], pdf["text"], pdf["rs"]):
             x = grams(np.frombuffer((t or "").encode("utf-8"), dtype=np.uint8))
             at = np.concatenate([np.arange(r["lo"], r["hi"]) for r in rs])
-            out.append(pd.DataFrame({"doc_id": d, "w": _mix(x, at, at + WINDOW, 1).view(np.int64), "w2": _mix(x, at, at + WINDOW, 77).view(np.int64), "at": at.astype(np.int32)}))
+            out.append(pd.DataFrame({"key": d, "w": _mix(x, at, at + WINDOW, 1).view(np.int64), "w2": _mix(x, at, at + WINDOW, 77).view(np.int64), "at": at.astype(np.int32)}))
             held += len(at)
             if held >= rows:
                 yield pd.concat(out)
@@ -152,31 +156,44 @@ def _windows(it, rows=200_000):
             yield pd.concat(out)
 
 
-def _cut(it):
-    for pdf in it:
-        rows = []
-        for d, t, spans in zip(pdf["doc_id"], pdf["text"], pdf["spans"]):
-            b = np.frombuffer((t or "").encode("utf-8"), dtype=np.uint8)
-            mark = np.zeros(len(b) + 1, dtype=np.int64)
-            if spans is not None:
-                np.add.at(mark, np.array([s["lo"] for s in spans], dtype=np.int64), 1)
-                np.add.at(mark, np.array([s["hi"] for s in spans], dtype=np.int64), -1)
-            gone = np.cumsum(mark)[:-1] > 0
-            n = int(gone.sum())
-            rows.append((d, len(b), n, int((gone & ~np.concatenate(([False], gone[:-1]))).sum()) if n else 0, hashlib.sha256(b[~gone].tobytes() if n else b.tobytes()).hexdigest()))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+def _cut(texts, spans):
+    rows = []
+    for t, own in zip(texts, spans):
+        b = np.frombuffer((t or "").encode("utf-8"), dtype=np.uint8)
+        mark = np.zeros(len(b) + 1, dtype=np.int64)
+        if own is not None:
+            np.add.at(mark, np.array([s["lo"] for s in own], dtype=np.int64), 1)
+            np.add.at(mark, np.array([s["hi"] for s in own], dtype=np.int64), -1)
+        gone = np.cumsum(mark)[:-1] > 0
+        n = int(gone.sum())
+        rows.append((len(b), n, int((gone & ~np.concatenate(([False], gone[:-1]))).sum()) if n else 0, hashlib.sha256(b[~gone].tobytes() if n else b.tobytes()).hexdigest()))
+    return list(zip(*rows)) if rows else [[]] * 4
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and key, a number of each row in the order of doc_id: doc_id itself, if no row shares or lacks it."""
+    docs = docs.select("doc_id", "text")
+    if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        return docs.withColumn("key", F.col("doc_id").cast("long"))
+    rows = docs.withColumn("rid", F.monotonically_increasing_id()).orderBy(F.col("doc_id").asc_nulls_last(), "rid")
+    return written(rows.select("doc_id", "text", F.monotonically_increasing_id().alias("key")))
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """doc_id, lo, hi: bytes to remove. The suffix table is hashed by gram, sorted and scanned once; windows likewise."""
-    table = docs.select("doc_id", "text").mapInPandas(_runs, RUN).repartition("k").sortWithinPartitions("k", "s", "doc_id", "lo")
+    """key, lo, hi: bytes to remove; docs (key, text). The suffix table is hashed by gram, sorted and scanned once; windows
+    likewise."""
+    docs = docs.select("key", "text")
+    table = docs.mapInPandas(_runs, RUN).repartition("k").sortWithinPartitions("k", "s", "key", "lo")
     found = written(table.mapInPandas(_scan, SPAN))
-    per = found.where("rep").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("rs"))
-    win = docs.select("doc_id", "text").join(per, "doc_id").mapInPandas(_windows, "doc_id long, w long, w2 long, at int")
-    later = win.repartition("w").sortWithinPartitions("w", "w2", "doc_id", "at").mapInPandas(_later, "doc_id long, lo int, hi int")
-    return found.where("NOT rep").select("doc_id", "lo", "hi").union(later)
+    per = found.where("rep").groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("rs"))
+    win = docs.join(per, "key").mapInPandas(_windows, "key long, w long, w2 long, at int")
+    later = win.repartition("w").sortWithinPartitions("w", "w2", "key", "at").mapInPandas(_later, "key long, lo int, hi int")
+    return found.where("NOT rep").select("key", "lo", "hi").union(later)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    per = removals(docs).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    return docs.select("doc_id", "text").join(per, "doc_id", "left").mapInPandas(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    rows = keyed(docs)
+    per = removals(rows).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    both = rows.join(per, "key", "left").select("doc_id", F.struct("text", "spans").alias("text"))
+    return map_texts(both, lambda vs: _cut([v["text"] for v in vs], [v["spans"] for v in vs]), "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
