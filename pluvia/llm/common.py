@@ -1,6 +1,4 @@
 """Shared helpers of the training-data operators."""
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -9,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+from pluvia.sources.scratch import shared, written  # noqa: F401  Parquet columns of one kind take far less room than checkpointed rows
+
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet")
@@ -32,35 +32,45 @@ def map_texts(df: DataFrame, compute: Callable, added: str, column: str = "text"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the session's shared folder; a folder is set only where none is."""
+    """Cut lineage with a reliable checkpoint in the session's shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        sc.setCheckpointDir(shared(df.sparkSession))
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cut lineage with a Parquet table in the shared folder: columns of one kind take far less room than checkpointed rows."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="table-")
-    out = f"{base}/table-{uuid.uuid4().hex}"
-    df.write.parquet(out)
-    return df.sparkSession.read.schema(df.schema).parquet(out)
+IDS = 5_000_000   # ids (of 8 bytes) that are sent to every task, at most
+
+
+def sent_if_few(ids: DataFrame) -> DataFrame:
+    """The ids, counted first: up to IDS of them are broadcast, so that the rows they are joined to needn't be shuffled."""
+    ids = written(ids)
+    return F.broadcast(ids) if ids.count() <= IDS else ids
+
+
+def is_scan(df: DataFrame) -> bool:
+    """Whether df only reads files, so that each reading gives the same rows in the same partitions."""
+    return df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+
+
+def few(df: DataFrame, rows: int, each: int = 200_000) -> DataFrame:
+    """Fewer partitions where so many rows don't need all of them."""
+    return df.coalesce(1 + rows // each)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (node, root): contraction by smallest neighbour; each round maps every node that has a
     smaller neighbour to it, so edges shrink by a factor and rounds are logarithmic. No edges: empty result."""
     e = cut(edges.where("a <> b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct())
-    label = e.selectExpr("a AS node").union(e.selectExpr("b AS node")).distinct().withColumn("root", F.col("node"))
-    while not e.isEmpty():
-        up = e.groupBy(F.col("b").alias("x")).agg(F.min("a").alias("y"))
-        up = cut(up)
-        for _ in range(2):
-            n = up.selectExpr("x AS y", "y AS z")
-            up = up.join(n, "y", "left").selectExpr("x", "coalesce(z, y) AS y")
-        up = cut(up)
-        label = cut(label.join(up, label.root == up.x, "left").selectExpr("node", "coalesce(y, root) AS root"))
+    n = e.count()
+    label = few(e.selectExpr("a AS node").union(e.selectExpr("b AS node")).distinct().withColumn("root", F.col("node")), 2 * n)
+    while n:
+        up = few(e.groupBy(F.col("b").alias("x")).agg(F.min("a").alias("y")), n)
+        further = up.selectExpr("x AS y", "y AS z")
+        up = cut(few(up.join(further, "y", "left").selectExpr("x", "coalesce(z, y) AS y"), n))
+        label = few(label.join(up, label.root == up.x, "left").selectExpr("node", "coalesce(y, root) AS root"), 2 * n)   # read once, at the end
         ua, ub = up.selectExpr("x AS a", "y AS ra"), up.selectExpr("x AS b", "y AS rb")
-        e = cut(e.join(ua, "a", "left").join(ub, "b", "left").selectExpr("coalesce(ra, a) AS p", "coalesce(rb, b) AS q")
-                .where("p <> q").selectExpr("least(p, q) AS a", "greatest(p, q) AS b").distinct())
-    return label
+        e = cut(few(e.join(ua, "a", "left").join(ub, "b", "left").selectExpr("coalesce(ra, a) AS p", "coalesce(rb, b) AS q")
+                    .where("p <> q").selectExpr("least(p, q) AS a", "greatest(p, q) AS b").distinct(), n))
+        n = e.count()
+    return cut(label)

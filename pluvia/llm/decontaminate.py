@@ -1,6 +1,12 @@
 """Benchmark passages in documents by spaced seeds.
 
-Null and empty texts match nothing; repeated rows each give their rows; the benchmark's arrays are broadcast up to
+A seed is the hash of the words that a fixed mask leaves in a stretch; equal seeds of a document and an item propose an
+alignment, along which every run of enough equal words is an overlap. Items of LEAST_ITEM to 7 words are shorter than
+the masks and are found as a whole; shorter ones are too common in clean texts to be evidence and match nothing.
+
+Null and empty texts match nothing; repeated rows each give their rows; rows with a null doc_id are searched and give
+rows with a null doc_id, of which `clean` keeps those without an overlap; texts may be of any length; empty tables give
+an empty result; extra columns are not read, and `clean` keeps them. The benchmark's arrays are broadcast up to
 INDEX_BYTES; a larger benchmark is joined by seed instead, with the same result."""
 import numpy as np
 import pandas as pd
@@ -8,9 +14,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sent_if_few
+
 MASKS = ("11011011", "1110010111", "110100110011")  # 0: the word at that place is ignored
 INDEX_BYTES = 64 << 20
 MIN_WORDS, IDENTITY = 10, 0.8
+LEAST_ITEM = 5   # words of an item that can be found
 _TABLE = bytes((c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32) for c in range(256))
 
 
@@ -29,83 +38,114 @@ def seeds(h: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return g
 
 
-def verify(h: np.ndarray, w: np.ndarray, off: int):
-    """Best run of the overlap when item words w start at word `off` of h: (first, last, equal words) or None."""
+def masks(words: int) -> list[tuple[int, str]]:
+    """Number and mask of the seeds of an item of so many words."""
+    if words < LEAST_ITEM:
+        return []
+    return [*enumerate(MASKS)] if words >= len(MASKS[0]) else [(words + 100, "1" * words)]
+
+
+ALL_MASKS = [*enumerate(MASKS), *((k + 100, "1" * k) for k in range(LEAST_ITEM, len(MASKS[0])))]
+
+
+def verify(h: np.ndarray, w: np.ndarray, off: int) -> list[tuple]:
+    """Runs of the overlap when item words w start at word `off` of h: (first, last, equal words) of the best run and of
+    those on either side of it."""
     a, z = max(off, 0), min(off + len(w), len(h))
     eq = np.where(h[a:z] == w[a - off:z - off], 1 - IDENTITY, -IDENTITY)
-    c = np.concatenate(([0.0], np.cumsum(eq)))
-    end = int((c - np.minimum.accumulate(c)).argmax())
-    start = int(c[:end + 1].argmin())
-    hit = int((eq[start:end] > 0).sum())
-    return (a + start, a + end - 1, hit) if hit >= min(MIN_WORDS, len(w)) else None
+    least, out, work = min(MIN_WORDS, len(w)), [], [(0, len(eq))]
+    while work:
+        lo, hi = work.pop()
+        if hi - lo < least:
+            continue
+        c = np.concatenate(([0.0], np.cumsum(eq[lo:hi])))
+        end = int((c - np.minimum.accumulate(c)).argmax())
+        start = int(c[:end + 1].argmin())
+        hit = int((eq[lo + start:lo + end] > 0).sum())
+        if hit >= least:
+            out.append((a + lo + start, a + lo + end - 1, hit))
+            work += [(lo, lo + start), (lo + end, hi)]
+    return sorted(out)
 
 
-OVERLAP = "doc_id long, item_id long, first_word long, last_word long, n_matched long"
+OVERLAP = "doc string, item string, first_word long, last_word long, n_matched long"   # ids as text, so that large ones beside nulls stay whole
+_COLUMNS = ["doc", "item", "first_word", "last_word", "n_matched"]
 
 
 def overlaps(docs: DataFrame, bench: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """doc_id, item_id, first_word, last_word, n_matched for each verified overlap."""
+    docs, bench = docs.selectExpr("string(doc_id) AS doc", "text"), bench.selectExpr("string(item_id) AS item", "text")
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return _broadcast(docs, bench) if size * 8 <= index_bytes else _joined(docs, bench)
+    got = _broadcast(docs, bench) if size * 8 <= index_bytes else _joined(docs, bench)
+    return got.select(F.col("doc").cast("long").alias("doc_id"), F.col("item").cast("long").alias("item_id"), "first_word", "last_word", "n_matched")
 
 
 def _joined(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """Seeds of both sides joined by key (a hot key's document side is split by AQE), each distinct offset verified once."""
-    def spread(it):
-        for pdf in it:
-            out = []
-            for k, t in zip(pdf["id"], pdf["text"]):
-                h = word_hashes(t)
-                for s, m in enumerate(MASKS):
-                    g = seeds(h, m, s).view(np.int64)
-                    out.append(pd.DataFrame({"id": k, "key": g, "at": np.arange(len(g))}))
-            if out:
-                yield pd.concat(out)
+    def spread(item: bool):
+        def run(it):
+            for pdf in it:
+                out = []
+                for k, t in zip(pdf["id"], pdf["text"]):
+                    h = word_hashes(t)
+                    for s, m in masks(len(h)) if item else ALL_MASKS:
+                        g = seeds(h, m, s).view(np.int64)
+                        out.append(pd.DataFrame({"id": k, "key": g, "at": np.arange(len(g))}))
+                if out:
+                    yield pd.concat(out)
+        return run
 
     def check(it):
         for pdf in it:
             rows = []
-            for d, i, t, u, offs in zip(pdf["doc_id"], pdf["item_id"], pdf["text"], pdf["item"], pdf["offs"]):
+            for d, i, t, u, offs in zip(pdf["doc"], pdf["item"], pdf["text"], pdf["words"], pdf["offs"]):
                 h, w = word_hashes(t), word_hashes(u)
-                rows += [(d, i, *v) for v in (verify(h, w, int(o)) for o in offs) if v]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "first_word", "last_word", "n_matched"])
-    a = docs.selectExpr("doc_id AS id", "text").mapInPandas(spread, "id long, key long, at long").selectExpr("id AS doc_id", "key", "at AS p")
-    b = bench.selectExpr("item_id AS id", "text").mapInPandas(spread, "id long, key long, at long").selectExpr("id AS item_id", "key", "at AS q")
-    hits = a.join(b, "key").selectExpr("doc_id", "item_id", "p - q AS off").distinct().groupBy("doc_id", "item_id").agg(F.collect_list("off").alias("offs"))
-    full = hits.join(docs.select("doc_id", "text"), "doc_id").join(bench.selectExpr("item_id", "text AS item"), "item_id")
-    return full.mapInPandas(check, OVERLAP)
+                rows += [(d, i, *v) for o in offs for v in verify(h, w, int(o))]
+            yield pd.DataFrame(rows, columns=_COLUMNS)
+    rows, items = docs.withColumn("rid", F.monotonically_increasing_id()), bench.withColumn("bid", F.monotonically_increasing_id())
+    a = rows.selectExpr("rid AS id", "text").mapInPandas(spread(False), "id long, key long, at long").selectExpr("id AS rid", "key", "at AS p")
+    b = items.selectExpr("bid AS id", "text").mapInPandas(spread(True), "id long, key long, at long").selectExpr("id AS bid", "key", "at AS q")
+    hits = a.join(b, "key").selectExpr("rid", "bid", "p - q AS off").distinct().groupBy("rid", "bid").agg(F.collect_list("off").alias("offs"))
+    full = hits.join(rows, "rid").join(items.select("bid", "item", F.col("text").alias("words")), "bid")
+    return full.select("doc", "item", "text", "words", "offs").mapInPandas(check, OVERLAP)
 
 
 def _broadcast(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    items = [(r.item_id, word_hashes(r.text)) for r in bench.select("item_id", "text").collect()]
+    items = [(r["item"], word_hashes(r["text"])) for r in bench.collect()]   # INDEX_BYTES at most
     sc = docs.sparkSession.sparkContext
-    keys = [np.concatenate([np.zeros(0, np.uint64)] + [seeds(h, m, s) for _, h in items]) for s, m in enumerate(MASKS)]
-    owner = [np.array([(i, p) for i, (_, h) in enumerate(items) for p in range(max(len(h) - len(m) + 1, 0))], dtype=np.int64).reshape(-1, 2) for m in MASKS]
-    order = [np.argsort(k, kind="stable") for k in keys]
-    b = sc.broadcast((items, [k[o] for k, o in zip(keys, order)], [w[o] for w, o in zip(owner, order)]))
+    used, keys, owner = [], [], []
+    for s, m in ALL_MASKS:
+        of = [(i, h) for i, (_, h) in enumerate(items) if (s, m) in masks(len(h))]
+        if of:
+            g = [seeds(h, m, s) for _, h in of]
+            k = np.concatenate(g)
+            o = np.argsort(k, kind="stable")
+            at = np.column_stack([np.repeat([i for i, _ in of], [len(x) for x in g]), np.concatenate([np.arange(len(x)) for x in g])])
+            used.append((s, m))
+            keys.append(k[o])
+            owner.append(at[o].astype(np.int64))
+    b = sc.broadcast((items, used, keys, owner))
 
     def run(it):
-        items, keys, owner = b.value
+        items, used, keys, owner = b.value
         filt = np.zeros(1 << 22, dtype=bool)
         for k in keys:
             filt[(k & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
         for pdf in it:
             rows = []
-            for d, t in zip(pdf["doc_id"], pdf["text"]):
+            for d, t in zip(pdf["doc"], pdf["text"]):
                 h = word_hashes(t)
                 cand = set()
-                for s, m in enumerate(MASKS):
+                for (s, m), key, own in zip(used, keys, owner):
                     g = seeds(h, m, s)
                     at = np.flatnonzero(filt[(g & np.uint64((1 << 22) - 1)).astype(np.int64)])
-                    lo, hi = np.searchsorted(keys[s], g[at], "left"), np.searchsorted(keys[s], g[at], "right")
+                    lo, hi = np.searchsorted(key, g[at], "left"), np.searchsorted(key, g[at], "right")
                     for p, a, z in zip(at.tolist(), lo.tolist(), hi.tolist()):
-                        cand.update((int(owner[s][q, 0]), p - int(owner[s][q, 1])) for q in range(a, z))
+                        cand.update((int(own[q, 0]), p - int(own[q, 1])) for q in range(a, z))
                 for i, off in sorted(cand):
-                    v = verify(h, items[i][1], off)
-                    if v:
-                        rows.append((d, items[i][0], *v))
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "first_word", "last_word", "n_matched"])
-    return docs.select("doc_id", "text").mapInPandas(run, OVERLAP)
+                    rows += [(d, items[i][0], *v) for v in verify(h, items[i][1], off)]
+            yield pd.DataFrame(rows, columns=_COLUMNS)
+    return docs.mapInPandas(run, OVERLAP)
 
 
 def pairs(docs: DataFrame, bench: DataFrame) -> DataFrame:
@@ -113,4 +153,6 @@ def pairs(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    return docs.join(overlaps(docs, bench).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs without an overlap, with their columns. Rows that share a doc_id share its verdict."""
+    found = sent_if_few(overlaps(docs, bench).select(F.col("doc_id").alias("_found")).distinct())
+    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_found")), "left_anti").select(*docs.columns)
