@@ -17,7 +17,7 @@ from .simhash import _LOWER
 N, LEAST = 5, 0.8
 BANDS, ROWS = 20, 5   # a pair at LEAST shares a band with probability 1 - (1 - 0.8 ** 5) ** 20 = 0.9996
 SKETCH = 35   # differing minima (by two bits of each) that a pair may have to be compared: 15 are expected at LEAST, and more
-              # than 35 have a probability under one in ten million
+              # than 35 have a probability of two in ten million
 _EVEN = 0x5555555555555555
 BLOCK = 256   # texts of a large bucket that are compared with as many others at a time; buckets up to a quarter of it are small
 _MUL = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
