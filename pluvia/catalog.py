@@ -7,6 +7,7 @@ from pluvia.functions import text as X
 from pluvia.operators import verify
 from pluvia.registry import FORMATTERS, METRICS, OUTPUTS, SOURCES
 from pluvia.sources import files
+from pluvia.sources import grid as grids
 
 FLOAT_MAX = 3.4028235e38   # fixed value: the largest finite float of 32 bits
 
@@ -20,9 +21,16 @@ def json_source(spark, spec: dict) -> DataFrame:
     return read(spark, spec["paths"], spec["schema"], spec.get("encoding", "UTF-8"))
 
 
+@SOURCES.add("images")
+def image_source(spark, spec: dict) -> DataFrame:
+    """spec: manifests, prefix."""
+    return files.image_source(spark, spec["manifests"], spec["prefix"], spec.get("label", "string"))
+
+
 @SOURCES.add("grid")
 def grid_source(spark, spec: dict) -> DataFrame:
-    return files.good_cells(files.grid_scan(spark, spec["root"], spec.get("decoder", "npz"), spec.get("variables")))
+    """spec: root, decoder, variables, since, until."""
+    return grids.good_cells(grids.scan(spark, spec["root"], spec.get("decoder", "npz"), spec.get("variables"), spec.get("since"), spec.get("until")))
 
 
 @SOURCES.add("filenames")

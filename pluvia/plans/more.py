@@ -39,5 +39,3 @@ def _confusion(s, d):
 
 q("format_duration", "SELECT event_id, printf('%2d:%02d', CAST(event_id % 7200 // 60 AS INT), CAST(event_id % 60 AS INT)) AS t FROM events")(
     lambda s, d: table(s, d, "events").select("event_id", F.format_string("%2d:%02d", F.expr("cast(event_id % 7200 div 60 as int)"), F.expr("cast(event_id % 60 as int)")).alias("t")))
-q("split_scan", "SELECT CASE WHEN day(ts)<=20 THEN 'train' WHEN day(ts)<=25 THEN 'valid' ELSE 'test' END AS split, count(*) AS n FROM events GROUP BY 1")(
-    lambda s, d: table(s, d, "events").groupBy(F.when(F.dayofmonth("ts") <= 20, "train").when(F.dayofmonth("ts") <= 25, "valid").otherwise("test").alias("split")).agg(F.count("*").alias("n")))

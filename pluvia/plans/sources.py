@@ -1,6 +1,7 @@
 """File sources, text functions, reports and streams over data that Spark derives from the given tables."""
 from pyspark.sql import functions as F
 
+from pluvia import catalog
 from pluvia.functions import scores as S
 from pluvia.functions import text as X
 from pluvia.operators import clean as C
@@ -10,6 +11,7 @@ from pluvia.plans.queries import CELLS_CTE, q, r6
 from pluvia.plans.samples import VARS, WIDE, wide
 from pluvia.plans.sequences import TIME
 from pluvia.sources import files as I
+from pluvia.sources import grid as G
 from pluvia.sources import sinks
 from pluvia.sources.scratch import folder, written
 from pluvia.sources.views import cells_long, pairs, table
@@ -63,34 +65,85 @@ def _roots(s, d):
     return inside(I.multi_root_listing(s, f"{out}/lang=en, {out}/lang=de,{out}/lang=en").where("path LIKE '%/part-%'"), out)
 
 
-def grids(s, d):
-    """path, content: an encoded grid file for each frame, of at most as many cells as the grid has."""
-    rows = wide(s, d).withColumn("time", F.expr(TIME).cast("timestamp_ntz"))
+HOURS = 6   # frames of a grid file
+NAME = f"replace(file,'.nc','') || '-' || (time_idx//{HOURS}) || '.npz'"
+DAY = "CAST(substr(file,12,2) AS INT)"
+
 
+def encoded(rows):
+    """name, content: a grid file of the points of HOURS frames each, of which each has as many cells as the grid at most."""
     def encode(key, pdf):
         import pandas as pd
-        frame = pdf.drop(columns="file").sort_values(["y", "x"])
-        return pd.DataFrame({"path": [f"{key[0][:-3]}-{key[1]:02d}.npz"], "content": [I.encode_npz(frame)]})
-    return written(rows.groupBy("file", "time_idx").applyInPandas(encode, "path string, content binary"), "grids")
+        frame = pdf.sort_values(["time_idx", "y", "x"])
+        arrays = {c: frame[c].to_numpy(dtype="datetime64[us]" if c == "time" else None) for c in ("time_idx", "time", "y", "x", *VARS)}
+        return pd.DataFrame({"name": [f"{key[0][:-3]}-{key[1]}.npz"], "content": [G.encode(arrays)]})
+    return rows.withColumn("time", F.expr(TIME).cast("timestamp_ntz")).groupBy("file", F.expr(f"time_idx div {HOURS}")).applyInPandas(encode, "name string, content binary")
+
+
+def grids(s, d):
+    """A folder of grid files, written by Spark's tasks."""
+    out = folder(s, "grids")
+    sinks.write_files(encoded(wide(s, d)), out)
+    return out
+
 
+@q("grid_file_listing", CELLS_CTE + f" SELECT DISTINCT {NAME} AS path FROM cells")
+def _grid_listing(s, d):
+    return I.file_listing(s, grids(s, d), False, "*.npz").select(F.substring_index("path", "/", -1).alias("path")).orderBy("path")
 
-q("grid_file_listing", CELLS_CTE + " SELECT DISTINCT replace(file,'.nc','') || '-' || lpad(CAST(time_idx AS VARCHAR),2,'0') || '.npz' AS path FROM cells")(lambda s, d: grids(s, d).select("path").orderBy("path"))
-q("grid_decode_npz", WIDE + f" SELECT replace(file,'.nc','') || '-' || lpad(CAST(time_idx AS VARCHAR),2,'0') || '.npz' AS file, time_idx, y, x, {', '.join(VARS)} FROM wide")(
-    lambda s, d: I.good_cells(I.decode(grids(s, d))).select("file", "time_idx", "y", "x", *VARS))
 
+q("grid_decode_npz", WIDE + f" SELECT {NAME} AS file, time_idx, y, x, {', '.join(VARS)} FROM wide")(
+    lambda s, d: G.good_cells(G.scan(s, grids(s, d))).select("file", "time_idx", "y", "x", *VARS))
 
-@q("bad_file_quarantine", CELLS_CTE + ", f AS (SELECT DISTINCT replace(file,'.nc','') || '-' || lpad(CAST(time_idx AS VARCHAR),2,'0') || '.npz' AS file, time_idx FROM cells) SELECT file FROM f WHERE time_idx % 7=0")
+
+@q("grid_time_slice", WIDE + f" SELECT {NAME} AS file, time_idx, y, x, TAIR, PRE FROM wide WHERE {DAY}=7 AND time_idx BETWEEN 5 AND 17 OR {DAY}=8 AND time_idx=0")
+def _grid_slice(s, d):
+    """Two variables over two stretches of time; other files are opened for their headers alone."""
+    root = grids(s, d)
+    parts = [G.scan(s, root, variables=["TAIR", "PRE"], since=a, until=z) for a, z in (("2024-01-07T05:00", "2024-01-07T17:00"), ("2024-01-08T00:00", "2024-01-08T00:59"))]
+    return G.good_cells(parts[0].union(parts[1])).select("file", "time_idx", "y", "x", "TAIR", "PRE")
+
+
+@q("bad_file_quarantine", CELLS_CTE + f", f AS (SELECT DISTINCT {NAME} AS file, time_idx//{HOURS} AS part FROM cells) SELECT file FROM f WHERE part=2")
 def _bad(s, d):
-    """Every seventh hour's file has lost its end."""
-    cut = F.when(F.substring(F.element_at(F.split("path", "-"), -1), 1, 2).cast("int") % 7 == 0, F.expr("substring(content, 1, 100)")).otherwise(F.col("content"))
-    return I.bad_files(I.decode(grids(s, d).select("path", cut.alias("content")))).select("file")
+    """Every third file of a day has lost its end."""
+    out = folder(s, "grids")
+    sinks.write_files(encoded(wide(s, d)).select("name", F.when(F.col("name").endswith("-2.npz"), F.expr("substring(content, 1, 100)")).otherwise(F.col("content")).alias("content")), out)
+    return G.bad_files(G.scan(s, out)).select("file")
+
+
+@q("split_scan", WIDE + f", n AS (SELECT CASE WHEN {DAY}<=20 THEN 'train' ELSE 'valid' END AS split, count(*) AS n FROM wide WHERE {DAY}<=25 GROUP BY 1) SELECT split, n FROM n UNION ALL SELECT 'test', n FROM n WHERE split='train'")
+def _splits(s, d):
+    """Each split has a folder of grid files; test names none of its own and takes that of train."""
+    base, rows, specs = folder(s, "splits"), written(wide(s, d)), {}
+    for name, (a, z) in {"train": (1, 20), "valid": (21, 25)}.items():
+        sinks.write_files(encoded(rows.where(F.substring("file", 12, 2).cast("int").between(a, z))), f"{base}/{name}")
+        specs[name] = {"type": "grid", "root": f"{base}/{name}", "variables": ["PRE"]}
+    count = lambda m: catalog.source(s, specs, m).agg(F.lit(m).alias("split"), F.count("*").alias("n"))
+    return count("train").union(count("valid")).union(count("test"))
 
 
 @q("image_manifest_join", "SELECT 'page-' || (doc_id*2) AS path, lang AS label, octet_length(encode(html)) AS bytes FROM documents LEFT JOIN pages ON page_id=doc_id*2")
 def _manifest(s, d):
-    manifest = table(s, d, "documents").select(F.concat(F.lit("page-"), F.col("doc_id") * 2).alias("path"), F.col("lang").alias("label"))
-    images = table(s, d, "pages").select(F.concat(F.lit("img/page-"), "page_id").alias("path"), F.encode("html", "UTF-8").alias("content"))
-    return I.image_manifest(manifest, images, "img").select("path", "label", F.octet_length("content").cast("long").alias("bytes"))
+    """Manifest files and image files are written, then read; half of the manifest's images don't exist."""
+    base = folder(s, "images")
+    images = table(s, d, "pages").select(F.concat(F.lit("page-"), "page_id").alias("name"), F.encode("html", "UTF-8").alias("content"))
+    sinks.write_files(images, f"{base}/img")
+    rows = table(s, d, "documents").select(F.concat(F.lit("page-"), F.col("doc_id") * 2).alias("path"), F.col("lang").alias("label"), F.floor(F.col("doc_id") / 200).alias("part"))
+    rows.groupBy("part").agg(F.to_json(F.collect_list(F.struct("path", "label"))).alias("value")).repartition("part").write.partitionBy("part").text(f"{base}/manifest")  # 200 a file
+    got = catalog.source(s, {"train": {"type": "images", "manifests": f"{base}/manifest/*", "prefix": f"{base}/img"}}, "train")
+    return got.select("path", "label", F.octet_length("content").cast("long").alias("bytes"))
+
+
+@q("json_lines_malformed", "SELECT doc_id % 10 = 3 AS bad, count(*) AS n, count(CASE WHEN doc_id % 10 <> 3 THEN doc_id END) AS ids FROM documents GROUP BY 1")
+def _malformed(s, d):
+    """Every tenth line has lost its second half."""
+    out = folder(s, "lines")
+    line = F.to_json(F.struct("doc_id", "lang", "source"))
+    half = F.when(F.col("doc_id") % 10 == 3, F.substr(line, F.lit(1), F.floor(F.length(line) / 2).cast("int"))).otherwise(line)
+    table(s, d, "documents").select(half.alias("value")).write.text(out)
+    got = I.json_lines(s, out, "doc_id long, lang string, source string", malformed=True)
+    return got.groupBy(F.col("malformed").isNotNull().alias("bad")).agg(F.count("*").alias("n"), F.count(F.when(F.col("malformed").isNull(), F.col("doc_id"))).alias("ids"))
 
 
 # cleaning and samples whose definition has a default for what is absent

@@ -1,17 +1,11 @@
-"""File sources: listings, JSON text, gridded files by a decoder, image manifests."""
-import io
-from collections.abc import Callable
+"""File sources: listings, JSON text, image manifests, the source of a split."""
+import re
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pluvia.sources.scratch import numbered
 
-VARS = ["TAIR", "UWIN", "VWIN", "PRE", "corrected_precip"]
-CELL = "file string, time_idx int, time timestamp_ntz, y int, x int, " + ", ".join(f"{v} double" for v in VARS) + ", error string"
-
 
 def file_listing(spark: SparkSession, root: str, recursive: bool = True, pattern: str = "*") -> DataFrame:
     """path of every file under root, or right in it; contents are not read. A root without a file gives an error."""
@@ -30,9 +24,17 @@ def multi_root_listing(spark: SparkSession, roots: str, recursive: bool = True)
     return out.orderBy("path")
 
 
-def json_lines(spark: SparkSession, paths, schema: str, encoding: str = "UTF-8") -> DataFrame:
-    """One record in each line of many files."""
-    return spark.read.schema(schema).option("encoding", encoding).json(paths)
+CORRUPT = "_malformed"
+
+
+def json_lines(spark: SparkSession, paths, schema: str, encoding: str = "UTF-8", malformed: bool = False) -> DataFrame:
+    """One record in each line of many files. A line that is no such record gives a row of nulls; with `malformed` the line
+    itself stands in a column of that name, null in good rows."""
+    if not malformed:
+        return spark.read.schema(schema).option("encoding", encoding).json(paths)
+    rows = spark.read.option("encoding", encoding).text(paths).select("value", F.from_json("value", f"{schema}, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT}).alias("r"))
+    bad = F.col("r").isNull() | F.col(f"r.{CORRUPT}").isNotNull()
+    return rows.select("r.*", F.when(bad, F.col("value")).alias("malformed")).drop(CORRUPT)
 
 
 def json_arrays(spark: SparkSession, paths, schema: str, encoding: str = "UTF-8") -> DataFrame:
@@ -45,75 +47,20 @@ def global_rows(records: DataFrame, *line: str, file: str = "file", name: str =
     return numbered(records, file, *line, name=name)
 
 
-def encode_npz(frame: pd.DataFrame) -> bytes:
-    """One grid file: arrays of the columns of `frame` (time_idx, time, y, x and variables)."""
-    out = io.BytesIO()
-    np.savez(out, **{c: frame[c].to_numpy(dtype="datetime64[us]" if c == "time" else None) for c in frame.columns})
-    return out.getvalue()
-
-
-def decode_npz(content: bytes, columns: list[str]) -> pd.DataFrame:
-    """The wanted columns of a grid file; an absent variable is zero. A file of `time, y, x` arrays with variables over all
-    three (as a gridded model writes them) is spread into one row for each cell."""
-    with np.load(io.BytesIO(content)) as z:
-        if "time_idx" in z:
-            n = len(z["time_idx"])
-            return pd.DataFrame({c: z[c] if c in z else np.zeros(n) for c in ["time_idx", "time", "y", "x", *columns]})
-        t, h, w = next(z[c].shape for c in columns if c in z)
-        at = np.indices((t, h, w)).reshape(3, -1)
-        out = {"time_idx": at[0], "time": z["time"].astype("datetime64[us]")[at[0]], "y": at[1], "x": at[2]}
-        return pd.DataFrame(out | {c: z[c].ravel() if c in z else np.zeros(t * h * w) for c in columns})
-
-
-DECODERS: dict[str, Callable] = {"npz": decode_npz}
-
-
-def decoder(name: str) -> Callable:
-    """Decoders by name; `nc` needs a reader on the executors and is registered by who has one."""
-    if name not in DECODERS:
-        raise ValueError(f"unknown grid decoder {name}: {sorted(DECODERS)}")
-    return DECODERS[name]
-
-
-def decode(files: DataFrame, kind: str = "npz", columns: list[str] | None = None) -> DataFrame:
-    """files (path, content) -> a row for each cell with the wanted variables, or one with `error` for a file that can't be
-    read. A file is one task's work, as it can't be split."""
-    f, want = decoder(kind), columns or VARS
-
-    def run(it):
-        for pdf in it:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                name = str(path).rsplit("/", 1)[-1]
-                try:
-                    got = f(bytes(content), want).assign(file=name, error=None)
-                except Exception as e:  # decoders have errors of their own; the file is set aside, the others go on
-                    got = pd.DataFrame({"file": [name], "time": pd.array([pd.NaT], dtype="datetime64[us]"), "error": [type(e).__name__]})
-                yield got.reindex(columns=["file", "time_idx", "time", "y", "x", *VARS, "error"])
-    return files.select("path", "content").mapInPandas(run, CELL)
-
-
-def grid_scan(spark: SparkSession, root: str, kind: str = "npz", columns: list[str] | None = None) -> DataFrame:
-    """Cells of all grid files right in root, and rows with `error` for bad ones."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{kind}").load(root)
-    if files.select("path").isEmpty():
-        raise FileNotFoundError(f"no *.{kind} in {root}")
-    return decode(files, kind, columns)
-
-
-def good_cells(decoded: DataFrame) -> DataFrame:
-    return decoded.where("error IS NULL").drop("error")
-
-
-def bad_files(decoded: DataFrame) -> DataFrame:
-    return decoded.where("error IS NOT NULL").select("file", "error")
-
-
 def image_manifest(manifest: DataFrame, images: DataFrame, prefix: str = "") -> DataFrame:
     """manifest (path, label) with the content of prefix/path; a missing image leaves it null, the row stays."""
     return manifest.withColumn("_full", F.concat(F.lit(f"{prefix}/" if prefix else ""), "path")).join(
         images.select(F.col("path").alias("_full"), "content"), "_full", "left").drop("_full")
 
 
+def image_source(spark: SparkSession, manifests, prefix: str, label: str = "string") -> DataFrame:
+    """path, label, content: manifests are files of one JSON array of {path, label} each, images lie under prefix."""
+    rows = json_arrays(spark, manifests, f"path string, label {label}")
+    base = re.sub("^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "/", prefix).rstrip("/") + "/"
+    images = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(prefix)
+    return image_manifest(rows, images.select(F.substr("path", F.locate(base, "path") + F.lit(len(base))).alias("path"), "content"))
+
+
 def split_spec(specs: dict, mode: str):
     """The source of a split; valid and test fall back on that of train."""
     got = specs.get(mode)

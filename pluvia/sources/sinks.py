@@ -1,8 +1,29 @@
-"""Sinks: processed grids, predictions, metric history."""
+"""Sinks: processed grids, files of given contents, predictions, metric history."""
+import uuid
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def write_files(contents: DataFrame, root: str) -> int:
+    """contents (name, content) as files under root, each put in place when it is complete; gives their number. A task that
+    is repeated writes the same files again."""
+    def put(batches):
+        system, base = fs.FileSystem.from_uri(root)
+        for b in batches:
+            for name, content in zip(b.column("name").to_pylist(), b.column("content").to_pylist()):
+                folder, _, short = f"{base}/{name}".rpartition("/")
+                system.create_dir(folder)
+                part = f"{folder}/.{short}.{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as f:
+                    f.write(content)
+                system.move(part, f"{folder}/{short}")
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+    return contents.select("name", "content").mapInArrow(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def write_processed(cells: DataFrame, out: str) -> None:
     """One folder for each input file; files that are written again replace their own folder only."""
     cells.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").parquet(out)

@@ -10,36 +10,74 @@ from pluvia.functions import losses
 from pluvia.functions import text as X
 from pluvia.operators import clean, correct, samples, verify
 from pluvia.registry import FORMATTERS, METRICS, MODELS, OUTPUTS, SOURCES
-from pluvia.sources import files, scratch, sinks
+from pluvia.sources import files, grid, scratch, sinks
 from pluvia.streaming import preprocess
 
 
-def grid_file(path, drop=()):
-    time = np.array([f"2024-01-01T{h:02d}" for h in range(6)], dtype="datetime64[us]")
-    values = {v: np.arange(72.0).reshape(6, 3, 4) + k for k, v in enumerate(files.VARS) if v not in drop}
-    np.savez(path, time=time, **values)
+def grid_file(path, drop=(), steps=6, compressed=False):
+    """A file of arrays over (time, y, x)."""
+    time = np.datetime64("2024-01-01T00", "us") + np.arange(steps) * np.timedelta64(1, "h")
+    values = {v: np.arange(steps * 12.0).reshape(steps, 3, 4) + k for k, v in enumerate(grid.VARS) if v not in drop}
+    (np.savez_compressed if compressed else np.savez)(path, time=time, **values)
 
 
 def test_grid_scan_and_quarantine(spark, tmp_path):
     grid_file(tmp_path / "b.npz", drop=("VWIN",))
-    grid_file(tmp_path / "a.npz")
+    grid_file(tmp_path / "a.npz", compressed=True)
     (tmp_path / "c.npz").write_bytes((tmp_path / "a.npz").read_bytes()[:100])
+    broken = bytearray((tmp_path / "b.npz").read_bytes())
+    broken[broken.rindex(b"NUMPY")] ^= 255   # one variable's header
+    (tmp_path / "e.npz").write_bytes(broken)
     (tmp_path / "inner").mkdir()
     grid_file(tmp_path / "inner" / "d.npz")
-    got = files.grid_scan(spark, str(tmp_path)).cache()
-    good = files.good_cells(got)
+    got = grid.scan(spark, str(tmp_path)).cache()
+    good = grid.good_cells(got)
     assert {r.file: r.n for r in good.groupBy("file").agg(F.count("*").alias("n")).collect()} == {"a.npz": 72, "b.npz": 72}
-    assert [r.file for r in files.bad_files(got).collect()] == ["c.npz"]
+    assert sorted(r.file for r in grid.bad_files(got).collect()) == ["c.npz", "e.npz"]
     r = good.where("file = 'b.npz' AND time_idx = 2 AND y = 1 AND x = 3").first()
-    assert (r.TAIR, r.VWIN, r.time) == (2 * 12 + 7, 0.0, dt.datetime(2024, 1, 1, 2))
-    assert files.file_listing(spark, str(tmp_path), True, "*.npz").count() == 4
-    assert files.file_listing(spark, str(tmp_path), False, "*.npz").count() == 3
+    assert (r.TAIR, r.VWIN, r.PRE, r.time) == (2 * 12 + 7, 0.0, 2 * 12 + 7 + 3, dt.datetime(2024, 1, 1, 2))
+    assert files.file_listing(spark, str(tmp_path), True, "*.npz").count() == 5
+    assert files.file_listing(spark, str(tmp_path), False, "*.npz").count() == 4
     both = files.multi_root_listing(spark, f"{tmp_path}/inner, {tmp_path}/inner")
     assert both.count() == 2
     with pytest.raises(FileNotFoundError):
-        files.grid_scan(spark, str(tmp_path / "inner"), "npz").sparkSession and files.file_listing(spark, str(tmp_path), pattern="*.nc")
+        files.file_listing(spark, str(tmp_path), pattern="*.nc")
+    with pytest.raises(Exception, match="FileNotFound"):
+        grid.scan(spark, str(tmp_path / "inner"), "npz").union(grid.scan(spark, str(tmp_path.parent), "npz")).collect()
     with pytest.raises(ValueError):
-        files.decode(spark.createDataFrame([], "path string, content binary"), "nc")
+        grid.scan(spark, str(tmp_path), "nc")
+
+
+def test_grid_slabs_are_pruned(spark, tmp_path):
+    """A slab of 2 steps is read by itself; times and variables that aren't wanted are not."""
+    grid_file(tmp_path / "a.npz", steps=48)
+    grid_file(tmp_path / "b.npz", steps=3)
+    two = 2 * 12 * 8 * 2
+    scan = lambda **o: grid.scan(spark, str(tmp_path), variables=["TAIR", "PRE"], slab_bytes=two, **o)
+    assert scan().rdd.getNumPartitions() == 24 + 2 and scan().count() == 51 * 12
+    some = scan(since="2024-01-01T05:00", until="2024-01-01T08:00")
+    assert some.rdd.getNumPartitions() == 3
+    assert sorted({r.time.hour for r in some.select("time").collect()}) == [5, 6, 7, 8]
+    reader = grid.Reader({"path": str(tmp_path), "variables": "TAIR", "slab_bytes": "100"})
+    assert max(s.cells() for p in reader.partitions() for s in p.slabs) == 12
+    assert grid.scan(spark, str(tmp_path)).rdd.getNumPartitions() == 1   # small slabs share a task
+    spark.conf.set(grid.PUSHDOWN, "true")
+    try:
+        day = scan().where((F.col("time") >= dt.datetime(2024, 1, 2, 3)) & (F.col("file") == "a.npz") & (F.col("TAIR") > 0))
+        assert day.rdd.getNumPartitions() == 11
+        assert day.count() == 21 * 12
+    finally:
+        spark.conf.unset(grid.PUSHDOWN)
+
+
+def test_points_equal_dense_grids(spark, tmp_path):
+    grid_file(tmp_path / "a.npz")
+    dense = grid.good_cells(grid.scan(spark, str(tmp_path)))
+    p = dense.toPandas().sort_values(["time_idx", "y", "x"])
+    (tmp_path / "points").mkdir()
+    (tmp_path / "points" / "a.npz").write_bytes(grid.encode({c: p[c].to_numpy("datetime64[us]" if c == "time" else None) for c in ("time_idx", "time", "y", "x", *grid.VARS)}))
+    got = grid.good_cells(grid.scan(spark, str(tmp_path / "points"), slab_bytes=1000))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, dense.collect()))
 
 
 def test_json_sources(spark, tmp_path):
@@ -62,6 +100,29 @@ def test_unknown_names_raise(registry):
         registry["no such name"]
 
 
+def test_malformed_lines_are_set_aside(spark, tmp_path):
+    (tmp_path / "l.json").write_text('{"text": "a", "label": 1}\n{"text": "b", "lab\n\n[1]\n{"text": "c", "label": "x"}\n{"label": 2}\n')
+    got = files.json_lines(spark, str(tmp_path / "l.json"), "text string, label int", malformed=True)
+    assert got.columns == ["text", "label", "malformed"]
+    rows = [(r.text, r.label) for r in got.where("malformed IS NULL").collect()]
+    bad = [r.malformed for r in got.where("malformed IS NOT NULL").collect()]
+    assert sorted(rows, key=str) == [("a", 1), (None, 2)] and '{"text": "b", "lab' in bad and '{"text": "c", "label": "x"}' in bad and len(bad) == 4
+
+
+def test_image_files(spark, tmp_path):
+    (tmp_path / "img" / "in").mkdir(parents=True)
+    (tmp_path / "img" / "in" / "a.png").write_bytes(b"xy")
+    (tmp_path / "m.json").write_text(json.dumps([{"path": "in/a.png", "label": 1}, {"path": "b.png", "label": 0}]))
+    got = SOURCES["images"](spark, {"manifests": str(tmp_path / "m.json"), "prefix": f"file://{tmp_path}/img/", "label": "int"})
+    assert {(r.path, r.label, r.content and bytes(r.content)) for r in got.collect()} == {("in/a.png", 1, b"xy"), ("b.png", 0, None)}
+
+
+def test_files_are_written_whole(spark, tmp_path):
+    d = spark.createDataFrame([("x/a", bytearray(b"1")), ("b", bytearray(b"22"))], "name string, content binary")
+    assert sinks.write_files(d, str(tmp_path)) == 2 == sinks.write_files(d, f"file://{tmp_path}")
+    assert (tmp_path / "x" / "a").read_bytes() == b"1" and sorted(p.name for p in tmp_path.iterdir()) == ["b", "x"]
+
+
 def test_image_manifest_keeps_missing(spark):
     m = spark.createDataFrame([("a.png", 1), ("b.png", 0)], "path string, label int")
     i = spark.createDataFrame([("p/a.png", bytearray(b"xy"))], "path string, content binary")
