@@ -1,11 +1,17 @@
 """What the registries offer: sources, formatters, metrics and outputs by name."""
+from collections.abc import Callable
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from pluvia.functions import scores as S
 from pluvia.functions import text as X
 from pluvia.operators import verify
-from pluvia.registry import FORMATTERS, METRICS, OUTPUTS, SOURCES
+from pluvia.registry import FORMATTERS, METRICS, OUTPUTS, PYTHON_METRICS, SOURCES
 from pluvia.sources import files
 from pluvia.sources import grid as grids
 
@@ -87,9 +93,44 @@ METRICS.add("MAR", _counted(lambda h, m, f: S.mar(h, m)))
 METRICS.add("BIAS", _counted(S.bias))
 METRICS.add("RMSE", lambda pred, label, threshold=None: F.sqrt(F.avg((pred - label) * (pred - label))))
 METRICS.add("MAE", lambda pred, label, threshold=None: F.avg(F.abs(pred - label)))
+METRICS.add("CC", lambda pred, label, threshold=None: S.cc(S.aggregates(pred, label).__getitem__))
+METRICS.add("KGE", lambda pred, label, threshold=None: S.kge(S.aggregates(pred, label).__getitem__))
+METRICS.add("EST", METRICS["TS"])   # as coded
 METRICS.add("null", lambda pred, label, threshold=None: F.count(F.lit(None)))
 
 
+def python_metric(name: str, f: Callable) -> None:
+    """Registers f(predictions, labels) -> number over the numpy arrays of a sample, which one task holds."""
+    def of(pred: pa.Array, label: pa.Array) -> float:
+        return float(f(pred.to_numpy(zero_copy_only=False), label.to_numpy(zero_copy_only=False)))
+    aggregate = F.arrow_udf(of, DoubleType())
+    METRICS.add(name, lambda pred, label, threshold=None: aggregate(pred.cast("double"), label.cast("double")))
+    PYTHON_METRICS.add(name)
+
+
+python_metric("MEDAE", lambda p, y: np.median(np.abs(p - y)))
+#: tag -> metric and threshold: the sixteen scores of a batch
+SIXTEEN = {m: (m, None) for m in ("RMSE", "MAE", "CC", "KGE")} | {f"{m}_{t}_rain": (m, v) for t, v in S.THRESHOLDS.items() for m in ("POD", "FAR", "TS", "BIAS")}
+
+
+def sample_metrics(pairs: DataFrame, wanted: dict[str, tuple[str, float | None]]) -> DataFrame:
+    """batch_id, sample_id and a column for each of wanted (tag -> metric name and threshold)."""
+    keys = ["batch_id", "sample_id"]
+    parts = []
+    for python in (False, True):
+        aggs = [METRICS[m](F.col("pred"), F.col("label"), t).alias(tag) for tag, (m, t) in wanted.items() if (m in PYTHON_METRICS) == python]
+        if aggs:
+            parts.append(pairs.groupBy(*keys).agg(*aggs))
+    return reduce(lambda a, b: a.join(b, keys), parts).select(*keys, *wanted)
+
+
+def metric_report(pairs: DataFrame, wanted: dict[str, tuple[str, float | None]] = SIXTEEN) -> DataFrame:
+    """metric, value: the mean over batches of the means over a batch's samples, with NaN and empty input as 0."""
+    batch = sample_metrics(pairs, wanted).groupBy("batch_id").agg(*[F.avg(m).alias(m) for m in wanted])
+    one = batch.agg(*[verify.short(F.nanvl(F.coalesce(F.avg(m), F.lit(0.0)), F.lit(0.0))).alias(m) for m in wanted])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in wanted])).alias("r")).select("r.*")
+
+
 @OUTPUTS.add("null")
 def null_output(pairs: DataFrame) -> DataFrame:
     return verify.verification_report(pairs).where("false")

@@ -12,6 +12,23 @@ def cross_entropy(logits: Column, label: Column) -> Column:
     return top + F.ln(total) - F.element_at(logits, label.cast("int") + 1)
 
 
+def log(x: Column) -> Column:
+    """Natural logarithm as floating point has it: minus infinity at 0, NaN below."""
+    return F.when(x > 0, F.ln(x)).when(x == 0, F.lit(float("-inf"))).otherwise(F.when(x.isNotNull(), F.lit(float("nan"))))
+
+
+def binary(p: Column, y: Column) -> Column:
+    """Cross-entropy of a probability and a label of 0 or 1, not clamped: infinite where p denies the label, NaN where p is 0
+    or 1 and right, as 0 times infinity is."""
+    return -y * log(p) - (1 - y) * log(1 - p)
+
+
+def multi_label(rows: DataFrame) -> DataFrame:
+    """loss of rows (p, y: arrays of probabilities and labels): the mean over rows of the sum over labels."""
+    total = F.aggregate(F.zip_with("p", "y", lambda p, y: binary(p.cast("double"), y.cast("double"))), F.lit(0.0), lambda a, x: a + x)
+    return rows.agg(F.avg(total).alias("loss"))
+
+
 def focal(rows: DataFrame, gamma: float = 0.0, alpha: list[float] | None = None, mean: bool = True) -> DataFrame:
     """loss of rows (nll, label): each weighs (1 - p) ** gamma, and its class's alpha."""
     weight = F.pow(1 - F.exp(-F.col("nll")), F.lit(gamma))

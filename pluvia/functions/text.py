@@ -1,6 +1,12 @@
 """Text functions: tokens, ids, padding, report lines, times."""
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+
+from pluvia.sources.scratch import BROADCAST_ROWS, written
 
 # fixed values
 CLS, PAD, UNK = "[CLS]", "[PAD]", "[UNK]"
@@ -27,11 +33,30 @@ def vocabulary(texts: DataFrame, size: int) -> DataFrame:
     return special.union(rest.select("t.token", (F.col("id") + 3).cast("int")))
 
 
-def token_ids(texts: DataFrame, vocab: DataFrame, n: int) -> DataFrame:
-    """doc_id, ids: the first n tokens' ids, padded; a token that isn't in vocab has the id of [UNK]. vocab (token, id) goes
-    to every task when Spark finds it small, else it is joined by token."""
-    rows = texts.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id())
-    t = rows.select("doc_id", "rid", F.posexplode(pad(tokens(F.col("text")), n)).alias("at", "token"))
+def token_ids(texts: DataFrame, vocab: DataFrame, n: int, small: int = BROADCAST_ROWS) -> DataFrame:
+    """doc_id, ids: the first n tokens' ids, padded; a token that isn't in vocab has the id of [UNK]. vocab (token, id) is
+    counted: up to `small` rows go to every task and nothing is shuffled; a larger one is joined by token."""
+    rows = texts.select("doc_id", pad(tokens(F.col("text")), n).alias("tokens"))
+    vocab = written(vocab.select("token", F.col("id").cast("int").alias("id")))
+    if vocab.count() > small:
+        return _joined_ids(rows, vocab)
+    known = vocab.toArrow()   # `small` rows at most
+    sent = texts.sparkSession.sparkContext.broadcast((known.column("token").to_pylist(), known.column("id").to_pylist()))
+
+    def look_up(batches):
+        names, ids = pa.array(sent.value[0], pa.string()), pa.array(sent.value[1], pa.int32())
+        for b in batches:
+            t = b.column("tokens")
+            found = ids.take(pc.index_in(t.flatten(), value_set=names)).fill_null(1)   # 1: the id of [UNK]
+            out = pa.ListArray.from_arrays(pa.array(np.arange(0, n * b.num_rows + 1, n), pa.int32()), found)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), out], ["doc_id", "ids"])
+    return rows.mapInArrow(look_up, StructType([rows.schema["doc_id"], StructField("ids", ArrayType(IntegerType()))]))
+
+
+def _joined_ids(rows: DataFrame, vocab: DataFrame) -> DataFrame:
+    """As token_ids, for a vocabulary of any size: a token is joined once for each partition and row that hold it."""
+    rows = written(rows.withColumn("rid", F.monotonically_increasing_id()))
+    t = rows.select("doc_id", "rid", F.posexplode("tokens").alias("at", "token"))
     ids = t.join(vocab, "token", "left").select("rid", "doc_id", F.struct("at", F.coalesce("id", F.lit(1)).alias("id")).alias("v"))
     return ids.groupBy("rid", "doc_id").agg(F.sort_array(F.collect_list("v")).alias("v")).select("doc_id", F.transform("v", lambda x: x["id"]).alias("ids"))  # n entries a row
 

@@ -1,12 +1,13 @@
 """Cleaning chain and verification scores, each with its SQL."""
 from pyspark.sql import functions as F
 
+from pluvia import catalog
 from pluvia.functions import scores as S
 from pluvia.operators import clean as C
 from pluvia.operators import verify as V
 from pluvia.plans.queries import CC_SQL, CELLS_CTE, CONF, PAIRS_CTE, q, r6
 from pluvia.sources import sinks
-from pluvia.sources.scratch import folder
+from pluvia.sources.scratch import folder, written
 from pluvia.sources.views import cells_long, pairs
 
 PRECIP = "variable IN ('PRE','corrected_precip')"
@@ -51,7 +52,30 @@ q("global_stats", STATS + " SELECT variable, n, round(mean,6) AS mean, round(std
     lambda s, d: C.global_stats(C.clean(cells_long(s, d))).select("variable", "n", r6(F.col("mean"), "mean"), F.round("std", 4).alias("std")))
 q("zscore_normalize", NORMAL)(lambda s, d: C.preprocess(cells_long(s, d)).select(*KEYS, F.round("value", 4).alias("value")))
 q("stats_wide", STATS + " SELECT " + ", ".join(f"round(max(CASE WHEN variable='{v}' THEN {c} END),4) AS {v}_{c}" for v in C.LIMITS for c in ("mean", "std")) + " FROM stats")(
-    lambda s, d: C.global_stats(C.clean(cells_long(s, d))).agg(*[F.round(F.max(F.when(F.col("variable") == v, F.col(c))), 4).alias(f"{v}_{c}") for v in C.LIMITS for c in ("mean", "std")]))
+    lambda s, d: C.wide_stats(C.global_stats(C.clean(cells_long(s, d)))).select(*[F.round(f"{v}_{c}", 4).alias(f"{v}_{c}") for v in C.LIMITS for c in ("mean", "std")]))
+
+
+@q("stats_by_file", STATS + " SELECT variable, n, round(mean,6) AS mean, round(std,4) AS std FROM stats")
+def _by_file(s, d):
+    """Moments of the first fifteen days' files are kept, then those of later files beside them; the statistics are written
+    and read, their counts come from the moments."""
+    out, day = folder(s, "moments"), F.substring("file", 12, 2).cast("int")
+    for part in (day <= 15, day > 15):
+        sinks.add_moments(C.file_moments(C.clean(cells_long(s, d).where(part))), out)
+    stats = C.stats_of(sinks.read_moments(s, out))
+    sinks.write_stats(stats, f"{out}-stats")
+    return sinks.read_stats(s, f"{out}-stats").join(stats.select("variable", "n"), "variable").select("variable", "n", r6(F.col("mean"), "mean"), F.round("std", 4).alias("std"))
+
+
+@q("preprocess_resumed", NORMAL)
+def _resumed(s, d):
+    """Files are written in waves of eight; the first call ends after two of them, a later one does what is left."""
+    out, cells = folder(s, "processed"), cells_long(s, d)
+    stats = written(C.global_stats(C.clean(cells)))
+    process = lambda c: C.zscore(C.clean(c), stats)
+    sinks.write_resumable(cells, process, out, "first", 8, waves=2)
+    sinks.write_resumable(cells, process, out, "second", 8)
+    return sinks.read_processed(s, out).select("event_id", F.col("file").cast("string").alias("file"), "variable", F.round("value", 4).alias("value"))
 
 
 @q("preprocess_full", NORMAL)
@@ -63,7 +87,7 @@ def _full(s, d):
 
 
 q("range_zero", CELLS_CTE + f" SELECT event_id, CASE WHEN isnan(value) THEN NULL WHEN {OUT} THEN 0.0 ELSE value END AS value FROM cells")(
-    lambda s, d: cells_long(s, d).select("event_id", F.when(C.out_of_range(F.col("value"), F.col("variable")), 0.0).when(~F.isnan("value"), F.col("value")).alias("value")))
+    lambda s, d: C.range_zero(cells_long(s, d), C.limits_table(s)).select("event_id", F.when(~F.isnan("value"), F.col("value")).alias("value")))
 q("log1p_precip", CELLS_CTE + f" SELECT event_id, CASE WHEN isnan(value) OR value<=-1 THEN NULL ELSE round(ln(1+value),6) END AS value FROM cells WHERE {PRECIP}")(
     lambda s, d: cells_long(s, d).where(F.col("variable").isin(*C.PRECIP)).select("event_id", F.when(~F.isnan("value") & (F.col("value") > -1), F.round(F.log1p("value"), 6)).alias("value")))
 q("file_nanmean", CELLS_CTE + " SELECT file, variable, round(avg(value) FILTER (NOT isnan(value)),6) AS mean FROM cells GROUP BY 1,2")(
@@ -100,4 +124,6 @@ REPORT = BATCH + ", r AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, round
 q("score_kge", SCORES + " SELECT sample_id, round(KGE,6) AS kge FROM scores")(lambda s, d: V.sample_scores(pairs(s, d)).select("sample_id", r6(F.col("KGE"), "kge")))
 q("batch_scores", BATCH + " SELECT batch_id, " + ", ".join(f"round({m},6) AS {m}" for m in S.METRICS) + " FROM b")(
     lambda s, d: V.batch_scores(pairs(s, d)).select("batch_id", *[r6(F.col(m), m) for m in S.METRICS]))
+q("metric_report", REPORT + ", md AS (SELECT batch_id, avg(m) AS m FROM (SELECT batch_id, sample_id, median(abs(pred-label)) AS m FROM pairs GROUP BY 1,2) GROUP BY 1) SELECT * FROM r UNION ALL SELECT 'MEDAE', round(round(avg(m),9),3) FROM md")(
+    lambda s, d: catalog.metric_report(pairs(s, d), catalog.SIXTEEN | {"MEDAE": ("MEDAE", None)}))
 q("verification_report", REPORT + " SELECT * FROM r")(lambda s, d: V.verification_report(pairs(s, d)))

@@ -28,7 +28,8 @@ q("score_rmse", PAIRS_CTE + " SELECT sample_id, round(sqrt(avg((pred-label)*(pre
     lambda s, d: V.sample_scores(pairs(s, d)).select("sample_id", r6(F.col("RMSE"), "rmse")))
 q("score_mae", PAIRS_CTE + " SELECT sample_id, round(avg(abs(pred-label)),6) AS mae FROM pairs GROUP BY 1")(
     lambda s, d: V.sample_scores(pairs(s, d)).select("sample_id", r6(F.col("MAE"), "mae")))
-CC_SQL = "CASE WHEN stddev_samp(pred)>1e-9 AND stddev_samp(label)>1e-9 THEN greatest(-1.0,least(1.0,covar_pop(pred,label)/(stddev_samp(pred)*stddev_samp(label)))) ELSE 0.0 END"
+CC_SQL = ("CASE WHEN stddev_samp(pred)>1e-12*max(abs(pred)) AND stddev_samp(label)>1e-12*max(abs(label)) "
+          "THEN greatest(-1.0,least(1.0,covar_pop(pred,label)/stddev_samp(pred)/stddev_samp(label))) ELSE 0.0 END")
 q("score_cc", PAIRS_CTE + f" SELECT sample_id, round({CC_SQL},6) AS cc FROM pairs GROUP BY 1")(
     lambda s, d: V.sample_scores(pairs(s, d)).select("sample_id", r6(F.col("CC"), "cc")))
 CONF = ", ".join(f"count(*) FILTER (pred>={t} AND label>={t}) AS h_{k}, count(*) FILTER (NOT pred>={t} AND label>={t}) AS m_{k}, count(*) FILTER (pred>={t} AND NOT label>={t}) AS f_{k}, count(*) FILTER (NOT pred>={t} AND NOT label>={t}) AS c_{k}" for k, t in S.THRESHOLDS.items())

@@ -3,9 +3,11 @@ from pyspark.sql import functions as F
 
 from pluvia.operators import clean as C
 from pluvia.operators import correct as M
+from pluvia.operators import external
 from pluvia.operators import samples as A
 from pluvia.plans.queries import PAIRS_CTE, q, r6
 from pluvia.plans.samples import WIDE, wide, wide_cells
+from pluvia.sources import files as I
 from pluvia.sources import sinks
 from pluvia.sources.scratch import folder, numbered, written
 from pluvia.sources.views import cells_long, pairs, table
@@ -25,10 +27,15 @@ def index(s, d):
     return A.global_time_index(frames)
 
 
-def sequence(s, d, steps=A.STEPS, stride=A.STRIDE):
+def indexed(s, d):
+    """Cells, and the index of their frames."""
     cells = written(wide(s, d))
     frames = cells.select("file", "time_idx").distinct().withColumn("time", F.expr(TIME).cast("timestamp_ntz"))
-    return A.sequence_cells(cells, A.global_time_index(frames), steps, stride)
+    return cells, A.global_time_index(frames)
+
+
+def sequence(s, d, steps=A.STEPS, stride=A.STRIDE):
+    return A.sequence_cells(*indexed(s, d), steps, stride)
 
 
 SEQ = windows_sql(A.STEPS, A.STRIDE)
@@ -41,7 +48,34 @@ q("sequence_label", SEQ + " SELECT start, y, x, corrected_precip AS label FROM s
     lambda s, d: sequence(s, d).where(F.col("step") == A.STEPS - 1).select("start", "y", "x", F.col(A.TARGET).alias("label")))
 q("sequence_tensor", SEQ + " SELECT start, y, x, " + ", ".join(f"coalesce(max(CASE WHEN step={k} THEN {v} END),0.0) AS {v}_{k}" for k in range(A.STEPS) for v in A.FEATURES)
   + ", coalesce(max(CASE WHEN step=3 THEN corrected_precip END),0.0) AS label FROM sc GROUP BY 1,2,3")(
-    lambda s, d: A.stacked(sequence(s, d)).select("start", "y", "x", *[F.col("data")[k][i].alias(f"{v}_{k}") for k in range(A.STEPS) for i, v in enumerate(A.FEATURES)], "label"))
+    lambda s, d: A.stacked(*indexed(s, d)).select("start", "y", "x", *[F.col("data")[k][i].alias(f"{v}_{k}") for k in range(A.STEPS) for i, v in enumerate(A.FEATURES)], "label"))
+
+TENSOR = SEQ + ", st AS (SELECT start, y, x, " + ", ".join(f"coalesce(max(CASE WHEN step={k} THEN PRE END),0.0) AS p{k}" for k in range(A.STEPS)) + " FROM sc GROUP BY 1,2,3)"
+TREND = (0.1, 0.2, 0.3, 0.4)   # weights of the four steps' precipitation
+
+
+def trend():
+    """A model in numpy: the weighted mean of the steps' precipitation."""
+    import numpy as np
+    return lambda x: x[:, :, A.FEATURES.index("PRE")] @ np.array(TREND)
+
+
+@q("external_predictions", TENSOR + " SELECT start, y, x, round(" + "+".join(f"{w}*p{k}" for k, w in enumerate(TREND)) + ",4) AS pred FROM st")
+def _external(s, d):
+    """Predictions of a numpy model over the arrays of sequence samples, written as JSON and read again."""
+    out = folder(s, "predictions")
+    sinks.write_predictions(external.predict(A.stacked(*indexed(s, d)).drop("label"), trend, A.STEPS, len(A.FEATURES)), out)
+    return s.read.schema("start long, y int, x int, pred double").json(out).select("start", "y", "x", F.round("pred", 4).alias("pred"))
+
+
+@q("epoch_order", INDEX + ", n AS (SELECT CAST(m+1 AS BIGINT) AS n FROM last), e AS (SELECT unnest([0,1]) AS epoch), b AS (SELECT epoch, CAST(unnest(range(n//8)) AS BIGINT) AS batch_id FROM e, n) SELECT epoch, batch_id, 8 AS n, CAST(28+64*batch_id AS BIGINT) AS places FROM b")
+def _epochs(s, d):
+    """Two epochs' batches of eight: each holds eight samples, at eight places that follow each other."""
+    samples = A.frame_samples(index(s, d))
+    total = samples.count()
+    epochs = [A.epoch_batches(samples, total, 8, seed).withColumn("epoch", F.lit(seed)) for seed in (0, 1)]
+    return epochs[0].union(epochs[1]).groupBy("epoch", "batch_id").agg(F.count_distinct("sample_id").cast("int").alias("n"), F.sum("place").alias("places"))
+
 
 BATCH = PAIRS_CTE + ", n AS (SELECT DISTINCT sample_id FROM pairs), k AS (SELECT sample_id, CAST((row_number() OVER (ORDER BY sample_id)-1)//6 AS BIGINT) AS batch_id FROM n)"
 q("batch_assign", BATCH + " SELECT * FROM k WHERE batch_id IN (SELECT batch_id FROM k GROUP BY 1 HAVING count(*)=6)")(lambda s, d: A.batches(pairs(s, d).select("sample_id").distinct(), 6))
@@ -55,7 +89,30 @@ def by_file(s, d):
 
 
 q("file_prefix_counts", FILES + " SELECT file, n, lo, hi FROM iv")(lambda s, d: A.prefix_counts(by_file(s, d)))
-q("global_row_number", "SELECT doc_id, source AS file, row_number() OVER (ORDER BY source, doc_id)-1 AS row FROM documents")(lambda s, d: numbered(by_file(s, d), "file", "doc_id", name="row"))
+
+
+def json_files(s, d):
+    """Files of JSON lines by source and part, lines by doc_id."""
+    out = folder(s, "json")
+    rows = table(s, d, "documents").select("doc_id", "text", "source", F.format_string("%06d", F.expr("doc_id div 5000")).alias("part"))
+    rows.repartition("source", "part").sortWithinPartitions("source", "part", "doc_id").write.partitionBy("source", "part").json(out)
+    return out
+
+
+def source_of(name):
+    return F.regexp_extract("file", "source=([^/]*)/", 1).alias(name)
+
+
+@q("global_row_number", "SELECT doc_id, source AS file, row_number() OVER (ORDER BY source, doc_id)-1 AS row FROM documents")
+def _rows(s, d):
+    return I.line_rows(s, f"{json_files(s, d)}/*/*", "doc_id long").select("doc_id", source_of("file"), "row")
+
+
+@q("line_counts", "SELECT source, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY 1")
+def _line_counts(s, d):
+    return I.line_counts(s, f"{json_files(s, d)}/*/*").groupBy(source_of("source")).agg(F.sum(F.col("hi") - F.col("lo")).alias("n"))
+
+
 q("row_to_file_range_join", FILES + ", r AS (SELECT doc_id, row_number() OVER (ORDER BY source, doc_id)-1 AS row FROM documents) SELECT doc_id, row, file FROM r JOIN iv ON row>=lo AND row<hi")(
     lambda s, d: A.rows_to_files(numbered(by_file(s, d), "file", "doc_id", name="row").select("doc_id", "row"), A.prefix_counts(by_file(s, d)).select("file", "lo", "hi")))
 
@@ -85,6 +142,13 @@ def _fit(s, d):
     return s.createDataFrame([*zip(A.FEATURES, map(float, m.coefficients)), ("intercept", float(m.intercept))], "feature string, weight double")
 
 
+@q("fit_correction_combined")
+def _combined(s, d):
+    """feature, weight, of the linear correction with the least combined loss, and that loss."""
+    w, b, loss = M.combined_weights(split(cleaned(s, d), "train"))
+    return s.createDataFrame([*zip(A.FEATURES, map(float, w)), ("intercept", b), ("loss", loss)], "feature string, weight double")
+
+
 @q("fit_correction_seq")
 def _fit_seq(s, d):
     """The test split's predictions by a model of the last four places of each cell."""

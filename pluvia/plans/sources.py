@@ -149,11 +149,27 @@ def _malformed(s, d):
 # cleaning and samples whose definition has a default for what is absent
 LONG = WIDE + f", l AS (UNPIVOT wide ON {', '.join(VARS)} INTO NAME variable VALUE value)"
 q("missing_variable_zero", LONG + " SELECT file, time_idx, y, x, variable, value FROM l")(lambda s, d: wide(s, d).unpivot(["file", "time_idx", "y", "x"], VARS, "variable", "value"))
-q("error_samples", "WITH p AS (SELECT CAST(l_shipdate AS DATE) AS sample_id, l_orderkey % 997=0 AS nan_, l_orderkey % 991=0 AND l_orderkey % 997<>0 AS inf_, CAST(l_quantity AS DOUBLE) AS pred FROM lineitem) "
-  "SELECT sample_id, bool_or(nan_) AS has_nan, bool_or(inf_) AS has_inf, CASE WHEN count(*) FILTER (NOT nan_)=0 THEN 'all_nan' ELSE CAST(CAST(min(pred) FILTER (NOT nan_ AND NOT inf_) AS BIGINT) AS VARCHAR) END AS lo "
-  "FROM p GROUP BY 1 HAVING bool_or(nan_) OR bool_or(inf_)")(
-    lambda s, d: V.error_samples(table(s, d, "lineitem").select(F.col("l_shipdate").cast("date").alias("sample_id"), F.when(F.col("l_orderkey") % 997 == 0, float("nan")).when(F.col("l_orderkey") % 991 == 0, float("inf")).otherwise(F.col("l_quantity").cast("double")).alias("pred")))
-    .select("sample_id", "has_nan", "has_inf", F.when(F.col("lo").isNull() & ~F.col("has_inf"), "all_nan").otherwise(F.col("lo").cast("long").cast("string")).alias("lo")))
+SHOWN = "CASE WHEN {n}=0 THEN 'all_nan' WHEN isinf({v}) THEN 'Infinity' ELSE CAST(CAST({v} AS BIGINT) AS VARCHAR) END"
+LEAST, MOST = "min(pred) FILTER (NOT isnan(pred))", "max(pred) FILTER (NOT isnan(pred))"
+ERRORS = ("WITH p AS (SELECT CAST(l_shipdate AS DATE) AS sample_id, CASE WHEN l_orderkey % 997=0 THEN CAST('NaN' AS DOUBLE) WHEN l_orderkey % 991=0 THEN CAST('Infinity' AS DOUBLE) ELSE CAST(l_quantity AS DOUBLE) END AS pred, CAST(l_linenumber AS DOUBLE) AS label FROM lineitem), "
+          "a AS (SELECT sample_id, count(*) AS n, count(*) FILTER (isnan(pred)) AS nan_, count(*) FILTER (isinf(pred)) AS inf_, count(*) FILTER (NOT isnan(pred)) AS m, " + LEAST + " AS lo, " + MOST + " AS hi, "
+          "min(CASE WHEN isnan(pred) OR isinf(pred) THEN 0.0 ELSE pred END) AS clo, CAST(min(label) AS BIGINT) AS label_min, CAST(max(label) AS BIGINT) AS label_max FROM p GROUP BY 1)")
+
+
+@q("error_samples", ERRORS + " SELECT sample_id, 'nan_inf_values' AS error, nan_>0 AS has_nan, inf_>0 AS has_inf, " + SHOWN.format(n="m", v="lo") + " AS lo, " + SHOWN.format(n="m", v="hi") + " AS hi, label_min, label_max, CAST(n AS BIGINT) AS n_cells FROM a WHERE nan_+inf_>0 "
+   "UNION ALL SELECT sample_id, 'nan_std', false, false, " + SHOWN.format(n="1", v="clo") + ", " + SHOWN.format(n="1", v="clo") + ", label_min, label_max, CAST(n AS BIGINT) FROM a WHERE n=1")
+def _errors(s, d):
+    """Samples in error and their cells, written and read again."""
+    key, out = F.col("l_orderkey"), folder(s, "errors")
+    rows = table(s, d, "lineitem").select(F.col("l_shipdate").cast("date").alias("sample_id"), F.when(key % 997 == 0, float("nan")).when(key % 991 == 0, float("inf")).otherwise(F.col("l_quantity").cast("double")).alias("pred"), F.col("l_linenumber").cast("double").alias("label"))
+    errors = written(V.error_samples(rows))
+    sinks.write_errors(errors, V.error_values(rows, errors), out)
+    shown = lambda c: F.when(F.col(c).isNull(), "all_nan").when(F.col(c) == float("inf"), "Infinity").otherwise(F.col(c).cast("long").cast("string"))
+    cells = s.read.parquet(f"{out}/values").groupBy("sample_id", "error").agg(F.count("*").alias("n_cells"))
+    got = s.read.parquet(f"{out}/summary").join(cells, ["sample_id", "error"])
+    return got.select("sample_id", F.col("error").cast("string").alias("error"), F.col("pred_contains_nan").alias("has_nan"), F.col("pred_contains_inf").alias("has_inf"), shown("pred_min").alias("lo"), shown("pred_max").alias("hi"),
+                      F.col("label_min").cast("long").alias("label_min"), F.col("label_max").cast("long").alias("label_max"), "n_cells")
+
 
 # metric history, reports
 HISTORY = (BATCH + ", h AS (" + " UNION ALL ".join(f"SELECT 'step' AS granularity, '{m}' AS tag, batch_id AS step, round({m},6) AS value FROM b" for m in S.METRICS)
@@ -211,19 +227,24 @@ q("time_decode", "SELECT event_id, TIMESTAMP '2020-01-01 00:00:00' + (event_id %
 
 
 # streams
-@q("stream_scores", SCORES + " SELECT sample_id, round(RMSE,6) AS RMSE, round(CC,6) AS CC, round(TS_light_rain,6) AS TS_light_rain FROM scores")
+PAIR = ["CAST(l_shipdate AS DATE) AS sample_id", "CAST(l_quantity AS DOUBLE) * CAST(l_discount AS DOUBLE) * 10 AS pred", "CAST(l_quantity AS DOUBLE) * CAST(l_tax AS DOUBLE) * 10 AS label"]
+
+
+@q("stream_scores", SCORES + " SELECT sample_id, round(RMSE,6) AS RMSE, round(CC,6) AS CC, round(KGE,6) AS KGE, round(TS_light_rain,6) AS TS_light_rain, round(BIAS_heavy_rain,6) AS BIAS_heavy_rain FROM scores")
 def _stream_scores(s, d):
+    """Pairs arrive in five files that each hold some cells of every sample, two files a batch."""
     base = folder(s, "stream")
-    parts = ["CAST(l_shipdate AS DATE) AS sample_id", "CAST(l_quantity AS DOUBLE) * CAST(l_discount AS DOUBLE) * 10 AS pred", "CAST(l_quantity AS DOUBLE) * CAST(l_tax AS DOUBLE) * 10 AS label"]
-    got = scores.stream_scores(s, f"{d}/lineitem.parquet*", [F.expr(p) for p in parts], table(s, d, "lineitem").schema, f"{base}/table", f"{base}/state")
-    return got.select("sample_id", r6(F.col("RMSE"), "RMSE"), r6(F.col("CC"), "CC"), r6(F.col("TS_light_rain"), "TS_light_rain"))
+    rows = table(s, d, "lineitem").select("l_shipdate", "l_quantity", "l_discount", "l_tax", "l_orderkey")
+    rows.repartition(5, "l_orderkey").write.parquet(f"{base}/in")
+    got = scores.stream_scores(s, f"{base}/in", [F.expr(p) for p in PAIR], rows.schema, f"{base}/table", f"{base}/state", files_at_once=2)
+    return got.select("sample_id", *[r6(F.col(m), m) for m in ("RMSE", "CC", "KGE", "TS_light_rain", "BIAS_heavy_rain")])
 
 
 @q("stream_preprocess", NORMAL)
 def _stream_preprocess(s, d):
+    """Cells arrive in four files that each hold a part of every grid file, one a batch."""
     base = folder(s, "stream")
     cells = cells_long(s, d)
-    cells.repartition("file").write.parquet(f"{base}/cells")
-    stats = written(C.global_stats(C.clean(cells)))
-    preprocess.stream_preprocess(s, f"{base}/cells", stats, f"{base}/out", f"{base}/state")
-    return sinks.read_processed(s, f"{base}/out").select("event_id", F.col("file").cast("string").alias("file"), "variable", F.round("value", 4).alias("value"))
+    cells.repartition(4, "event_id").write.parquet(f"{base}/cells")
+    got = preprocess.stream_preprocess(s, f"{base}/cells", C.global_stats(C.clean(cells)), f"{base}/out", f"{base}/state", files_at_once=1)
+    return got.select("event_id", "file", "variable", F.round("value", 4).alias("value"))

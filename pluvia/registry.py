@@ -21,5 +21,6 @@ class Registry(dict):
 SOURCES = Registry("source")        # (spark, spec) -> DataFrame
 FORMATTERS = Registry("formatter")  # DataFrame -> DataFrame
 MODELS = Registry("model")          # DataFrame -> fitted transformer
-METRICS = Registry("metric")        # (pred, label) -> aggregate Column
+METRICS = Registry("metric")        # (pred, label, threshold) -> aggregate Column
+PYTHON_METRICS: set = set()         # names of metrics that are aggregates in Python, which Spark computes apart from its own
 OUTPUTS = Registry("output")        # DataFrame -> DataFrame of report rows

@@ -4,7 +4,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvia.sources.scratch import numbered
+from pluvia.sources.scratch import SMALL, numbered, running_sum, sent_if_small, written
 
 
 def file_listing(spark: SparkSession, root: str, recursive: bool = True, pattern: str = "*") -> DataFrame:
@@ -47,6 +47,31 @@ def global_rows(records: DataFrame, *line: str, file: str = "file", name: str =
     return numbered(records, file, *line, name=name)
 
 
+def text_lines(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
+    """The lines of files, and how many lines each split of a file has. A file may be read in several splits; a line belongs
+    to the split in which it begins, and a task reads the lines of a split one after the other."""
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                                          F.monotonically_increasing_id().alias("_at"))
+    return lines, written(lines.groupBy("file", "block").agg(F.min("_at").alias("first"), F.count("*").alias("n")))
+
+
+def line_rows(spark: SparkSession, paths, schema: str | None = None, name: str = "row", small: int = SMALL) -> DataFrame:
+    """file, value and the number of each line over all files (from 0), files by path, lines as they stand: the splits are
+    counted, their sums say where each begins. With schema the record of each JSON line, null fields where it is none."""
+    lines, splits = text_lines(spark, paths)
+    starts = sent_if_small(running_sum(splits, "n", "file", "block", small=small))
+    row = (F.col("end") - F.col("n") + F.col("_at") - F.col("first")).cast("long").alias(name)
+    got = lines.join(starts, ["file", "block"])
+    return got.select("file", row, "value") if schema is None else got.select("file", row, F.from_json("value", schema).alias("r")).select("file", name, "r.*")
+
+
+def line_counts(spark: SparkSession, paths, small: int = SMALL) -> DataFrame:
+    """file, n and the half-open interval (lo, hi) of its line numbers."""
+    _, splits = text_lines(spark, paths)
+    sums = running_sum(splits.groupBy("file").agg(F.sum("n").alias("n")), "n", "file", name="hi", small=small)
+    return sums.select("file", "n", (F.col("hi") - F.col("n")).cast("long").alias("lo"), "hi")
+
+
 def image_manifest(manifest: DataFrame, images: DataFrame, prefix: str = "") -> DataFrame:
     """manifest (path, label) with the content of prefix/path; a missing image leaves it null, the row stays."""
     return manifest.withColumn("_full", F.concat(F.lit(f"{prefix}/" if prefix else ""), "path")).join(

@@ -5,6 +5,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared(spark: SparkSession) -> str:
@@ -29,16 +30,44 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
-def numbered(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
-    """df with the number of each row (from 0) in the given order, which must be total for a definite result. Rows are sorted
-    into ranges, each range is numbered by itself, and the ranges' sizes give where each begins."""
-    local = F.monotonically_increasing_id()
-    rows = written(df.orderBy(*order).withColumn("_at", local))
-    part = F.shiftright("_at", 33)
-    sizes = rows.groupBy(part.alias("part")).count().collect()  # one row for each range
+SMALL = 200_000   # rows that a single task numbers or sums, at most; more are done range by range, with the same result
+
+
+def _ranges(df: DataFrame, order: tuple, total) -> tuple[DataFrame, DataFrame]:
+    """The rows of df in sorted ranges, with their place (_at) and range (_part), and for each range what all earlier ones
+    sum to (_before)."""
+    rows = written(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33).cast("long"))
     begin, starts = 0, []
-    for r in sorted(sizes, key=lambda r: r["part"]):
-        starts.append((r["part"], begin))
-        begin += r["count"]
-    where = F.create_map(*[F.lit(v) for s in starts for v in s]) if starts else F.create_map(F.lit(0).cast("long"), F.lit(0))
-    return rows.withColumn(name, (F.element_at(where, part) + F.col("_at").bitwiseAND((1 << 33) - 1)).cast("long")).drop("_at")
+    for r in sorted(rows.groupBy("_part").agg(total.alias("n")).collect(), key=lambda r: r["_part"]):  # one row for each range
+        starts.append((r["_part"], begin))
+        begin += r["n"] or 0
+    return rows, F.broadcast(df.sparkSession.createDataFrame(starts, "_part long, _before long"))
+
+
+def numbered(df: DataFrame, *order: str, name: str = "pos", small: int = SMALL) -> DataFrame:
+    """df with the number of each row (from 0) in the given order, which must be total for a definite result. The rows are
+    counted; up to `small` of them are numbered by one window, more are sorted into ranges of which each is numbered by
+    itself."""
+    if df.count() <= small:
+        return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+    rows, before = _ranges(df, order, F.count("*"))
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(before, "_part").withColumn(name, place.cast("long")).drop("_at", "_part", "_before")
+
+
+def running_sum(df: DataFrame, value: str, *order: str, name: str = "end", small: int = SMALL) -> DataFrame:
+    """df with the sum of `value` over all rows up to each one, itself included, in the given order, which must be total."""
+    if df.count() <= small:
+        return df.withColumn(name, F.sum(value).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+    rows, before = _ranges(df, order, F.sum(value))
+    inner = F.sum(value).over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(before, "_part").withColumn(name, (F.col("_before") + inner).cast("long")).drop("_at", "_part", "_before")
+
+
+BROADCAST_ROWS = 200_000   # rows of a side that is sent to every task, at most
+
+
+def sent_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df by way of a table and counted; up to `rows` rows are broadcast where it is joined."""
+    df = written(df)
+    return F.broadcast(df) if df.count() <= rows else df

@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from pluvia import catalog
 from pluvia.functions import losses
 from pluvia.functions import text as X
-from pluvia.operators import clean, correct, samples, verify
+from pluvia.operators import correct, samples, verify
 from pluvia.registry import FORMATTERS, METRICS, MODELS, OUTPUTS, SOURCES
 from pluvia.sources import files, grid, scratch, sinks
-from pluvia.streaming import preprocess
 
 
 def grid_file(path, drop=(), steps=6, compressed=False):
@@ -154,13 +153,11 @@ def test_numbers_and_prefix_counts(spark):
     assert one.where("own <> file").count() == 0 and one.count() == 1000
 
 
-def test_nan_labels_and_error_samples(spark):
+def test_nan_labels(spark):
     nan, inf = float("nan"), float("inf")
     d = spark.createDataFrame([(0, "a", 1.0, nan), (0, "a", 2.0, 1.0), (0, "b", nan, 1.0), (0, "b", nan, 2.0), (0, "c", inf, 1.0), (0, "c", 3.0, 1.0), (0, "d", 1.0, 1.0), (0, "d", 2.0, 1.5)], "batch_id long, sample_id string, pred double, label double")
     cc = {r.sample_id: r.CC for r in verify.sample_scores(d).collect()}
     assert cc["a"] == 0.0 and cc["d"] > 0
-    bad = {r.sample_id: (r.has_nan, r.has_inf, r.lo) for r in verify.error_samples(d).collect()}
-    assert bad == {"b": (True, False, None), "c": (False, True, 3.0)}
 
 
 def test_losses(spark):
@@ -187,22 +184,6 @@ def test_models_save_and_weights(spark, tmp_path):
     correct.save(m, str(tmp_path / "m"))
     r = correct.predict(correct.load(str(tmp_path / "m")), rows.limit(5), non_negative=True).collect()
     assert all(x.pred == pytest.approx(x.corrected_precip, abs=1e-6) for x in r)
-    w = spark.createDataFrame([(0.1,), (5.0,), (15.0,), (16.0,), (0.0,)], "y double").select(correct.weight(F.col("y")).alias("w")).collect()
-    assert [x.w for x in w] == [1.0, 4.0, 3.0, 2.0, 1.0]
-
-
-def test_stream_takes_files_once(spark, tmp_path):
-    cells = spark.createDataFrame([("f1", "UWIN", 3.0), ("f1", "UWIN", 9999.0)], "file string, variable string, value double")
-    stats = spark.createDataFrame([("UWIN", 0.0, 1.0)], "variable string, mean double, std double")
-    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
-    cells.coalesce(1).write.parquet(src)
-    preprocess.stream_preprocess(spark, src, stats, out, ck)
-    cells.withColumn("file", F.lit("f2")).coalesce(1).write.mode("append").parquet(src)
-    preprocess.stream_preprocess(spark, src, stats, out, ck)
-    got = {r.file: r.n for r in sinks.read_processed(spark, out).groupBy("file").agg(F.count("*").alias("n")).collect()}
-    assert got == {"f1": 2, "f2": 2}
-    batch = clean.zscore(clean.clean(cells), stats)
-    assert sorted(r.value for r in sinks.read_processed(spark, out).where("file = 'f1'").collect()) == sorted(r.value for r in batch.collect())
 
 
 def test_history_and_predictions(spark, tmp_path):
