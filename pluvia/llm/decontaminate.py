@@ -2,7 +2,8 @@
 
 A seed is the hash of the words that a fixed mask leaves in a stretch; equal seeds of a document and an item propose an
 alignment, along which every run of enough equal words is an overlap. Items of LEAST_ITEM to 7 words are shorter than
-the masks and are found as a whole; shorter ones are too common in clean texts to be evidence and match nothing.
+the masks and are found as a whole; shorter ones are too common in clean texts to be evidence and match nothing, unless
+a call asks for them.
 
 Null and empty texts match nothing; repeated rows each give their rows; rows with a null doc_id are searched and give
 rows with a null doc_id, of which `clean` keeps those without an overlap; texts may be of any length; empty tables give
@@ -14,11 +15,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sent_if_few
+from .common import is_scan, sent_if_few, written
 
 MASKS = ("11011011", "1110010111", "110100110011")  # 0: the word at that place is ignored
 INDEX_BYTES = 64 << 20
 MIN_WORDS, IDENTITY = 10, 0.8
+MISS = round(IDENTITY / (1 - IDENTITY))   # equal words that make up for another one
 LEAST_ITEM = 5   # words of an item that can be found
 _TABLE = bytes((c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32) for c in range(256))
 
@@ -38,32 +40,42 @@ def seeds(h: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return g
 
 
-def masks(words: int) -> list[tuple[int, str]]:
+def masks(words: int, least_item: int) -> list[tuple[int, str]]:
     """Number and mask of the seeds of an item of so many words."""
-    if words < LEAST_ITEM:
+    if words < max(least_item, 1):
         return []
     return [*enumerate(MASKS)] if words >= len(MASKS[0]) else [(words + 100, "1" * words)]
 
 
-ALL_MASKS = [*enumerate(MASKS), *((k + 100, "1" * k) for k in range(LEAST_ITEM, len(MASKS[0])))]
+def all_masks(least_item: int) -> list[tuple[int, str]]:
+    return [*enumerate(MASKS), *((k + 100, "1" * k) for k in range(max(least_item, 1), len(MASKS[0])))]
+
+
+def _longest(equal: np.ndarray) -> tuple[int, int]:
+    """The longest stretch (from, to) with at least IDENTITY of its words equal, the first of several. With prefix sums of
+    +1 for an equal word and -4 for another one, a stretch holds enough where its sum isn't negative; the earliest place
+    whose sum is no larger than that at the end is found in the running minimum, which never rises."""
+    c = np.concatenate(([0], np.cumsum(np.where(equal, 1, -MISS))))
+    low = np.minimum.accumulate(c)
+    start = np.searchsorted(-low, -c)
+    end = int((np.arange(len(c)) - start).argmax())
+    return int(start[end]), end
 
 
 def verify(h: np.ndarray, w: np.ndarray, off: int) -> list[tuple]:
-    """Runs of the overlap when item words w start at word `off` of h: (first, last, equal words) of the best run and of
-    those on either side of it."""
+    """Runs of the overlap when item words w start at word `off` of h: (first, last, equal words) of the longest run with
+    enough equal words, without other words at its ends, and of those on either side of it."""
     a, z = max(off, 0), min(off + len(w), len(h))
-    eq = np.where(h[a:z] == w[a - off:z - off], 1 - IDENTITY, -IDENTITY)
-    least, out, work = min(MIN_WORDS, len(w)), [], [(0, len(eq))]
+    equal = h[a:z] == w[a - off:z - off]
+    least, out, work = min(MIN_WORDS, len(w)), [], [(0, len(equal))]
     while work:
         lo, hi = work.pop()
         if hi - lo < least:
             continue
-        c = np.concatenate(([0.0], np.cumsum(eq[lo:hi])))
-        end = int((c - np.minimum.accumulate(c)).argmax())
-        start = int(c[:end + 1].argmin())
-        hit = int((eq[lo + start:lo + end] > 0).sum())
-        if hit >= least:
-            out.append((a + lo + start, a + lo + end - 1, hit))
+        start, end = _longest(equal[lo:hi])
+        at = np.flatnonzero(equal[lo + start:lo + end])
+        if len(at) >= least:
+            out.append((a + lo + start + int(at[0]), a + lo + start + int(at[-1]), len(at)))
             work += [(lo, lo + start), (lo + end, hi)]
     return sorted(out)
 
@@ -72,23 +84,26 @@ OVERLAP = "doc string, item string, first_word long, last_word long, n_matched l
 _COLUMNS = ["doc", "item", "first_word", "last_word", "n_matched"]
 
 
-def overlaps(docs: DataFrame, bench: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """doc_id, item_id, first_word, last_word, n_matched for each verified overlap."""
+def overlaps(docs: DataFrame, bench: DataFrame, index_bytes: int = INDEX_BYTES, least_item: int = LEAST_ITEM) -> DataFrame:
+    """doc_id, item_id, first_word, last_word, n_matched for each verified overlap. Items of `least_item` words or more are
+    looked for; with 1 that is every item that has a word."""
+    stable = is_scan(docs)
     docs, bench = docs.selectExpr("string(doc_id) AS doc", "text"), bench.selectExpr("string(item_id) AS item", "text")
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    got = _broadcast(docs, bench) if size * 8 <= index_bytes else _joined(docs, bench)
+    got = _broadcast(docs, bench, least_item) if size * 8 <= index_bytes else _joined(docs, bench, least_item, stable)
     return got.select(F.col("doc").cast("long").alias("doc_id"), F.col("item").cast("long").alias("item_id"), "first_word", "last_word", "n_matched")
 
 
-def _joined(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """Seeds of both sides joined by key (a hot key's document side is split by AQE), each distinct offset verified once."""
+def _joined(docs: DataFrame, bench: DataFrame, least_item: int, stable: bool) -> DataFrame:
+    """Seeds of both sides joined by key (a hot key's document side is split by AQE), each distinct offset verified once. Rows
+    are numbered for it; where another reading might number them otherwise, they are written first."""
     def spread(item: bool):
         def run(it):
             for pdf in it:
                 out = []
                 for k, t in zip(pdf["id"], pdf["text"]):
                     h = word_hashes(t)
-                    for s, m in masks(len(h)) if item else ALL_MASKS:
+                    for s, m in masks(len(h), least_item) if item else all_masks(least_item):
                         g = seeds(h, m, s).view(np.int64)
                         out.append(pd.DataFrame({"id": k, "key": g, "at": np.arange(len(g))}))
                 if out:
@@ -102,7 +117,9 @@ def _joined(docs: DataFrame, bench: DataFrame) -> DataFrame:
                 h, w = word_hashes(t), word_hashes(u)
                 rows += [(d, i, *v) for o in offs for v in verify(h, w, int(o))]
             yield pd.DataFrame(rows, columns=_COLUMNS)
-    rows, items = docs.withColumn("rid", F.monotonically_increasing_id()), bench.withColumn("bid", F.monotonically_increasing_id())
+    rows, items = docs.withColumn("rid", F.monotonically_increasing_id()), written(bench.withColumn("bid", F.monotonically_increasing_id()))
+    if not stable:
+        rows = written(rows)
     a = rows.selectExpr("rid AS id", "text").mapInPandas(spread(False), "id long, key long, at long").selectExpr("id AS rid", "key", "at AS p")
     b = items.selectExpr("bid AS id", "text").mapInPandas(spread(True), "id long, key long, at long").selectExpr("id AS bid", "key", "at AS q")
     hits = a.join(b, "key").selectExpr("rid", "bid", "p - q AS off").distinct().groupBy("rid", "bid").agg(F.collect_list("off").alias("offs"))
@@ -110,12 +127,12 @@ def _joined(docs: DataFrame, bench: DataFrame) -> DataFrame:
     return full.select("doc", "item", "text", "words", "offs").mapInPandas(check, OVERLAP)
 
 
-def _broadcast(docs: DataFrame, bench: DataFrame) -> DataFrame:
+def _broadcast(docs: DataFrame, bench: DataFrame, least_item: int) -> DataFrame:
     items = [(r["item"], word_hashes(r["text"])) for r in bench.collect()]   # INDEX_BYTES at most
     sc = docs.sparkSession.sparkContext
     used, keys, owner = [], [], []
-    for s, m in ALL_MASKS:
-        of = [(i, h) for i, (_, h) in enumerate(items) if (s, m) in masks(len(h))]
+    for s, m in all_masks(least_item):
+        of = [(i, h) for i, (_, h) in enumerate(items) if (s, m) in masks(len(h), least_item)]
         if of:
             g = [seeds(h, m, s) for _, h in of]
             k = np.concatenate(g)

@@ -163,3 +163,67 @@ def test_overlap_runs():
     w = np.arange(60, dtype=np.uint64)
     h = np.concatenate([w[:20], np.arange(100, 120, dtype=np.uint64), w[40:]])
     assert [v[:2] for v in decontaminate.verify(h, w, 0)] == [(0, 19), (40, 59)]
+
+
+def stretches(equal):
+    """Every stretch with at least 80 % equal words: (length, first, end)."""
+    n = len(equal)
+    return [(j - i, -i, j) for i in range(n) for j in range(i + 1, n + 1) if 5 * sum(equal[i:j]) >= 4 * (j - i)]
+
+
+def test_longest_run_against_every_stretch():
+    rnd = random.Random(6)
+    for _ in range(400):
+        equal = [rnd.random() < 0.75 for _ in range(rnd.randrange(1, 30))]
+        lo, hi = decontaminate._longest(np.array(equal))
+        best = max(stretches(equal), default=(0, 0, 0))
+        assert hi - lo == best[0] and (not best[0] or 5 * sum(equal[lo:hi]) >= 4 * (hi - lo))
+        w = np.arange(100, 100 + len(equal), dtype=np.uint64)
+        h = np.where(equal, w, 0).astype(np.uint64)
+        got = decontaminate.verify(h, w, 0)
+        found = any(sum(equal[-i:j]) >= min(10, len(equal)) for _, i, j in stretches(equal))
+        assert bool(got) == found
+
+
+@pytest.mark.parametrize("words", [12, 16, 20, 25, 40])
+def test_recall_by_length(spark, words):
+    """One word of ten is replaced; a passage is to be found if ten of its words stand in a stretch of 80 %."""
+    rnd = random.Random(words)
+    items, docs, due = [], [], set()
+    for k in range(150):
+        item = [f"w{rnd.randrange(10**6)}" for _ in range(words)]
+        copy, equal = list(item), [True] * words
+        for i in rnd.sample(range(words), max(1, words // 10)):
+            copy[i], equal[i] = "other", False
+        items.append((k, " ".join(item)))
+        docs.append((k, " ".join([f"x{rnd.randrange(10**6)}" for _ in range(30)] + copy + ["end"] * 5)))
+        if any(sum(equal[-i:j]) >= 10 for _, i, j in stretches(equal)):
+            due.add((k, k))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.pairs(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= {(k, k) for k in range(150)} and len(due) > 100
+    assert len(got & due) == len(due)
+
+
+def test_pairs_equal_every_offset(spark, docs, texts):
+    """All documents against all items at every offset that has enough equal words, whatever the seeds."""
+    bench = spark.read.parquet(f"{D}/benchmark.parquet").select("item_id", "text")
+    short = spark.createDataFrame([(-1, "all rights"), (-2, "4111 1111 1111"), (-3, None)], "item_id long, text string")
+    items = {r.item_id: decontaminate.word_hashes(r.text) for r in bench.union(short).collect()}
+    want, want_short = set(), set()
+    for i, t in texts.items():
+        h = decontaminate.word_hashes(t)
+        at = {}
+        for p, x in enumerate(h.tolist()):
+            at.setdefault(x, []).append(p)
+        for k, w in items.items():
+            least = min(10, len(w))
+            offs = Counter(p - q for q, x in enumerate(w.tolist()) for p in at.get(x, ()))
+            if any(n >= least and decontaminate.verify(h, w, o) for o, n in offs.items()):
+                (want if len(w) >= 5 else want_short).add((i, k))
+    pairs = lambda df: {(r.doc_id, r.item_id) for r in df.select("doc_id", "item_id").distinct().collect()}
+    assert pairs(decontaminate.pairs(docs, bench.union(short))) == want and len(want) >= 3
+    every = decontaminate.overlaps(docs, bench.union(short), least_item=1)
+    assert pairs(every) == want | want_short and want_short
+    shuffled = docs.repartition(3, "doc_id")
+    assert sorted(map(tuple, decontaminate.overlaps(shuffled, bench.union(short), 0, 1).collect())) == sorted(map(tuple, every.collect()))
+    assert decontaminate.pairs(docs.where("false"), bench).count() == 0
