@@ -88,8 +88,12 @@ def _verified(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) at LEAST or more; texts (rid, text)."""
-    full = pairs.join(texts.selectExpr("rid AS a", "text AS ta"), "a").join(texts.selectExpr("rid AS b", "text AS tb"), "b")
+    """The pairs (a, b) at LEAST or more; texts (rid, text). Where the pairs are few enough to be sent to every task, only the
+    texts of pairs are shuffled: the first one's with its pairs, the second one's once."""
+    pairs = sent_if_few(pairs)
+    first = texts.selectExpr("rid AS a", "text AS ta").join(pairs, "a")
+    second = texts.selectExpr("rid AS b", "text AS tb").join(sent_if_few(pairs.select("b").distinct()), "b", "left_semi")
+    full = first.join(second, "b").select("a", "b", "ta", "tb")
     return cut(full.mapInPandas(_verified, "a long, b long"))
 
 
@@ -141,13 +145,12 @@ def links(sets: DataFrame, rows: DataFrame) -> DataFrame:
     texts are compared with that one of them which shares most buckets; then all pairs of a bucket that lie in two
     components, in small buckets one by one, in large ones by blocks. Sizes and sketches that rule LEAST out are never
     compared."""
-    b = sets.select("rid", "n", "sk", F.posexplode("bands").alias("band", "h"))
-    shared = b.groupBy("band", "h").agg(F.count("*").alias("c")).where("c > 1")
-    b = b.join(shared, ["band", "h"])
-    weight = b.groupBy("rid").agg(F.sum("c").alias("weight"))
-    b = written(b.drop("c").join(weight, "rid"))
+    every = sets.select("rid", F.posexplode("bands").alias("band", "h"))
+    shared = every.groupBy("band", "h").agg(F.count("*").alias("c")).where("c > 1")
+    held = every.join(shared, ["band", "h"]).groupBy("rid").agg(F.collect_list(F.struct("band", "h")).alias("at"), F.sum("c").alias("weight"))   # BANDS entries at most
+    b = written(held.join(sets.select("rid", "n", "sk"), "rid").select("rid", "n", "sk", "weight", F.explode("at").alias("x")).select("rid", "n", "sk", "weight", "x.band", "x.h"))
     size = b.count()
-    texts = written(rows.join(b.select("rid").distinct(), "rid", "left_semi"))
+    texts = written(rows.join(sent_if_few(b.select("rid").distinct()), "rid", "left_semi"))
     differ = " + ".join(f"bit_count(((p.sk[{k}] ^ q.sk[{k}]) | shiftrightunsigned(p.sk[{k}] ^ q.sk[{k}], 1)) & {_EVEN}L)" for k in range(-(-BANDS * ROWS // 32)))
     near = F.expr(f"least(p.n, q.n) >= {LEAST} * greatest(p.n, q.n) AND {differ} <= {SKETCH}")
 
