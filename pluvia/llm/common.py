@@ -2,7 +2,7 @@
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
@@ -74,3 +74,43 @@ def components(edges: DataFrame) -> DataFrame:
                     .where("p <> q").selectExpr("least(p, q) AS a", "greatest(p, q) AS b").distinct(), n))
         n = e.count()
     return cut(label)
+
+
+FOLD = 512   # items that a fold gathers before it puts them beside the earlier ones
+
+
+def folded(items: Column, state: Column, none: Column, step: Callable) -> Column:
+    """What step(state, item) -> (state, array of results) gives over the items of an array, one after the other. Results are
+    gathered FOLD items at a time: an array that grows by each item is copied each time, which takes hours over 10^6 items."""
+    def some(acc: Column, chunk: Column) -> Column:
+        def one(a: Column, x: Column) -> Column:
+            new, got = step(a["state"], x)
+            return F.struct(new.alias("state"), F.concat(a["out"], got).alias("out"))
+        inner = F.aggregate(chunk, F.struct(acc["state"].alias("state"), none.alias("out")), one)
+        return once(inner, lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    def over(z: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / FOLD).cast("int")), lambda k: F.slice(z, k * FOLD + 1, F.lit(FOLD)))
+        init = F.struct(state.alias("state"), F.filter(F.array(none), lambda _: F.lit(False)).alias("out"))
+        return F.when(F.size(z) > 0, F.aggregate(chunks, init, some, lambda acc: F.flatten(acc["out"]))).otherwise(none)
+    return once(items, over)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+CHUNK = 512   # code points of a piece of text
+
+
+def chunked(text: Column) -> Column:
+    """The text in pieces, in which a place is reached without passing over all that stands before it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def piece(chunks: Column, start: Column, end: Column) -> Column:
+    """The code points from start to end, the latter not included."""
+    first = F.floor(start / CHUNK).cast("int")
+    held = F.array_join(F.slice(chunks, first + 1, F.floor((end - 1) / CHUNK).cast("int") - first + 1), "")
+    return F.when(end > start, held.substr(start - first * CHUNK + 1, end - start)).otherwise("")

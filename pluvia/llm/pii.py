@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import quality
+from .common import chunked, folded, once, piece
 
 # fixed values: generators in the order of the report
 KINDS = {
@@ -42,13 +43,13 @@ def spans(text: Column, kind: str, pattern: str | None = None) -> Column:
     pattern = pattern or KINDS[kind]
     parts, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     zipped = F.zip_with(F.transform(parts, F.length), found, lambda a, v: F.struct(a.alias("gap"), v.alias("v")))
-    init = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<kind:string,start:int,end:int,value:string>>)").alias("out"))
-    def step(acc, x):
-        s = acc["at"] + x["gap"]
-        e = s + F.length(x["v"])
+
+    def step(at, x):
+        s = at + x["gap"]
+        e = s + F.coalesce(F.length(x["v"]), F.lit(0))
         one = F.struct(F.lit(kind).alias("kind"), s.alias("start"), e.alias("end"), x["v"].alias("value"))
-        return F.when(x["v"].isNull(), acc).otherwise(F.struct(e.alias("at"), F.concat(acc["out"], F.array(one)).alias("out")))
-    return F.aggregate(zipped, init, step, lambda acc: acc["out"])
+        return e, F.when(x["v"].isNull(), F.expr(_EMPTY)).otherwise(F.array(one))
+    return folded(zipped, F.lit(0), F.expr(_EMPTY), step)
 
 
 def digits(v: Column) -> Column:
@@ -104,8 +105,8 @@ def features(value: Column, before: Column) -> list[Column]:
     return [F.coalesce(c.cast("int"), F.lit(0)).alias(k) for c, k in zip(cols, FEATURES)]
 
 
-def _before(text: Column, start: Column) -> Column:
-    return text.substr(F.greatest(start - BEFORE, F.lit(0)) + 1, F.least(start, F.lit(BEFORE)))
+def _before(chunks: Column, start: Column) -> Column:
+    return piece(chunks, F.greatest(start - BEFORE, F.lit(0)), start)
 
 
 def planted(docs: DataFrame) -> DataFrame:
@@ -139,7 +140,7 @@ def fit_boost(docs: DataFrame, rounds: int = 30) -> dict:
     are secrets. Issued keys are selected anyway."""
     made = planted(docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")))
     c = made.select("text", "secret", "notation", F.explode(candidates(F.col("text"), ("assigned", "run"))).alias("s"))
-    rows = c.select("secret", "notation", *features(F.col("s.value"), _before(F.col("text"), F.col("s.start")))).groupBy("secret", "notation", *FEATURES).agg(F.count("*").alias("n")).collect()
+    rows = c.select("secret", "notation", *features(F.col("s.value"), _before(chunked(F.col("text")), F.col("s.start")))).groupBy("secret", "notation", *FEATURES).agg(F.count("*").alias("n")).collect()
     x = np.array([[float(r[k]) for k in FEATURES] for r in rows]).reshape(-1, len(FEATURES))
     n, y = np.array([float(r["n"]) for r in rows]), np.array([float(r["secret"]) for r in rows])
     aside = np.array([r["notation"] == 4 for r in rows], dtype=bool)
@@ -178,12 +179,19 @@ def select(model: dict, found: Column, text: Column) -> Column:
     """Candidates at or over the threshold and those of an issued format; leftmost longest of those that overlap."""
     issued = lambda s: s["value"].rlike(f"(?:^|[^A-Za-z0-9])(?:{PREFIXES})[\\x22\\x27]?$")
     fitted = bool(model["roots"]) and model["threshold"] <= 1
-    kept = F.filter(found, lambda s: issued(s) | (boosted(model, s["value"], _before(text, s["start"])) >= model["threshold"]) if fitted else issued(s))
-    order = F.array_sort(kept, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-    init = F.struct(F.lit(0).alias("at"), F.expr(_EMPTY).alias("out"))
-    def step(acc, s):
-        return F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(s)).alias("out")))
-    return F.aggregate(order, init, step, lambda acc: acc["out"])
+    over = lambda chunks: F.filter(found, lambda s: issued(s) | (boosted(model, s["value"], _before(chunks, s["start"])) >= model["threshold"]))
+    kept = F.when(F.size(found) > 0, once(chunked(text), over)).otherwise(found) if fitted else F.filter(found, issued)
+
+    def step(at, s):
+        free = s["start"] >= at
+        return F.when(free, s["end"]).otherwise(at), F.when(free, F.array(s)).otherwise(F.expr(_EMPTY))
+    return folded(_ordered(kept), F.lit(0), F.expr(_EMPTY), step)
+
+
+def _ordered(found: Column) -> Column:
+    """By start, of equal ones the longest first."""
+    keyed = F.sort_array(F.transform(found, lambda s: F.struct(s["start"].alias("a"), (-s["end"]).alias("b"), s.alias("s"))))
+    return F.transform(keyed, lambda k: k["s"])
 
 
 def _names(docs: DataFrame) -> dict:
@@ -219,15 +227,15 @@ def redact(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """Replaces the found spans by their kind in brackets and sets n_chars where there is one; other columns stay."""
     df, names = find(docs, model)
     text = F.coalesce(F.col("text"), F.lit(""))
-    every = F.array_sort(F.concat(*[names[k] for k in ALL]), lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(b["end"] - a["end"]))
-    init = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        piece = F.concat(text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"))
-    new = F.aggregate(every, init, step, lambda acc: F.concat(F.concat_ws("", acc["out"]), text.substr(acc["at"] + 1, F.length(text))))
-    df = df.withColumn("text", F.when(F.size(every) > 0, new).otherwise(F.col("text")))
+    every, texts = _ordered(F.concat(*[names[k] for k in ALL])), F.expr("cast(array() as array<string>)")
+
+    def replaced(chunks: Column) -> Column:
+        def step(at, s):
+            put = F.concat(piece(chunks, at, s["start"]), F.lit("["), s["kind"], F.lit("]"))
+            return F.greatest(at, s["end"]), F.when(s["start"] >= at, F.array(put)).otherwise(texts)
+        last = F.aggregate(every, F.lit(0), lambda at, s: F.greatest(at, s["end"]))
+        return F.concat(F.concat_ws("", folded(every, F.lit(0), texts, step)), piece(chunks, last, F.length(text)))
+    df = df.withColumn("text", F.when(F.size(every) > 0, once(chunked(text), replaced)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         df = df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return df.select(*docs.columns)
