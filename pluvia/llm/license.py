@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import FOLD, folded
+
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 BASE = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
 #: fixed values: label, gate keyword, name as normalised words
@@ -79,14 +81,24 @@ KEYS = {"gpl": ["gpl"], "ofl": [" open font", " ofl"]}
 _DETS = "cast(array() as array<struct<s:int,e:int,p:int,label:string>>)"
 
 
-def _spans(label: str, prio: str, words: str) -> str:
-    """SQL of the spans of one rule over the space-joined words in _n, in characters; prio: SQL over a matched value x.v.
-    (One parsed text is planned far faster than as many calls as it has parts.)"""
+_BASE = "cast(array() as array<struct<p:int,label:string,w:int>>)"
+
+
+def _spans(label: str, prio: str, words: str, base: bool = False) -> str:
+    """SQL of the spans of one rule over the space-joined words in _n, in characters; prio: SQL over a matched value x.v. With
+    base the number of the first word stands instead of a span. (One parsed text is planned far faster than as many calls as
+    it has parts.) Offsets are sums over what stands before, gathered FOLD matches at a time."""
     pat = f"(?<= )(?:{words})(?= )"
-    start = "acc.at + x.gap"
-    one = f"struct({start} AS s, {start} + length(x.v) AS e, {prio} AS p, '{label}' AS label)"
-    return (f"aggregate(zip_with(transform(split(_n, r'{pat}', -1), t -> length(t)), regexp_extract_all(_n, r'{pat}', 0), (a, v) -> struct(a AS gap, v AS v)), "
-            f"struct(0 AS at, {_DETS} AS out), (acc, x) -> CASE WHEN x.v IS NULL THEN acc ELSE struct({start} + length(x.v) AS at, concat(acc.out, array({one})) AS out) END, acc -> acc.out)")
+    spaces = lambda t: f"length({t}) - length(replace({t}, ' ', ''))"
+    size = spaces if base else lambda t: f"length({t})"
+    none = _BASE if base else _DETS
+    start, end = "a.at + x.gap", f"a.at + x.gap + {size('x.v')}"
+    one = f"struct({prio} AS p, '{label}' AS label, {start} - 1 AS w)" if base else f"struct({start} AS s, {end} AS e, {prio} AS p, '{label}' AS label)"
+    zipped = f"zip_with(transform(split(_n, r'{pat}', -1), t -> {size('t')}), regexp_extract_all(_n, r'{pat}', 0), (g, v) -> struct(g AS gap, v AS v))"
+    inner = f"aggregate(ch, struct(acc.at AS at, {none} AS out), (a, x) -> CASE WHEN x.v IS NULL THEN a ELSE struct({end} AS at, concat(a.out, array({one})) AS out) END)"
+    outer = f"element_at(transform(array({inner}), r -> struct(r.at AS at, concat(acc.out, array(r.out)) AS out)), 1)"
+    chunks = f"transform(sequence(0, (size(z) - 1) div {FOLD}), k -> slice(z, cast(k * {FOLD} + 1 as int), {FOLD}))"
+    return f"element_at(transform(array({zipped}), z -> aggregate({chunks}, struct(0 AS at, filter(array({none}), q -> false) AS out), (acc, ch) -> {outer}, acc -> flatten(acc.out))), 1)"
 
 
 def _family(name: str) -> str:
@@ -117,23 +129,25 @@ def detect(docs: DataFrame, gated: bool = True) -> DataFrame:
     """doc_id, base columns, the kept detections and the score; without gates every rule is tried on every text."""
     t = F.coalesce(F.col("text"), F.lit(""))
     gate = _gate(F.lower(t)) if gated else F.lit(True)
-    opens = lambda keys, spans: f"CASE WHEN {' OR '.join(f'contains(_n, {chr(39)}{k}{chr(39)})' for k in keys)} THEN {spans} ELSE {_DETS} END" if gated else spans
+    opens = lambda keys, spans, none=_DETS: f"CASE WHEN {' OR '.join(f'contains(_n, {chr(39)}{k}{chr(39)})' for k in keys)} THEN {spans} ELSE {none} END" if gated else spans
     norm = F.concat(F.lit(" "), F.translate(F.regexp_replace(t, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(" "))
     df = docs.select("doc_id", F.size(F.regexp_extract_all(t, F.lit(WORD), F.lit(0))).cast("long").alias("n_words"), F.when(gate, F.regexp_replace(norm, " +", " ")).alias("_n"))
     n = F.col("_n")
-    base = [opens([f" {p} "], _spans(k, "5", p)) for k, p in BASE.items()]
-    df = df.withColumn("_base", F.coalesce(F.expr(f"concat({', '.join(base)})"), F.expr(_DETS)))
+    base = [opens([f" {p} "], _spans(k, "5", p, base=True), _BASE) for k, p in BASE.items()]
+    df = df.withColumn("_base", F.coalesce(F.expr(f"concat({', '.join(base)})"), F.expr(_BASE)))
     rules = [opens(_keys(label, key), _spans(label, _FORM_PRIORITY, _family(name))) for label, key, name in FAMILIES]
     rules += [opens([key], _spans(label, str(prio), pat)) for label, prio, key, pat in SIGNATURES]
     df = df.withColumn("_rules", F.coalesce(F.expr(f"concat({', '.join(rules)})"), F.expr(_DETS)))
-    order = F.array_sort("_rules", lambda a, b: F.when(a["s"] < b["s"], -1).when(a["s"] > b["s"], 1).when(a["e"] != b["e"], b["e"] - a["e"]).when(a["p"] != b["p"], b["p"] - a["p"]).when(a["label"] < b["label"], -1).when(a["label"] > b["label"], 1).otherwise(0))
-    init = F.struct(F.array(*[F.lit(-1)] * 5).alias("m"), F.expr(_DETS).alias("out"))
-    def keep(acc, d):
-        inside = F.element_at(acc["m"], d["p"]) >= d["e"]
-        m = F.transform(acc["m"], lambda v, i: F.when((i + 1 <= d["p"]) & (v < d["e"]), d["e"]).otherwise(v))
-        return F.when(inside, acc).otherwise(F.struct(m.alias("m"), F.concat(acc["out"], F.array(d)).alias("out")))
-    df = df.withColumn("_kept", F.when(F.size("_rules") > 0, F.aggregate(order, init, keep, lambda acc: acc["out"])).otherwise(F.expr(_DETS)))
-    pos = F.transform("_base", lambda x: F.size(F.split(F.substring(n, F.lit(1), x["s"]), " ")).cast("long") - 2)
+    keyed = F.sort_array(F.transform("_rules", lambda d: F.struct(d["s"].alias("a"), (-d["e"]).alias("b"), (-d["p"]).alias("c"), d["label"].alias("d"), d.alias("x"))))
+    far = F.array(*[F.lit(-1)] * 5)   # by priority, how far detections of at least that one reach
+
+    def keep(m, k):
+        d = k["x"]
+        reach = F.transform(m, lambda v, i: F.when((i + 1 <= d["p"]) & (v < d["e"]), d["e"]).otherwise(v))
+        inside = F.element_at(m, d["p"]) >= d["e"]
+        return F.when(inside, m).otherwise(reach), F.when(inside, F.expr(_DETS)).otherwise(F.array(d))
+    df = df.withColumn("_kept", F.when(F.size("_rules") > 0, folded(keyed, far, F.expr(_DETS), keep)).otherwise(F.expr(_DETS)))
+    pos = F.transform("_base", lambda x: x["w"].cast("long"))
     labels = F.array_sort(F.array_union(F.array_distinct(F.transform("_base", lambda x: x["label"])), F.array_distinct(F.transform("_kept", lambda x: x["label"]))))
     score = F.aggregate(F.concat(F.transform("_base", lambda x: x["p"]), F.transform("_kept", lambda x: x["p"])), F.lit(0), lambda a, x: F.greatest(a, x)) / 5.0
     return df.select("doc_id", "n_words", F.size("_base").cast("long").alias("n_base"), F.array_min(pos).alias("first_word"), F.array_max(pos).alias("last_word"),

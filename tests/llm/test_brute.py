@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pluvia.llm import coder, decontaminate, license, lm, pii, quality, toxicity
 
@@ -17,7 +18,8 @@ SPACE = "[^\x20\x09-\x0D]+"
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    extra = [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "CC by cc BY, all rights\nreserved 4111 1111 1111 1111 a@b.c.d +49 (30) 1234-5678 300.1.1.1 1.2.3.4"), (10**6 + 3, "w" * 20_000 + " " + "é ß " * 3000)]
+    extra = [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "CC by cc BY, all rights\nreserved 4111 1111 1111 1111 a@b.c.d +49 (30) 1234-5678 300.1.1.1 1.2.3.4"), (10**6 + 3, "w" * 20_000 + " " + "é ß " * 3000),
+             (10**6 + 4, "é.b@c.de, CC by 1.2.3.4 x\n" * 1300)]
     return spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string")).coalesce(2).cache()
 
 
@@ -227,3 +229,19 @@ def test_pairs_equal_every_offset(spark, docs, texts):
     shuffled = docs.repartition(3, "doc_id")
     assert sorted(map(tuple, decontaminate.overlaps(shuffled, bench.union(short), 0, 1).collect())) == sorted(map(tuple, every.collect()))
     assert decontaminate.pairs(docs.where("false"), bench).count() == 0
+
+
+def test_many_matches_in_one_text(spark):
+    """More spans than a fold gathers at once: places and replacements stay right to the end of the text."""
+    t = "".join(f"é{k} m{k}@x.org {'pad ' * (k % 7)}" for k in range(1500))
+    docs = spark.createDataFrame([(1, t, 5)], "doc_id long, text string, n_chars int")
+    none = {"roots": [], "threshold": 2.0}
+    want = [(m.start(), m.end()) for m in re.finditer(r"m\d+@x\.org", t)]
+    assert pii.report(docs, none).first().spans == ",".join(f"email:{a}:{z}" for a, z in want)
+    new = pii.redact(docs, none).first()
+    assert new.text == re.sub(r"m\d+@x\.org", "[email]", t) and new.n_chars == len(new.text)
+    got = license.detect(spark.createDataFrame([(1, "MIT License and cc by " * 900)], "doc_id long, text string")).first()
+    assert (got.n_base, got.last_word, len(got.detections)) == (900, 899 * 5 + 3, 1800)
+    text = "0123456789" * 200
+    row = spark.createDataFrame([(text,)], "t string").select(*[pii.piece(pii.chunked(F.col("t")), F.lit(a), F.lit(z)).alias(f"{a}_{z}") for a, z in ((0, 0), (0, 5), (510, 514), (512, 1024), (3, 1999), (1990, 2000), (7, 3))]).first()
+    assert list(row) == [text[a:z] for a, z in ((0, 0), (0, 5), (510, 514), (512, 1024), (3, 1999), (1990, 2000), (7, 3))]
