@@ -241,7 +241,7 @@ def test_many_matches_in_one_text(spark):
     new = pii.redact(docs, none).first()
     assert new.text == re.sub(r"m\d+@x\.org", "[email]", t) and new.n_chars == len(new.text)
     got = license.detect(spark.createDataFrame([(1, "MIT License and cc by " * 900)], "doc_id long, text string")).first()
-    assert (got.n_base, got.last_word, len(got.detections)) == (900, 899 * 5 + 3, 1800)
+    assert (got.n_base, got.last_word, len(got.detections)) == (900, 899 * 5 + 3, 900)
     text = "0123456789" * 200
     row = spark.createDataFrame([(text,)], "t string").select(*[pii.piece(pii.chunked(F.col("t")), F.lit(a), F.lit(z)).alias(f"{a}_{z}") for a, z in ((0, 0), (0, 5), (510, 514), (512, 1024), (3, 1999), (1990, 2000), (7, 3))]).first()
     assert list(row) == [text[a:z] for a, z in ((0, 0), (0, 5), (510, 514), (512, 1024), (3, 1999), (1990, 2000), (7, 3))]
