@@ -56,3 +56,18 @@ def class_confusion(rows: DataFrame) -> DataFrame:
     per = written(n.select(F.explode(two).alias("r")).select("r.*").groupBy("class").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]))
     total = per.agg(F.coalesce(F.sum(F.col("tp") + F.col("fn")), F.lit(0))).first()[0]
     return per.withColumn("tn", F.lit(total).cast("long") - F.col("tp") - F.col("fp") - F.col("fn"))
+
+
+PRF = ("micro_p", "micro_r", "micro_f1", "macro_p", "macro_r", "macro_f1")
+
+
+def prf(confusion: DataFrame, wanted: tuple[str, ...] = PRF) -> DataFrame:
+    """One row of the wanted values of confusion counts (tp, fp, fn by class or label): micro over the sums, macro as the mean
+    over classes. A value without a denominator is null, and such a class doesn't count for its mean."""
+    ratios = {"p": "try_divide({tp}, {tp} + {fp})", "r": "try_divide({tp}, {tp} + {fn})", "f1": "try_divide(2 * {tp}, 2 * {tp} + {fp} + {fn})"}
+    unknown = set(wanted) - set(PRF)
+    if unknown:
+        raise ValueError(f"unknown values {sorted(unknown)}: {list(PRF)}")
+    plain, sums = {k: k for k in ("tp", "fp", "fn")}, {k: f"sum({k})" for k in ("tp", "fp", "fn")}
+    every = {f"micro_{k}": f.format(**sums) for k, f in ratios.items()} | {f"macro_{k}": f"avg({f.format(**plain)})" for k, f in ratios.items()}
+    return confusion.agg(*[F.expr(every[k]).alias(k) for k in wanted])

@@ -1,10 +1,12 @@
 """Frame and sequence samples, batching, sinks' tables, losses and confusion counts, each with its SQL."""
 from pyspark.sql import functions as F
 
+from pluvia import catalog
 from pluvia.functions import losses as L
 from pluvia.operators import clean as C
 from pluvia.operators import verify as V
 from pluvia.plans.queries import CELLS_CTE, PAIRS_CTE, W_SQL, q, r6
+from pluvia.registry import FORMATTERS, OUTPUTS
 from pluvia.sources import sinks
 from pluvia.sources.scratch import folder
 from pluvia.sources.views import cells_long, pairs, table
@@ -95,7 +97,32 @@ def confusion(s, d):
 
 PRF = ", c AS (SELECT task, count(*) FILTER (y=1 AND p>=0.5) AS tp, count(*) FILTER (y=0 AND p>=0.5) AS fp, count(*) FILTER (y=1 AND p<0.5) AS fn FROM t GROUP BY 1)"
 q("prf_micro_macro", MULTI + PRF + " SELECT round(sum(tp)/sum(tp+fp),6) AS micro_p, round(sum(tp)/sum(tp+fn),6) AS micro_r, round(avg(tp/(tp+fp)),6) AS macro_p, round(avg(tp/(tp+fn)),6) AS macro_r, round(avg(2*tp/(2*tp+fp+fn)),6) AS macro_f1, round(2*sum(tp)/sum(2*tp+fp+fn),6) AS micro_f1 FROM c")(
-    lambda s, d: confusion(s, d).agg(r6(F.try_divide(F.sum("tp"), F.expr("sum(tp + fp)")), "micro_p"), r6(F.try_divide(F.sum("tp"), F.expr("sum(tp + fn)")), "micro_r"), r6(F.avg(F.expr("try_divide(tp, tp + fp)")), "macro_p"),
-                                     r6(F.avg(F.expr("try_divide(tp, tp + fn)")), "macro_r"), r6(F.avg(F.expr("try_divide(2 * tp, 2 * tp + fp + fn)")), "macro_f1"), r6(F.try_divide(2 * F.sum("tp"), F.expr("sum(2 * tp + fp + fn)")), "micro_f1")))
+    lambda s, d: L.prf(confusion(s, d)).select(*[r6(F.col(c), c) for c in L.PRF]))
 q("list_parse", "SELECT doc_id, array_to_string(string_split(replace(lang || ', ' || source, ' ', ''), ','), '|') AS items FROM documents")(
     lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(F.split(F.replace(F.concat_ws(", ", "lang", "source"), F.lit(" "), F.lit("")), ","), "|").alias("items")))
+
+# what the registries offer, by name
+q("registry_source", CELLS_CTE + " SELECT variable, count(*) AS n FROM cells GROUP BY 1")(
+    lambda s, d: kept_source(s, d).groupBy("variable").agg(F.count("*").alias("n")))
+q("registry_formatter", CELLS_CTE + " SELECT event_id, CASE WHEN isnan(value) THEN 0.0 WHEN isinf(value) THEN sign(value)*CAST(3.4028235e38 AS DOUBLE) ELSE value END AS value FROM cells")(
+    lambda s, d: FORMATTERS["identity"](FORMATTERS["grid"](cells(s, d).select("event_id", "value", F.lit(1.0).alias("label")), "infer")))
+q("registry_output", PAIRS_CTE + ", m AS (SELECT batch_id, avg(v) AS v FROM (SELECT batch_id, sample_id, avg(abs(pred-label)) AS v FROM pairs GROUP BY 1,2) GROUP BY 1) SELECT 'MAE' AS metric, round(round(avg(v),9),3) AS value FROM m")(
+    lambda s, d: OUTPUTS["report"](pairs(s, d)).where("metric = 'MAE'").union(OUTPUTS["null"](pairs(s, d))))
+
+
+def kept_source(s, d):
+    """Cells in Parquet, read by the registered source and kept in memory and on disk; valid falls back on train."""
+    out = folder(s, "cells")
+    cells(s, d).write.parquet(out)
+    return catalog.source(s, {"train": {"type": "parquet", "root": out, "keep": True}, "valid": None}, "valid")
+
+
+PREDICTED = "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) * 3 AS pred FROM lineitem"
+
+
+@q("predictions_json", "SELECT '{\"l_linenumber\":' || l_linenumber || ',\"l_orderkey\":' || l_orderkey || ',\"pred\":' || pred || '}' AS line FROM (" + PREDICTED + ")")
+def _predictions(s, d):
+    """Predictions as JSON lines with sorted keys."""
+    out = folder(s, "predictions")
+    sinks.write_predictions(s.sql(PREDICTED.replace("FROM lineitem", "FROM {t}"), t=table(s, d, "lineitem")), out)
+    return s.read.text(out).select(F.col("value").alias("line"))

@@ -1,4 +1,5 @@
 """The shared folder of the session, and tables and row numbers that rest on it."""
+import contextlib
 import re
 import tempfile
 import uuid
@@ -18,9 +19,29 @@ def shared(spark: SparkSession) -> str:
     return base
 
 
+_MADE: list[str] = []   # folders of this process that are not cleared yet
+
+
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one. What is written there stays, as checkpoints do, until that folder is cleared."""
-    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared one. What is written there stays, as checkpoints do, until that folder is cleared, or the
+    block of `cleared` ends in which it was made."""
+    _MADE.append(f"{shared(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+@contextlib.contextmanager
+def cleared(spark: SparkSession, keep: tuple[str, ...] = ()):
+    """Removes the folders that are made in this block, but those to keep, when it ends well: what was read from them must
+    have been written elsewhere by then. After an error they stay for a look at them."""
+    before = len(_MADE)
+    yield
+    made, _MADE[before:] = _MADE[before:], []
+    for path in made:
+        if path in keep:
+            _MADE.append(path)
+            continue
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:

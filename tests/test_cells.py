@@ -265,3 +265,21 @@ def test_token_ids_by_lookup_or_join(spark, small):
     got = sorted(((r.doc_id, r.ids) for r in X.token_ids(t, X.vocabulary(t, 1), 4, small).collect()), key=repr)
     assert got == sorted([(1, [2, 3, 3, 1]), (2, [2, 1, 0, 0]), (None, [2, 3, 0, 0]), (1, [2, 1, 0, 0])], key=repr)
     assert X.token_ids(t.where("false"), X.vocabulary(t, 1), 4, small).count() == 0
+
+
+def test_scratch_tables_go_with_their_block(spark, tmp_path):
+    import os
+    d = spark.range(5)
+    with scratch.cleared(spark):
+        outer = scratch.folder(spark, "outer")
+        with scratch.cleared(spark, keep=(kept := scratch.folder(spark, "before"),)):
+            inner = scratch.folder(spark, "inner")
+            for x in (outer, inner, kept):
+                d.write.parquet(x)
+            assert scratch.written(d).count() == 5
+        assert os.path.exists(outer) and os.path.exists(kept) and not os.path.exists(inner)
+    assert not os.path.exists(outer) and not os.path.exists(kept)
+    with pytest.raises(RuntimeError), scratch.cleared(spark):
+        d.write.parquet(broken := scratch.folder(spark, "broken"))
+        raise RuntimeError
+    assert os.path.exists(broken)

@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from pluvia.plans.queries import SQL, Q
+from pluvia.sources.scratch import cleared
 
 D = "/root/testdata/sf0.001"
 
@@ -27,7 +28,9 @@ def rows(pdf):
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, duck, name):
-    got, want = Q[name](spark, D).toPandas(), duck.execute(SQL[name]).df()
+    with cleared(spark):
+        got = Q[name](spark, D).toPandas()
+    want = duck.execute(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
 

@@ -125,3 +125,13 @@ def test_batches_of_scores(spark, tmp_path):
     assert all(same(x, y) or k == "offset" and x == pytest.approx(y, rel=1e-6) for k in whole for x, y in zip(got[k], whole[k]))
     rows = {r.batch: r.n for r in spark.read.parquet(out).groupBy("batch").agg(F.count("*").alias("n")).collect()}
     assert rows[3] == 1 and rows[1] == parts[1].select("sample_id").distinct().count()
+
+
+def test_chosen_values_of_confusion_counts(spark):
+    d = spark.createDataFrame([("a", 3, 1, 2), ("b", 0, 0, 0), ("c", 1, 3, 0)], "class string, tp long, fp long, fn long")
+    r = losses.prf(d).first()
+    assert (r.micro_p, r.micro_r, r.micro_f1) == pytest.approx((4 / 8, 4 / 6, 8 / 14))
+    assert (r.macro_p, r.macro_r, r.macro_f1) == pytest.approx(((3 / 4 + 1 / 4) / 2, (3 / 5 + 1) / 2, (6 / 9 + 2 / 5) / 2))
+    assert losses.prf(d, ("macro_r", "micro_p")).columns == ["macro_r", "micro_p"] and losses.prf(d.where("false")).first().micro_p is None
+    with pytest.raises(ValueError):
+        losses.prf(d, ("median",))
