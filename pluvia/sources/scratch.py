@@ -44,11 +44,24 @@ def cleared(spark: SparkSession, keep: tuple[str, ...] = ()):
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """The rows of df by way of a Parquet table in the shared folder, so that they are computed once."""
-    out = folder(df.sparkSession, name)
-    df.write.parquet(out)
-    return df.sparkSession.read.schema(df.schema).parquet(out)
+    """The rows of df by way of a Parquet table in the shared folder, so that they are computed once. The shuffle files that
+    it took are removed when the table is written; else they would stay on the executors' disks until the driver happens to
+    collect its garbage."""
+    spark, out = df.sparkSession, folder(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(out)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(out)
 
 
 SMALL = 200_000   # rows that a single task numbers or sums, at most; more are done range by range, with the same result
