@@ -60,7 +60,8 @@ def stacked(cells: DataFrame, index: DataFrame, steps: int = STEPS, stride: int
     last = index.agg(F.max("pos")).first()[0]
     low = F.floor(F.greatest(F.col("pos") - (steps - 1), F.lit(0)) / places)
     ranged = _placed(cells, index).select(F.explode(F.sequence(low, F.floor(F.col("pos") / places))).alias("g"), "y", "x", "pos", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in [*features, TARGET]])
-    rows = ranged.repartition("g", "y", "x").sortWithinPartitions("g", "y", "x", "pos")
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))   # a task makes `steps` times what it reads: small parts aren't merged
+    rows = ranged.repartition(tasks, "g", "y", "x").sortWithinPartitions("g", "y", "x", "pos")
     names = ["g", "y", "x", "pos"]
 
     def windows_of(t: pa.Table) -> pa.RecordBatch:

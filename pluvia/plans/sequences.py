@@ -31,7 +31,7 @@ def indexed(s, d):
     """Cells, and the index of their frames."""
     cells = written(wide(s, d))
     frames = cells.select("file", "time_idx").distinct().withColumn("time", F.expr(TIME).cast("timestamp_ntz"))
-    return cells, A.global_time_index(frames)
+    return cells, written(A.global_time_index(frames))
 
 
 def sequence(s, d, steps=A.STEPS, stride=A.STRIDE):
