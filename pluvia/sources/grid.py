@@ -115,10 +115,10 @@ class Reader(DataSourceReader):
             paths = [p for p in paths if p.rsplit("/", 1)[-1] in self.only]
         with ThreadPoolExecutor(OPENED) as pool:
             slabs = [s for found in pool.map(lambda p: self.plan(system, p), paths) for s in found]
-        packs, held = [], 0
+        packs, held = [Pack([])], 0   # one at least: for none Spark would call read() without a partition
         for s in slabs:
             n = s.cells() * 8 * len(self.variables) + OPEN_BYTES
-            if not packs or held + n > self.slab_bytes:
+            if packs[-1].slabs and held + n > self.slab_bytes:
                 packs.append(Pack([]))
                 held = 0
             packs[-1].slabs.append(s)

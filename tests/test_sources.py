@@ -57,6 +57,7 @@ def test_grid_slabs_are_pruned(spark, tmp_path):
     some = scan(since="2024-01-01T05:00", until="2024-01-01T08:00")
     assert some.rdd.getNumPartitions() == 3
     assert sorted({r.time.hour for r in some.select("time").collect()}) == [5, 6, 7, 8]
+    assert scan(since="2025-01-01").count() == 0
     reader = grid.Reader({"path": str(tmp_path), "variables": "TAIR", "slab_bytes": "100"})
     assert max(s.cells() for p in reader.partitions() for s in p.slabs) == 12
     assert grid.scan(spark, str(tmp_path)).rdd.getNumPartitions() == 1   # small slabs share a task
