@@ -2,7 +2,7 @@
 
 Null and empty texts have zero statistics and fail the base rule; repeated rows keep their own result; equal labelled rows
 count as often as they stand; without labels the base rule alone decides; texts may be of any length; an empty table gives
-an empty result. `filter_kept` keeps extra columns, but for one named _kept."""
+an empty result. `filter_kept` keeps extra columns."""
 import numpy as np
 import pandas as pd
 import xxhash
@@ -144,4 +144,5 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
 def filter_kept(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that are kept, with their columns."""
     run = _verdict(docs, model, threshold)
-    return map_texts(docs, lambda texts: run(texts)[-1:], "_kept boolean", keep=True).where("_kept").select(*docs.columns)
+    name = next(n for n in (f"_kept{'_' * i}" for i in range(99)) if n not in docs.columns)
+    return map_texts(docs, lambda texts: run(texts)[-1:], f"{name} boolean", keep=True).where(name).select(*docs.columns)
