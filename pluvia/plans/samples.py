@@ -24,7 +24,8 @@ def cells(s, d):
     return cells_long(s, d).select("event_id", "file", "time_idx", "y", "x", "variable", "value")
 
 
-WIDE = CELLS_CTE + ", wide AS (SELECT file, time_idx, y, x, " + ", ".join(f"round(coalesce(avg(CASE WHEN variable='{v}' AND {FINITE} THEN value END),0.0),6) AS {v}" for v in VARS) + " FROM cells GROUP BY 1,2,3,4)"
+WIDE = CELLS_CTE + ", wide AS (SELECT file, time_idx, y, x, " + ", ".join(f"round(coalesce(avg(CASE "
+  f"WHEN variable='{v}' AND {FINITE} THEN value END),0.0),6) AS {v}" for v in VARS) + " FROM cells GROUP BY 1,2,3,4)"
 
 
 def wide_cells(long):
@@ -39,22 +40,27 @@ def wide(s, d):
 q("feature_projection", WIDE + f" SELECT file, time_idx, y, x, {', '.join(VARS)} FROM wide")(wide)
 q("nonfinite_zero", CELLS_CTE + f" SELECT event_id, CASE WHEN {FINITE} THEN value ELSE 0.0 END AS value FROM cells")(
     lambda s, d: cells(s, d).select("event_id", F.when(finite(), F.col("value")).otherwise(0.0).alias("value")))
-q("format_nan_zero", CELLS_CTE + " SELECT event_id, CASE WHEN isnan(value) THEN 0.0 WHEN isinf(value) THEN sign(value)*CAST(3.4028235e38 AS DOUBLE) ELSE value END AS value FROM cells")(
+q("format_nan_zero", CELLS_CTE + " SELECT event_id, CASE WHEN isnan(value) THEN 0.0 WHEN isinf(value) THEN sign(value)*CAST(3.4028235e38 AS "
+  "DOUBLE) ELSE value END AS value FROM cells")(
     lambda s, d: cells(s, d).select("event_id", F.when(F.isnan("value"), 0.0).when(F.abs("value") == float("inf"), F.signum("value") * F.lit(3.4028235e38)).otherwise(F.col("value")).alias("value")))
 q("near_zero_flags", CELLS_CTE + " SELECT event_id, NOT isnan(value) AND abs(value)<=1e-8 AS near_zero FROM cells")(
     lambda s, d: cells(s, d).select("event_id", (~F.isnan("value") & (F.abs("value") <= 1e-8)).alias("near_zero")))
-q("infer_projection", PAIRS_CTE + " SELECT sample_id, l_orderkey, pred FROM pairs")(lambda s, d: pairs(s, d).select("sample_id", "l_orderkey", "pred"))
+q("infer_projection", PAIRS_CTE + " SELECT sample_id, l_orderkey, pred FROM "
+  "pairs")(lambda s, d: pairs(s, d).select("sample_id", "l_orderkey", "pred"))
 
 
-q("epoch_loss_valid", PAIRS_CTE + f", b AS (SELECT batch_id, count(DISTINCT sample_id) AS n, {W_SQL} AS loss FROM pairs GROUP BY 1) SELECT round(sum(loss*n)/sum(n),6) AS loss FROM b")(
+q("epoch_loss_valid", PAIRS_CTE + f", b AS (SELECT batch_id, count(DISTINCT sample_id) AS n, {W_SQL} AS loss FROM pairs GROUP BY 1) "
+  f"SELECT round(sum(loss*n)/sum(n),6) AS loss FROM b")(
     lambda s, d: V.weighted_loss(pairs(s, d), "batch_id", size=True).agg(r6(F.sum(F.col("loss") * F.col("n")) / F.sum("n"), "loss")))
 
 
-q("stats_file_limit", CELLS_CTE + " SELECT variable, count(*) AS n FROM cells WHERE file IN (SELECT DISTINCT file FROM cells ORDER BY 1 LIMIT 50) GROUP BY 1")(
+q("stats_file_limit", CELLS_CTE + " SELECT variable, count(*) AS n FROM cells WHERE file IN (SELECT DISTINCT file FROM cells ORDER BY 1 LIMIT 50) "
+  "GROUP BY 1")(
     lambda s, d: cells(s, d).join(cells(s, d).select("file").distinct().orderBy("file").limit(50), "file", "left_semi").groupBy("variable").agg(F.count("*").alias("n")))
 
 
-@q("incremental_skip", CELLS_CTE + " SELECT file, count(*) AS n FROM cells WHERE file NOT IN (SELECT file FROM cells WHERE CAST(substr(file,12,2) AS INT) % 2 = 0) GROUP BY 1")
+@q("incremental_skip", CELLS_CTE + " SELECT file, count(*) AS n FROM cells WHERE file NOT IN (SELECT file FROM cells "
+  "WHERE CAST(substr(file,12,2) AS INT) % 2 = 0) GROUP BY 1")
 def _skip(s, d):
     """Even days' files are written first; the second call meets all files and writes the others, as the manifest says."""
     out, rows = folder(s, "processed"), cells(s, d)
@@ -63,9 +69,12 @@ def _skip(s, d):
     return sinks.finished(s, out).where("run = 'second'").select("file", F.col("rows").alias("n"))
 
 
-q("pair_predictions", "WITH a AS (SELECT l_orderkey k, l_linenumber j, CAST(l_quantity AS DOUBLE) AS pred FROM lineitem), b AS (SELECT l_orderkey k, l_linenumber j, CAST(l_tax AS DOUBLE) AS label FROM lineitem) SELECT a.k AS order_id, round(sum(pred*label),6) AS s, count(*) AS n FROM a JOIN b ON a.k=b.k AND a.j=b.j GROUP BY 1")(
+q("pair_predictions", "WITH a AS (SELECT l_orderkey k, l_linenumber j, CAST(l_quantity AS DOUBLE) AS pred FROM lineitem), b "
+  "AS (SELECT l_orderkey k, l_linenumber j, CAST(l_tax AS DOUBLE) AS label FROM lineitem) SELECT a.k AS order_id, round(sum(pred*label),6) AS s, "
+  "count(*) AS n FROM a JOIN b ON a.k=b.k AND a.j=b.j GROUP BY 1")(
     lambda s, d: table(s, d, "lineitem").selectExpr("l_orderkey AS k", "l_linenumber AS j", "cast(l_quantity as double) AS pred").join(
-        table(s, d, "lineitem").selectExpr("l_orderkey AS k", "l_linenumber AS j", "cast(l_tax as double) AS label"), ["k", "j"]).groupBy(F.col("k").alias("order_id")).agg(r6(F.sum(F.col("pred") * F.col("label")), "s"), F.count("*").alias("n")))
+        table(s, d, "lineitem").selectExpr("l_orderkey AS k", "l_linenumber AS j", "cast(l_tax as double) AS "
+          "label"), ["k", "j"]).groupBy(F.col("k").alias("order_id")).agg(r6(F.sum(F.col("pred") * F.col("label")), "s"), F.count("*").alias("n")))
 
 MULTI = "WITH m AS (SELECT l.quality AS y0, l.toxic AS y1, (n_chars % 97 + 1)/100.0 AS p0, (n_chars % 89 + 1)/100.0 AS p1 FROM labels l JOIN documents d ON l.doc_id=d.doc_id), t AS (SELECT 0 AS task, y0 AS y, CAST(p0 AS DOUBLE) AS p FROM m UNION ALL SELECT 1, y1, CAST(p1 AS DOUBLE) FROM m)"
 
@@ -86,7 +95,8 @@ def label_arrays(s, d):
 
 q("loss_bce_multilabel", MULTI + " SELECT round(sum(-y*ln(p)-(1-y)*ln(1-p))/(SELECT count(*) FROM m),6) AS loss FROM t")(
     lambda s, d: L.multi_label(label_arrays(s, d)).select(r6(F.col("loss"), "loss")))
-q("multilabel_confusion", MULTI + " SELECT task, count(*) FILTER (y=1 AND p>=0.5) AS tp, count(*) FILTER (y=0 AND p>=0.5) AS fp, count(*) FILTER (y=1 AND p<0.5) AS fn, count(*) FILTER (y=0 AND p<0.5) AS tn FROM t GROUP BY 1")(
+q("multilabel_confusion", MULTI + " SELECT task, count(*) FILTER (y=1 AND p>=0.5) AS tp, count(*) FILTER (y=0 AND p>=0.5) AS fp, count(*) FILTER "
+  "(y=1 AND p<0.5) AS fn, count(*) FILTER (y=0 AND p<0.5) AS tn FROM t GROUP BY 1")(
     lambda s, d: confusion(s, d))
 
 
@@ -96,17 +106,22 @@ def confusion(s, d):
 
 
 PRF = ", c AS (SELECT task, count(*) FILTER (y=1 AND p>=0.5) AS tp, count(*) FILTER (y=0 AND p>=0.5) AS fp, count(*) FILTER (y=1 AND p<0.5) AS fn FROM t GROUP BY 1)"
-q("prf_micro_macro", MULTI + PRF + " SELECT round(sum(tp)/sum(tp+fp),6) AS micro_p, round(sum(tp)/sum(tp+fn),6) AS micro_r, round(avg(tp/(tp+fp)),6) AS macro_p, round(avg(tp/(tp+fn)),6) AS macro_r, round(avg(2*tp/(2*tp+fp+fn)),6) AS macro_f1, round(2*sum(tp)/sum(2*tp+fp+fn),6) AS micro_f1 FROM c")(
+q("prf_micro_macro", MULTI + PRF + " SELECT round(sum(tp)/sum(tp+fp),6) AS micro_p, round(sum(tp)/sum(tp+fn),6) AS micro_r, "
+  "round(avg(tp/(tp+fp)),6) AS macro_p, round(avg(tp/(tp+fn)),6) AS macro_r, round(avg(2*tp/(2*tp+fp+fn)),6) AS macro_f1, "
+  "round(2*sum(tp)/sum(2*tp+fp+fn),6) AS micro_f1 FROM c")(
     lambda s, d: L.prf(confusion(s, d)).select(*[r6(F.col(c), c) for c in L.PRF]))
 q("list_parse", "SELECT doc_id, array_to_string(string_split(replace(lang || ', ' || source, ' ', ''), ','), '|') AS items FROM documents")(
-    lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(F.split(F.replace(F.concat_ws(", ", "lang", "source"), F.lit(" "), F.lit("")), ","), "|").alias("items")))
+    lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(F.split(F.replace(F.concat_ws(", ", "lang", "source"), F.lit(" "
+      ""), F.lit("")), ","), "|").alias("items")))
 
 # what the registries offer, by name
 q("registry_source", CELLS_CTE + " SELECT variable, count(*) AS n FROM cells GROUP BY 1")(
     lambda s, d: kept_source(s, d).groupBy("variable").agg(F.count("*").alias("n")))
-q("registry_formatter", CELLS_CTE + " SELECT event_id, CASE WHEN isnan(value) THEN 0.0 WHEN isinf(value) THEN sign(value)*CAST(3.4028235e38 AS DOUBLE) ELSE value END AS value FROM cells")(
+q("registry_formatter", CELLS_CTE + " SELECT event_id, CASE WHEN isnan(value) THEN 0.0 WHEN isinf(value) THEN sign(value)*CAST(3.4028235e38 AS "
+  "DOUBLE) ELSE value END AS value FROM cells")(
     lambda s, d: FORMATTERS["identity"](FORMATTERS["grid"](cells(s, d).select("event_id", "value", F.lit(1.0).alias("label")), "infer")))
-q("registry_output", PAIRS_CTE + ", m AS (SELECT batch_id, avg(v) AS v FROM (SELECT batch_id, sample_id, avg(abs(pred-label)) AS v FROM pairs GROUP BY 1,2) GROUP BY 1) SELECT 'MAE' AS metric, round(round(avg(v),9),3) AS value FROM m")(
+q("registry_output", PAIRS_CTE + ", m AS (SELECT batch_id, avg(v) AS v FROM (SELECT batch_id, sample_id, avg(abs(pred-label)) AS v FROM pairs "
+  "GROUP BY 1,2) GROUP BY 1) SELECT 'MAE' AS metric, round(round(avg(v),9),3) AS value FROM m")(
     lambda s, d: OUTPUTS["report"](pairs(s, d)).where("metric = 'MAE'").union(OUTPUTS["null"](pairs(s, d))))
 
 
@@ -120,7 +135,8 @@ def kept_source(s, d):
 PREDICTED = "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) * 3 AS pred FROM lineitem"
 
 
-@q("predictions_json", "SELECT '{\"l_linenumber\":' || l_linenumber || ',\"l_orderkey\":' || l_orderkey || ',\"pred\":' || pred || '}' AS line FROM (" + PREDICTED + ")")
+@q("predictions_json", "SELECT '{\"l_linenumber\":' || l_linenumber || ',\"l_orderkey\":' || l_orderkey || ',\"pred\":' || pred || '}' AS line "
+  "FROM (" + PREDICTED + ")")
 def _predictions(s, d):
     """Predictions as JSON lines with sorted keys."""
     out = folder(s, "predictions")

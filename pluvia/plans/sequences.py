@@ -1,10 +1,12 @@
 """Frame and sequence samples over cells, batches, row numbers and the model jobs."""
 from pyspark.sql import functions as F
 
+from pluvia.functions import scores as S
 from pluvia.operators import clean as C
 from pluvia.operators import correct as M
 from pluvia.operators import external
 from pluvia.operators import samples as A
+from pluvia.plans.chain import CLEAN
 from pluvia.plans.queries import PAIRS_CTE, q, r6
 from pluvia.plans.samples import WIDE, wide, wide_cells
 from pluvia.sources import files as I
@@ -18,8 +20,10 @@ INDEX = (WIDE + ", fr AS (SELECT DISTINCT file, time_idx, strptime(substr(file,6
 
 
 def windows_sql(steps: int, stride: int) -> str:
-    return (INDEX + f", w AS (SELECT s.pos AS start, CAST(i.pos-s.pos AS INT) AS step, i.file, i.time_idx FROM idx s JOIN idx i ON i.pos BETWEEN s.pos AND s.pos+{steps - 1} "
-            f"WHERE s.pos % {stride}=0 AND s.pos<=(SELECT m FROM last)-{steps - 1}), sc AS (SELECT start, step, y, x, TAIR, UWIN, VWIN, PRE, corrected_precip FROM w JOIN wide USING (file, time_idx))")
+    return (INDEX + f", w AS (SELECT s.pos AS start, CAST(i.pos-s.pos AS INT) AS step, i.file, i.time_idx FROM idx s "
+      f"JOIN idx i ON i.pos BETWEEN s.pos AND s.pos+{steps - 1} "
+            f"WHERE s.pos % {stride}=0 AND s.pos<=(SELECT m FROM last)-{steps - 1}), sc AS (SELECT start, step, y, x, TAIR, UWIN, VWIN, PRE, "
+            f"corrected_precip FROM w JOIN wide USING (file, time_idx))")
 
 
 def index(s, d):
@@ -43,14 +47,17 @@ q("global_time_index", INDEX + " SELECT file, time_idx, pos FROM idx")(lambda s,
 q("frame_samples", INDEX + " SELECT pos AS sample_id, file, time_idx FROM idx")(lambda s, d: A.frame_samples(index(s, d)))
 q("shuffle_samples", INDEX + " SELECT pos AS sample_id, file, time_idx FROM idx")(lambda s, d: A.shuffled(A.frame_samples(index(s, d)), 7))
 q("sequence_samples", SEQ + " SELECT * FROM sc")(sequence)
-q("sequence_windows_stride", windows_sql(A.STEPS, A.CODE_STRIDE) + " SELECT start, step, file, time_idx FROM w")(lambda s, d: A.windows(index(s, d), stride=A.CODE_STRIDE).select("start", "step", "file", "time_idx"))
+q("sequence_windows_stride", windows_sql(A.STEPS, A.CODE_STRIDE) + " SELECT start, step, file, time_idx "
+  "FROM w")(lambda s, d: A.windows(index(s, d), stride=A.CODE_STRIDE).select("start", "step", "file", "time_idx"))
 q("sequence_label", SEQ + " SELECT start, y, x, corrected_precip AS label FROM sc WHERE step=3")(
     lambda s, d: sequence(s, d).where(F.col("step") == A.STEPS - 1).select("start", "y", "x", F.col(A.TARGET).alias("label")))
-q("sequence_tensor", SEQ + " SELECT start, y, x, " + ", ".join(f"coalesce(max(CASE WHEN step={k} THEN {v} END),0.0) AS {v}_{k}" for k in range(A.STEPS) for v in A.FEATURES)
+q("sequence_tensor", SEQ + " SELECT start, y, x, " + ", ".join(f"coalesce(max(CASE WHEN step={k} THEN {v} END),0.0) AS "
+  f"{v}_{k}" for k in range(A.STEPS) for v in A.FEATURES)
   + ", coalesce(max(CASE WHEN step=3 THEN corrected_precip END),0.0) AS label FROM sc GROUP BY 1,2,3")(
     lambda s, d: A.stacked(*indexed(s, d)).select("start", "y", "x", *[F.col("data")[k][i].alias(f"{v}_{k}") for k in range(A.STEPS) for i, v in enumerate(A.FEATURES)], "label"))
 
-TENSOR = SEQ + ", st AS (SELECT start, y, x, " + ", ".join(f"coalesce(max(CASE WHEN step={k} THEN PRE END),0.0) AS p{k}" for k in range(A.STEPS)) + " FROM sc GROUP BY 1,2,3)"
+TENSOR = SEQ + ", st AS (SELECT start, y, x, " + ", ".join(f"coalesce(max(CASE WHEN step={k} THEN PRE END),0.0) AS "
+  f"p{k}" for k in range(A.STEPS)) + " FROM sc GROUP BY 1,2,3)"
 TREND = (0.1, 0.2, 0.3, 0.4)   # weights of the four steps' precipitation
 
 
@@ -68,7 +75,9 @@ def _external(s, d):
     return s.read.schema("start long, y int, x int, pred double").json(out).select("start", "y", "x", F.round("pred", 4).alias("pred"))
 
 
-@q("epoch_order", INDEX + ", n AS (SELECT CAST(m+1 AS BIGINT) AS n FROM last), e AS (SELECT unnest([0,1]) AS epoch), b AS (SELECT epoch, CAST(unnest(range(n//8)) AS BIGINT) AS batch_id FROM e, n) SELECT epoch, batch_id, 8 AS n, CAST(28+64*batch_id AS BIGINT) AS places FROM b")
+@q("epoch_order", INDEX + ", n AS (SELECT CAST(m+1 AS BIGINT) AS n FROM last), e AS (SELECT unnest([0,1]) AS epoch), b "
+  "AS (SELECT epoch, CAST(unnest(range(n//8)) AS BIGINT) AS batch_id FROM e, n) SELECT epoch, batch_id, 8 AS n, CAST(28+64*batch_id AS BIGINT) AS "
+  "places FROM b")
 def _epochs(s, d):
     """Two epochs' batches of eight: each holds eight samples, at eight places that follow each other."""
     samples = A.frame_samples(index(s, d))
@@ -78,7 +87,8 @@ def _epochs(s, d):
 
 
 BATCH = PAIRS_CTE + ", n AS (SELECT DISTINCT sample_id FROM pairs), k AS (SELECT sample_id, CAST((row_number() OVER (ORDER BY sample_id)-1)//6 AS BIGINT) AS batch_id FROM n)"
-q("batch_assign", BATCH + " SELECT * FROM k WHERE batch_id IN (SELECT batch_id FROM k GROUP BY 1 HAVING count(*)=6)")(lambda s, d: A.batches(pairs(s, d).select("sample_id").distinct(), 6))
+q("batch_assign", BATCH + " SELECT * FROM k WHERE batch_id IN (SELECT batch_id FROM k GROUP BY 1 HAVING "
+  "count(*)=6)")(lambda s, d: A.batches(pairs(s, d).select("sample_id").distinct(), 6))
 q("batch_assign_test", BATCH + " SELECT * FROM k")(lambda s, d: A.batches(pairs(s, d).select("sample_id").distinct(), 6, "test"))
 
 FILES = "WITH c AS (SELECT source AS file, count(*) AS n FROM documents GROUP BY 1), iv AS (SELECT file, n, CAST(sum(n) OVER (ORDER BY file) AS BIGINT)-n AS lo, CAST(sum(n) OVER (ORDER BY file) AS BIGINT) AS hi FROM c)"
@@ -113,7 +123,8 @@ def _line_counts(s, d):
     return I.line_counts(s, f"{json_files(s, d)}/*/*").groupBy(source_of("source")).agg(F.sum(F.col("hi") - F.col("lo")).alias("n"))
 
 
-q("row_to_file_range_join", FILES + ", r AS (SELECT doc_id, row_number() OVER (ORDER BY source, doc_id)-1 AS row FROM documents) SELECT doc_id, row, file FROM r JOIN iv ON row>=lo AND row<hi")(
+q("row_to_file_range_join", FILES + ", r AS (SELECT doc_id, row_number() OVER (ORDER BY source, doc_id)-1 AS row FROM documents) "
+  "SELECT doc_id, row, file FROM r JOIN iv ON row>=lo AND row<hi")(
     lambda s, d: A.rows_to_files(numbered(by_file(s, d), "file", "doc_id", name="row").select("doc_id", "row"), A.prefix_counts(by_file(s, d)).select("file", "lo", "hi")))
 
 
@@ -142,6 +153,24 @@ def _fit(s, d):
     return s.createDataFrame([*zip(A.FEATURES, map(float, m.coefficients)), ("intercept", float(m.intercept))], "feature string, weight double")
 
 
+DAY = "CAST(substr(file,12,2) AS INT)"
+CLEANED = CLEAN + ", cw AS (SELECT file, time_idx, y, x, " + ", ".join(f"coalesce(avg(CASE "
+  f"WHEN variable='{v}' THEN value END),0.0) AS {v}" for v in [*A.FEATURES, A.TARGET]) + " FROM cleaned GROUP BY 1,2,3,4)"
+
+
+@q("fit_correction_optimum", CLEANED + f" SELECT unnest(['TAIR','UWIN','VWIN','PRE','intercept']) AS feature, CAST(0.0 AS DOUBLE) AS slope, n "
+  f"FROM (SELECT CAST(count(*) AS BIGINT) AS n FROM cw WHERE {DAY}<=20)")
+def _optimum(s, d):
+    """At the least weighted squared error its slope along each weight is zero; it is shown as a share of what its terms sum
+    to without their signs."""
+    rows, m = fitted(s, d)
+    got = M.predict(m, split(rows, "train"))
+    step = S.squared_weight(F.col(A.TARGET)) * (F.col("pred") - F.col(A.TARGET))
+    slope = lambda x: F.abs(F.round(F.coalesce(F.try_divide(F.sum(step * x), F.sum(F.abs(step * x))), F.lit(0.0)), 6))
+    one = got.agg(*[slope(F.col(f)).alias(f) for f in A.FEATURES], slope(F.lit(1.0)).alias("intercept"), F.count("*").alias("n"))
+    return one.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("slope")) for f in [*A.FEATURES, "intercept"]])).alias("r"), "n").select("r.*", "n")
+
+
 @q("fit_correction_combined")
 def _combined(s, d):
     """feature, weight, of the linear correction with the least combined loss, and that loss."""

@@ -59,7 +59,8 @@ def _listing(s, d):
     return inside(I.file_listing(s, out, pattern="part-*"), out)
 
 
-@q("file_listing_multi_root", "SELECT DISTINCT lang, source FROM documents WHERE lang IN ('de','en') UNION ALL SELECT DISTINCT lang, source FROM documents WHERE lang='en'")
+@q("file_listing_multi_root", "SELECT DISTINCT lang, source FROM documents WHERE lang IN ('de','en') UNION ALL SELECT DISTINCT lang, source "
+  "FROM documents WHERE lang='en'")
 def _roots(s, d):
     out = tree(s, d)
     return inside(I.multi_root_listing(s, f"{out}/lang=en, {out}/lang=de,{out}/lang=en").where("path LIKE '%/part-%'"), out)
@@ -77,7 +78,8 @@ def encoded(rows):
         frame = pdf.sort_values(["time_idx", "y", "x"])
         arrays = {c: frame[c].to_numpy(dtype="datetime64[us]" if c == "time" else None) for c in ("time_idx", "time", "y", "x", *VARS)}
         return pd.DataFrame({"name": [f"{key[0][:-3]}-{key[1]}.npz"], "content": [G.encode(arrays)]})
-    return rows.withColumn("time", F.expr(TIME).cast("timestamp_ntz")).groupBy("file", F.expr(f"time_idx div {HOURS}")).applyInPandas(encode, "name string, content binary")
+    return rows.withColumn("time", F.expr(TIME).cast("timestamp_ntz")).groupBy("file", F.expr(f"time_idx div "
+      f"{HOURS}")).applyInPandas(encode, "name string, content binary")
 
 
 def grids(s, d):
@@ -96,7 +98,8 @@ q("grid_decode_npz", WIDE + f" SELECT {NAME} AS file, time_idx, y, x, {', '.join
     lambda s, d: G.good_cells(G.scan(s, grids(s, d))).select("file", "time_idx", "y", "x", *VARS))
 
 
-@q("grid_time_slice", WIDE + f" SELECT {NAME} AS file, time_idx, y, x, TAIR, PRE FROM wide WHERE {DAY}=7 AND time_idx BETWEEN 5 AND 17 OR {DAY}=8 AND time_idx=0")
+@q("grid_time_slice", WIDE + f" SELECT {NAME} AS file, time_idx, y, x, TAIR, PRE FROM wide "
+  f"WHERE {DAY}=7 AND time_idx BETWEEN 5 AND 17 OR {DAY}=8 AND time_idx=0")
 def _grid_slice(s, d):
     """Two variables over two stretches of time; other files are opened for their headers alone."""
     root = grids(s, d)
@@ -104,15 +107,18 @@ def _grid_slice(s, d):
     return G.good_cells(parts[0].union(parts[1])).select("file", "time_idx", "y", "x", "TAIR", "PRE")
 
 
-@q("bad_file_quarantine", CELLS_CTE + f", f AS (SELECT DISTINCT {NAME} AS file, time_idx//{HOURS} AS part FROM cells) SELECT file FROM f WHERE part=2")
+@q("bad_file_quarantine", CELLS_CTE + f", f AS (SELECT DISTINCT {NAME} AS file, time_idx//{HOURS} AS part FROM cells) SELECT file FROM f "
+  f"WHERE part=2")
 def _bad(s, d):
     """Every third file of a day has lost its end."""
     out = folder(s, "grids")
-    sinks.write_files(encoded(wide(s, d)).select("name", F.when(F.col("name").endswith("-2.npz"), F.expr("substring(content, 1, 100)")).otherwise(F.col("content")).alias("content")), out)
+    sinks.write_files(encoded(wide(s, d)).select("name", F.when(F.col("name").endswith("-2.npz"), F.expr("substring(content, 1, "
+      "100)")).otherwise(F.col("content")).alias("content")), out)
     return G.bad_files(G.scan(s, out)).select("file")
 
 
-@q("split_scan", WIDE + f", n AS (SELECT CASE WHEN {DAY}<=20 THEN 'train' ELSE 'valid' END AS split, count(*) AS n FROM wide WHERE {DAY}<=25 GROUP BY 1) SELECT split, n FROM n UNION ALL SELECT 'test', n FROM n WHERE split='train'")
+@q("split_scan", WIDE + f", n AS (SELECT CASE WHEN {DAY}<=20 THEN 'train' ELSE 'valid' END AS split, count(*) AS n FROM wide WHERE {DAY}<=25 "
+  f"GROUP BY 1) SELECT split, n FROM n UNION ALL SELECT 'test', n FROM n WHERE split='train'")
 def _splits(s, d):
     """Each split has a folder of grid files; test names none of its own and takes that of train."""
     base, rows, specs = folder(s, "splits"), written(wide(s, d)), {}
@@ -123,7 +129,8 @@ def _splits(s, d):
     return count("train").union(count("valid")).union(count("test"))
 
 
-@q("image_manifest_join", "SELECT 'page-' || (doc_id*2) AS path, lang AS label, octet_length(encode(html)) AS bytes FROM documents LEFT JOIN pages ON page_id=doc_id*2")
+@q("image_manifest_join", "SELECT 'page-' || (doc_id*2) AS path, lang AS label, octet_length(encode(html)) AS bytes FROM documents LEFT "
+  "JOIN pages ON page_id=doc_id*2")
 def _manifest(s, d):
     """Manifest files and image files are written, then read; half of the manifest's images don't exist."""
     base = folder(s, "images")
@@ -135,7 +142,8 @@ def _manifest(s, d):
     return got.select("path", "label", F.octet_length("content").cast("long").alias("bytes"))
 
 
-@q("json_lines_malformed", "SELECT doc_id % 10 = 3 AS bad, count(*) AS n, count(CASE WHEN doc_id % 10 <> 3 THEN doc_id END) AS ids FROM documents GROUP BY 1")
+@q("json_lines_malformed", "SELECT doc_id % 10 = 3 AS bad, count(*) AS n, count(CASE WHEN doc_id % 10 <> 3 THEN doc_id END) AS ids FROM documents "
+  "GROUP BY 1")
 def _malformed(s, d):
     """Every tenth line has lost its second half."""
     out = folder(s, "lines")
@@ -148,16 +156,24 @@ def _malformed(s, d):
 
 # cleaning and samples whose definition has a default for what is absent
 LONG = WIDE + f", l AS (UNPIVOT wide ON {', '.join(VARS)} INTO NAME variable VALUE value)"
-q("missing_variable_zero", LONG + " SELECT file, time_idx, y, x, variable, value FROM l")(lambda s, d: wide(s, d).unpivot(["file", "time_idx", "y", "x"], VARS, "variable", "value"))
+q("missing_variable_zero", LONG + " SELECT file, time_idx, y, x, variable, value FROM "
+  "l")(lambda s, d: wide(s, d).unpivot(["file", "time_idx", "y", "x"], VARS, "variable", "value"))
 SHOWN = "CASE WHEN {n}=0 THEN 'all_nan' WHEN isinf({v}) THEN 'Infinity' ELSE CAST(CAST({v} AS BIGINT) AS VARCHAR) END"
 LEAST, MOST = "min(pred) FILTER (NOT isnan(pred))", "max(pred) FILTER (NOT isnan(pred))"
-ERRORS = ("WITH p AS (SELECT CAST(l_shipdate AS DATE) AS sample_id, CASE WHEN l_orderkey % 997=0 THEN CAST('NaN' AS DOUBLE) WHEN l_orderkey % 991=0 THEN CAST('Infinity' AS DOUBLE) ELSE CAST(l_quantity AS DOUBLE) END AS pred, CAST(l_linenumber AS DOUBLE) AS label FROM lineitem), "
-          "a AS (SELECT sample_id, count(*) AS n, count(*) FILTER (isnan(pred)) AS nan_, count(*) FILTER (isinf(pred)) AS inf_, count(*) FILTER (NOT isnan(pred)) AS m, " + LEAST + " AS lo, " + MOST + " AS hi, "
-          "min(CASE WHEN isnan(pred) OR isinf(pred) THEN 0.0 ELSE pred END) AS clo, CAST(min(label) AS BIGINT) AS label_min, CAST(max(label) AS BIGINT) AS label_max FROM p GROUP BY 1)")
-
-
-@q("error_samples", ERRORS + " SELECT sample_id, 'nan_inf_values' AS error, nan_>0 AS has_nan, inf_>0 AS has_inf, " + SHOWN.format(n="m", v="lo") + " AS lo, " + SHOWN.format(n="m", v="hi") + " AS hi, label_min, label_max, CAST(n AS BIGINT) AS n_cells FROM a WHERE nan_+inf_>0 "
-   "UNION ALL SELECT sample_id, 'nan_std', false, false, " + SHOWN.format(n="1", v="clo") + ", " + SHOWN.format(n="1", v="clo") + ", label_min, label_max, CAST(n AS BIGINT) FROM a WHERE n=1")
+ERRORS = ("WITH p AS (SELECT CAST(l_shipdate AS DATE) AS sample_id, CASE WHEN l_orderkey % 997=0 THEN CAST('NaN' AS DOUBLE) "
+  "WHEN l_orderkey % 991=0 THEN CAST('Infinity' AS DOUBLE) ELSE CAST(l_quantity AS DOUBLE) END AS pred, CAST(l_linenumber AS DOUBLE) AS label "
+  "FROM lineitem), "
+          "a AS (SELECT sample_id, count(*) AS n, count(*) FILTER (isnan(pred)) AS nan_, count(*) FILTER (isinf(pred)) AS inf_, count(*) FILTER "
+          "(NOT isnan(pred)) AS m, " + LEAST + " AS lo, " + MOST + " AS hi, "
+          "min(CASE WHEN isnan(pred) OR isinf(pred) THEN 0.0 ELSE pred END) AS clo, CAST(min(label) AS BIGINT) AS label_min, CAST(max(label) AS "
+          "BIGINT) AS label_max FROM p GROUP BY 1)")
+
+
+@q("error_samples", ERRORS + " SELECT sample_id, 'nan_inf_values' AS error, nan_>0 AS has_nan, inf_>0 AS has_inf, "
+  "" + SHOWN.format(n="m", v="lo") + " AS lo, " + SHOWN.format(n="m", v="hi") + " AS hi, label_min, label_max, CAST(n AS BIGINT) AS n_cells "
+  "FROM a WHERE nan_+inf_>0 "
+   "UNION ALL SELECT sample_id, 'nan_std', false, false, " + SHOWN.format(n="1", v="clo") + ", " + SHOWN.format(n="1", v="clo") + ", label_min, "
+   "label_max, CAST(n AS BIGINT) FROM a WHERE n=1")
 def _errors(s, d):
     """Samples in error and their cells, written and read again."""
     key, out = F.col("l_orderkey"), folder(s, "errors")
@@ -172,8 +188,10 @@ def _errors(s, d):
 
 
 # metric history, reports
-HISTORY = (BATCH + ", h AS (" + " UNION ALL ".join(f"SELECT 'step' AS granularity, '{m}' AS tag, batch_id AS step, round({m},6) AS value FROM b" for m in S.METRICS)
-           + " UNION ALL " + " UNION ALL ".join(f"SELECT 'epoch' AS granularity, '{m}' AS tag, 0 AS step, round(avg({m}),6) AS value FROM b" for m in S.METRICS) + ")")
+HISTORY = (BATCH + ", h AS (" + " UNION ALL ".join(f"SELECT 'step' AS granularity, '{m}' AS tag, batch_id AS step, round({m},6) AS value "
+  f"FROM b" for m in S.METRICS)
+           + " UNION ALL " + " UNION ALL ".join(f"SELECT 'epoch' AS granularity, '{m}' AS tag, 0 AS step, round(avg({m}),6) AS value "
+             f"FROM b" for m in S.METRICS) + ")")
 
 
 def history(s, d):
@@ -191,8 +209,10 @@ def _history(s, d):
     return s.read.parquet(out).select(F.col("run").cast("string"), F.col("split").cast("string"), "granularity", "tag", "step", "value")
 
 
-q("metric_decimation", HISTORY + " SELECT tag, step, value FROM h WHERE granularity='step' AND (step+1) % 10=0")(lambda s, d: history(s, d).where("granularity = 'step' AND (step + 1) % 10 = 0").select("tag", "step", "value"))
-q("metric_display", "SELECT * FROM (VALUES " + ", ".join(f"('{m}', '{X.DISPLAY.get(m, m)}')" for m in S.METRICS) + ") v(tag, shown) WHERE (SELECT count(*) FROM lineitem)>0")(
+q("metric_decimation", HISTORY + " SELECT tag, step, value FROM h WHERE granularity='step' AND (step+1) % "
+  "10=0")(lambda s, d: history(s, d).where("granularity = 'step' AND (step + 1) % 10 = 0").select("tag", "step", "value"))
+q("metric_display", "SELECT * FROM (VALUES " + ", ".join(f"('{m}', '{X.DISPLAY.get(m, m)}')" for m in S.METRICS) + ") v(tag, shown) "
+  "WHERE (SELECT count(*) FROM lineitem)>0")(
     lambda s, d: history(s, d).select("tag").distinct().select("tag", X.display_tag(F.col("tag")).alias("shown")))
 FIELDS = ["CAST(step AS VARCHAR)", "'valid'", *[f"CAST(round(round({m},9),3) AS VARCHAR)" for m in ("RMSE", "MAE", "TS")]]
 
@@ -209,7 +229,8 @@ q("report_line", BATCH + f", v AS (SELECT batch_id AS step, RMSE, MAE, TS_light_
     lambda s, d: V.batch_scores(pairs(s, d)).select(F.col("batch_id").alias("step"), X.report_line(
         [F.col("batch_id"), F.lit("valid"), *[V.short(F.col(c)).cast("string") for c in ("RMSE", "MAE", "TS_light_rain")]], sign="_").alias("line")))
 NUMBER = "CASE WHEN isinf({m}) THEN '\"Infinity\"' ELSE CAST(round(round({m},9),3)+0.0 AS VARCHAR) END"
-q("report_json", BATCH + " SELECT batch_id, '{' || " + " || ',' || ".join(f"'\"{m}\":' || " + NUMBER.format(m=m) for m in sorted(S.METRICS)) + " || '}' AS line FROM b")(
+q("report_json", BATCH + " SELECT batch_id, '{' || " + " || ',' || ".join(f"'\"{m}\":' || " + NUMBER.format(m=m) for m in sorted(S.METRICS)) + " "
+  "|| '}' AS line FROM b")(
     lambda s, d: V.batch_scores(pairs(s, d)).select("batch_id", F.to_json(F.struct(*[V.short(F.col(m)).alias(m) for m in sorted(S.METRICS)])).alias("line")))
 
 # text
@@ -217,20 +238,26 @@ LOWERED = "translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijk
 TOKENS = f"list_concat(['[CLS]'], string_split({LOWERED},' '))"
 q("token_pad", f"SELECT doc_id, array_to_string(list_concat({TOKENS}, ['[PAD]' FOR i IN range(512)])[1:512], '|') AS tokens FROM documents")(
     lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(X.pad(X.tokens(F.col("text")), 512), "|").alias("tokens")))
-q("token_ids", f"WITH w AS (SELECT unnest(string_split({LOWERED},' ')) AS token FROM documents), v AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token)+2 AS id FROM w GROUP BY 1 ORDER BY count(*) DESC, token LIMIT 5000), "
-  f"t AS (SELECT doc_id, list_concat({TOKENS}, ['[PAD]' FOR i IN range(64)])[1:64] AS l FROM documents), e AS (SELECT doc_id, unnest(l) AS token, generate_subscripts(l,1) AS k FROM t), "
-  "i AS (SELECT doc_id, k, CASE token WHEN '[PAD]' THEN 0 WHEN '[UNK]' THEN 1 WHEN '[CLS]' THEN 2 ELSE coalesce(id,1) END AS id FROM e LEFT JOIN v USING (token)) "
+q("token_ids", f"WITH w AS (SELECT unnest(string_split({LOWERED},' ')) AS token FROM documents), v "
+  f"AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token)+2 AS id FROM w GROUP BY 1 ORDER BY count(*) DESC, token LIMIT 5000), "
+  f"t AS (SELECT doc_id, list_concat({TOKENS}, ['[PAD]' FOR i IN range(64)])[1:64] AS l FROM documents), e "
+  f"AS (SELECT doc_id, unnest(l) AS token, generate_subscripts(l,1) AS k FROM t), "
+  "i AS (SELECT doc_id, k, CASE token WHEN '[PAD]' THEN 0 WHEN '[UNK]' THEN 1 WHEN '[CLS]' THEN 2 ELSE coalesce(id,1) END AS id FROM e LEFT "
+  "JOIN v USING (token)) "
   "SELECT doc_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY k) AS ids FROM i GROUP BY 1")(
     lambda s, d: X.token_ids(table(s, d, "documents"), X.vocabulary(table(s, d, "documents"), 5000), 64).select("doc_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids")))
 q("time_decode", "SELECT event_id, TIMESTAMP '2020-01-01 00:00:00' + (event_id % 9000) * INTERVAL 90 MINUTE AS time FROM events")(
-    lambda s, d: table(s, d, "events").select("event_id", X.time_decode(F.col("event_id") % 9000 * 1.5, "hours since 2020-01-01 00:00:00").alias("time")))
+    lambda s, d: table(s, d, "events").select("event_id", X.time_decode(F.col("event_id") % 9000 * 1.5, "hours since 2020-01-01 "
+      "00:00:00").alias("time")))
 
 
 # streams
-PAIR = ["CAST(l_shipdate AS DATE) AS sample_id", "CAST(l_quantity AS DOUBLE) * CAST(l_discount AS DOUBLE) * 10 AS pred", "CAST(l_quantity AS DOUBLE) * CAST(l_tax AS DOUBLE) * 10 AS label"]
+PAIR = ["CAST(l_shipdate AS DATE) AS sample_id", "CAST(l_quantity AS DOUBLE) * CAST(l_discount AS DOUBLE) * 10 AS pred", "CAST(l_quantity AS "
+  "DOUBLE) * CAST(l_tax AS DOUBLE) * 10 AS label"]
 
 
-@q("stream_scores", SCORES + " SELECT sample_id, round(RMSE,6) AS RMSE, round(CC,6) AS CC, round(KGE,6) AS KGE, round(TS_light_rain,6) AS TS_light_rain, round(BIAS_heavy_rain,6) AS BIAS_heavy_rain FROM scores")
+@q("stream_scores", SCORES + " SELECT sample_id, round(RMSE,6) AS RMSE, round(CC,6) AS CC, round(KGE,6) AS KGE, round(TS_light_rain,6) AS "
+  "TS_light_rain, round(BIAS_heavy_rain,6) AS BIAS_heavy_rain FROM scores")
 def _stream_scores(s, d):
     """Pairs arrive in five files that each hold some cells of every sample, two files a batch."""
     base = folder(s, "stream")
