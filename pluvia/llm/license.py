@@ -1,143 +1,86 @@
 """License phrases and signature rules, by DataFrame functions only.
 
-Rules are those of named families (each with five forms: notice, tag, clause, name, version) and hand-written signatures of
-license bodies and statements. A rule is tried only on texts that hold its own keyword, which every match holds. A
-detection inside another of at least its priority is suppressed; of equal spans the first in order stays.
+Rules are those of named families (each with five forms: notice, tag, clause, name, version), of identifiers in an identifier
+expression, and hand-written signatures of license bodies and statements (`license_rules`). The distinct words of a text
+fetch the rules that have one of them as a keyword, and only those run; every match of a rule holds one of its keywords. A
+detection inside another of at least its priority is suppressed; of equal spans the first in the order of labels stays.
 
 Null texts are empty; each row has its own result, repeated rows and null ids too; texts may be of any length; an empty
 table gives an empty result; extra columns are not read."""
-from functools import reduce
+import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, folded
+from .common import FOLD, folded, once
+from .license_rules import BASE, EXPRESSION, FAMILIES, FORM_PRIORITY, FORMS, SIGNATURES, WORDS
 
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
-BASE = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
-#: fixed values: label, gate keyword, name as normalised words
-FAMILIES = [
-    ("apache", "apache", r"apache(?: software)?"), ("mit", "mit", r"mit"), ("bsd", "bsd", r"(?:new |simplified |modified )?bsd(?: [234] clause)?"),
-    ("gpl", "gpl", r"(?:gnu )?a?l?gpl"), ("gnu-gpl", "general public", r"gnu (?:affero |lesser |library )?general public"),
-    ("fdl", "free documentation", r"gnu free documentation"), ("mpl", "mozilla", r"mozilla public"), ("epl", "eclipse", r"eclipse public"),
-    ("cddl", "cddl", r"cddl"), ("cc", "creative commons", r"creative commons(?: attribution)?"), ("cc-by", "cc by", r"cc by(?: (?:nc|sa|nd))*"),
-    ("cc0", "cc0", r"cc0"), ("isc", "isc", r"isc"), ("zlib", "zlib", r"zlib"), ("boost", "boost", r"boost software"), ("artistic", "artistic", r"artistic"),
-    ("ofl", "ofl", r"(?:sil )?(?:open font|ofl)"), ("eupl", "eupl", r"eupl"), ("wtfpl", "wtfpl", r"wtfpl"), ("unlicense", "unlicense", r"unlicense"),
-    ("python", "python", r"python(?: software foundation)?"), ("php", "php", r"php"), ("ruby", "ruby", r"ruby"), ("perl", "perl", r"perl"), ("openssl", "openssl", r"openssl"),
-    ("postgresql", "postgresql", r"postgresql"), ("ncsa", "ncsa", r"(?:university of illinois )?ncsa"), ("odbl", "database", r"open database"), ("ms-pl", "microsoft", r"microsoft public"),
-    ("ibm", "ibm", r"ibm public"), ("qpl", "qpl", r"qpl"), ("zope", "zope", r"zope public"), ("w3c", "w3c", r"w3c(?: software)?"), ("x11", "x11", r"x11"), ("upl", "upl", r"upl"),
-    ("vim", "vim", r"vim"), ("beerware", "beerware", r"beerware"), ("afl", "academic", r"academic free"), ("osl", "open software", r"open software"), ("cecill", "cecill", r"cecill"),
-]
-VER = r"(?: (?:version |v ?)?[0-9]+(?: [0-9]+)?)?"
-#: form, priority, pattern round the family's name; earlier forms are longer
-FORMS = [("notice", 4, r"(?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?{}(?: public)?(?: licen[sc]e)?(?: version)?" + VER),
-         ("tag", 4, r"spdx license identifier {}" + VER), ("clause", 3, r"this work is licensed under (?:the )?{}(?: licen[sc]e)?" + VER),
-         ("named", 2, r"{} licen[sc]e(?: version)?" + VER), ("version", 1, r"{} (?:version |v)[0-9]+(?: [0-9]+)?")]
-#: fixed values: label, priority, keyword, pattern over the space-joined words
-SIGNATURES = [
-    ("mit", 4, "hereby granted free of charge", r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("boost", 4, "any person or organization", r"permission is hereby granted free of charge to any person or organization obtaining a copy"),
-    ("isc", 4, "with or without fee is hereby granted", r"permission to use copy modify (?:and or|and) distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd", 4, "redistribution and use in source", r"redistribution and use in source and binary forms(?: with or without modification)?(?: are permitted)?"),
-    ("bsd", 3, "nor the names of", r"neither the name of (?:[^ ]+ ){1,12}nor the names of (?:its|their|the) contributors"),
-    ("apache", 4, "except in compliance with the license", r"you may not use this (?:file|work|software) except in compliance with the license"),
-    ("apache", 4, "licensed to the apache software foundation", r"licensed to the apache software foundation(?: asf)? under one or more contributor license agreements"),
-    ("gpl", 4, "you can redistribute it and", r"(?:this|the) (?:program|library|file|software) is free software you can redistribute it and or modify it"),
-    ("gpl", 3, "either version", r"either version [0-9]+(?: [0-9]+)? of the license or at your option any later version"),
-    ("mpl", 4, "source code form is subject", r"this source code form is subject to the terms of the mozilla public license"),
-    ("epl", 4, "accompanying materials are made available", r"this program and the accompanying materials are made available under the terms of the eclipse public license"),
-    ("cddl", 4, "common development and distribution", r"(?:subject to the terms of the )?common development and distribution license"),
-    ("zlib", 4, "will the authors be held liable", r"in no event will the authors be held liable for any damages arising from the use of this software"),
-    ("unlicense", 4, "free and unencumbered software", r"this is free and unencumbered software released into the public domain"),
-    ("wtfpl", 4, "do what the fuck you want", r"do what the fuck you want to(?: public license)?"),
-    ("cc0", 4, "extent possible under law", r"to the extent possible under law (?:[^ ]+ ){1,12}waived all copyright"),
-    ("cc0", 4, "creative commons zero", r"creative commons zero"),
-    ("artistic", 3, "artistic license", r"(?:the )?(?:perl )?artistic license"),
-    ("cc", 3, "under a creative commons", r"licensed under a creative commons(?: [^ ]+){0,6} (?:licen[sc]e|unported|international)"),
-    ("cc-sa", 4, "sharealike", r"(?:creative commons )?attribution (?:noncommercial )?sharealike"),
-    ("cc-nc", 4, "noncommercial", r"(?:creative commons )?attribution noncommercial"),
-    ("cc-nd", 4, "noderiv", r"(?:creative commons )?attribution (?:noncommercial )?noderiv(?:s|ative|atives)"),
-    ("ofl", 4, "reserved font name", r"with reserved font name"),
-    ("ogl", 4, "open government licen", r"open government licen[sc]e"),
-    ("odbl", 3, "open data commons", r"open data commons(?: open database| attribution| public domain dedication)"),
-    ("public-domain", 4, "in the public domain", r"(?:is|are|placed|been placed|remains?) in the public domain"),
-    ("public-domain", 4, "to the public domain", r"(?:dedicated|released|contributed) to the public domain"),
-    ("public-domain", 4, "into the public domain", r"(?:released|placed|put) into the public domain"),
-    ("no-warranty", 2, "without warranty of any kind", r"without warranty of any kind(?: express or implied)?"),
-    ("no-warranty", 2, "without any warranty", r"without any warranty without even the implied warranty"),
-    ("proprietary", 4, "proprietary and confidential", r"(?:is )?proprietary and confidential"),
-    ("proprietary", 4, "strictly prohibited", r"(?:unauthorized|unauthorised) (?:copying|use|reproduction|distribution)(?: [^ ]+){0,8} is strictly prohibited"),
-    ("proprietary", 4, "may be reproduced", r"no part of this (?:publication|document|book|work|site) may be reproduced"),
-    ("proprietary", 3, "written permission", r"without (?:the )?(?:prior |express )?(?:prior |express )?written permission"),
-    ("eula", 4, "user license agreement", r"end user license agreement"),
-    ("non-commercial", 3, "commercial use", r"(?:for )?non commercial use only|noncommercial use only"),
-    ("non-commercial", 3, "personal use only", r"for (?:your )?personal use only"),
-    ("copyright", 1, "copyright", r"copyright (?:c )?(?:1[89][0-9][0-9]|20[0-9][0-9])"),
-    ("copyright", 1, "copyrighted", r"copyrighted (?:material|work|content|by)"),
-    ("dual", 3, "dual licensed", r"dual licensed under"),
-]
-#: what every alternative of a family's name holds, in the space-joined words; others start with the family's keyword
-KEYS = {"gpl": ["gpl"], "ofl": [" open font", " ofl"]}
 _DETS = "cast(array() as array<struct<s:int,e:int,p:int,label:string>>)"
+_BASE = "cast(array() as array<struct<p:int,label:string,w:int>>)"
+_RULE = "array<struct<n:int,label:string,p:int,pat:string>>"
 
 
-_BASE = "cast(array() as array<struct<p:int,label:string,w:int>>)"
+def rules() -> list[dict]:
+    """label, p (0: by the form of the match), keys and pat of all rules in their order."""
+    out = [(label, 0, keys.split(), "|".join(form.format(name) for form in FORMS)) for label, keys, name in FAMILIES]
+    out += [(label, 4, ["spdx"], EXPRESSION.format(w)) for label, w in WORDS.items()]
+    out += [(label, p, keys.split(), pat) for label, p, keys, pat in SIGNATURES]
+    return [{"n": n, "label": label, "p": p, "keys": keys, "pat": f"(?<= )(?:{pat})(?= )"} for n, (label, p, keys, pat) in enumerate(out)]
 
 
-def _spans(label: str, prio: str, words: str, base: bool = False) -> str:
-    """SQL of the spans of one rule over the space-joined words in _n, in characters; prio: SQL over a matched value x.v. With
-    base the number of the first word stands instead of a span. (One parsed text is planned far faster than as many calls as
-    it has parts.) Offsets are sums over what stands before, gathered FOLD matches at a time."""
-    pat = f"(?<= )(?:{words})(?= )"
-    spaces = lambda t: f"length({t}) - length(replace({t}, ' ', ''))"
-    size = spaces if base else lambda t: f"length({t})"
-    none = _BASE if base else _DETS
-    start, end = "a.at + x.gap", f"a.at + x.gap + {size('x.v')}"
-    one = f"struct({prio} AS p, '{label}' AS label, {start} - 1 AS w)" if base else f"struct({start} AS s, {end} AS e, {prio} AS p, '{label}' AS label)"
-    zipped = f"zip_with(transform(split(_n, r'{pat}', -1), t -> {size('t')}), regexp_extract_all(_n, r'{pat}', 0), (g, v) -> struct(g AS gap, v AS v))"
-    inner = f"aggregate(ch, struct(acc.at AS at, {none} AS out), (a, x) -> CASE WHEN x.v IS NULL THEN a ELSE struct({end} AS at, concat(a.out, array({one})) AS out) END)"
-    outer = f"element_at(transform(array({inner}), r -> struct(r.at AS at, concat(acc.out, array(r.out)) AS out)), 1)"
-    chunks = f"transform(sequence(0, (size(z) - 1) div {FOLD}), k -> slice(z, cast(k * {FOLD} + 1 as int), {FOLD}))"
-    return f"element_at(transform(array({zipped}), z -> aggregate({chunks}, struct(0 AS at, filter(array({none}), q -> false) AS out), (acc, ch) -> {outer}, acc -> flatten(acc.out))), 1)"
+def _fixed(value, kind: str) -> Column:
+    """A constant of the plan, however many parts it has."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
-def _family(name: str) -> str:
-    """All forms of a family's name in one pattern, the strongest first."""
-    return "|".join(form.format(name) for _, _, form in FORMS)
+def _rule(r: dict) -> dict:
+    return {k: r[k] for k in ("n", "label", "p", "pat")}
 
 
-#: SQL of the priority of the form that a family's match has
-_FORM_PRIORITY = (r"CASE WHEN x.v RLIKE r'^(?:licensed|released|distributed|available) under |^spdx ' THEN 4 WHEN startswith(x.v, 'this work is ') THEN 3 "
-                  r"WHEN x.v RLIKE r' licen[sc]e' THEN 2 ELSE 1 END")
+def by_keyword() -> list[dict]:
+    """key, rules: what each keyword fetches."""
+    out: dict = {}
+    for r in rules():
+        for k in r["keys"]:
+            out.setdefault(k, []).append(_rule(r))
+    return [{"key": k, "rules": v} for k, v in sorted(out.items())]
 
 
-def _keys(label: str, key: str) -> list[str]:
-    return KEYS.get(label, [f" {key}"])
+def fetched(words: Column) -> Column:
+    """The rules whose keywords are among the distinct words, each once."""
+    table = by_keyword()
+    keys = F.array_intersect(words, _fixed([t["key"] for t in table], "array<string>"))
+    held = once(keys, lambda h: F.filter(_fixed(table, f"array<struct<key:string,rules:{_RULE}>>"), lambda t: F.array_contains(h, t["key"])))
+    return F.array_distinct(F.flatten(F.transform(held, lambda t: t["rules"])))
+
+
+def _spans(pat: str, one: str, none: str, size) -> str:
+    """SQL of what the matches of a pattern in _n give: `one` over x.v, and the places {start} and {end}, counted by size.
+    Offsets are sums over what stands before, gathered FOLD matches at a time."""
+    start, end = "a.at + x.gap", f"a.at + x.gap + {size('x.v')}"
+    zipped = f"zip_with(transform(split(_n, {pat}, -1), t -> {size('t')}), regexp_extract_all(_n, {pat}, 0), (g, v) -> struct(g AS gap, v AS v))"
+    inner = f"aggregate(ch, struct(acc.at AS at, {none} AS out), (a, x) -> CASE WHEN x.v IS NULL THEN a ELSE struct({end} AS at, concat(a.out, array({one.format(start=start, end=end)})) AS out) END)"
+    outer = f"element_at(transform(array({inner}), r -> struct(r.at AS at, concat(acc.out, array(r.out)) AS out)), 1)"
+    chunks = f"transform(sequence(0, (size(z) - 1) div {FOLD}), k -> slice(z, cast(k * {FOLD} + 1 as int), {FOLD}))"
+    return f"element_at(transform(array({zipped}), z -> aggregate({chunks}, struct(0 AS at, filter(array({none}), q -> false) AS out), (acc, ch) -> {outer}, acc -> flatten(acc.out))), 1)"
 
 
-def _gate(low: Column) -> Column:
-    """Lower-cased texts that may hold a detection: the words of a base phrase, or those of a family's key and what every
-    alternative of some form holds."""
-    some = lambda cs: reduce(lambda a, b: a | b, cs)
-    held = lambda key: reduce(lambda a, b: a & b, [low.contains(w) for w in key.split()])
-    form = some([low.contains(w) for w in ("licen", "spdx", "under", "version")]) | low.rlike("v[0-9]")
-    own = some([held(p) for p in BASE.values()]) | some([held(key) for _, _, key, _ in SIGNATURES])
-    return own | (form & some([held(k) for label, key, _ in FAMILIES for k in _keys(label, key)]))
+def _phrase(label: str, words: str) -> str:
+    """SQL of a base phrase's places, in words."""
+    spans = _spans(f"'(?<= ){words}(?= )'", f"struct(5 AS p, '{label}' AS label, {{start}} - 1 AS w)", _BASE, lambda t: f"length({t}) - length(replace({t}, ' ', ''))")
+    return f"CASE WHEN contains(_n, ' {words} ') THEN {spans} ELSE {_BASE} END"
 
 
 def detect(docs: DataFrame, gated: bool = True) -> DataFrame:
     """doc_id, base columns, the kept detections and the score; without gates every rule is tried on every text."""
-    t = F.coalesce(F.col("text"), F.lit(""))
-    gate = _gate(F.lower(t)) if gated else F.lit(True)
-    opens = lambda keys, spans, none=_DETS: f"CASE WHEN {' OR '.join(f'contains(_n, {chr(39)}{k}{chr(39)})' for k in keys)} THEN {spans} ELSE {none} END" if gated else spans
-    norm = F.concat(F.lit(" "), F.translate(F.regexp_replace(t, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(" "))
-    df = docs.select("doc_id", F.size(F.regexp_extract_all(t, F.lit(WORD), F.lit(0))).cast("long").alias("n_words"), F.when(gate, F.regexp_replace(norm, " +", " ")).alias("_n"))
-    n = F.col("_n")
-    base = [opens([f" {p} "], _spans(k, "5", p, base=True), _BASE) for k, p in BASE.items()]
-    df = df.withColumn("_base", F.coalesce(F.expr(f"concat({', '.join(base)})"), F.expr(_BASE)))
-    rules = [opens(_keys(label, key), _spans(label, _FORM_PRIORITY, _family(name))) for label, key, name in FAMILIES]
-    rules += [opens([key], _spans(label, str(prio), pat)) for label, prio, key, pat in SIGNATURES]
-    df = df.withColumn("_rules", F.coalesce(F.expr(f"concat({', '.join(rules)})"), F.expr(_DETS)))
+    low = F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    df = docs.select("doc_id", F.regexp_extract_all(low, F.lit(WORD), F.lit(0)).alias("_w"))
+    df = df.select("doc_id", F.size("_w").cast("long").alias("n_words"), F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")).alias("_n"),
+                   (fetched(F.col("_w")) if gated else _fixed([_rule(r) for r in rules()], _RULE)).alias("_r"))
+    df = df.withColumn("_base", F.expr(f"concat({', '.join(_phrase(k, p) for k, p in BASE.items())})"))
+    found = _spans("d.pat", f"struct({{start}} AS s, {{end}} AS e, CASE WHEN d.p > 0 THEN d.p ELSE {FORM_PRIORITY} END AS p, d.label AS label)", _DETS, lambda t: f"length({t})")
+    df = df.withColumn("_rules", F.expr(f"flatten(transform(_r, d -> {found}))"))
     keyed = F.sort_array(F.transform("_rules", lambda d: F.struct(d["s"].alias("a"), (-d["e"]).alias("b"), (-d["p"]).alias("c"), d["label"].alias("d"), d.alias("x"))))
     far = F.array(*[F.lit(-1)] * 5)   # by priority, how far detections of at least that one reach
 
