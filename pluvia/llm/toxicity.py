@@ -1,7 +1,7 @@
 """Toxicity of texts after noisy-channel restoration.
 
 A suspicious word (signs among its letters, repeated letters, letters set apart) is a lattice of what its signs may stand
-for; Viterbi decoding under a character model gives the restored word. The character model has the trigrams of all texts
+for and of where words may end; exact Viterbi decoding under a character model gives the restored words. The character model has the trigrams of all texts
 and, as half of its weight, those of the words that the labelled rows show to be toxic. A text's score comes from the
 hashed words of its restored form.
 
@@ -11,7 +11,6 @@ labels every score is 1/2; an empty table gives an empty result. labels, lang, s
 score; extra columns are not read."""
 import re
 import unicodedata
-from heapq import nlargest
 
 import numpy as np
 import pandas as pd
@@ -23,14 +22,12 @@ SAMPLE, BUCKETS = 40_000, 1 << 18   # labelled rows fitted on, at most; hashed f
 LEXICON, SEEN = 2_000, 3            # words added to the character model, at most, and the labelled texts that hold each
 STRONGEST = 3                       # features that count in one text
 CACHE, LONG = 200_000, 64           # words a worker remembers before it starts again, and their bytes
-BEAM = 12                           # states of the lattice that are followed
-GLUED = 12                          # signs of a decoded word over which word ends are looked for in it
 #: fixed values: what a written sign may stand for
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "8": "b", "9": "g", "*": "aeiou"}
 #: fixed values: letters of other scripts that look like Latin ones
 ALIKE = str.maketrans("аеосрхуікмтнвАЕОСРХУІКМТНВαοειν", "aeocpxyikmthbAEOCPXYIKMTHBaoeiv")
-#: fixed values: log10 costs of reading a sign as another letter, a star as a vowel, dropping a separator, a star, a repetition, a double letter, and of a word end
-COSTS = {"leet": 0.5, "star": 0.7, "drop": 0.3, "lost": 2.0, "run": 0.1, "double": 2.5, "end": 0.0}
+#: fixed values: log10 costs of reading a sign as another letter, a star as a vowel, dropping a separator, a star, a repetition, a double letter, and of a word end among letters set apart and in a word
+COSTS = {"leet": 0.5, "star": 0.7, "drop": 0.3, "lost": 2.0, "run": 0.1, "double": 2.5, "end": 0.0, "glued": 0.3}
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _END = 26
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 or chr(c) in "@$!|+*._-" else 32 for c in range(256))
@@ -59,31 +56,45 @@ def log_model(n: np.ndarray, lexicon: np.ndarray | None = None) -> np.ndarray:
     return np.log10(p if lexicon is None else 0.5 * p + 0.5 * smooth(lexicon))
 
 
-def viterbi(token: str, lm: np.ndarray, ends: bool = False) -> str:
+def viterbi(token: str, lm, end: float = 0.0) -> str:
     """Best restored form: each sign is kept as a letter, read through LEET, or dropped as a separator or a repetition;
-    with `ends` words may end between signs."""
-    beam = {(_END, _END): (0.0, None)}   # the last two letters: log10 probability, letters so far as linked pairs
-    before, run = "", 0
+    words may end between signs at the cost `end`. Exact: a path goes on by its last two letters and the signs alone, so
+    the best one to each pair of letters (27 x 27 at most) is all that is kept. lm[a][b][c] are log10 probabilities."""
+    states = {(_END, _END): (0.0, None)}   # the last two letters: log10 probability, letters so far as linked pairs
+    tripled = {c for c in set(token) if c * 3 in token}
+    before, read_before, run = "", "", 0
     for c in token:
         run = run + 1 if c == before else 1
         outs = c if c in LETTERS else LEET.get(c, "")
         cost = 0.0 if c in LETTERS else COSTS["star"] if c == "*" else COSTS["leet"]
+        coded = [(ord(o) - 97, o) for o in outs]
+        lost = COSTS["lost" if c == "*" else "drop"] if not outs or c == "*" else None
+        again = COSTS["run"] if run > 2 or c in tripled else COSTS["double"]
         nxt: dict = {}
-        for (a, b), (p, w) in beam.items():
-            cands = [(p + lm[a, b, ord(o) - 97] - cost, (b, ord(o) - 97), (w, o)) for o in outs]
-            if ends and b != _END:
-                q = p + lm[a, b, _END] - COSTS["end"]
-                cands += [(q + lm[_END, _END, ord(o) - 97] - cost, (_END, ord(o) - 97), (w, " " + o)) for o in outs]
-            if w and (not outs or c == "*"):
-                cands.append((p - COSTS["lost" if c == "*" else "drop"], (a, b), w))
-            elif w and w[1][-1] in outs and before and (w[1][-1] in before or w[1][-1] in LEET.get(before, "")):
-                cands.append((p - (COSTS["run"] if run > 2 or token.count(c * 3) else COSTS["double"]), (a, b), w))
-            for q, k, v in cands:
-                if k not in nxt or nxt[k][0] < q:
-                    nxt[k] = (q, v)
-        beam = (nxt if len(nxt) <= BEAM else dict(nlargest(BEAM, nxt.items(), key=lambda x: x[1][0]))) or beam
-        before = c
-    best = max(((p + lm[a, b, _END], w) for (a, b), (p, w) in beam.items()), key=lambda x: x[0])[1]
+        opens, best = None, -np.inf   # the best path after which a word ends here
+
+        def offer(k, q, v, nxt=nxt):
+            old = nxt.get(k)
+            if old is None or old[0] < q:
+                nxt[k] = (q, v)
+        for (a, b), (p, w) in states.items():
+            row = lm[a][b]
+            for o, sign in coded:
+                offer((b, o), p + row[o] - cost, (w, sign))
+            if b != _END and p + row[_END] > best:
+                opens, best = w, p + row[_END]
+            if w:
+                if lost is not None:
+                    offer((a, b), p - lost, w)
+                elif (last := w[1][-1]) in outs and last in read_before:
+                    offer((a, b), p - again, w)
+        if opens:
+            row = lm[_END][_END]
+            for o, sign in coded:
+                offer((_END, o), best - end + row[o] - cost, (opens, " " + sign))
+        states = nxt or states   # separators before the first letter change nothing
+        before, read_before = c, c + LEET.get(c, "")
+    best = max(((p + lm[a][b][_END], w) for (a, b), (p, w) in states.items()), key=lambda x: x[0])[1]
     out = []
     while best:
         best, o = best
@@ -95,15 +106,16 @@ class Restorer:
     """Restores words and hashes them; what a worker has seen is remembered."""
 
     def __init__(self, lm: np.ndarray, lexicon=frozenset()):
-        self.lm, self.lexicon, self.seen = lm, frozenset(lexicon), {}
+        self.lm, self.lexicon, self.seen, self.rows = lm, frozenset(lexicon), {}, None
         long = sorted((w for w in self.lexicon if len(w) > 4), key=lambda w: (-len(w), w))
         self.within = re.compile(b"|".join(long)) if long else None
 
     def __getstate__(self):
-        return {"lm": self.lm, "lexicon": self.lexicon, "seen": {}, "within": self.within}
+        return {"lm": self.lm, "lexicon": self.lexicon, "seen": {}, "rows": None, "within": self.within}
 
-    def decode(self, w: bytes, ends: bool = False) -> bytes:
-        return viterbi(_RUN.sub(rb"\1\1\1", w).decode("ascii"), self.lm, ends).encode()
+    def decode(self, w: bytes, end: float) -> bytes:
+        self.rows = self.rows or self.lm.tolist()   # lists are looked up faster than arrays, one value at a time
+        return viterbi(_RUN.sub(rb"\1\1\1", w).decode("ascii"), self.rows, end).encode()
 
     def restore(self, w: bytes) -> bytes:
         """What one word stands for; several words where it is long and decoded."""
@@ -128,7 +140,7 @@ class Restorer:
                 return one if one in self.lexicon and core not in self.lexicon else core
         elif len(core) < 2 or not any(97 <= x <= 122 for x in core):
             return core
-        return self.decode(core, len(core) > GLUED)
+        return self.decode(core, COSTS["glued"])
 
     def look(self, w: bytes) -> tuple:
         """The restored word's hashed features: the word and its beginnings of four to six bytes."""
@@ -152,7 +164,7 @@ class Restorer:
         s = m[0].replace(b" ", b"")
         if not s.isascii() or sum(97 <= x <= 122 for x in s) < 2:
             return m[0]
-        got = self.decode(s, True)
+        got = self.decode(s, COSTS["end"])
         return b" ".join([got, *(self.within.findall(got) if self.within else [])])   # known words that stay glued to others
 
     def features(self, text: str | None) -> np.ndarray:
