@@ -56,45 +56,62 @@ def log_model(n: np.ndarray, lexicon: np.ndarray | None = None) -> np.ndarray:
     return np.log10(p if lexicon is None else 0.5 * p + 0.5 * smooth(lexicon))
 
 
-def viterbi(token: str, lm, end: float = 0.0) -> str:
+def rows(lm: np.ndarray) -> list:
+    """log10 probabilities of the next letter as lists, by 27 times the letter before the last and the last one; single
+    values are looked up in lists faster than in arrays."""
+    return lm.reshape(729, 27).tolist()
+
+
+#: by sign: letters it may stand for with their numbers, the cost of reading it so, and that of dropping it, if it may be
+_READ = {chr(c): ([(ord(o) - 97, o, " " + o) for o in (chr(c) if chr(c) in LETTERS else LEET.get(chr(c), ""))], 0.0 if chr(c) in LETTERS else COSTS["star" if c == 42 else "leet"],
+                  COSTS["lost"] if c == 42 else None if chr(c) in LETTERS or chr(c) in LEET else COSTS["drop"]) for c in range(128)}
+
+
+def viterbi(token: str, lm: list, end: float = 0.0) -> str:
     """Best restored form: each sign is kept as a letter, read through LEET, or dropped as a separator or a repetition;
     words may end between signs at the cost `end`. Exact: a path goes on by its last two letters and the signs alone, so
-    the best one to each pair of letters (27 x 27 at most) is all that is kept. lm[a][b][c] are log10 probabilities."""
-    states = {(_END, _END): (0.0, None)}   # the last two letters: log10 probability, letters so far as linked pairs
-    tripled = {c for c in set(token) if c * 3 in token}
+    the best one to each pair of letters (27 x 27 at most) is all that is kept. lm: rows() of a model."""
+    states = {_END * 27 + _END: (0.0, None)}   # 27 times the letter before the last and the last one: log10 probability, letters so far as linked pairs
     before, read_before, run = "", "", 0
     for c in token:
         run = run + 1 if c == before else 1
-        outs = c if c in LETTERS else LEET.get(c, "")
-        cost = 0.0 if c in LETTERS else COSTS["star"] if c == "*" else COSTS["leet"]
-        coded = [(ord(o) - 97, o) for o in outs]
-        lost = COSTS["lost" if c == "*" else "drop"] if not outs or c == "*" else None
-        again = COSTS["run"] if run > 2 or c in tripled else COSTS["double"]
+        coded, cost, lost = _READ[c]
+        again = None
         nxt: dict = {}
-        opens, best = None, -np.inf   # the best path after which a word ends here
-
-        def offer(k, q, v, nxt=nxt):
+        opens, most = None, -np.inf   # the best path after which a word ends here
+        for k, (p, w) in states.items():
+            row = lm[k]
+            b = k % 27
+            for n, sign, _ in coded:
+                q = p + row[n] - cost
+                old = nxt.get(b * 27 + n)
+                if old is None or old[0] < q:
+                    nxt[b * 27 + n] = (q, (w, sign))
+            if w is None:
+                continue
+            if p + row[_END] > most:
+                opens, most = w, p + row[_END]
+            if lost is not None:
+                q = p - lost
+            elif read_before and (last := w[1][-1]) in read_before and (last == c or last in LEET.get(c, "")):
+                if again is None:
+                    again = COSTS["run"] if run > 2 or c * 3 in token else COSTS["double"]
+                q = p - again
+            else:
+                continue
             old = nxt.get(k)
             if old is None or old[0] < q:
-                nxt[k] = (q, v)
-        for (a, b), (p, w) in states.items():
-            row = lm[a][b]
-            for o, sign in coded:
-                offer((b, o), p + row[o] - cost, (w, sign))
-            if b != _END and p + row[_END] > best:
-                opens, best = w, p + row[_END]
-            if w:
-                if lost is not None:
-                    offer((a, b), p - lost, w)
-                elif (last := w[1][-1]) in outs and last in read_before:
-                    offer((a, b), p - again, w)
-        if opens:
-            row = lm[_END][_END]
-            for o, sign in coded:
-                offer((_END, o), best - end + row[o] - cost, (opens, " " + sign))
+                nxt[k] = (q, w)
+        if opens is not None:
+            row = lm[_END * 27 + _END]
+            for n, _, sign in coded:
+                q = most - end + row[n] - cost
+                old = nxt.get(_END * 27 + n)
+                if old is None or old[0] < q:
+                    nxt[_END * 27 + n] = (q, (opens, sign))
         states = nxt or states   # separators before the first letter change nothing
         before, read_before = c, c + LEET.get(c, "")
-    best = max(((p + lm[a][b][_END], w) for (a, b), (p, w) in states.items()), key=lambda x: x[0])[1]
+    best = max(((p + lm[k][_END], w) for k, (p, w) in states.items()), key=lambda x: x[0])[1]
     out = []
     while best:
         best, o = best
@@ -114,7 +131,7 @@ class Restorer:
         return {"lm": self.lm, "lexicon": self.lexicon, "seen": {}, "rows": None, "within": self.within}
 
     def decode(self, w: bytes, end: float) -> bytes:
-        self.rows = self.rows or self.lm.tolist()   # lists are looked up faster than arrays, one value at a time
+        self.rows = self.rows or rows(self.lm)
         return viterbi(_RUN.sub(rb"\1\1\1", w).decode("ascii"), self.rows, end).encode()
 
     def restore(self, w: bytes) -> bytes:
@@ -146,7 +163,10 @@ class Restorer:
         """The restored word's hashed features: the word and its beginnings of four to six bytes."""
         got = self.seen.get(w)
         if got is None:
-            got = tuple(k for r in self.restore(w).split() for k in _keys(r))
+            if w.isalpha() and not _DOUBLE.search(w):   # nothing to restore
+                got = _keys(w)
+            else:
+                got = tuple(k for r in self.restore(w).split() for k in _keys(r))
             if len(self.seen) > CACHE:
                 self.seen.clear()
             if len(w) <= LONG:
@@ -170,8 +190,9 @@ class Restorer:
     def features(self, text: str | None) -> np.ndarray:
         """Distinct hashed features; each distinct word is looked up once."""
         out: set = set()
+        seen = self.seen
         for w in set(self.split(text)):
-            out.update(self.look(w))
+            out.update(seen.get(w) or self.look(w))
         return np.fromiter(out, dtype=np.int64, count=len(out))
 
     def words(self, text: str | None) -> list[bytes]:
@@ -179,7 +200,10 @@ class Restorer:
 
 
 def _keys(r: bytes) -> tuple:
-    return tuple(xxhash.xxh64_intdigest(k) % BUCKETS for k in (r, *(b"^" + r[:k] for k in (4, 5, 6) if len(r) > k))) if r else ()
+    h = xxhash.xxh64_intdigest
+    if len(r) > 6:
+        return h(r) % BUCKETS, h(b"^" + r[:4]) % BUCKETS, h(b"^" + r[:5]) % BUCKETS, h(b"^" + r[:6]) % BUCKETS
+    return (h(r) % BUCKETS, *[h(b"^" + r[:k]) % BUCKETS for k in (4, 5) if len(r) > k]) if r else ()
 
 
 def char_counts(docs: DataFrame) -> np.ndarray:
