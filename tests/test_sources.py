@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from pluvia import catalog
 from pluvia.functions import losses
 from pluvia.functions import text as X
@@ -199,3 +200,13 @@ def test_outputs(spark):
     d = spark.createDataFrame([(0, "a", 1.0, 1.0)], "batch_id long, sample_id string, pred double, label double")
     assert json.loads(OUTPUTS["json"](d).first().line)["RMSE"] == 0.0 and OUTPUTS["null"](d).count() == 0
     assert d.groupBy("sample_id").agg(METRICS["POD"](F.col("pred"), F.col("label"), 0.1).alias("v")).first().v == 1.0
+
+
+def hours(spark):
+    """(day, hour) of all events."""
+    return {(r.d, r.h) for r in spark.read.parquet("/root/testdata/sf0.001/events.parquet").selectExpr("date_format(ts, 'yyyyMMdd') AS d", "hour(ts) AS h").distinct().collect()}
+
+
+def test_listing_holds_a_file_for_each_hour(spark):
+    got = [r.path for r in entry.queries()["grid_file_listing"](spark, "/root/testdata/sf0.001").collect()]
+    assert got == sorted(f"grid-{d}-{h:02}.npz" for d, h in hours(spark))
