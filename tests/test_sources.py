@@ -210,3 +210,8 @@ def hours(spark):
 def test_listing_holds_a_file_for_each_hour(spark):
     got = [r.path for r in entry.queries()["grid_file_listing"](spark, "/root/testdata/sf0.001").collect()]
     assert got == sorted(f"grid-{d}-{h:02}.npz" for d, h in hours(spark))
+
+
+def test_quarantine_reads_a_file_for_each_hour(spark):
+    got = sorted(r.file for r in entry.queries()["bad_file_quarantine"](spark, "/root/testdata/sf0.001").collect())
+    assert got == sorted(f"grid-{d}-{h:02}.npz" for d, h in hours(spark) if h % 7 == 0)
