@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from pluvia.llm import minhash
+from pluvia.llm import minhash, simhash
 
 D = "doc_id long, text string, source string"
 
@@ -84,3 +84,18 @@ def test_pipeline_stages(spark):
         assert "@" not in (r.text or "") or not __import__("re").search(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r.text)
     texts = [before[r.doc_id] for r in rows]
     assert brute(texts) == list(range(len(texts)))   # no two kept texts are near copies
+
+
+def test_near_copies_come_through_simhash_classes(spark):
+    """Long texts with one word changed are found by their fingerprints alone, without a band; a like fingerprint of an unlike
+    text gives no link."""
+    base = ["w%d" % i for i in range(6000)]
+    texts = [" ".join(base), " ".join([*base[:3000], "other", *base[3001:]]), " ".join("z%d" % i for i in range(5900)), ""]
+    sh = [minhash.shingles(t) for t in texts]
+    fp = [simhash.majority(s) for s in sh]
+    assert (fp[0] ^ fp[1]).bit_count() <= 2 < (fp[0] ^ fp[2]).bit_count() and fp[3] == 0
+    fp[2] = fp[0]
+    sets = spark.createDataFrame([(i, len(s), [], minhash.sketch(minhash.minima(s)), int(f) - (f >> 63 << 64)) for i, (s, f) in enumerate(zip(sh, fp))],
+                                 "rid long, n long, bands array<long>, sk array<long>, fp long")
+    rows = spark.createDataFrame(list(enumerate(texts)), "rid long, text string")
+    assert sorted(map(tuple, minhash.links(sets, rows).collect())) == [(0, 0), (1, 0)]
