@@ -103,6 +103,21 @@ def test_code_is_a_distribution():
     assert (10 ** lp).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_every_token_is_a_context():
+    """Rare tokens with the same last bytes, and own tokens of any rank, are told apart by what follows them."""
+    own = [b"o%03d" % i for i in range(lm.OWN - 1)]
+    rare = [b"x%05d77" % i for i in range(40)]
+    tokens, c = [lm.END, *own, *rare], np.array([10**6, *range(5000, 5000 - len(own), -1), *[3] * len(rare)])
+    v = lm.Vocabulary(tokens, c, int(c.sum()), len(c), [(t[-2:], int(k), 1) for t, k in zip(tokens, c)], 0.5)
+
+    def context(*before):
+        _, x, text, word, _, _ = v.read([b" ".join([*before, b"last"]).decode()])
+        return tuple(int(a[len(before)]) for a in v.contexts(x, text, word))
+    seen = {context(own[0], t) for t in [*rare, b"unknown77", b"other77"]} | {context(t, own[0]) for t in own} | {context(), context(own[1])}
+    assert len(seen) == len(rare) + 2 + len(own) + 2
+    assert max(int(max(a, b)) for a, b, _ in seen) * len(v.code.odds) < v.slots()
+
+
 def test_long_token_is_linear(spark):
     d = spark.createDataFrame([(1, "ab" * 1_000_000 + " the end"), (2, "the end " * 50)], "doc_id long, text string")
     got = {r.doc_id: r for r in lm.scores(d).collect()}
